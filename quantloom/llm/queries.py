@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantloom.llm import language_id, mixing, quality, sharding
+from quantloom.llm import decontamination, fingerprints, language_id, mixing, near_dedup, quality, recompression, secrets, sharding, suffix_dedup
 from quantloom.llm.common import id_crc
 
 
@@ -22,15 +22,58 @@ def op2_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), F.pmod(id_crc(F.col("doc_id")), F.lit(4))
     model = language_id.fit(docs, fold != 2)
     return model.predict(docs.select("doc_id", "text")).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, base = secrets.scan(table(spark, sf_dir, "documents")), F.col("base")
+    kinds = F.transform(base, lambda s: s["kind"])
+    n = [F.size(F.array_remove(kinds, k)) for k in range(3)]  # spans of other kinds
+    n = [(F.size(base) - x).cast("long").alias(f"n_{name}") for x, name in zip(n, secrets.KINDS, strict=False)]
+    return rows.select("doc_id", *n, F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"), secrets.as_text(F.concat("base", "added")).alias("spans"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_kd_tree_sharding, op4_language_id, op6_source_mixing)}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_study(table(spark, sf_dir, "documents"))
+
+
+def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), 2, 80).drop("tid")
+
+
+def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_kd_tree_sharding,
+        op3_suffix_array_dedup,
+        op4_language_id,
+        op5_randomness_secrets,
+        op6_source_mixing,
+        op7_benchmark_decontamination,
+        op8_closed_syncmers,
+        op9_minmax_near_dedup,
+        op10_recompression_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
