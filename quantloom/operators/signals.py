@@ -135,7 +135,7 @@ def chi2_1_tail(x: Column) -> Column:
     poly = F.lit(c[-1])
     for k in reversed(c[:-1]):
         poly = k + t * poly
-    return t * F.exp(-z * z + poly)
+    return F.least(t * F.exp(-z * z + poly), F.lit(1.0))
 
 
 def breach_matching(forecasts: DataFrame, realised: DataFrame) -> DataFrame:

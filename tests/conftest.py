@@ -9,7 +9,7 @@ def spark(tmp_path_factory):
     home = tmp_path_factory.mktemp("spark")
     os.environ.setdefault("TZ", "UTC")
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
