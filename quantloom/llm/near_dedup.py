@@ -7,7 +7,8 @@ of equal sets are one node from the start, so groups of copies make no pairs.
 
 Candidates are tested without listing all pairs of a bucket: first every node against the least node
 of its bucket, and links that full sets confirm join components; then, in buckets that still hold
-several components, only pairs between components that were not tested yet.
+several components, members outside the largest one are compared with all by full sets, in parts,
+and only links that join components are given out.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from quantloom.llm import kernels as K
 from quantloom.llm.common import fresh, stored
 
 FUNCTIONS, BANDS = 64, 32
+#: Members of a bucket that one task compares, of either side.
+PART = 3000
 _rng = np.random.default_rng(97)
 MULTIPLIERS = _rng.integers(1, 2**63, FUNCTIONS, dtype=np.int64).astype(K.U64) * K.U64(2) + K.U64(1)
 ADDENDS = _rng.integers(0, 2**63, FUNCTIONS, dtype=np.int64).astype(K.U64)
@@ -99,22 +102,63 @@ def _full_sets(k: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b, na, nb) those whose full sets have 100 * |intersection| >= percent * |union|."""
-    near = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    near = stored(near, "near-pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "rep", "tid"), "node")
-    ids = ids.select(F.col("rep").alias("k_id"), F.col("tid").alias("k_tid"))
+def full_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(node, full): the whole sets of some nodes, from the text of one document of each."""
+    ids = nodes.distinct().join(reps.select("node", "rep", "tid"), "node").select(F.col("rep").alias("k_id"), F.col("tid").alias("k_tid"))
     texts = docs.join(ids, (docs["tid"] == F.col("k_tid")) & docs["doc_id"].eqNullSafe(F.col("k_id"))).select("text")
-    full = stored(texts.mapInArrow(_full_sets(k), "node long, full array<long>"), "near-sets")
-    left = full.select(F.col("node").alias("a"), F.col("full").alias("fa"))
-    right = full.select(F.col("node").alias("b"), F.col("full").alias("fb"))
-    both = near.join(right, "b").join(left, "a")
+    return texts.mapInArrow(_full_sets(k), "node long, full array<long>").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets have 100 * |intersection| >= percent * |union|."""
+    left = sets.select(F.col("node").alias("a"), F.col("full").alias("fa"))
+    right = sets.select(F.col("node").alias("b"), F.col("full").alias("fb"))
+    both = pairs.select("a", "b").join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("fa", "fb"))
     both = both.select("a", "b", shared.alias("i"), (F.size("fa") + F.size("fb") - shared).alias("u"))
     return both.where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
 
 
+def _spanning(percent: int):
+    """Links between members of different components in one part of a bucket, as many as join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
+        minor = table.column("minor").to_pylist()
+        full = table.column("full").combine_chunks()
+        if isinstance(full, pa.ChunkedArray):
+            full = pa.concat_arrays(full.chunks)
+        off = full.offsets.to_numpy().astype(np.int64)
+        vocabulary, word = np.unique(full.flatten().to_numpy(), return_inverse=True)
+        off = off - off[0]
+        size = np.diff(off)
+        root: dict[int, int] = {c: c for c in comp}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        mark, a, b = np.zeros(len(vocabulary), np.int32), [], []
+        for x in range(len(node)):
+            if not minor[x]:
+                continue
+            own = word[off[x] : off[x + 1]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[word], off[:-1])
+            mark[own] = 0
+            for y in np.flatnonzero(shared * 100 >= (size + size[x] - shared) * percent).tolist():
+                r, t = find(comp[x]), find(comp[y])
+                if r != t:
+                    root[t] = r
+                    a.append(node[x])
+                    b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node that each node of `edges` (a, b) reaches.
 
@@ -151,18 +195,29 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     stars = spread.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     members = stored(spread.join(stars.select("key", F.col("c.node").alias("center"), F.col("c.n").alias("nc"), "m"), "key"), "near-members")
     pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb")).distinct()
-    edges = stored(confirmed(pairs, docs, reps, k, percent), "near-edges")
+    pairs = stored(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "near-pairs")
+    # every member of a bucket of three or more may be needed again below
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.where("m > 2").select("node"))
+    full = stored(full_sets(wanted, docs, reps, k), "near-sets")
+    edges = stored(confirmed(pairs, full, percent), "near-edges")
     names = components(edges)
-    # what the stars can have missed: links between two components that share a bucket, neither its center
-    known = members.where("m > 2").join(names, "node", "left").select("key", "node", "n", "center", F.coalesce("comp", "node").alias("comp"))
-    torn = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = stored(known.where("node <> center").join(torn, "key"), "near-rest")
-    one = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = one.join(two, "key").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    cross = cross.select("a", "b", "na", "nb").distinct()
+    # what the stars can have missed: links between components that share a bucket of three or more
+    known = members.where("m > 2").join(names, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    sizes = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    torn = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("c"), F.sum("c").alias("m")).where("m > c")
+    rest = stored(known.join(torn, "key").select("key", "node", "comp", (F.col("comp") != F.col("major")).alias("minor"), "m", "c"), "near-rest")
     if rest.limit(1).count():
-        names = components(edges.union(confirmed(cross, docs, reps, k, percent)))
+        # minor members are compared with all; both are dealt into parts, so that no task holds a whole large bucket
+        part = lambda n: F.greatest(F.ceil(n / PART), F.lit(1)).cast("int")
+        parts = rest.select("*", part(F.col("m") - F.col("c")).alias("pi"), part(F.col("m")).alias("pj"))
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        any_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = parts.where("pi = 1 and pj = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "comp", "minor")
+        many = parts.where("pi > 1 or pj > 1")
+        both = one.union(many.where("minor").select("key", own("pi").alias("i"), any_of("pj").alias("j"), "node", "comp", "minor"))
+        both = both.union(many.select("key", any_of("pi").alias("i"), own("pj").alias("j"), "node", "comp", F.lit(False).alias("minor")))
+        more = both.join(full, "node").groupBy("key", "i", "j").applyInArrow(_spanning(percent), "a long, b long")
+        names = components(edges.union(stored(more, "near-more")))
     own = rows.select("doc_id", "tid", "n", "node").join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     own = own.join(least, "comp", "left")
