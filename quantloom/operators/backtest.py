@@ -26,11 +26,12 @@ class Costs:
     buy_tax: float = 0.0
 
 
+#: Rate, least commission, half spread, slippage, tax on buys.
 PRESETS = {
     "None": Costs(),
-    "Optimistic": Costs(0.0005, 1.0, 1.0, 1.0, 0.0),
-    "Base": Costs(0.001, 2.5, 2.5, 2.5, 0.001),
-    "Conservative": Costs(0.002, 5.0, 5.0, 5.0, 0.002),
+    "Optimistic": Costs(0.0005, 1.25, 2.0, 2.0, 0.0),
+    "Base": Costs(0.0005, 3.0, 5.0, 5.0, 0.0),
+    "Conservative": Costs(0.0005, 3.0, 10.0, 15.0, 0.0),
 }
 
 
@@ -251,3 +252,64 @@ def cost_overlay(gross: DataFrame, costs: DataFrame) -> DataFrame:
     rows = gross.join(costs.select("strategy", "session", "cost"), ["strategy", "session"], "left")
     keep = F.greatest(1 - F.coalesce("cost", F.lit(0.0)) / F.col("nav"), F.lit(0.0))
     return rows.select("strategy", "session", F.col("nav").alias("gross"), (F.col("nav") * F.product(keep).over(by)).alias("nav"))
+
+
+def ex_ante_kpis(weights: DataFrame, mu: DataFrame, cov: DataFrame, rf: float = 0.0) -> DataFrame:
+    """(strategy, t, ret, vol, sharpe) expected at each strategy's first rebalance."""
+    first = weights.groupBy("strategy").agg(F.min("t").alias("t"))
+    w = weights.join(first, ["strategy", "t"])
+    r = w.join(mu, ["t", "ticker"]).groupBy("strategy", "t").agg(F.sum(F.col("w") * F.col("mu")).alias("ret"))
+    a, b = w.select("strategy", "t", F.col("ticker").alias("ticker_i"), F.col("w").alias("wi")), w.select("strategy", "t", F.col("ticker").alias("ticker_j"), F.col("w").alias("wj"))
+    v = a.join(cov, ["t", "ticker_i"]).join(b, ["strategy", "t", "ticker_j"]).groupBy("strategy", "t").agg(F.sqrt(F.greatest(F.sum(F.col("wi") * F.col("wj") * F.col("value")), F.lit(0.0))).alias("vol"))
+    return r.join(v, ["strategy", "t"]).withColumn("sharpe", (F.col("ret") - rf) / F.nullif(F.col("vol"), F.lit(0.0)))
+
+
+def exposures(weights: DataFrame, betas: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(strategy, t, one exposure a factor, active): sums of w * beta over the holdings of each rebalance."""
+    rows = weights.where("w > 1e-10").join(betas, [c for c in ("t", "ticker") if c in betas.columns])
+    return rows.groupBy("strategy", "t").agg(*(F.sum(F.col("w") * F.col(n)).alias(n) for n in names), F.count(F.lit(1)).alias("active"))
+
+
+def clean_curve(curve: DataFrame, order: str = "ingest_ord") -> DataFrame:
+    """A curve with one row a session (the last), all positive, two points at least; else no rows."""
+    last = F.row_number().over(W.partitionBy("strategy", "session").orderBy(F.desc(order)))
+    rows = curve.withColumn("_rn", last).where("_rn = 1")
+    by = W.partitionBy("strategy")
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(by), "_lo": F.min("nav").over(by)})
+    return rows.where("_n >= 2 and _lo > 0").select("strategy", "session", "nav")
+
+
+def buy_and_hold(weights: DataFrame, prices: DataFrame, capital: float) -> DataFrame:
+    """The first rebalance's holdings kept to the end."""
+    first = weights.groupBy("strategy").agg(F.min("t").alias("t"))
+    last = sessions(prices).agg(F.max("no").alias("end"))
+    w = weights.drop("until").join(first, ["strategy", "t"]).crossJoin(F.broadcast(last)).withColumnRenamed("end", "until")
+    return gross_nav(w, prices, capital)
+
+
+def recent(curves: DataFrame, rows: int) -> DataFrame:
+    """The last `rows` sessions of each curve."""
+    k = F.row_number().over(W.partitionBy("strategy").orderBy(F.desc("session")))
+    return curves.withColumn("_k", k).where(F.col("_k") <= rows).drop("_k")
+
+
+def history_table(weights: DataFrame) -> DataFrame:
+    """(strategy, t, turnover, holdings): rebalances with their targets as a map, for export."""
+    held = weights.where("w > 1e-8").groupBy("strategy", "t").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ticker", "w")))).alias("holdings"))
+    return turnover(weights).join(held, ["strategy", "t"])
+
+
+def synchronised(n: int, lookback: int, test: int) -> dict[str, int]:
+    """First rebalance and lengths with which a walk-forward and a fixed-horizon run of n sessions start on the same session."""
+    start = n - test - 1
+    if start < lookback:
+        raise ValueError("not enough sessions")
+    return {"start": start, "lookback": lookback, "estimation": lookback - 1, "test": test}
+
+
+def standard_engine(prices: DataFrame, market: DataFrame, capital: float, lookback: int, rebalance: int, rf: float = 0.0, cap: float = 1.0, costs: Costs = PRESETS["Base"], models: tuple[str, ...] = MODELS) -> DataFrame:
+    """Metrics of all models, net of costs, and of the benchmark on the same sessions, in one table."""
+    net = net_nav(walk_forward_weights(prices, lookback, rebalance, models, rf, cap), prices, capital, costs).select("strategy", "session", "nav")
+    days = net.select("session").distinct()
+    bench = benchmark_curve(market.join(days, "session", "left_semi"), capital)
+    return performance(net.unionByName(bench), capital, rf)

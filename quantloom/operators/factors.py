@@ -162,3 +162,39 @@ def attribution(nav: DataFrame, factors: DataFrame, exposures: DataFrame, capita
     long = rows.select("strategy", "session", items.alias("c")).select("strategy", "session", "c.*")
     running = W.partitionBy("strategy", "component").orderBy("session").rowsBetween(W.unboundedPreceding, 0)
     return long.withColumn("cumulative", F.sum("contribution").over(running))
+
+
+def capm_line(returns: DataFrame, market: DataFrame, rf: float = 0.0, periods: int = YEAR) -> DataFrame:
+    """(ticker, market_excess, fitted): two points of each regression line, at the least and greatest market excess."""
+    day = (1 + rf) ** (1 / periods) - 1
+    both = returns.join(market, "session").select("ticker", (F.col("ret") - day).alias("y"), (F.col("market_ret") - day).alias("x"))
+    g = both.groupBy("ticker").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return g.select("ticker", F.explode(F.array("lo", "hi")).alias("market_excess"), "a", "b").select("ticker", "market_excess", (F.col("a") + F.col("b") * F.col("market_excess")).alias("fitted"))
+
+
+def window_factors(factors: DataFrame, first: str, last: str) -> DataFrame:
+    """Factor rows of a window: from ten days before its first session, before its last."""
+    return factors.where((F.col("session") >= F.date_sub(F.to_date(F.lit(first)), 10)) & (F.col("session") < F.to_date(F.lit(last))))
+
+
+def prices_in_usd(prices: DataFrame, fx: DataFrame, min_rows: int = 81) -> DataFrame:
+    """Euro prices times the last rate on or before each session; a ticker with fewer than `min_rows` rows has none."""
+    days = as_of(prices.select("session").distinct(), fx, "session", "fx").where("fx is not null")
+    rows = prices.join(days, "session").withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("ticker")))
+    return rows.where(F.col("_n") >= min_rows).select("ticker", "session", (F.col("close") * F.col("fx")).alias("close"))
+
+
+def estimate_in_eur(prices: DataFrame, fx: DataFrame, factors: DataFrame, names: tuple[str, ...] = ("mkt_rf", "smb", "hml"), periods: int = YEAR) -> DataFrame:
+    """(ticker, mu): fitted on dollar returns, mu = ((1 + dollar mean) / (1 + mean rate return) - 1) * periods."""
+    fit = multi_factor(factor_sample(prices_in_usd(prices, fx), factors), names).where("status = 'ok'")
+    r = fx.select((F.col("fx") / F.lag("fx").over(W.partitionBy(F.lit(0)).orderBy("session")) - 1).alias("r")).agg(F.avg("r").alias("mfx"))
+    return fit.crossJoin(F.broadcast(r)).select("ticker", (((1 + F.col("expected") / periods) / (1 + F.col("mfx")) - 1) * periods).alias("mu"))
+
+
+def factor_portfolio(prices: DataFrame, factors: DataFrame, rf: float = 0.0, cap: float = 1.0, names: tuple[str, ...] = ("mkt_rf", "smb", "hml")) -> DataFrame:
+    """Maximum-Sharpe weights of factor-model means under the factor-implied covariance."""
+    from quantloom.operators.construct import optimise
+
+    fit = multi_factor(factor_sample(prices, factors), names)
+    mu = fit.where("status = 'ok'").select("ticker", F.col("expected").alias("mu"))
+    return optimise(mu, factor_covariance(fit, factors, names), models=("Maximum Sharpe",), rf=rf, cap=cap)

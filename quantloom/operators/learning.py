@@ -31,26 +31,32 @@ def split(rows: DataFrame, test: int, horizon: int) -> DataFrame:
     return rows.join(back.select("session", part.alias("part")), "session")
 
 
-def pipeline(model: str):
+def usable(rows: DataFrame) -> tuple[str, ...]:
+    """Features that have values at all."""
+    n = rows.agg(*(F.count(c).alias(c) for c in FEATURES)).first()  # one row
+    return tuple(c for c in FEATURES if n[c])
+
+
+def pipeline(model: str, names: tuple[str, ...] = FEATURES):
     """Median imputation and a regressor of pyspark.ml: ElasticNet, RandomForest or GradientBoosting."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    cols = [f"{c}_f" for c in FEATURES]
+    cols = [f"{c}_f" for c in names]
     how = dict(featuresCol="x", labelCol="target", predictionCol="forecast")
     reg = {
         "ElasticNet": LinearRegression(regParam=0.003, elasticNetParam=0.25, **how),
         "RandomForest": RandomForestRegressor(numTrees=120, maxDepth=5, minInstancesPerNode=12, featureSubsetStrategy="all", seed=42, **how),
         "GradientBoosting": GBTRegressor(maxIter=60, maxDepth=3, stepSize=0.05, seed=42, **how),
     }[model]
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=list(FEATURES), outputCols=cols, relativeError=0.0), VectorAssembler(inputCols=cols, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), reg])
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=list(names), outputCols=cols, relativeError=0.0), VectorAssembler(inputCols=cols, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), reg])
 
 
 def forecast(rows: DataFrame, model: str = "ElasticNet") -> DataFrame:
     """(ticker, session, target, forecast) of the test part, learnt on the train part."""
     train = rows.where("part = 'train' and target is not null")
-    fitted = pipeline(model).fit(train)
+    fitted = pipeline(model, usable(train)).fit(train)
     return fitted.transform(rows.where("part = 'test'")).select("ticker", "session", "target", "forecast")
 
 
@@ -79,21 +85,61 @@ def hybrid(base: DataFrame, learned: DataFrame, a: float) -> DataFrame:
     return base.select("ticker", F.col("mu").alias("x")).join(learned.select("ticker", F.col("mu").alias("y")), "ticker").select("ticker", ((1 - a) * F.col("x") + a * F.col("y")).alias("mu"))
 
 
-def walk_forward(forecasts: DataFrame, prices: DataFrame, rebalance: int = 21, top: int = 3, fee_bps: float = 10.0, capital: float = 10_000.0) -> DataFrame:
-    """(session, nav, turnover): every `rebalance` sessions equal parts of the `top` names by forecast, fees on turnover, weights drift between."""
+def fit_forecasts(rows: DataFrame, as_of, model: str = "ElasticNet", horizon: int = 21, validation: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Forecasts (ticker, horizon_return, mu) at `as_of`, and the accuracy of a model that learnt on the purged early part.
+
+    Only labels that end by `as_of` are used: sessions at least `horizon` rows before it. The last part of
+    them validates; the sessions whose labels reach into it are left out of training. The forecasts come from a
+    refit on all labels.
+    """
+    days = rows.where(F.col("session") <= F.lit(as_of)).select("session").distinct()
+    d = days.withColumn("back", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("session"))) - 1)  # one row a session
+    known = rows.join(d, "session").where((F.col("back") >= horizon) & F.col("target").isNotNull())
+    n = known.agg(F.countDistinct("session").alias("n")).first()["n"]
+    cut = horizon + int(n - max(1, int(n * (1 - validation)))) - 1  # greatest `back` of the validation part
+    train, val = known.where(F.col("back") >= cut + horizon), known.where(F.col("back") <= cut)
+    quality = accuracy(pipeline(model, usable(train)).fit(train).transform(val).select("session", "target", "forecast"))
+    now = rows.where(F.col("session") == F.lit(as_of)).drop("target")
+    f = pipeline(model, usable(known)).fit(known).transform(now).select("ticker", F.col("forecast").alias("horizon_return"))
+    return f.withColumn("mu", annualised("horizon_return", horizon)), quality
+
+
+def drifting_equity(weights: DataFrame, prices: DataFrame, fee_bps: float = 10.0) -> DataFrame:
+    """(strategy, session, nav): equity from 1, weights drift between rebalances, a fee on the sum of absolute trades at each."""
+    from quantloom.operators import backtest as B
+
+    first = weights.where("w > 0").groupBy("strategy").agg(F.min("t").alias("t")).withColumn("traded", F.lit(1.0))
+    later = B.drift_turnover(weights, prices).select("strategy", "t", (F.col("turnover") * 2).alias("traded"))
+    at = first.unionByName(later).join(B.sessions(prices), F.col("t") == F.col("no")).select("strategy", "session", "traded")
+    rows = B.gross_nav(weights, prices, 1.0).join(at, ["strategy", "session"], "left")
+    keep = F.product(1 - F.coalesce("traded", F.lit(0.0)) * fee_bps / 1e4).over(W.partitionBy("strategy").orderBy("session").rowsBetween(W.unboundedPreceding, 0))
+    return rows.select("strategy", "session", (F.col("nav") * keep).alias("nav"))
+
+
+def walk_forward(prices: DataFrame, market: DataFrame, horizon: int = 21, rebalance: int = 63, test: int = 252, model: str = "ElasticNet", rf: float = 0.0, cap: float = 0.4, fee_bps: float = 10.0) -> DataFrame:
+    """Retrained at every rebalance of the last `test` sessions; maximum-Sharpe weights of the forecasts under a shrunk
+    covariance of the past; equity net of fees. The driver loops over the few rebalances only."""
     from quantloom.operators import backtest as B
+    from quantloom.operators import construct as C
+    from quantloom.operators import returns as R
 
-    days = forecasts.select("session").distinct().withColumn("i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("session")) - 1)
-    at = days.where(F.col("i") % rebalance == 0).select("session")
-    rank = F.row_number().over(W.partitionBy("session").orderBy(F.desc("forecast"), "ticker"))
-    pick = forecasts.join(at, "session", "left_semi").withColumn("r", rank).where(F.col("r") <= top)
     numbered = B.sessions(prices)
-    w = pick.join(numbered, "session").select(F.lit("ML").alias("strategy"), F.col("no").alias("t"), "ticker", (F.lit(1.0) / F.count(F.lit(1)).over(W.partitionBy("session"))).alias("w"))
-    nxt = w.select("t").distinct().withColumn("until", F.lead("t").over(W.partitionBy(F.lit(0)).orderBy("t")))
-    end = numbered.agg(F.max("no").alias("end"))
-    w = w.join(nxt, "t").crossJoin(F.broadcast(end)).select("strategy", "t", "ticker", "w", F.coalesce("until", "end").alias("until")).where("t < until")
-    turn = B.turnover(w).join(numbered, F.col("t") == F.col("no")).select("session", "turnover")
-    gross = B.gross_nav(w, prices, capital)
-    rows = gross.join(turn, "session", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
-    keep = F.product(1 - F.col("turnover") * fee_bps / 1e4).over(W.partitionBy("strategy").orderBy("session").rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("session", (F.col("nav") * keep).alias("nav"), "turnover")
+    days = {r["no"]: r["session"] for r in numbered.collect()}  # one row a session
+    n, out = len(days), None
+    rows = features(prices, market, horizon)
+    for t in range(n - test - 1, n - 1, rebalance):
+        mu, _ = fit_forecasts(rows, days[t], model, horizon)
+        cov = R.shrunk_covariance(R.simple_returns(prices.where(F.col("session") <= F.lit(days[t]))))
+        w = C.optimise(mu.select("ticker", "mu"), cov.select("ticker_i", "ticker_j", "value"), models=("Maximum Sharpe",), rf=rf, cap=cap)
+        w = w.where("status = 'ok'").select(F.lit(model).alias("strategy"), F.lit(t).alias("t"), F.lit(min(t + rebalance, n - 1)).alias("until"), "ticker", "w")
+        out = w if out is None else out.unionByName(w)
+    return drifting_equity(out, prices, fee_bps)
+
+
+def comparison_metrics(equity: DataFrame, rf: float = 0.0) -> DataFrame:
+    """Per strategy: total return from 1, CAGR by returns over 252, volatility, Sharpe, drawdown from the running peak."""
+    by = W.partitionBy("strategy").orderBy("session")
+    r = equity.select("strategy", "session", "nav", (F.col("nav") / F.lag("nav").over(by) - 1).alias("ret"), (F.col("nav") / F.max("nav").over(by.rowsBetween(W.unboundedPreceding, 0)) - 1).alias("dd"))
+    g = r.groupBy("strategy").agg(F.max_by("nav", "session").alias("v"), F.count("ret").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.min("dd").alias("max_drawdown")).where("n > 0")
+    vol = F.col("s") * 252**0.5
+    return g.select("strategy", (F.col("v") - 1).alias("total_return"), (F.pow("v", F.lit(252.0) / F.col("n")) - 1).alias("cagr"), vol.alias("volatility"), ((F.col("m") * 252 - rf) / F.nullif(vol, F.lit(0.0))).alias("sharpe"), "max_drawdown")

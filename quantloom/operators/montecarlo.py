@@ -30,7 +30,7 @@ def _draw(seed: int, *what) -> Column:
     return F.xxhash64(F.lit(seed), *what)
 
 
-def draws(history: DataFrame, paths: int, days: int, block: int, seed: int = 42, source: DataFrame | None = None) -> DataFrame:
+def draws(history: DataFrame, paths: int, days: int, block: int, seed: int = 42) -> DataFrame:
     """(path, day, k): which history row each simulated day repeats. block 1: independent days. Blocks start only
     where all their rows are consecutive; the last block of a path is cut."""
     ks = history.select("k").distinct()
@@ -48,14 +48,14 @@ def draws(history: DataFrame, paths: int, days: int, block: int, seed: int = 42,
 
 
 def simulate(history: DataFrame, paths: int = 1000, days: int = YEAR, block: int = 5, capital: float = 10_000.0, drift: float = 0.0, seed: int = 42, entry: DataFrame | None = None) -> DataFrame:
-    """(path, day, strategy, value): running products of drawn returns plus drift / 252 a day; `entry` (strategy,
+    """(path, day, strategy, ret, value): running products of drawn returns plus drift / 252 a day; `entry` (strategy,
     multiplier) applies once, from the first day."""
     rows = draws(history, paths, days, block, seed).join(F.broadcast(history.select("k", "strategy", "ret")), "k")  # history: one row a session and strategy
     by = W.partitionBy("path", "strategy").orderBy("day")
     value = F.product(1 + F.col("ret") + drift / YEAR).over(by.rowsBetween(W.unboundedPreceding, 0)) * capital
-    out = rows.select("path", "day", "strategy", value.alias("value"))
+    out = rows.select("path", "day", "strategy", (F.col("ret") + drift / YEAR).alias("ret"), value.alias("value"))
     if entry is not None:
-        out = out.join(F.broadcast(entry), "strategy").select("path", "day", "strategy", (F.col("value") * F.col("multiplier")).alias("value"))
+        out = out.join(F.broadcast(entry), "strategy").select("path", "day", "strategy", "ret", (F.col("value") * F.col("multiplier")).alias("value"))
     return out
 
 
@@ -76,10 +76,11 @@ def simulate_gaussian(history: DataFrame, paths: int = 1000, days: int = YEAR, c
         for f in frames:
             for p in f["id"]:
                 z = np.random.default_rng([seed, int(p)]).standard_normal((days, len(names)))
-                v = np.cumprod(1 + mean + drift / YEAR + z @ root.T, axis=0) * capital
-                yield pd.DataFrame({"path": p, "day": np.repeat(np.arange(1, days + 1), len(names)), "strategy": names * days, "value": v.ravel()})
+                r = mean + drift / YEAR + z @ root.T
+                v = np.cumprod(1 + r, axis=0) * capital
+                yield pd.DataFrame({"path": p, "day": np.repeat(np.arange(1, days + 1), len(names)), "strategy": names * days, "ret": r.ravel(), "value": v.ravel()})
 
-    return history.sparkSession.range(paths).mapInPandas(run, "path long, day int, strategy string, value double")
+    return history.sparkSession.range(paths).mapInPandas(run, "path long, day int, strategy string, ret double, value double")
 
 
 def tail_mean(pnl: DataFrame, mass: float) -> DataFrame:
@@ -90,18 +91,46 @@ def tail_mean(pnl: DataFrame, mass: float) -> DataFrame:
     return rows.groupBy("strategy").agg((F.sum(F.col("pnl") * w) / F.sum(w)).alias("tail_mean"))
 
 
-def metrics(paths: DataFrame, capital: float, days: int, tail: float = 0.05) -> DataFrame:
-    """Per strategy: mean, median, P5 and P95 of final values, chance of loss, VaR and ES of the profit, chance of a
-    drawdown of 20% or more."""
+def metrics(paths: DataFrame, capital: float, tail: float = 0.05) -> DataFrame:
+    """Per strategy: final values, chance of loss, VaR and ES of the profit (no less than 0), daily VaR and ES of the drawn
+    returns in money, chance in percent of a drawdown of 20% or more."""
     by = W.partitionBy("path", "strategy").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-    dd = paths.select("path", "strategy", "day", "value", (F.col("value") / F.greatest(F.max("value").over(by), F.lit(capital)) - 1).alias("dd"))
+    dd = paths.withColumn("dd", F.col("value") / F.greatest(F.max("value").over(by), F.lit(capital)) - 1)
     one = dd.groupBy("path", "strategy").agg(F.max_by("value", "day").alias("final"), F.min("dd").alias("mdd"))
-    q = lambda p: F.expr(f"percentile(final, {p})")
-    g = one.groupBy("strategy").agg(F.avg("final").alias("mean"), q(0.5).alias("median"), q(0.05).alias("p5"), q(0.95).alias("p95"), F.avg((F.col("final") < capital).cast("double")).alias("p_loss"), F.avg((F.col("mdd") <= -0.2).cast("double")).alias("p_drawdown20"), (capital - q(tail)).alias("var"))
-    es = tail_mean(one.select("strategy", (F.col("final") - capital).alias("pnl")), tail)
-    return g.join(es, "strategy").select(*g.columns, (-F.col("tail_mean")).alias("es"))
+    q = lambda c, p: F.expr(f"percentile({c}, {p})")
+    g = one.groupBy("strategy").agg(
+        F.avg("final").alias("mean"), q("final", 0.5).alias("median"), q("final", 0.05).alias("p5"), q("final", 0.95).alias("p95"), (F.avg((F.col("final") < capital).cast("double")) * 100).alias("p_loss"),
+        (F.avg((F.col("mdd") <= -0.2).cast("double")) * 100).alias("p_drawdown20"), F.greatest(F.lit(0.0), capital - q("final", tail)).alias("var"),
+    )
+    zero = lambda c: F.greatest(F.lit(0.0), -F.col(c))
+    es = tail_mean(one.select("strategy", (F.col("final") - capital).alias("pnl")), tail).select("strategy", zero("tail_mean").alias("es"))
+    # drawn returns repeat those of the history: they are counted before they are ordered
+    drawn = paths.groupBy("strategy", "ret").agg(F.count(F.lit(1)).alias("c"))
+    w = W.partitionBy("strategy").orderBy("ret")
+    drawn = drawn.select("strategy", "ret", "c", (F.sum("c").over(w) - F.col("c")).alias("below"), (F.sum("c").over(W.partitionBy("strategy")) * tail).alias("m"))
+    part = F.greatest(F.lit(0.0), F.least(F.col("c").cast("double"), F.col("m") - F.col("below")))
+    day = drawn.groupBy("strategy").agg(F.expr(f"percentile(ret, {tail}, c)").alias("q"), (F.sum(F.col("ret") * part) / F.sum(part)).alias("t"))
+    return g.join(es, "strategy").join(day, "strategy").select(*g.columns, "es", (zero("q") * capital).alias("daily_var"), (zero("t") * capital).alias("daily_es"))
 
 
 def fan(paths: DataFrame) -> DataFrame:
     """(strategy, day, p5, p25, p50, p75, p95)."""
     return paths.groupBy("strategy", "day").agg(*(F.expr(f"percentile(value, {p / 100})").alias(f"p{p}") for p in (5, 25, 50, 75, 95)))
+
+
+def entry_multipliers(curves: DataFrame, capital: float) -> DataFrame:
+    """(strategy, multiplier): first value over the capital, 1 at most: costs of entry, applied once."""
+    return curves.groupBy("strategy").agg(F.least(F.lit(1.0), F.min_by("nav", "session") / capital).alias("multiplier"))
+
+
+def sensitivity(history: DataFrame, paths: int, days: int, capital: float, blocks: tuple[int, ...] = (1, 5, 10), seed: int = 42) -> DataFrame:
+    """(sample, block, strategy, median, p5): medians over the whole history and its halves, for several block lengths."""
+    mid = history.agg(F.expr("percentile(k, 0.5)").alias("mid")).first()["mid"]  # one row
+    out = None
+    for sample, part in (("all", history), ("first half", history.where(F.col("k") <= mid)), ("second half", history.where(F.col("k") > mid))):
+        for b in blocks:
+            end = simulate(part, paths, days, b, capital, seed=seed).where(F.col("day") == days)
+            rows = end.groupBy("strategy").agg(F.expr("percentile(value, 0.5)").alias("median"), F.expr("percentile(value, 0.05)").alias("p5"))
+            rows = rows.select(F.lit(sample).alias("sample"), F.lit(b).alias("block"), "strategy", "median", "p5")
+            out = rows if out is None else out.unionByName(rows)
+    return out

@@ -108,7 +108,7 @@ def score(signals: DataFrame, active: tuple[str, ...] = FACTORS, min_components:
     ok = F.col("quant_score").isNotNull()
     order = W.partitionBy(*by, ok).orderBy(F.round("quant_score", 9).desc_nulls_last(), F.round("momentum_score", 9).desc_nulls_last(), F.round("risk_score", 9).desc_nulls_last(), "ticker")
     out = out.withColumn("rank", F.when(ok, F.row_number().over(order)))
-    return out.withColumns({"selected": F.coalesce(F.col("rank") <= top_n, F.lit(False)), "status": F.when(ok, "Eligible").otherwise("Excluded: insufficient scoring data")})
+    return out.withColumns({"selected": F.coalesce(F.col("rank") <= top_n, F.lit(False)), "status": F.when(ok & (F.col("rank") <= top_n), "Selected").when(ok, "Candidate").otherwise("Excluded"), "reason": F.when(~ok, "Insufficient scoring data")})
 
 
 def screen(universe: DataFrame, prices: DataFrame, fundamentals: DataFrame | None = None, min_prices: int = 80, **how) -> DataFrame:
@@ -119,7 +119,7 @@ def screen(universe: DataFrame, prices: DataFrame, fundamentals: DataFrame | Non
         known = known.join(fundamentals, "ticker", "left")
     enough = F.coalesce(F.col("n") >= min_prices, F.lit(False))
     scored = score(known.where(enough), **how)
-    rest = known.where(~enough).select(*known.columns, F.when(F.col("n").isNull(), "Excluded: no prices").otherwise("Excluded: too few prices").alias("status"))
+    rest = known.where(~enough).select(*known.columns, F.lit("Excluded").alias("status"), F.when(F.col("n").isNull(), "No prices").otherwise("Too few prices").alias("reason"))
     both = scored.unionByName(rest, allowMissingColumns=True).withColumn("selected", F.coalesce("selected", F.lit(False)))
     return both.orderBy(F.coalesce("rank", F.lit(10**9)), "name", "ticker")
 

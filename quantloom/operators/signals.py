@@ -29,7 +29,7 @@ def ema(values: DataFrame, column: str, alpha: float, into: str, min_rows: int =
 
 
 def indicators(prices: DataFrame) -> DataFrame:
-    """Moving averages, momentum, RSI, z-score, Bollinger bands, distance to SMA200 and drawdown; null until a window is full."""
+    """Moving averages, momentum, RSI, z-score, Bollinger bands, distance to the 20-session mean and drawdown; null until a window is full."""
     by = W.partitionBy("ticker").orderBy("session")
     p = F.col("close")
     out = prices.select("ticker", "session", "close")
@@ -37,44 +37,48 @@ def indicators(prices: DataFrame) -> DataFrame:
     out = out.withColumns({f"momentum{n}": p / F.lag("close", n).over(by) - 1 for n in (21, 63, 126, 252)})
     sd = _full(20, F.stddev_pop("close").over(_roll(20)))
     out = out.withColumn("_sd", sd).withColumns({"zscore": (p - F.col("sma20")) / F.nullif(F.col("_sd"), F.lit(0.0)), "bollinger_up": F.col("sma20") + 2 * F.col("_sd"), "bollinger_down": F.col("sma20") - 2 * F.col("_sd")})
-    out = out.withColumns({"distance200": p / F.col("sma200") - 1, "drawdown": p / F.max("close").over(by.rowsBetween(W.unboundedPreceding, 0)) - 1}).drop("_sd")
+    out = out.withColumns({"distance": p / F.col("sma20") - 1, "drawdown": p / F.max("close").over(by.rowsBetween(W.unboundedPreceding, 0)) - 1}).drop("_sd")
     d = p - F.lag("close").over(by)
     out = out.withColumns({"_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0))})
     out = out.withColumns({"_up": F.when(F.lag("close").over(by).isNotNull(), F.col("_up")), "_down": F.when(F.lag("close").over(by).isNotNull(), F.col("_down"))})
     out = ema(out, "close", 2 / 21, "ema20", 20)
     out = ema(ema(out, "_up", 1 / 14, "_au", 14, 1), "_down", 1 / 14, "_ad", 14, 1)
-    rsi = F.when((F.col("_au") == 0) & (F.col("_ad") == 0), 50.0).when(F.col("_ad") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_au") / F.nullif(F.col("_ad"), F.lit(0.0))))
+    both = F.col("_au") + F.col("_ad")
+    rsi = F.when(both == 0, 50.0).otherwise(100 * F.col("_au") / F.nullif(both, F.lit(0.0)))
     return out.withColumn("rsi14", rsi).drop("_up", "_down", "_au", "_ad")
 
 
-def trend_signal(ind: DataFrame) -> DataFrame:
-    """(ticker, session, signal): what five sessions and the averages say about a held position."""
-    by = W.partitionBy("ticker").orderBy("session")
-    below = F.col("close") < F.col("sma200")
-    rows = ind.withColumn("below", below).withColumn("persist", F.min("below").over(by.rowsBetween(-4, 0)) & (F.count("below").over(by.rowsBetween(-4, 0)) == 5))
+def trend_signal(ind: DataFrame, z_threshold: float = 2.0, reduce_at: float = -0.15, exit_at: float = -0.25) -> DataFrame:
+    """(ticker, session, signal): weak is below SMA200 with falling 63-session momentum; weak for five sessions below SMA200 and
+    deep in drawdown asks to reduce or exit."""
+    five = W.partitionBy("ticker").orderBy("session").rowsBetween(-4, 0)
+    below = F.coalesce(F.col("close") < F.col("sma200"), F.lit(False))
+    rows = ind.withColumn("below", below).withColumn("persist", F.min("below").over(five) & (F.count(F.lit(1)).over(five) == 5))
+    weak = F.col("below") & (F.col("momentum63") < 0)
+    dd = F.col("drawdown")
     signal = (
-        F.when(F.col("sma200").isNull(), "INSUFFICIENT DATA")
-        .when(F.col("persist") & (F.col("sma50") < F.col("sma200")) & (F.col("momentum126") < 0), "EXIT CANDIDATE")
-        .when(F.col("below") & (F.col("momentum63") < 0), "REDUCE")
-        .when(F.col("below") | (F.col("close") < F.col("sma50")), "WATCH")
+        F.when(F.col("close").isNull() | F.col("sma200").isNull() | F.col("momentum63").isNull() | dd.isNull(), "INSUFFICIENT DATA")
+        .when(weak & F.col("persist") & (dd <= exit_at), "EXIT CANDIDATE")
+        .when(weak & F.col("persist") & (dd <= reduce_at), "REDUCE CANDIDATE")
+        .when(F.col("below") | (F.abs("zscore") >= z_threshold), "WATCH")
         .otherwise("MAINTAIN")
     )
     return rows.select("ticker", "session", signal.alias("signal"))
 
 
 def entry_exit(ind: DataFrame) -> DataFrame:
-    """(ticker, session, entry, exit, cross): favourable or not to enter, what to do if held, crossings of the averages."""
+    """(ticker, session, entry, exit, cross): conditions to enter, what to consider if held, crossings of SMA50 and SMA200."""
     by = W.partitionBy("ticker").orderBy("session")
-    up = (F.col("close") > F.col("sma200")) & (F.col("sma50") > F.col("sma200")) & (F.col("momentum126") > 0)
-    down = (F.col("close") < F.col("sma200")) & (F.col("momentum126") < 0)
+    bullish = (F.col("close") > F.col("sma50")) & (F.col("sma50") > F.col("sma200"))
+    bearish = (F.col("close") < F.col("sma50")) & (F.col("sma50") < F.col("sma200"))
+    m = F.col("momentum63")
+    unknown = F.col("sma50").isNull() | F.col("sma200").isNull() | m.isNull()
     s = F.col("sma50") - F.col("sma200")
     s0 = F.lag(s).over(by)
-    cross = F.when((s0 <= 0) & (s > 0), "golden").when((s0 >= 0) & (s < 0), "death")
-    known = F.col("sma200").isNotNull() & F.col("momentum126").isNotNull()
-    return ind.select(
-        "ticker", "session", F.when(~known, "Insufficient").when(up, "Favorable").when(down, "Unfavorable").otherwise("Mixed").alias("entry"),
-        F.when(~known, "Insufficient").when(down & (F.col("sma50") < F.col("sma200")), "Exit").when(F.col("close") < F.col("sma200"), "Reduction").otherwise("Hold").alias("exit"), cross.alias("cross"),
-    )
+    cross = F.when((s0 <= 0) & (s > 0), "Crossed above").when((s0 >= 0) & (s < 0), "Crossed below").when(s > 0, "Above").when(s < 0, "Below").when(s == 0, "At level")
+    entry = F.when(unknown, "Insufficient Data").when(bullish & (m > 0), "Favorable Trend Conditions").when(bearish & (m < 0), "Unfavorable Trend Conditions").otherwise("Mixed Signals")
+    out = F.when(unknown, "Insufficient Data").when(bearish & (m < 0), F.when(F.col("momentum126") < 0, "Evaluate Exit").otherwise("Evaluate Reduction")).otherwise("Hold")
+    return ind.select("ticker", "session", entry.alias("entry"), out.alias("exit"), cross.alias("cross"))
 
 
 def paper_orders(weights: DataFrame, prices: DataFrame, capital: float, fee: float = 0.0, whole: bool = True) -> DataFrame:
@@ -85,27 +89,27 @@ def paper_orders(weights: DataFrame, prices: DataFrame, capital: float, fee: flo
 
 
 def monitor(quotes: DataFrame, orders: DataFrame, cash: float = 0.0) -> DataFrame:
-    """(session, nav, ret, equity, drawdown): value of bought units with later splits and dividends.
+    """(session, nav, ret, equity, drawdown): value of bought units and later dividends on split-adjusted quotes.
 
-    Quotes have ticker, session, close, dividend, split (1: none); orders have ticker, quantity, price, fee,
-    date. nav is null on a session on which a held mark is missing. A return is net of that session's money in.
+    Quotes have ticker, session, close, dividend, split (0 or 1: none), in units after all splits; orders
+    have ticker, quantity, price, fee, date. Units are the quantity times every split after the purchase;
+    dividends count strictly after it. nav is null on a session on which a held ticker has no mark. A return
+    is net of that session's money in; the first is over the money in.
     """
-    o = orders.withColumn("order_no", F.monotonically_increasing_id())
-    held = o.join(quotes, "ticker").where(F.col("session") >= F.col("date"))
-    by = W.partitionBy("order_no").orderBy("session").rowsBetween(W.unboundedPreceding, 0)
+    o = orders.withColumn("_o", F.monotonically_increasing_id())
+    split = F.coalesce(F.nullif(F.col("split"), F.lit(0.0)), F.lit(1.0))
     later = F.col("session") > F.col("date")
-    units = F.col("quantity") * F.product(F.when(later, F.coalesce(F.nullif(F.col("split"), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)).over(by)
-    paid = F.when(later, F.coalesce("dividend", F.lit(0.0)) * units).otherwise(0.0)
-    held = held.select("session", "order_no", "close", units.alias("units"), F.sum(paid).over(by).alias("dividends"), F.when(F.col("session") == F.col("date"), F.col("quantity") * F.col("price") + F.col("fee")).otherwise(0.0).alias("flow"))
-    day = held.groupBy("session").agg(F.sum(F.col("close") * F.col("units")).alias("v"), F.count("close").alias("marks"), F.count(F.lit(1)).alias("orders"), F.sum("dividends").alias("dividends"), F.sum("flow").alias("flow"))
+    both = o.join(quotes, "ticker").withColumn("units", F.col("quantity") * F.product(F.when(later, split).otherwise(1.0)).over(W.partitionBy("_o")))
+    held = both.where(F.col("session") >= F.col("date")).withColumn("_first", F.min("session").over(W.partitionBy("_o")))
+    cost = F.when(F.col("session") == F.col("_first"), F.col("quantity") * F.col("price") + F.col("fee")).otherwise(0.0)
+    paid = F.when(later, F.coalesce("dividend", F.lit(0.0)) * F.col("units")).otherwise(0.0)
+    day = held.groupBy("session").agg(F.sum(F.col("close") * F.col("units")).alias("v"), F.count("close").alias("marks"), F.count(F.lit(1)).alias("held"), F.sum(paid).alias("paid"), F.sum(cost).alias("flow"))
     w = W.partitionBy(F.lit(0)).orderBy("session")  # one row a session
-    nav = F.when(F.col("marks") == F.col("orders"), F.col("v") + F.col("dividends") + cash)
-    day = day.select("session", nav.alias("nav"), F.col("flow"), F.row_number().over(w).alias("k"))
-    before = F.lag("nav").over(w)
-    ret = F.when(F.col("k") == 1, F.col("nav") / (F.col("flow") + cash) - 1).otherwise((F.col("nav") - F.col("flow")) / before - 1)
-    day = day.withColumn("ret", ret)
     run = w.rowsBetween(W.unboundedPreceding, 0)
-    day = day.withColumn("equity", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(run))
+    nav = F.when(F.col("marks") == F.col("held"), F.col("v") + F.sum("paid").over(run) + cash)
+    day = day.withColumn("k", F.row_number().over(w)).select("session", nav.alias("nav"), (F.col("flow") + F.when(F.col("k") == 1, cash).otherwise(0.0)).alias("flow"), "k")
+    ret = F.when(F.col("k") == 1, F.col("nav") / F.nullif(F.col("flow"), F.lit(0.0)) - 1).otherwise((F.col("nav") - F.col("flow")) / F.nullif(F.lag("nav").over(w), F.lit(0.0)) - 1)
+    day = day.withColumn("ret", ret).withColumn("equity", F.when(F.col("ret").isNotNull(), F.product(1 + F.coalesce("ret", F.lit(0.0))).over(run)))
     return day.select("session", "nav", "ret", "equity", (F.col("equity") / F.greatest(F.max("equity").over(run), F.lit(1.0)) - 1).alias("drawdown"))
 
 
@@ -123,7 +127,7 @@ def coverage_tests(hits: DataFrame, confidence: float) -> DataFrame:
     p01, p11 = n01 / F.nullif(n00 + n01, F.lit(0.0)), n11 / F.nullif(n10 + n11, F.lit(0.0))
     p = (n01 + n11) / F.nullif(n00 + n01 + n10 + n11, F.lit(0.0))
     ind = -2 * (xlog(n00 + n10, 1 - p) + xlog(n01 + n11, p) - xlog(n00, 1 - p01) - xlog(n01, p01) - xlog(n10, 1 - p11) - xlog(n11, p11))
-    ok = (n * a >= 5) & (x > 0) & (x < n)
+    ok = (n * a >= 5) & (x > 0) & (x < n) & (n00 + n01 > 0) & (n10 + n11 > 0)
     return g.select("name", n.cast("long").alias("n"), x.cast("long").alias("hits"), F.when(ok, chi2_1_tail(uc)).alias("kupiec_p"), F.when(ok, chi2_1_tail(ind)).alias("christoffersen_p"))
 
 
@@ -160,3 +164,12 @@ def positions(orders: DataFrame, last: DataFrame) -> DataFrame:
     v = F.col("quantity") * F.col("price")
     rows = g.select("ticker", "quantity", "cost_basis", v.alias("value"), (v - F.col("cost_basis")).alias("profit"))
     return rows.withColumn("weight", F.col("value") / F.nullif(F.sum("value").over(W.partitionBy(F.lit(0))), F.lit(0.0)))
+
+
+def warm_up(proxy: DataFrame, live: DataFrame) -> DataFrame:
+    """(ticker, session, index, live): a live index continued backwards by a proxy's returns, for indicators that need history."""
+    first = live.groupBy("ticker").agg(F.min("session").alias("_s"), F.min_by("index", "session").alias("_v"))
+    past = proxy.join(first, "ticker").where(F.col("session") <= F.col("_s"))
+    end = F.last("close").over(W.partitionBy("ticker").orderBy("session").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    past = past.where(F.col("session") <= F.col("_s")).select("ticker", "session", (F.col("close") / end * F.col("_v")).alias("index"), F.lit(False).alias("live"), "_s").where("session < _s").drop("_s")
+    return past.unionByName(live.select("ticker", "session", "index", F.lit(True).alias("live")))

@@ -37,24 +37,25 @@ def rolling_volatility(returns: DataFrame, window: int = 63, periods: int = YEAR
 
 
 def summary(prices: DataFrame, window: int = 63, lam: float = 0.94) -> DataFrame:
-    """Per ticker: last rolling and EWMA volatility in percent, percentile of the last rolling value, regime."""
+    """Per ticker: last rolling and EWMA volatility in percent, the EWMA forecast, percentile of the last rolling value, regime."""
     r = log_returns(prices)
     roll = rolling_volatility(r, window).where("vol is not null")
     last = roll.groupBy("ticker").agg(F.max_by("vol", "session").alias("last"))
     pct = roll.join(last, "ticker").groupBy("ticker").agg((F.avg((F.round("vol", 12) <= F.round("last", 12)).cast("double")) * 100).alias("percentile"), (F.max("last") * 100).alias("rolling_pct"))
     v = ewma_variance(r, lam)
-    nxt = v.groupBy("ticker").agg(F.max_by(F.col("variance") * lam + F.col("ret") * F.col("ret") * (1 - lam), "session").alias("v"))
-    out = pct.join(nxt.select("ticker", (F.sqrt(F.col("v") * YEAR) * 100).alias("ewma_pct")), "ticker")
+    after = F.col("variance") * lam + F.col("ret") * F.col("ret") * (1 - lam)
+    pc = lambda c: F.sqrt(F.max_by(c, "session") * YEAR) * 100
+    out = pct.join(v.groupBy("ticker").agg(pc(F.col("variance")).alias("ewma_pct"), pc(after).alias("ewma_forecast_pct")), "ticker")
     return out.withColumn("regime", F.when(F.col("percentile") >= 75, "High").when(F.col("percentile") <= 25, "Low").otherwise("Normal"))
 
 
-def validation(returns: DataFrame, train: int = 252, horizon: int = 21, stride: int = 21, lam: float = 0.94) -> DataFrame:
+def validation(returns: DataFrame, train: int = 252, horizon: int = 21, stride: int = 21, window: int = 63, lam: float = 0.94) -> DataFrame:
     """(ticker, origin, model, forecast, realised): rolling origins train, train + stride, ...; realised is the mean
-    squared return of the next `horizon` rows; models Rolling (variance of the rows before) and EWMA (one step)."""
+    squared return of the next `horizon` rows; models Rolling (variance of the `window` rows before) and EWMA (one step)."""
     v = ewma_variance(returns, lam)
     by = W.partitionBy("ticker").orderBy("k")
     rows = v.select(
-        "ticker", F.col("k").alias("origin"), F.var_samp("ret").over(by.rowsBetween(-train, -1)).alias("Rolling"), F.col("variance").alias("EWMA"),
+        "ticker", F.col("k").alias("origin"), F.var_samp("ret").over(by.rowsBetween(-window, -1)).alias("Rolling"), F.col("variance").alias("EWMA"),
         F.avg(F.col("ret") * F.col("ret")).over(by.rowsBetween(0, horizon - 1)).alias("realised"), F.count(F.lit(1)).over(W.partitionBy("ticker")).alias("n"),
     )
     rows = rows.where((F.col("origin") >= train) & (F.col("origin") <= F.col("n") - horizon) & ((F.col("origin") - train) % stride == 0))
@@ -63,24 +64,24 @@ def validation(returns: DataFrame, train: int = 252, horizon: int = 21, stride:
 
 def loss(validated: DataFrame, eps: float = 1e-12) -> DataFrame:
     """(ticker, model, qlike, mse, n) of models that forecast at every origin, best QLIKE first."""
-    f, rv = F.greatest("forecast", F.lit(eps)), F.greatest("realised", F.lit(eps))
-    g = validated.groupBy("ticker", "model").agg(F.avg(F.log(f) + rv / f).alias("qlike"), F.avg(F.pow(f - rv, 2)).alias("mse"), F.count("forecast").alias("n"), F.count(F.lit(1)).alias("all"))
+    f, rv = F.greatest("forecast", F.lit(eps)), F.col("realised")
+    g = validated.groupBy("ticker", "model").agg(F.avg(F.log(f) + rv / f).alias("qlike"), F.avg(F.pow(F.col("forecast") - rv, 2)).alias("mse"), F.count("forecast").alias("n"), F.count(F.lit(1)).alias("all"))
     return g.where("n = all").select("ticker", "model", "qlike", "mse", "n").orderBy("ticker", "qlike", "model")
 
 
-def alert(vol_pct: Column, target_pct: Column, exposure_pct: Column) -> dict[str, Column]:
-    """Level of a forecast volatility, suggested exposure, and what to do about the gap."""
+def alert(vol_pct: Column, target_pct: Column, exposure_pct: Column, levels=(20.0, 25.0, 30.0), gaps=(5.0, 10.0)) -> dict[str, Column]:
+    """Level of a forecast volatility, suggested exposure, the gap in points, and what the gap asks for."""
     suggested = F.least(F.lit(100.0), 100 * target_pct / F.nullif(vol_pct, F.lit(0.0)))
-    gap = exposure_pct - suggested
-    level = F.when(vol_pct >= 30, "CRITICAL").when(vol_pct >= 25, "HIGH").when(vol_pct >= 20, "ELEVATED").otherwise("NORMAL")
-    action = F.when(gap >= 10, "REDUCE").when(gap >= 5, "REVIEW").when(gap <= -10, "ROOM TO ADD").otherwise("HOLD")
-    return {"level": level, "suggested_pct": suggested, "action": action}
+    gap = F.abs(exposure_pct - suggested)
+    level = F.when(vol_pct >= levels[2], "CRITICAL").when(vol_pct >= levels[1], "HIGH").when(vol_pct >= levels[0], "ELEVATED").otherwise("NORMAL")
+    action = F.when(gap >= gaps[1], "REBALANCE REVIEW").when(gap >= gaps[0], "MONITOR / REVIEW").otherwise("NO CHANGE INDICATED")
+    return {"level": level, "suggested_pct": suggested, "gap_pp": gap, "action": action}
 
 
-_FAMILIES = ("GARCH", "GJR", "EGARCH")
+_FAMILIES = ("GARCH(1,1)", "GJR-GARCH", "EGARCH")
 
 
-def fit_garch(r, family: str = "GARCH", steps: int = 1500):
+def fit_garch(r, family: str = "GARCH(1,1)", steps: int = 1500):
     """Zero-mean Student-t likelihood of percent returns by a simplex search: (omega, alpha, gamma, beta, nu), the
     variances of every row and of the next one, and the log likelihood; None below 150 rows or without a proper optimum."""
     import numpy as np
@@ -95,7 +96,7 @@ def fit_garch(r, family: str = "GARCH", steps: int = 1500):
         if family == "EGARCH":
             return x[0], x[1], x[2], np.tanh(x[3]), 2.05 + np.exp(x[4])
         e = np.exp(np.clip(x[:4], -30, 30))
-        return e[0], e[1], e[2] if family == "GJR" else 0.0, e[3], 2.05 + np.exp(x[4])
+        return e[0], e[1], e[2] if family == "GJR-GARCH" else 0.0, e[3], 2.05 + np.exp(x[4])
 
     def path(p):
         o, a, g, b, _ = p
@@ -191,37 +192,124 @@ def garch_forecast(returns: DataFrame, horizon: int = 21, families: tuple[str, .
     return rows.crossJoin(F.broadcast(names)).repartition("ticker", "model").mapInPandas(run, "ticker string, model string, vol double, status string")
 
 
-def exposure_overlay(nav: DataFrame, forecasts: DataFrame, target: float = 0.15, trade_band: float = 0.05, reentry_band: float = 0.10, rate: float = 0.001, minimum: float = 0.0, cash: float = 0.0, most: float = 1.0) -> DataFrame:
-    """(strategy, session, exposure, nav, cost, action): a curve held at target / forecast volatility.
+def exposure_overlay(
+    nav: DataFrame, forecasts: DataFrame, target_pct: float = 15.0, trade_band_pp: float = 10.0, review_band_pp: float = 5.0, reentry_band_pp: float | None = None,
+    update_every: int = 5, capital: float = 10_000.0, rate: float = 0.0005, minimum: float = 3.0, spread_bps: float = 5.0, slippage_bps: float = 5.0,
+    holdings: int = 20, cash_yield: float = 0.0,
+) -> DataFrame:
+    """(strategy, session, exposure, nav, cost, action, target_pct, gap_pp): a curve held at target over forecast volatility.
 
-    Decided at a session's close, in force from the next. Selling needs a gap over the trade band, buying one
-    over the re-entry band. A trade costs max(rate * notional, minimum), at most 99% of the value. A missing
-    forecast leaves the exposure. Sequential in time, strategies in parallel.
+    forecasts (strategy, session, vol_pct): the one before the curve's first session sets the exposure it
+    starts with. A decision at the close of every `update_every`-th session but the last is in force from the
+    next. Selling needs a gap of the trade band, buying one of the re-entry band (the trade band if None). A
+    trade costs max(rate * notional, holdings * minimum) plus spread and slippage, 99% of the value at most. A
+    missing forecast is logged and leaves the exposure. Sequential in time, strategies in parallel.
     """
+    reentry = trade_band_pp if reentry_band_pp is None else reentry_band_pp
+    if not (0 < target_pct <= 100 and 0 <= review_band_pp < trade_band_pp <= 100 and 0 < reentry <= trade_band_pp):
+        raise ValueError("invalid target or bands")
 
     def fold(key, f):
         import pandas as pd
 
         f = f.sort_values("session")
-        value, e, pending, out, before = None, most, None, [], None
-        for r in f.itertuples():
-            if value is None:
-                value = r.nav
-                out.append((key[0], r.session, e, value, 0.0, "START"))
-            else:
-                value *= 1 + e * (r.nav / before - 1) + (1 - e) * cash / YEAR
-                cost, action = 0.0, "HOLD"
-                if pending is not None and pending != e:
-                    cost = min(max(rate * abs(pending - e) * value, minimum), 0.99 * value)
-                    action = "SELL" if pending < e else "BUY"
-                    value, e = value - cost, pending
-                out.append((key[0], r.session, e, value, cost, action))
-            before, pending = r.nav, None
-            if r.vol is not None and r.vol == r.vol and r.vol > 0:
-                want = min(most, target / r.vol)
-                if e - want > trade_band or want - e > reentry_band:
-                    pending = want
-        return pd.DataFrame(out, columns=["strategy", "session", "exposure", "nav", "cost", "action"])
-
-    both = nav.join(forecasts, ["strategy", "session"], "left").select("strategy", "session", "nav", "vol")
-    return both.groupBy("strategy").applyInPandas(fold, "strategy string, session date, exposure double, nav double, cost double, action string")
+        curve, prior = f[f.nav.notna()], f[f.nav.isna()]
+        value, e, out = float(capital), 1.0, []
+        day_cash = (1 + cash_yield) ** (1 / YEAR) - 1
+
+        def decide(vol, value, e, first):
+            if not vol == vol or vol is None or vol <= 0:
+                return value, e, 0.0, "FORECAST ERROR", None, None
+            want = min(1.0, target_pct / vol)
+            gap = abs(want - e) * 100
+            band = trade_band_pp if first or want <= e else reentry
+            if gap < band:
+                return value, e, 0.0, "REVIEW" if gap >= review_band_pp else "HOLD", want * 100, gap
+            n = abs(want - e) * value
+            cost = min(value * 0.99, max(rate * n, max(1, holdings) * minimum) + n * (spread_bps + slippage_bps) / 1e4)
+            return value - cost, want, cost, "REBALANCE", want * 100, gap
+
+        before = prior[prior.session < curve.session.iloc[0]] if len(curve) else prior
+        if len(before):
+            value, e, cost, action, want, gap = decide(before.vol_pct.iloc[-1], value, e, True)
+            out.append((key[0], before.session.iloc[-1], e, value, cost, action, want, gap))
+        last, rows = None, list(curve.itertuples())
+        for j, r in enumerate(rows):
+            if last is not None:
+                value *= 1 + e * (r.nav / last - 1) + (1 - e) * day_cash
+            last, cost, action, want, gap, held = r.nav, 0.0, "", None, None, e
+            if j % update_every == 0 and j < len(rows) - 1:
+                value, e, cost, action, want, gap = decide(r.vol_pct, value, e, False)
+                held = e
+            out.append((key[0], r.session, held, value, cost, action, want, gap))
+        return pd.DataFrame(out, columns=["strategy", "session", "exposure", "nav", "cost", "action", "target_pct", "gap_pp"])
+
+    both = nav.join(forecasts, ["strategy", "session"], "full").select("strategy", "session", "nav", "vol_pct")
+    return both.groupBy("strategy").applyInPandas(fold, "strategy string, session date, exposure double, nav double, cost double, action string, target_pct double, gap_pp double")
+
+
+def overlay_summary(overlay: DataFrame, capital: float, cash_yield: float = 0.0) -> DataFrame:
+    """Per strategy: CAGR by rows over 252, volatility, Sharpe on the CAGR, drawdown from the capital on, trades, costs, mean exposure."""
+    by = W.partitionBy("strategy").orderBy("session")
+    r = overlay.withColumn("ret", F.col("nav") / F.lag("nav").over(by) - 1).withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(by.rowsBetween(W.unboundedPreceding, 0)), F.lit(float(capital))) - 1)
+    g = r.groupBy("strategy").agg(F.max_by("nav", "session").alias("final"), F.count(F.lit(1)).alias("n"), F.stddev_samp("ret").alias("s"), F.min("dd").alias("max_drawdown"), F.count_if(F.col("action") == "REBALANCE").alias("trades"), F.sum("cost").alias("costs"), (F.avg("exposure") * 100).alias("invested_pct"))
+    cagr, vol = F.pow(F.col("final") / capital, F.lit(float(YEAR)) / F.col("n")) - 1, F.col("s") * YEAR**0.5
+    return g.select("strategy", cagr.alias("cagr"), vol.alias("volatility"), ((cagr - cash_yield) / F.nullif(vol, F.lit(0.0))).alias("sharpe"), "max_drawdown", (F.col("final") / capital - 1).alias("total_return"), "trades", "costs", "invested_pct")
+
+
+def overlay_deltas(summary: DataFrame, standard: str = "Standard") -> DataFrame:
+    """Differences of each overlay's figures to those of the standard curve."""
+    cols = ["cagr", "volatility", "sharpe", "max_drawdown", "total_return"]
+    base = summary.where(F.col("strategy") == standard).select(*(F.col(c).alias(f"_{c}") for c in cols))
+    return summary.where(F.col("strategy") != standard).crossJoin(F.broadcast(base)).select("strategy", *((F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in cols))
+
+
+def forecast_path(returns: DataFrame, horizon: int = 21, window: int = 63, lam: float = 0.94, periods: int = YEAR) -> DataFrame:
+    """(ticker, model, step, vol_pct) for the flat models Rolling and EWMA, one row a forecast session."""
+    k = F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("session")))
+    roll = returns.withColumn("_k", k).where(F.col("_k") <= window).groupBy("ticker").agg(F.var_samp("ret").alias("v")).select("ticker", F.lit("Rolling").alias("model"), "v")
+    last = F.max_by(F.col("variance") * lam + F.col("ret") * F.col("ret") * (1 - lam), "session")
+    ewma = ewma_variance(returns, lam).groupBy("ticker").agg(last.alias("v")).select("ticker", F.lit("EWMA").alias("model"), "v")
+    return roll.unionByName(ewma).select("ticker", "model", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), (F.sqrt(F.col("v") * periods) * 100).alias("vol_pct"))
+
+
+def forecast_summary(path: DataFrame) -> DataFrame:
+    """Root mean square of each model's path."""
+    return path.groupBy("ticker", "model").agg(F.sqrt(F.avg(F.col("vol_pct") * F.col("vol_pct"))).alias("vol_pct"))
+
+
+def filtered_volatility(returns: DataFrame, family: str = "GARCH(1,1)", periods: int = YEAR) -> DataFrame:
+    """(ticker, session, vol): in-sample conditional volatility of a fit per ticker; no rows without a fit."""
+
+    def fit(key, f):
+        import pandas as pd
+
+        f = f.sort_values("session")
+        got = fit_garch(f.ret.to_numpy(), family)
+        v = [] if got is None else (got["variance"][:-1] * periods) ** 0.5
+        return pd.DataFrame({"ticker": key[0], "session": f.session if len(v) else [], "vol": v})
+
+    return returns.select("ticker", "session", "ret").groupBy("ticker").applyInPandas(fit, "ticker string, session date, vol double")
+
+
+def conditional_forecast(returns: DataFrame, min_rows: int = 126) -> DataFrame:
+    """(ticker, mean, sigma, nu, status): next-session mean and volatility of a GARCH(1,1) with Student-t shocks about the sample
+    mean; null under `min_rows` rows, without variance or without a proper fit."""
+
+    def fit(key, f):
+        import pandas as pd
+
+        r = f.sort_values("session").ret.to_numpy()
+        got = fit_garch(r - r.mean()) if len(r) >= max(min_rows, 150) and r.std() > 0 else None
+        row = (key[0], None, None, None, "no fit") if got is None else (key[0], float(r.mean()), float(got["variance"][-1] ** 0.5), float(got["params"][4]), "ok")
+        return pd.DataFrame([row], columns=["ticker", "mean", "sigma", "nu", "status"])
+
+    return returns.select("ticker", "session", "ret").groupBy("ticker").applyInPandas(fit, "ticker string, mean double, sigma double, nu double, status string")
+
+
+def value_at_risk(forecasts: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Adds normal var and es of mean and sigma."""
+    from quantloom.functions.stats import var_es
+
+    v, e = var_es(0.0, 1.0, confidence)
+    return forecasts.withColumns({"var": F.col("sigma") * v - F.col("mean"), "es": F.col("sigma") * e - F.col("mean")})

@@ -268,7 +268,7 @@ def q2_percentile_scores(v, spark, d):
     return s.select("ticker", S.percentile_score(F.col("momentum")).alias("momentum_score"), S.percentile_score(F.col("volatility"), lower_is_better=True).alias("volatility_score"))
 
 
-@query(_screen_sql("brand") + " select ticker, round(ms::double, 6) as momentum_score, round(((vs + ds) / 2)::double, 6) as risk_score, 2 as components, round(((ms + (vs + ds) / 2) / 2)::double, 6) as quant_score, 'Eligible' as status from sc")
+@query(_screen_sql("brand") + " select ticker, round(ms::double, 6) as momentum_score, round(((vs + ds) / 2)::double, 6) as risk_score, 2 as components, round(((ms + (vs + ds) / 2) / 2)::double, 6) as quant_score, case when row_number() over (order by round(((ms + (vs + ds) / 2) / 2)::double, 9) desc, round(ms::double, 9) desc, round(((vs + ds) / 2)::double, 9) desc, ticker) <= 10 then 'Selected' else 'Candidate' end as status from sc")
 def q3_factor_scores(v, spark, d):
     return S.score(S.price_signals(v("panel_brand")), ("Momentum", "Risk"), 2).select("ticker", "momentum_score", "risk_score", "components", "quant_score", "status")
 
@@ -283,7 +283,7 @@ def q4_ranked_screen(v, spark, d):
 def q5_live_screen(v, spark, d):
     p = v("panel_brand")
     u = X.table(spark, d, "part").select(F.col("p_brand").alias("ticker"), F.col("p_brand").alias("name")).distinct()
-    return S.screen(u, p, active=("Momentum", "Risk"), min_components=2).select("ticker", "rank", "selected", "status")
+    return S.screen(u, p, active=("Momentum", "Risk"), min_components=2).select("ticker", "rank", "selected", "status", "reason")
 
 
 PIT = "past as (select decision_date || '|' || ticker as ticker, session, close from brand, dates where session < decision_date)"
@@ -474,7 +474,7 @@ def b21_crossings(v, spark, d):
     return B.crossings(v("panel").select(F.col("ticker").alias("strategy"), "session", F.col("close").alias("nav")), v("market").withColumnRenamed("close", "nav"))
 
 
-@query("select o_custkey as portfolio, round(sum(greatest(2.5, 0.001 * l_extendedprice) + l_extendedprice * 0.0005 + case when l_returnflag <> 'R' then 0.001 * l_extendedprice else 0 end), 6) as cost, count(*) as orders, round(sum(l_extendedprice), 6) as traded from lineitem join orders on l_orderkey = o_orderkey where l_extendedprice > 1e-8 group by 1")
+@query("select o_custkey as portfolio, round(sum(greatest(3.0, 0.0005 * l_extendedprice) + l_extendedprice * 0.001), 6) as cost, count(*) as orders, round(sum(l_extendedprice), 6) as traded from lineitem join orders on l_orderkey = o_orderkey where l_extendedprice > 1e-8 group by 1")
 def b24_order_costs(v, spark, d):
     li, o = X.table(spark, d, "lineitem"), X.table(spark, d, "orders")
     sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
@@ -527,7 +527,7 @@ def v3_volatility_summary(v, spark, d):
     return V.summary(v("panel"))
 
 
-@query(sql("", "logr").rstrip() + ", k as (select *, row_number() over (partition by ticker order by session) - 1 as k, count(*) over (partition by ticker) as n from logr), x as (select ticker, k as origin, n, var_samp(ret) over (partition by ticker order by k rows between 104 preceding and 1 preceding) as f, avg(ret * ret) over (partition by ticker order by k rows between current row and 12 following) as rv from k) select ticker, round(avg(ln(greatest(f, 1e-12)) + greatest(rv, 1e-12) / greatest(f, 1e-12)), 6) as qlike, round(avg(pow(f - rv, 2)), 6) as mse, count(*) as n from x where origin >= 104 and origin <= n - 13 and (origin - 104) % 13 = 0 group by 1")
+@query(sql("", "logr").rstrip() + ", k as (select *, row_number() over (partition by ticker order by session) - 1 as k, count(*) over (partition by ticker) as n from logr), x as (select ticker, k as origin, n, var_samp(ret) over (partition by ticker order by k rows between 63 preceding and 1 preceding) as f, avg(ret * ret) over (partition by ticker order by k rows between current row and 12 following) as rv from k) select ticker, round(avg(ln(greatest(f, 1e-12)) + rv / greatest(f, 1e-12)), 6) as qlike, round(avg(pow(f - rv, 2)), 6) as mse, count(*) as n from x where origin >= 104 and origin <= n - 13 and (origin - 104) % 13 = 0 group by 1")
 def v4_rolling_validation(v, spark, d):
     val = V.validation(V.log_returns(v("panel")), 104, 13, 13)
     return V.loss(val).where("model = 'Rolling'").select("ticker", "qlike", "mse", "n")
@@ -540,13 +540,38 @@ def v9_risk_alerts(v, spark, d):
     return vol.select("ticker", "session", "vol_pct", a["level"].alias("level"), a["suggested_pct"].alias("suggested_pct"))
 
 
-@query()
-def v10_exposure_overlay(v, spark, d):
+def _overlay(v):
     nav = v("panel").select(F.col("ticker").alias("strategy"), "session", F.col("close").alias("nav"))
-    vol = V.rolling_volatility(V.log_returns(v("panel")), 21, 52).withColumnRenamed("ticker", "strategy")
+    vol = V.rolling_volatility(V.log_returns(v("panel")), 21, 52).select(F.col("ticker").alias("strategy"), "session", (F.col("vol") * 100).alias("vol_pct"))
     return V.exposure_overlay(nav, vol)
 
 
+@query()
+def v10_exposure_overlay(v, spark, d):
+    return _overlay(v)
+
+
+@query()
+def v11_overlay_deltas(v, spark, d):
+    s = V.overlay_summary(_overlay(v), 10_000.0)
+    return V.overlay_deltas(s, "NO")
+
+
+@query(sql("", "logr").rstrip() + ", r as (select ticker, var_samp(ret) as v from (select *, row_number() over (partition by ticker order by session desc) as k from logr) where k <= 63 group by 1) select ticker, 'Rolling' as model, round(sqrt(v * 252) * 100, 6) as vol_pct from r")
+def v8_forecast_summary(v, spark, d):
+    return V.forecast_summary(V.forecast_path(V.log_returns(v("panel")))).where("model = 'Rolling'")
+
+
+@query()
+def v6_filtered_volatility(v, spark, d):
+    return V.filtered_volatility(V.log_returns(v("panel")))
+
+
+@query()
+def t6_conditional_forecast(v, spark, d):
+    return V.value_at_risk(V.conditional_forecast(_rets(v)))
+
+
 IND = "select ticker, session, round(close, 6) as close, round(case when count(*) over w50 = 50 then avg(close) over w50 end, 6) as sma50, round(case when count(*) over w200 = 200 then avg(close) over w200 end, 6) as sma200, round(close / lag(close, 63) over w - 1, 6) as momentum63, round(case when count(*) over w20 = 20 then (close - avg(close) over w20) / stddev_pop(close) over w20 end, 6) as zscore, round(close / max(close) over (partition by ticker order by session) - 1, 6) as drawdown from panel window w as (partition by ticker order by session), w20 as (partition by ticker order by session rows 19 preceding), w50 as (partition by ticker order by session rows 49 preceding), w200 as (partition by ticker order by session rows 199 preceding)"
 
 
@@ -631,13 +656,13 @@ def m2_aligned_returns(v, spark, d):
 @query()
 def m3_block_bootstrap(v, spark, d):
     h = M.aligned_returns(_curves(v))
-    return M.metrics(M.simulate(h, 200, 52, 5), 10_000.0, 52)
+    return M.metrics(M.simulate(h, 200, 52, 5), 10_000.0)
 
 
 @query()
 def m3_gaussian(v, spark, d):
     h = M.aligned_returns(_curves(v))
-    return M.metrics(M.simulate_gaussian(h, 200, 52), 10_000.0, 52)
+    return M.metrics(M.simulate_gaussian(h, 200, 52), 10_000.0)
 
 
 @query("select l_returnflag || l_linestatus as strategy, round(quantile_cont(l_extendedprice, 0.05), 6) as p5, round(quantile_cont(l_extendedprice, 0.5), 6) as p50, round(quantile_cont(l_extendedprice, 0.95), 6) as p95 from lineitem group by 1")
@@ -677,9 +702,115 @@ def l4_accuracy(v, spark, d):
 
 @query()
 def l5_ml_walk_forward(v, spark, d):
+    return L.walk_forward(R.complete_sessions(v("panel")), v("market"), 4, 26, 51)
+
+
+@query(sql("select strategy, round(last / 10000 - 1, 6) as total_return, round(pow(last / 10000, 252.0 / n) - 1, 6) as cagr, round(s * sqrt(252), 6) as volatility, round(m * 252 / (s * sqrt(252)), 6) as sharpe, round(dd, 6) as max_drawdown from (select ticker as strategy, arg_max(close, session) as last, count(r) as n, avg(r) as m, stddev_samp(r) as s, min(dd) as dd from (select ticker, session, close, close / lag(close) over (partition by ticker order by session) - 1 as r, close / max(close) over (partition by ticker order by session) - 1 as dd from panel) group by 1)", "panel"))
+def l8_comparison_metrics(v, spark, d):
+    return L.comparison_metrics(v("panel").select(F.col("ticker").alias("strategy"), "session", (F.col("close") / 10000).alias("nav")))
+
+
+@query()
+def m6_sensitivity(v, spark, d):
+    return M.sensitivity(M.aligned_returns(_curves(v)), 100, 26, 10_000.0, (1, 5))
+
+
+@query(sql("select ticker as strategy, round(least(1, arg_min(close, session) / 50000), 6) as multiplier from panel group by 1", "panel"))
+def m2_entry_multipliers(v, spark, d):
+    return M.entry_multipliers(_curves(v), 50_000.0)
+
+
+@query(sql("select ticker, round(x, 6) as market_excess, round(a + b * x, 6) as fitted from (select ticker, unnest([lo, hi]) as x, a, b from (select ticker, regr_slope(ret, market_ret) as b, regr_intercept(ret, market_ret) as a, min(market_ret) as lo, max(market_ret) as hi from rets join mret using (session) group by 1))", "rets", "mret"))
+def f3_capm_line(v, spark, d):
+    return FA.capm_line(_rets(v), _mret(v))
+
+
+@query(sql("select session, round(close, 6) as close from market where session >= date '1994-01-03' - 10 and session < date '1996-01-01'", "market"))
+def f13_window_factors(v, spark, d):
+    return FA.window_factors(v("market"), "1994-01-03", "1996-01-01")
+
+
+@query(sql("", "panel").rstrip() + ", o as (select cast(date_trunc('week', o_orderdate) as date) as session, avg(o_totalprice) as v from orders group by 1), f as (select session, v / first_value(v) over (order by session) as fx from o) select ticker, p.session, round(close * fx, 6) as close from panel p asof join f on p.session >= f.session")
+def f14_prices_in_usd(v, spark, d):
+    return FA.prices_in_usd(v("panel"), v("fx"))
+
+
+@query()
+def f15_estimate_in_eur(v, spark, d):
+    return FA.estimate_in_eur(v("panel"), v("fx"), v("factors"))
+
+
+@query()
+def f16_factor_portfolio(v, spark, d):
+    return FA.factor_portfolio(v("panel"), v("factors"), cap=0.5)
+
+
+def _plan(v):
     p = R.complete_sessions(v("panel"))
-    f = L.forecast(L.split(L.features(p, v("market"), 4), 52, 4))
-    return L.walk_forward(f, p, 4)
+    return p, B.walk_forward_weights(p, 104, 52, cap=0.5)
+
+
+@query()
+def b6_ex_ante_kpis(v, spark, d):
+    p, w = _plan(v)
+    num = B.sessions(p)
+    return B.ex_ante_kpis(w, *B.window_moments(p, num, B.schedule(num, 104, 52), 104))
+
+
+@query()
+def b7_exposures(v, spark, d):
+    fit = FA.multi_factor(FA.factor_sample(v("panel"), v("factors"))).select("ticker", "beta_mkt_rf", "beta_smb", "beta_hml")
+    return B.exposures(_plan(v)[1], fit, ("beta_mkt_rf", "beta_smb", "beta_hml"))
+
+
+@query()
+def b11_standard_engine(v, spark, d):
+    return B.standard_engine(R.complete_sessions(v("panel")), v("market"), 10_000.0, 104, 52, cap=0.5)
+
+
+@query()
+def b15_rebalancing_history(v, spark, d):
+    h = B.history_table(_plan(v)[1])
+    return h.select("strategy", "t", "turnover", F.size("holdings").alias("active"), F.to_json("holdings").alias("holdings"))
+
+
+@query()
+def b17_buy_and_hold(v, spark, d):
+    p, w = _plan(v)
+    return B.buy_and_hold(w, p, 10_000.0)
+
+
+@query(sql("select ticker as strategy, session, round(close, 6) as nav from panel where ticker <> 'NO'", "panel"))
+def b19_clean_curves(v, spark, d):
+    c = v("panel").withColumn("ingest_ord", F.lit(1))
+    bad = c.where("ticker = 'NO'").withColumn("close", F.when(F.month("session") == 1, -1.0).otherwise(F.col("close")))
+    twice = c.where("ticker <> 'NO'").select("ticker", "session", (F.col("close") * 2).alias("close"), F.lit(0).alias("ingest_ord"))
+    return B.clean_curve(c.where("ticker <> 'NO'").union(bad).union(twice).select(F.col("ticker").alias("strategy"), "session", F.col("close").alias("nav"), "ingest_ord"))
+
+
+@query(sql("select ticker as strategy, session, round(close, 6) as nav from panel qualify row_number() over (partition by ticker order by session desc) <= 42", "panel"))
+def b23_recent_tail(v, spark, d):
+    return B.recent(_curves(v), 42)
+
+
+@query()
+def b29_paired_differences(v, spark, d):
+    p, m = v("panel"), v("market")
+    win = RB.calendar(p, "1993-01-04", "1998-01-04", 1, 12, 6)
+    win = win.withColumn("status", F.when((F.col("est_rows") >= 40) & (F.col("oos_rows") >= 40), "ok").otherwise(F.col("status")))
+    return RB.paired(RB.run(p, win, RB.window_weights(p, win, cap=0.5), m))
+
+
+@query()
+def b28_calendar(v, spark, d):
+    return RB.calendar(v("panel"), "1993-01-04", "1998-01-04", 1, 12, 6)
+
+
+@query(sql("select ticker, session, round(close / 100, 6) as index, session >= date '1995-01-02' as live from panel where ticker = 'NO'", "panel"))
+def t11_warm_up(v, spark, d):
+    p = v("panel").where("ticker = 'NO'")
+    live = p.where("session >= date '1995-01-02'").select("ticker", "session", (F.col("close") / 100).alias("index"))
+    return SG.warm_up(p, live)
 
 
 @query(sql("select ticker, round(0.7 * avg(ret) * 252 + 0.3 * median(ret) * 252, 6) as mu from rets group by 1", "rets"))

@@ -99,9 +99,10 @@ def test_paper_orders_and_monitor(spark):
     assert got == {"A": (3.0, 19.0), "B": (2.0, 19.0)}
     d = days(3)
     q = spark.createDataFrame([("A", d[0], 10.0, 0.0, 0.0), ("A", d[1], 12.0, 0.0, 2.0), ("A", d[2], 11.0, 1.0, 0.0)], "ticker string, session date, close double, dividend double, split double")
-    o = spark.createDataFrame([("A", 2.0, 10.0, 1.0, d[0])], "ticker string, quantity double, price double, fee double, date date")
-    m = SG.monitor(q, o, 30.0).orderBy("session").collect()
-    assert [r.nav for r in m] == [50.0, 78.0, 78.0]
+    o = spark.createDataFrame([("A", 2.0, 20.0, 1.0, d[0])], "ticker string, quantity double, price double, fee double, date date")
+    m = SG.monitor(q, o, 10.0).orderBy("session").collect()
+    assert [r.nav for r in m] == [50.0, 58.0, 58.0]
+    assert [r.ret for r in m] == pytest.approx([-1 / 51, 0.16, 0.0])
 
 
 def test_tail_mass(spark):
@@ -178,9 +179,9 @@ def test_ewma_emits_before_update(spark):
 
 
 def test_risk_alert(spark):
-    df = spark.createDataFrame([(19.0, 100.0), (26.0, 100.0), (31.0, 40.0)], "v double, e double")
+    df = spark.createDataFrame([(19.0, 100.0), (26.0, 100.0), (30.0, 58.0)], "v double, e double")
     a = V.alert(F.col("v"), F.lit(15.0), F.col("e"))
-    assert [(r.level, r.action) for r in df.select(*(c.alias(n) for n, c in a.items())).collect()] == [("NORMAL", "REDUCE"), ("HIGH", "REDUCE"), ("CRITICAL", "HOLD")]
+    assert [(r.level, r.action) for r in df.select(*(c.alias(n) for n, c in a.items())).collect()] == [("NORMAL", "REBALANCE REVIEW"), ("HIGH", "REBALANCE REVIEW"), ("CRITICAL", "MONITOR / REVIEW")]
 
 
 def test_diversification_rejects_bad_weights(spark):
