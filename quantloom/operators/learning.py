@@ -94,7 +94,7 @@ def fit_forecasts(rows: DataFrame, as_of, model: str = "ElasticNet", horizon: in
     """
     days = rows.where(F.col("session") <= F.lit(as_of)).select("session").distinct()
     d = days.withColumn("back", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("session"))) - 1)  # one row a session
-    known = rows.join(d, "session").where((F.col("back") >= horizon) & F.col("target").isNotNull())
+    known = rows.join(d, "session").where((F.col("back") >= horizon) & F.col("target").isNotNull()).persist()
     n = known.agg(F.countDistinct("session").alias("n")).first()["n"]
     cut = horizon + int(n - max(1, int(n * (1 - validation)))) - 1  # greatest `back` of the validation part
     train, val = known.where(F.col("back") >= cut + horizon), known.where(F.col("back") <= cut)
@@ -126,7 +126,7 @@ def walk_forward(prices: DataFrame, market: DataFrame, horizon: int = 21, rebala
     numbered = B.sessions(prices)
     days = {r["no"]: r["session"] for r in numbered.collect()}  # one row a session
     n, out = len(days), None
-    rows = features(prices, market, horizon)
+    rows = features(prices, market, horizon).persist()
     for t in range(n - test - 1, n - 1, rebalance):
         mu, _ = fit_forecasts(rows, days[t], model, horizon)
         cov = R.shrunk_covariance(R.simple_returns(prices.where(F.col("session") <= F.lit(days[t]))))
