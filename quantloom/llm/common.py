@@ -14,9 +14,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quantloom-{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables that this application stored. For when its results are written: they read those tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table written in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/quantloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -32,7 +42,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def extended(schema: T.StructType, **more: str) -> T.StructType:
+def extended(schema: T.StructType, **more: str | T.DataType) -> T.StructType:
     """A copy of `schema` with further columns."""
     out = T.StructType(list(schema.fields))
     for name, kind in more.items():

@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quantloom.llm import kernels as K
 from quantloom.llm.common import extended, fresh
@@ -197,7 +197,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, spans
     shared = docs.sparkSession.sparkContext.broadcast(screen(items, window))
     more = dict(n_words="long", n_hit="long", n_items="long", items_sha256="string", contaminated="boolean")
     if spans:
-        more["hit_spans"] = "array<int>"
+        more["hit_spans"] = T.ArrayType(T.IntegerType())
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
@@ -228,8 +228,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     the others, each at least an item's window long, cut out of their texts. Texts without hits stay
     as they are; n_chars, if there is such a column, is counted anew where a text was cut."""
     slim, (mark, key) = docs.columns, fresh(docs, "cut_text", "cut_spans")
-    own = docs.select(*slim)
-    judged = contamination(own.select(F.struct(*slim).alias(key), F.col("text")), items, window, spans=True).where(~F.col("contaminated"))
+    judged = contamination(docs.select(F.struct(*slim).alias(key), F.col("text")), items, window, spans=True).where(~F.col("contaminated"))
 
     def run(batches):
         for b in batches:
@@ -243,7 +242,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
                     texts[i] = b"".join([*kept, raw[at:]]).decode()
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("n_hit"), pa.array(texts, pa.string())], names=[key, "n_hit", mark])
 
-    slim_schema = f"{key} {docs.select(F.struct(*slim).alias('x')).schema['x'].dataType.simpleString()}, n_hit long, {mark} string"
-    out = judged.select(key, "n_hit", "text", "hit_spans").mapInArrow(run, slim_schema)
+    schema = T.StructType([T.StructField(key, docs.select(F.struct(*slim)).schema[0].dataType), T.StructField("n_hit", T.LongType()), T.StructField(mark, T.StringType())])
+    out = judged.select(key, "n_hit", "text", "hit_spans").mapInArrow(run, schema)
     new = {"text": F.col(mark), "n_chars": F.when(F.col("n_hit") > 0, F.char_length(mark)).otherwise(F.col(f"{key}.n_chars"))} if "n_chars" in slim else {"text": F.col(mark)}
     return out.select(*(new.get(c, F.col(f"{key}.`{c}`")).alias(c) for c in slim))

@@ -10,7 +10,7 @@ document, however sizes are spread.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from quantloom.llm.common import fresh, gapless, id_range, n_words, stored
 
@@ -20,30 +20,26 @@ TRIES = 16
 MOST = 3  # times its own size that a source may give
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MOST) -> list[float]:
-    """Words that each source is to give, sources in order: shares of all words by weight, cut at `most`
-    times the source's size; what is cut off goes to the others by weight, until none is above."""
+def unit_target(sizes: list[int], weights=WEIGHTS, most: int = MOST) -> float:
+    """Words for a weight of 1, sources in order: all words are shared by weight, what a source cannot give (over
+    `most` times its size) goes to the others by weight, until none is above."""
     w = [weights[i % len(weights)] for i in range(len(sizes))]
-    left, out, free = float(sum(n for _, n in sizes)), [0.0] * len(sizes), set(range(len(sizes)))
+    left, unit, free = float(sum(sizes)), 0.0, set(range(len(sizes)))
     while free:
-        share = left / sum(w[i] for i in sorted(free))
-        above = [i for i in sorted(free) if share * w[i] > most * sizes[i][1]]
+        unit = left / sum(w[i] for i in sorted(free))
+        above = [i for i in sorted(free) if unit * w[i] > most * sizes[i]]
         if not above:
-            for i in free:
-                out[i] = share * w[i]
             break
         for i in above:
-            out[i] = float(most * sizes[i][1])
-            left -= out[i]
+            left -= most * sizes[i]
             free.discard(i)
-    return out
+    return unit
 
 
-def offset(seed: int, source: str | None) -> float:
-    """The source's random offset, in [0, 1)."""
-    import hashlib
-
-    return int(hashlib.sha256(f"{seed}:{source is None}:{source}".encode()).hexdigest()[:12], 16) / 16**12
+def targets(sizes: list[int], weights=WEIGHTS, most: int = MOST) -> list[float]:
+    """Words that each source is to give, sources in order."""
+    unit = unit_target(sizes, weights, most)
+    return [min(float(most * n), unit * weights[i % len(weights)]) for i, n in enumerate(sizes)]
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 2024, max_sources: int = 100_000) -> DataFrame:
@@ -51,35 +47,38 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 2024, m
 
     Sources are ordered by code point, null last, and weigh `weights`, repeating. Null and empty texts
     have size 0; a source of size 0 has target 0 and gives nothing. Equal rows are sampled one by one
-    and share a row_key. Other columns of `docs` are not read. The driver holds one row per source;
+    and share a row_key. Other columns of `docs` are not read. The driver holds one size per source;
     more than `max_sources` is an error.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), row_key().alias("row_key"), n_words(F.col("text")).alias("size"))
     rows = stored(rows, "mix-rows")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
-    if len(sums) > max_sources:
+    by_source = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())  # one row a source, at most max_sources
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size")).limit(max_sources + 1)
+    at = F.pmod(F.row_number().over(by_source) - 1, F.lit(len(weights)))
+    sources = stored(sources.select("source", "source_size", F.get(F.array(*(F.lit(float(x)) for x in weights)), at).alias("weight")), "mix-sources")
+    sizes = [r["source_size"] for r in sources.orderBy(F.col("source").asc_nulls_last()).select("source_size").collect()]
+    if len(sizes) > max_sources:
         raise ValueError(f"over {max_sources} sources")
-    sums = sorted(((r["source"], r["n"]) for r in sums), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
-    aims = targets(sums, weights, most)
-    table = [(s, n, t, t / n if n else 0.0, offset(seed, s)) for (s, n), t in zip(sums, aims, strict=True)]
-    rates = docs.sparkSession.createDataFrame(table, "key string, source_size long, target double, rate double, off double")
+    target = F.least(F.col("source_size") * float(most), F.col("weight") * unit_target(sizes, weights, most))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source", F.col("source").isNull()), F.lit(1 << 30)) / float(1 << 30)
+    sources = sources.select(F.col("source").alias("key"), "source_size", target.alias("target"), offset.alias("off"))
+    sources = sources.withColumn("rate", F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
     ranked = stored(gapless(rows.withColumn("range", id_range(rows, "doc_id", 32)), ["source"], ["size", "range"], [F.col("doc_id").asc_nulls_first(), "row_key"], "at"), "mix-order")
-    joined = ranked.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("key")))  # max_sources rows at most
 
+    def joined(table: DataFrame) -> DataFrame:
+        return ranked.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("key")))  # max_sources rows at most
 
     def copies(off: Column) -> Column:
         crossed = F.floor((F.col("at") + 1) * F.col("rate") + off) - F.floor(F.col("at") * F.col("rate") + off)
         return F.least(crossed, F.lit(most)).cast("long")
 
     tries = [F.pmod(F.col("off") + F.lit(j / TRIES), F.lit(1.0)) for j in range(TRIES)]
-    taken = joined.groupBy("key").agg(*(F.sum(copies(o) * F.col("size")).alias(f"t{j}") for j, o in enumerate(tries))).collect()  # a row a source
-    aim = {(s or "", s is None): t for s, _, t, _, _ in table}
-    best = {(r["key"] or "", r["key"] is None): min(range(TRIES), key=lambda j, r=r: abs(r[f"t{j}"] - aim[r["key"] or "", r["key"] is None])) for r in taken}
-    table = [(s, n, t, r, (o + best.get((s or "", s is None), 0) / TRIES) % 1.0) for s, n, t, r, o in table]
-    rates = docs.sparkSession.createDataFrame(table, "key string, source_size long, target double, rate double, off double")
-    joined = ranked.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("key")))
-    copies = copies(F.col("off"))
-    return joined.select("doc_id", "source", "row_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    missed = [F.abs(F.sum(copies(o) * F.col("size")) - F.col("target")).alias(f"m{j}") for j, o in enumerate(tries)]
+    tried = joined(sources).groupBy("key", "source_size", "target", "off", "rate").agg(*missed)
+    least = F.array_min(F.array(*(F.struct(F.col(f"m{j}").alias("m"), o.alias("o")) for j, o in enumerate(tries))))
+    chosen = stored(tried.select("key", "source_size", "target", "rate", least["o"].alias("off")), "mix-offsets")
+    n = copies(F.col("off"))
+    return joined(chosen).select("doc_id", "source", "row_key", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
 
 
 def row_key() -> Column:

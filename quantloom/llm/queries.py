@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantloom.llm import decontamination, fingerprints, language_id, mixing, near_dedup, quality, recompression, secrets, sharding, suffix_dedup
+from quantloom.llm import decontamination, fingerprints, language_id, mixing, near_dedup, oracles, quality, recompression, secrets, sharding, suffix_dedup
 from quantloom.llm.common import id_crc
 
 
@@ -76,4 +76,8 @@ QUERIES = {
         op10_recompression_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op9_minmax_near_dedup": oracles.NEAR_DEDUP,
+    "op10_recompression_dedup": oracles.RECOMPRESSION,
+}
