@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from quantloom.operators import activation as A
 from quantloom.operators import backtest as B
 from quantloom.operators import construct as C
 from quantloom.operators import factors as FA
@@ -641,6 +642,30 @@ def t12_positions(v, spark, d):
     return SG.positions(o, last).select("ticker", "quantity", "cost_basis")
 
 
+def _quotes(v):
+    return v("panel").select("ticker", "session", "close", F.col("close").alias("adj_close"), F.lit(0.0).alias("split"))
+
+
+@query()
+def t13_historical_activation(v, spark, d):
+    days = v("market").select("session")
+    return A.reconstruct(_quotes(v), days, "1996-01-10", 2, "Minimum Volatility", 1_000_000.0, 2.0, cap=0.5)
+
+
+@query(sql("", "rets").rstrip() + ", days as (select session, lead(session) over (order by session) as nxt from (select distinct session from panel)), r as (select ticker, session as origin, lead(session) over (partition by ticker order by session) as valid, row_number() over (partition by ticker order by session) as n from rets) select ticker, origin, valid from r join days on session = origin where n >= 126 and valid = nxt and valid <= date '1996-01-01' and day(origin) <> 1")
+def t15_forecast_origins(v, spark, d):
+    r = _rets(v)
+    have = r.where(F.dayofmonth("session") == 1).select("ticker", F.col("session").alias("origin"))
+    return A.forecast_origins(r, v("panel").select("session").distinct(), "1996-01-01", have)
+
+
+@query()
+def t15_historical_forecasts(v, spark, d):
+    r = _rets(v)
+    o = A.forecast_origins(r, v("panel").select("session").distinct(), "1995-12-31", r.limit(0).select("ticker", F.col("session").alias("origin")), 150)
+    return A.historical_forecasts(r, o.where(F.month("origin") == 12))
+
+
 # --- scenarios and learning -----------------------------------------------------------------------
 
 
