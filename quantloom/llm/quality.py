@@ -86,9 +86,10 @@ class QualityModel:
         return docs.mapInArrow(run, schema)
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs: int = 4, rate: float = 4.0, seed: int = 7) -> QualityModel:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs: int = 4, rate: float = 4.0, least_steps: int = 6000, seed: int = 7) -> QualityModel:
     """Softmax over averaged feature vectors, by stochastic gradient descent with a falling rate.
 
+    Labels weigh alike, however many rows each has; few rows are gone through more often.
     One label or none to learn from gives a model that always answers that label's prior.
     """
     rng = np.random.default_rng(seed)
@@ -98,11 +99,13 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs:
         return QualityModel(np.zeros(KINDS << BITS, np.float32), float(np.log(prior / (1 - prior))))
     vectors = rng.uniform(-1 / dim, 1 / dim, (KINDS << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-least_steps // len(rows)))
+    weigh = {y: len(rows) / (2 * labels.count(y)) for y in set(labels)}
     steps, step = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             y, ids, counts = rows[i]
-            lr = rate * (1 - step / steps)
+            lr = rate * (1 - step / steps) * weigh[y]
             step += 1
             share = counts / max(counts.sum(), 1)
             mean = share @ vectors[ids] if len(ids) else np.zeros(dim, np.float32)
