@@ -24,7 +24,15 @@ WORD_BYTES = ~_SPACE
 ALNUM_BYTES = np.zeros(256, bool)
 ALNUM_BYTES[0x30:0x3A] = ALNUM_BYTES[0x41:0x5B] = ALNUM_BYTES[0x61:0x7B] = ALNUM_BYTES[0x80:] = True
 
-_tables: dict[str, np.ndarray] = {}
+
+class _Tables(dict):
+    """Tables that each process makes for itself: they do not travel with functions that use them."""
+
+    def __reduce__(self):
+        return (_Tables, ())
+
+
+_tables = _Tables()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
