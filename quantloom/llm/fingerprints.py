@@ -35,7 +35,8 @@ def syncmers(text: Column, k: int = K_MER, s: int = S_MER) -> Column:
 
         def closed(m: Column):
             edge = lambda i: F.array_contains(F.array(F.get(m, i - 1), F.get(m, i + inner - 2)), F.array_min(F.slice(m, i, F.lit(inner))))
-            return F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), edge), lambda i: F.hash(F.slice(h, i, F.lit(k))))
+            chosen = F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), edge), lambda i: F.hash(F.slice(h, i, F.lit(k))))
+            return _let(chosen, lambda x: F.when(F.size(x) == 0, F.array(F.hash(h))).otherwise(x))
 
         return F.when(F.size(h) < k, F.array(F.hash(h))).otherwise(_let(small, closed))
 
