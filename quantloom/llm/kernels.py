@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
-PIECE = 1 << 21  # bytes of text handled at once; one longer text is handled alone
+PIECE = 1 << 19  # bytes of text handled at once; one longer text is handled alone
 
 _rng = np.random.default_rng(20240607)
 #: A random odd value for each byte; hashing through a table folds case without another pass.
@@ -82,6 +82,17 @@ def pieces(column: pa.Array, limit: int = PIECE):
         row = stop
 
 
+def views(column, kind) -> list[np.ndarray]:
+    """The values of a binary column as arrays of `kind`, without a copy where they are aligned."""
+    out = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        off = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        raw = chunk.buffers()[2]
+        flat = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        out += [flat[a:b].view(kind) if a % np.dtype(kind).itemsize == 0 else np.frombuffer(flat[a:b].tobytes(), kind) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    return out
+
+
 def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of bytes for which `table` holds, and for each row its first word's index."""
     n = len(data)

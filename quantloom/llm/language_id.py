@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +76,8 @@ def _svm(rows, sign: np.ndarray, epochs: int, rate: float, seed: int) -> tuple[n
     steps, step = epochs * len(used), 0
     for _ in range(epochs):
         for i in rng.permutation(used):
-            y, (_, ids, share) = sign[i], rows[i]
+            y, (_, ids, counts) = sign[i], rows[i]
+            share = counts.astype(np.float32) / counts.sum()
             lr = rate * (1 - step / steps) * weigh[int(y)]
             step += 1
             if y * (w[ids] @ share + b) < 1:
@@ -167,13 +169,9 @@ def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 1200, epochs: int =
     picked = picked.withColumn("at", F.row_number().over(by)).where(F.col("at") <= rows_per_lang).select("doc_id", "lang").distinct()
     # rows_per_lang rows of each language: a size bounded by parameters
     texts = docs.where(F.col("text").isNotNull() & learn).select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
-    got = texts.mapInArrow(_counted, "lang string, ids binary, counts binary").toArrow()
-    rows = []
-    for lang, i, c in zip(*(got.column(n).to_pylist() for n in ("lang", "ids", "counts")), strict=True):
-        if i:
-            share = np.frombuffer(c, np.uint16).astype(np.float32)
-            rows.append((lang, np.frombuffer(i, np.int32), share / share.sum()))
-    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    got = texts.mapInArrow(_counted, "lang string, ids binary, counts binary").toArrow().combine_chunks()
+    rows = [r for r in zip(got.column("lang").to_pylist(), K.views(got.column("ids"), np.int32), K.views(got.column("counts"), np.uint16), strict=True) if len(r[1])]
+    rows.sort(key=lambda r: (r[0], len(r[1]), crc32(r[1]), crc32(r[2])))  # not as tasks happened to end
     return train(rows, epochs, rate)
 
 

@@ -11,6 +11,7 @@ folds vectors and softmax into one number per feature: same function, one table
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs:
             y, ids, counts = rows[i]
             lr = rate * (1 - step / steps) * weigh[y]
             step += 1
-            share = counts / max(counts.sum(), 1)
+            share = counts.astype(np.float32) / max(counts.sum(), 1)
             mean = share @ vectors[ids] if len(ids) else np.zeros(dim, np.float32)
             z = out @ mean + bias
             p = np.exp(z - z.max())
@@ -134,9 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_label: int =
     picked = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(rows_per_label) for y in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows_per_label rows at most
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text")
-    got = texts.mapInArrow(_counted, "label int, ids binary, counts binary").toArrow()
-    rows = [(y, np.frombuffer(i, np.int32), np.frombuffer(c, np.uint16).astype(np.float32)) for y, i, c in zip(*(got.column(n).to_pylist() for n in ("label", "ids", "counts")), strict=True)]
-    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # not as tasks happened to end
+    got = texts.mapInArrow(_counted, "label int, ids binary, counts binary").toArrow().combine_chunks()
+    rows = list(zip(got.column("label").to_pylist(), K.views(got.column("ids"), np.int32), K.views(got.column("counts"), np.uint16), strict=True))
+    rows.sort(key=lambda r: (r[0], len(r[1]), crc32(r[1]), crc32(r[2])))  # not as tasks happened to end
     return train(rows, **how)
 
 
