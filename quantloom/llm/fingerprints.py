@@ -74,8 +74,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     down = W.partitionBy(F.lit(0)).orderBy(F.col("range").desc())  # MOST_RANGES rows at most
     below = F.coalesce(F.lead("first").over(down), F.first("first").over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     heads = heads.select(F.col("range").alias("above"), below.alias("first"))
+    # MOST_RANGES rows at most are broadcast, so that texts need no second shuffle
     heads = heads.select("above", F.col("first.doc_id").alias("h_id"), F.bitwise_not("first.not_tid").alias("h_tid"))
-    head = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tid") == F.col("h_tid"))).select("above", F.col("text").alias("h_text")).dropDuplicates(["above"])
+    head = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tid") == F.col("h_tid"))).select("above", F.col("text").alias("h_text")).dropDuplicates(["above"])
     by = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "tid")
     rows = rows.withColumn("anchors", syncmers(F.col("text")))
     rows = rows.withColumn("next_text", F.lead("text").over(by)).withColumn("next_anchors", F.lead("anchors").over(by))
