@@ -1,9 +1,12 @@
 """Document fingerprints from closed syncmers.
 
-A text is the row of its words. A k-mer of words is kept if the least hash among its s-mers stands at
-its first or its last place, which depends on nothing but the k-mer: an edit changes only the k-mers
-that hold it. The fingerprint is the hashes of all kept k-mers in text order, 8 hexadecimal digits
-each, so equal anchors also show where two texts agree. A text of fewer than k words is one k-mer.
+A text is read on one or two of four scales, by its length: single code points, pairs and runs of 6 code points
+for short texts, runs of 4 words for longer ones. A word of over 20 code points (a text without white space is
+one) counts as its runs of 8 code points. A k-mer is kept if the least hash among its s-mers stands at its first
+or its last place, which depends on nothing but the k-mer: an edit changes only the k-mers that hold it. Of any
+2k - s - 1 tokens in a row at least one k-mer is kept. Scales overlap, so that a text and any edit of it that
+keeps half of its code points share one. The fingerprint is the hashes of all kept k-mers, scale by scale in
+text order, 8 hexadecimal digits each. A text without a k-mer (an empty one) is one hash.
 """
 
 from __future__ import annotations
@@ -12,7 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from quantloom.llm.common import id_range
 
-K_MER, S_MER = 10, 2
+K_MER, S_MER = 4, 2
+#: k and s in code points, for texts of over `low` and up to 2 * `high` code points; words are for those of over the last `high`.
+SHORT_SCALES = ((1, 1, 0, 2), (2, 1, 2, 16), (6, 2, 16, 200))
+#: Code points of the longest word that is one token, and of the runs that stand for longer ones (a power of 2).
+LONG_WORD, RUN = 20, 8
 #: Rows of a range of ids that one task sorts, as long as there are fewer than MOST_RANGES ranges.
 RANGE_ROWS, MOST_RANGES = 2000, 100_000
 _SPACE = " \t\n\x0b\x0c\r"
@@ -23,10 +30,9 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def syncmers(text: Column, k: int = K_MER, s: int = S_MER) -> Column:
-    """Hashes (int) of the closed syncmers of a text's words, in order. Null and blank texts are one empty word."""
+def _kept(h: Column, k: int, s: int) -> Column:
+    """Hashes of the closed syncmers of tokens with hashes h, in order; none if there are fewer than k tokens."""
     inner = k - s + 1
-    words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACE)), r"[\x20\x09-\x0D]+")
 
     def of_hashes(h: Column) -> Column:
         small = h
@@ -35,12 +41,42 @@ def syncmers(text: Column, k: int = K_MER, s: int = S_MER) -> Column:
 
         def closed(m: Column):
             edge = lambda i: F.array_contains(F.array(F.get(m, i - 1), F.get(m, i + inner - 2)), F.array_min(F.slice(m, i, F.lit(inner))))
-            chosen = F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), edge), lambda i: F.hash(F.slice(h, i, F.lit(k))))
-            return _let(chosen, lambda x: F.when(F.size(x) == 0, F.array(F.hash(h))).otherwise(x))
+            return F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), edge), lambda i: F.hash(F.slice(h, i, F.lit(k))))
 
-        return F.when(F.size(h) < k, F.array(F.hash(h))).otherwise(_let(small, closed))
+        return F.when(F.size(h) < k, F.array().cast("array<int>")).otherwise(_let(small, closed))
 
-    return _let(F.transform(words, lambda w: F.hash(w)), of_hashes)
+    return _let(h, of_hashes)
+
+
+def _points(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda c: F.hash(c))
+
+
+def _runs(word: Column) -> Column:
+    """Hashes of the runs of RUN code points of a longer word, by doubling, so that long words cost a few passes."""
+
+    def doubled(h: Column, n: int) -> Column:
+        two = F.zip_with(F.slice(h, F.lit(1), F.size(h) - n), F.slice(h, F.lit(n + 1), F.size(h)), lambda a, b: F.hash(a, b))
+        return two if 2 * n == RUN else _let(two, lambda x: doubled(x, 2 * n))
+
+    return _let(_points(word), lambda h: doubled(h, 1))
+
+
+def _words(text: Column) -> Column:
+    words = F.split(F.btrim(text, F.lit(_SPACE)), r"[\x20\x09-\x0D]+")
+    return F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > LONG_WORD, _runs(w)).otherwise(F.array(F.hash(w)))))
+
+
+def syncmers(text: Column) -> Column:
+    """Hashes (int) of the closed syncmers of a text on its scales, in order. Null texts count as empty."""
+
+    def of(t: Column) -> Column:
+        n, none = F.char_length(t), F.array().cast("array<int>")
+        scales = [F.when((n > low) & (n <= 2 * high), _kept(_points(t), k, s)).otherwise(none) for k, s, low, high in SHORT_SCALES]
+        scales.append(F.when(n > SHORT_SCALES[-1][-1], _kept(_words(t), K_MER, S_MER)).otherwise(none))
+        return _let(F.concat(*scales), lambda x: F.when(F.size(x) == 0, F.array(F.hash(t))).otherwise(x))
+
+    return _let(F.coalesce(text, F.lit("")), of)
 
 
 def as_text(anchors: Column) -> Column:

@@ -169,3 +169,20 @@ def test_every_text_has_a_fingerprint(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(i % 14))) for i in range(400)], "doc_id long, text string")
     got = fingerprints.edit_study(docs)
     assert got.where("fingerprint = '' or edited_fingerprint = ''").count() == 0 and got.count() == 400
+
+
+def test_short_and_unspaced_texts_keep_anchors(spark, tmp_path):
+    """Half of each text is unchanged, so it is nearer to its edited text than to the next, on every scale and at its borders."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (4, 6, 9, 12, 19, 20, 27, 39, 60, 75, 90, 200, 3, 70)]
+    texts += ["".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n)) for n in (5, 16, 17, 33, 201, 399, 401, 2000, 30)]
+    texts += ["".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (40, 399, 402, 30_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in fingerprints.edit_study(rows).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert got[k].near_edited > got[k].near_next and got[k].near_edited > 0.05, (k, t[:40], got[k].near_edited, got[k].near_next)
+    long = "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(1000))
+    pair = spark.createDataFrame([(long, long[:500] + "x" + long[501:])], "a string, b string")
+    assert pair.select(fingerprints.likeness(fingerprints.syncmers(F.col("a")), fingerprints.syncmers(F.col("b"))).alias("x")).first().x > 0.9
