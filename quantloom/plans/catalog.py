@@ -163,6 +163,13 @@ def s19_facts_as_of(v, spark, d):
     return S.facts_as_of(v("filings"), dates.crossJoin(F.broadcast(top)).where("decision_date >= lo").select("decision_date"))
 
 
+@query()
+def s19_facts_as_of_all(v, spark, d):
+    """Every decision date; s19_facts_as_of answers the last six months, as its SQL does."""
+    dates = X.table(spark, d, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("decision_date")).distinct()
+    return S.facts_as_of(v("filings"), dates)
+
+
 @query("with x as (select c_custkey::varchar as ticker, c_acctbal / 100 as pe, c_acctbal / 1000 as pb, c_nationkey / 100.0::double as roe, case when c_custkey % 3 = 0 then null else c_nationkey * 10.0::double end as de from customer), y as (select ticker, case when pe > 0 then 1 / pe end as ey, case when pb > 0 then 1 / pb end as bm, roe, de / 100 as de from x) select ticker, round(ey, 6) as earnings_yield, round(bm, 6) as book_to_market, round(roe, 6) as roe, round(de, 6) as debt_to_equity, case (ey is not null)::int + (bm is not null)::int + (roe is not null)::int + (de is not null)::int when 4 then 'OK' when 0 then 'No fundamentals' else 'Partial ' || ((ey is not null)::int + (bm is not null)::int + (roe is not null)::int + (de is not null)::int) || '/4' end as status from y")
 def s16_fundamental_ratios(v, spark, d):
     c = X.table(spark, d, "customer")
