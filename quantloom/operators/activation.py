@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from quantloom.operators import returns as R
@@ -64,7 +66,7 @@ def reconstruct(quotes: DataFrame, calendar: DataFrame, decision: str, years: in
     return orders.join(w.select("ticker", "w"), "ticker").join(price.select("ticker", "date"), "ticker").select("portfolio", "ticker", "quantity", "price", "fee", "cash", "w", "date")
 
 
-def forecast_origins(returns: DataFrame, calendar: DataFrame, until: str, existing: DataFrame, min_rows: int = 126) -> DataFrame:
+def forecast_origins(returns: DataFrame, calendar: DataFrame, until: str | date, existing: DataFrame, min_rows: int = 126) -> DataFrame:
     """(ticker, origin, valid): origins with `min_rows` returns whose next return is on the calendar's next session, up to
     `until`, without those that `existing` (ticker, origin) has."""
     by = W.partitionBy("ticker").orderBy("session")
@@ -74,9 +76,9 @@ def forecast_origins(returns: DataFrame, calendar: DataFrame, until: str, existi
     return rows.select("ticker", "origin", "valid").join(existing, ["ticker", "origin"], "left_anti")
 
 
-def historical_forecasts(returns: DataFrame, origins: DataFrame) -> DataFrame:
+def historical_forecasts(returns: DataFrame, origins: DataFrame, steps: int = 1500) -> DataFrame:
     """(ticker, origin, valid, mean, sigma, nu, status): each forecast from the returns up to its origin only, one fit an
-    origin, all in parallel."""
+    origin, all in parallel. status is 'ok', 'not converged' (the best point of a search that `steps` ended) or 'no valid fit'."""
     rows = returns.join(origins, "ticker").where(F.col("session") <= F.col("origin"))
 
     def fit(key, f):
@@ -85,8 +87,8 @@ def historical_forecasts(returns: DataFrame, origins: DataFrame) -> DataFrame:
         from quantloom.operators.volatility import fit_garch
 
         r = f.sort_values("session").ret.to_numpy()
-        got = fit_garch(r - r.mean(), steps=400) if len(r) >= 150 and r.std() > 0 else None
-        row = (*key, None, None, None, "no valid fit") if got is None else (*key, float(r.mean()), float(got["variance"][-1] ** 0.5), float(got["params"][4]), "ok")
+        got = fit_garch(r - r.mean(), steps=steps) if len(r) >= 150 and r.std() > 0 else None
+        row = (*key, None, None, None, "no valid fit") if got is None else (*key, float(r.mean()), float(got["variance"][-1] ** 0.5), float(got["params"][4]), "ok" if got["converged"] else "not converged")
         return pd.DataFrame([row], columns=["ticker", "origin", "valid", "mean", "sigma", "nu", "status"])
 
     return rows.groupBy("ticker", "origin", "valid").applyInPandas(fit, "ticker string, origin date, valid date, mean double, sigma double, nu double, status string")

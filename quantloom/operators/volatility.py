@@ -83,7 +83,8 @@ _FAMILIES = ("GARCH(1,1)", "GJR-GARCH", "EGARCH")
 
 def fit_garch(r, family: str = "GARCH(1,1)", steps: int = 1500):
     """Zero-mean Student-t likelihood of percent returns by a simplex search: (omega, alpha, gamma, beta, nu), the
-    variances of every row and of the next one, and the log likelihood; None below 150 rows or without a proper optimum."""
+    variances of every row and of the next one, the log likelihood, and whether the search converged within `steps`; None
+    below 150 rows or without a proper optimum."""
     import numpy as np
     from math import lgamma
 
@@ -125,10 +126,12 @@ def fit_garch(r, family: str = "GARCH(1,1)", steps: int = 1500):
     start = np.array([0.1 * np.log(v0), 0.1, 0.0, np.arctanh(0.9), np.log(6.0)]) if family == "EGARCH" else np.array([np.log(0.05 * v0), np.log(0.08), np.log(0.05), np.log(0.85), np.log(6.0)])
     s = [start] + [start + d for d in np.eye(5) * 0.3]
     f = [cost(x) for x in s]
+    converged = False
     for _ in range(steps):
         i = np.argsort(f, kind="stable")
         s, f = [s[k] for k in i], [f[k] for k in i]
         if f[-1] - f[0] < 1e-8:
+            converged = True
             break
         mid = np.mean(s[:-1], axis=0)
         x = mid + (mid - s[-1])
@@ -151,7 +154,7 @@ def fit_garch(r, family: str = "GARCH(1,1)", steps: int = 1500):
     if f[k] >= 1e9:
         return None
     p = unpack(s[k])
-    return {"params": p, "variance": path(p) / 1e4, "loglik": -f[k]}
+    return {"params": p, "variance": path(p) / 1e4, "loglik": -f[k], "converged": converged}
 
 
 def garch_forecast(returns: DataFrame, horizon: int = 21, families: tuple[str, ...] = _FAMILIES, periods: int = YEAR) -> DataFrame:

@@ -669,8 +669,9 @@ def t15_forecast_origins(v, spark, d):
 @query()
 def t15_historical_forecasts(v, spark, d):
     r = _rets(v)
-    o = A.forecast_origins(r, v("panel").select("session").distinct(), "1995-12-31", r.limit(0).select("ticker", F.col("session").alias("origin")), 150)
-    return A.historical_forecasts(r, o.where(F.month("origin") == 12))
+    days = v("panel").select("session").distinct()
+    last = days.agg(F.max("session").alias("last")).first()["last"]  # one row
+    return A.historical_forecasts(r, A.forecast_origins(r, days, last, r.limit(0).select("ticker", F.col("session").alias("origin"))))
 
 
 # --- scenarios and learning -----------------------------------------------------------------------

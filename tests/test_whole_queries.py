@@ -1,9 +1,13 @@
 """Queries that cover all of their tables, beside those whose SQL covers a part."""
 
+from datetime import date, timedelta
+
 import duckdb
+import numpy as np
 import pytest
 
-from quantloom.plans.catalog import QUERIES
+from quantloom.operators import activation as A
+from quantloom.plans.catalog import QUERIES, sql
 
 D = "/root/testdata/sf0.001"
 
@@ -24,3 +28,25 @@ def test_facts_as_of_every_decision_date(spark):
     assert set(got) == set(want)
     assert all((got[k].filed, got[k].accn, got[k].val) == (x[1], x[2], pytest.approx(val, abs=1e-6)) for k, (x, val) in want.items())
     assert len({m for _, m in got}) > 12
+
+
+def test_historical_forecasts_of_every_origin(spark, monkeypatch):
+    """Every origin with a next session, to the end of the panel; the fits are left out, as they take minutes."""
+    seen = {}
+    monkeypatch.setattr(A, "historical_forecasts", lambda returns, origins: seen.setdefault("origins", origins))
+    QUERIES["t15_historical_forecasts"](spark, D)
+    got = {(r.ticker, r.origin) for r in seen["origins"].collect()}
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{D}/lineitem.parquet'")
+    want = con.execute(sql("", "rets").rstrip() + ", days as (select session, lead(session) over (order by session) as nxt from (select distinct session from panel)), r as (select ticker, session as origin, lead(session) over (partition by ticker order by session) as valid, row_number() over (partition by ticker order by session) as n from rets) select ticker, origin from r join days on session = origin where n >= 126 and valid = nxt").fetchall()
+    assert want and got == set(want)
+
+
+def test_fit_that_the_step_limit_ends_is_not_ok(spark):
+    r = np.random.default_rng(48).standard_t(7, 160) * 0.01
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(160)]
+    returns = spark.createDataFrame([("A", d, float(x)) for d, x in zip(days, r, strict=True)], "ticker string, session date, ret double")
+    origins = spark.createDataFrame([("A", days[158], days[159]), ("A", days[130], days[131])], "ticker string, origin date, valid date")
+    status = lambda steps: {x.origin: x.status for x in A.historical_forecasts(returns, origins, steps).collect()}
+    assert status(5) == {days[158]: "not converged", days[130]: "no valid fit"}
+    assert status(1500) == {days[158]: "ok", days[130]: "no valid fit"}
