@@ -49,9 +49,10 @@ def summary(prices: DataFrame, window: int = 63, lam: float = 0.94) -> DataFrame
     return out.withColumn("regime", F.when(F.col("percentile") >= 75, "High").when(F.col("percentile") <= 25, "Low").otherwise("Normal"))
 
 
-def validation(returns: DataFrame, train: int = 252, horizon: int = 21, stride: int = 21, window: int = 63, lam: float = 0.94) -> DataFrame:
+def validation(returns: DataFrame, train: int = 252, horizon: int = 21, stride: int = 21, window: int = 63, lam: float = 0.94, families: tuple[str, ...] = ()) -> DataFrame:
     """(ticker, origin, model, forecast, realised): rolling origins train, train + stride, ...; realised is the mean
-    squared return of the next `horizon` rows; models Rolling (variance of the `window` rows before) and EWMA (one step)."""
+    squared return of the next `horizon` rows; models Rolling (variance of the `window` rows before), EWMA (one step), and
+    at the same origins the mean forecast variance of the GARCH `families` (null without a fit, as under 150 rows)."""
     v = ewma_variance(returns, lam)
     by = W.partitionBy("ticker").orderBy("k")
     rows = v.select(
@@ -59,7 +60,12 @@ def validation(returns: DataFrame, train: int = 252, horizon: int = 21, stride:
         F.avg(F.col("ret") * F.col("ret")).over(by.rowsBetween(0, horizon - 1)).alias("realised"), F.count(F.lit(1)).over(W.partitionBy("ticker")).alias("n"),
     )
     rows = rows.where((F.col("origin") >= train) & (F.col("origin") <= F.col("n") - horizon) & ((F.col("origin") - train) % stride == 0))
-    return rows.unpivot(["ticker", "origin", "realised"], ["Rolling", "EWMA"], "model", "forecast").select("ticker", "origin", "model", "forecast", "realised")
+    out = rows.unpivot(["ticker", "origin", "realised"], ["Rolling", "EWMA"], "model", "forecast").select("ticker", "origin", "model", "forecast", "realised")
+    if not families:
+        return out
+    mean = F.aggregate("path", F.lit(0.0), lambda a, x: a + x) / horizon
+    fits = _garch_paths(returns, rows, families, horizon).select("ticker", "origin", "model", mean.alias("forecast"))
+    return out.unionByName(fits.join(rows.select("ticker", "origin", "realised"), ["ticker", "origin"]))
 
 
 def loss(validated: DataFrame, eps: float = 1e-12) -> DataFrame:
@@ -78,7 +84,7 @@ def alert(vol_pct: Column, target_pct: Column, exposure_pct: Column, levels=(20.
     return {"level": level, "suggested_pct": suggested, "gap_pp": gap, "action": action}
 
 
-_FAMILIES = ("GARCH(1,1)", "GJR-GARCH", "EGARCH")
+FAMILIES = ("GARCH(1,1)", "GJR-GARCH", "EGARCH")
 
 
 def fit_garch(r, family: str = "GARCH(1,1)", steps: int = 1500):
@@ -157,7 +163,46 @@ def fit_garch(r, family: str = "GARCH(1,1)", steps: int = 1500):
     return {"params": p, "variance": path(p) / 1e4, "loglik": -f[k], "converged": converged}
 
 
-def garch_forecast(returns: DataFrame, horizon: int = 21, families: tuple[str, ...] = _FAMILIES, periods: int = YEAR) -> DataFrame:
+def variance_path(got: dict, family: str, horizon: int) -> list[float]:
+    """Variance of each of the next `horizon` rows: analytic for GARCH and GJR, the mean of 1000 simulated paths (seed 42) for EGARCH."""
+    import numpy as np
+
+    o, a, g, b, nu = got["params"]
+    h = got["variance"][-1] * 1e4
+    path = [h]
+    if family == "EGARCH":
+        rng, logs, path = np.random.default_rng(42), np.full(1000, np.log(h)), []
+        for _ in range(horizon):
+            path.append(np.exp(logs).mean())
+            z = rng.standard_t(nu, 1000) * ((nu - 2) / nu) ** 0.5
+            logs = np.clip(o + a * (np.abs(z) - (2 / np.pi) ** 0.5) + g * z + b * logs, -50, 50)
+    else:
+        for _ in range(horizon - 1):
+            path.append(o + (a + g / 2 + b) * path[-1])
+    return [float(x) / 1e4 for x in path]
+
+
+def _garch_paths(returns: DataFrame, origins: DataFrame, families: tuple[str, ...], horizon: int) -> DataFrame:
+    """(ticker, origin, model, path): variances of the rows origin, origin + 1, ... from a fit to the rows before; null without a fit."""
+    names = returns.sparkSession.createDataFrame([(m,) for m in families], "model string")
+    rows = returns.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("session", "ret"))).alias("h")).select("ticker", F.col("h.ret").alias("h"))  # one ticker's sessions
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                got = fit_garch(r["h"][: r["origin"]], r["model"])
+                out.append((r["ticker"], r["origin"], r["model"], None if got is None else variance_path(got, r["model"], horizon)))
+            yield pd.DataFrame(out, columns=["ticker", "origin", "model", "path"])
+
+    # a fit takes seconds, its row is small: one task a row would do
+    fits = origins.select("ticker", "origin").join(rows, "ticker").crossJoin(F.broadcast(names)).repartition(64, "ticker", "origin", "model")
+    return fits.mapInPandas(run, "ticker string, origin int, model string, path array<double>")
+
+
+def garch_forecast(returns: DataFrame, horizon: int = 21, families: tuple[str, ...] = FAMILIES, periods: int = YEAR) -> DataFrame:
     """(ticker, model, vol, status): annual volatility over the next `horizon` rows, one fit per ticker and family in parallel.
 
     GARCH and GJR step the variance analytically; EGARCH averages 1000 simulated paths (seed 42).
@@ -176,20 +221,7 @@ def garch_forecast(returns: DataFrame, horizon: int = 21, families: tuple[str, .
                 if got is None:
                     out.append((r["ticker"], r["model"], None, "no fit"))
                     continue
-                o, a, g, b, nu = got["params"]
-                h = got["variance"][-1] * 1e4
-                path = [h]
-                if r["model"] == "EGARCH":
-                    rng, logs, sims = np.random.default_rng(42), np.full(1000, np.log(h)), []
-                    for _ in range(horizon):
-                        sims.append(np.exp(logs).mean())
-                        z = rng.standard_t(nu, 1000) * ((nu - 2) / nu) ** 0.5
-                        logs = np.clip(o + a * (np.abs(z) - (2 / np.pi) ** 0.5) + g * z + b * logs, -50, 50)
-                    path = sims
-                else:
-                    for _ in range(horizon - 1):
-                        path.append(o + (a + g / 2 + b) * path[-1])
-                out.append((r["ticker"], r["model"], float((np.mean(path) / 1e4 * periods) ** 0.5), "ok"))
+                out.append((r["ticker"], r["model"], float((np.mean(variance_path(got, r["model"], horizon)) * periods) ** 0.5), "ok"))
             yield pd.DataFrame(out, columns=["ticker", "model", "vol", "status"])
 
     return rows.crossJoin(F.broadcast(names)).repartition("ticker", "model").mapInPandas(run, "ticker string, model string, vol double, status string")
@@ -267,13 +299,19 @@ def overlay_deltas(summary: DataFrame, standard: str = "Standard") -> DataFrame:
     return summary.where(F.col("strategy") != standard).crossJoin(F.broadcast(base)).select("strategy", *((F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in cols))
 
 
-def forecast_path(returns: DataFrame, horizon: int = 21, window: int = 63, lam: float = 0.94, periods: int = YEAR) -> DataFrame:
-    """(ticker, model, step, vol_pct) for the flat models Rolling and EWMA, one row a forecast session."""
+def forecast_path(returns: DataFrame, horizon: int = 21, window: int = 63, lam: float = 0.94, periods: int = YEAR, families: tuple[str, ...] = ()) -> DataFrame:
+    """(ticker, model, step, vol_pct), one row a forecast session: the flat models Rolling and EWMA, and the GARCH
+    `families` (no rows without a fit)."""
     k = F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("session")))
     roll = returns.withColumn("_k", k).where(F.col("_k") <= window).groupBy("ticker").agg(F.var_samp("ret").alias("v")).select("ticker", F.lit("Rolling").alias("model"), "v")
     last = F.max_by(F.col("variance") * lam + F.col("ret") * F.col("ret") * (1 - lam), "session")
     ewma = ewma_variance(returns, lam).groupBy("ticker").agg(last.alias("v")).select("ticker", F.lit("EWMA").alias("model"), "v")
-    return roll.unionByName(ewma).select("ticker", "model", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), (F.sqrt(F.col("v") * periods) * 100).alias("vol_pct"))
+    out = roll.unionByName(ewma).select("ticker", "model", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), "v")
+    if families:
+        ends = returns.groupBy("ticker").agg(F.count(F.lit(1)).cast("int").alias("origin"))
+        fits = _garch_paths(returns, ends, families, horizon).select("ticker", "model", F.posexplode("path").alias("step", "v"))
+        out = out.unionByName(fits.withColumn("step", F.col("step") + 1))
+    return out.select("ticker", "model", "step", (F.sqrt(F.col("v") * periods) * 100).alias("vol_pct"))
 
 
 def forecast_summary(path: DataFrame) -> DataFrame:

@@ -541,6 +541,12 @@ def v4_rolling_validation(v, spark, d):
     return V.loss(val).where("model = 'Rolling'").select("ticker", "qlike", "mse", "n")
 
 
+@query()
+def v5_model_comparison(v, spark, d):
+    """All five models at the same origins; training rows are enough for GARCH fits."""
+    return V.loss(V.validation(V.log_returns(v("panel")), 156, 13, 13, families=V.FAMILIES))
+
+
 @query(sql("select ticker, session, round(vol * 100, 6) as vol_pct, case when vol * 100 >= 30 then 'CRITICAL' when vol * 100 >= 25 then 'HIGH' when vol * 100 >= 20 then 'ELEVATED' else 'NORMAL' end as level, round(least(100, 100 * 15.0 / (vol * 100)), 6) as suggested_pct from (select ticker, session, case when count(ret) over w = 63 then stddev_samp(ret) over w * sqrt(52) end as vol from logr window w as (partition by ticker order by session rows between 62 preceding and current row)) where vol is not null", "logr"))
 def v9_risk_alerts(v, spark, d):
     vol = V.rolling_volatility(V.log_returns(v("panel")), 63, 52).where("vol is not null").withColumn("vol_pct", F.col("vol") * 100)
@@ -570,6 +576,11 @@ def v8_forecast_summary(v, spark, d):
     return V.forecast_summary(V.forecast_path(V.log_returns(v("panel")))).where("model = 'Rolling'")
 
 
+@query()
+def v8_forecast_summary_all(v, spark, d):
+    return V.forecast_summary(V.forecast_path(V.log_returns(v("panel")), families=V.FAMILIES))
+
+
 @query()
 def v6_filtered_volatility(v, spark, d):
     return V.filtered_volatility(V.log_returns(v("panel")))

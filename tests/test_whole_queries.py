@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quantloom.operators import activation as A
+from quantloom.operators import volatility as V
 from quantloom.plans.catalog import QUERIES, sql
 
 D = "/root/testdata/sf0.001"
@@ -50,3 +51,29 @@ def test_fit_that_the_step_limit_ends_is_not_ok(spark):
     status = lambda steps: {x.origin: x.status for x in A.historical_forecasts(returns, origins, steps).collect()}
     assert status(5) == {days[158]: "not converged", days[130]: "no valid fit"}
     assert status(1500) == {days[158]: "ok", days[130]: "no valid fit"}
+
+
+def test_all_models_at_the_same_origins(spark):
+    r = np.random.default_rng(5).standard_t(6, 190) * 0.01
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(190)]
+    returns = spark.createDataFrame([("A", d, float(x)) for d, x in zip(days, r, strict=True)], "ticker string, session date, ret double")
+    got = {(x.model, x.origin): (x.forecast, x.realised) for x in V.validation(returns, 160, 10, 15, families=V.FAMILIES).collect()}
+    v, ewma = r[:21].var(ddof=1), []
+    for x in r:
+        ewma.append(v)
+        v = 0.94 * v + 0.06 * x * x
+    want = {}
+    for o in (160, 175):
+        want["Rolling", o], want["EWMA", o] = r[o - 63 : o].var(ddof=1), ewma[o]
+        for m in V.FAMILIES:
+            want[m, o] = np.mean(V.variance_path(V.fit_garch(r[:o], m), m, 10))
+    assert set(got) == set(want)
+    for k, f in want.items():
+        assert got[k] == pytest.approx((f, (r[k[1] : k[1] + 10] ** 2).mean())), k
+    scores = V.loss(V.validation(returns, 160, 10, 15, families=V.FAMILIES)).collect()
+    assert {x.model for x in scores} == {"Rolling", "EWMA", *V.FAMILIES} and all(x.n == 2 for x in scores)
+    path = {(x.model, x.step): x.vol_pct for x in V.forecast_path(returns, 3, families=V.FAMILIES).collect()}
+    assert len(path) == 15
+    for m in V.FAMILIES:
+        assert [path[m, i] for i in (1, 2, 3)] == pytest.approx([(x * 252) ** 0.5 * 100 for x in V.variance_path(V.fit_garch(r, m), m, 3)])
+    assert {"v5_model_comparison", "v8_forecast_summary_all"} <= set(QUERIES)
