@@ -1,4 +1,4 @@
-"""Rolling robustness: calendar windows, every model in every window, and their roll-ups."""
+"""Rolling robustness: calendar windows, every model of construct.MODELS in every window, and their roll-ups."""
 
 from __future__ import annotations
 
