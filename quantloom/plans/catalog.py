@@ -857,6 +857,14 @@ def t11_warm_up(v, spark, d):
     return SG.warm_up(p, live)
 
 
+@query()
+def t11_warm_up_all(v, spark, d):
+    """Every ticker of the panel with live rows; t11_warm_up answers one, as its SQL does."""
+    p = v("panel")
+    live = p.where("session >= date '1995-01-02'").select("ticker", "session", (F.col("close") / 100).alias("index"))
+    return SG.warm_up(p, live)
+
+
 @query(sql("select ticker, round(0.7 * avg(ret) * 252 + 0.3 * median(ret) * 252, 6) as mu from rets group by 1", "rets"))
 def l7_hybrid(v, spark, d):
     r = _rets(v)

@@ -77,3 +77,15 @@ def test_all_models_at_the_same_origins(spark):
     for m in V.FAMILIES:
         assert [path[m, i] for i in (1, 2, 3)] == pytest.approx([(x * 252) ** 0.5 * 100 for x in V.variance_path(V.fit_garch(r, m), m, 3)])
     assert {"v5_model_comparison", "v8_forecast_summary_all"} <= set(QUERIES)
+
+
+def test_warm_up_of_every_ticker(spark):
+    """As the live index is a hundredth of the close, so is its continuation, from each ticker's first session on."""
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{D}/lineitem.parquet'")
+    rows = con.execute(sql("select ticker, session, close from panel", "panel")).fetchall()
+    has_live = {t for t, s, _ in rows if s >= date(1995, 1, 2)}
+    want = {(t, s): (c / 100, s >= date(1995, 1, 2)) for t, s, c in rows if t in has_live}
+    got = {(r.ticker, r.session): (r["index"], r.live) for r in QUERIES["t11_warm_up_all"](spark, D).collect()}
+    assert len(has_live) > 1 and set(got) == set(want)
+    assert all(got[k] == (pytest.approx(x, abs=2e-6), live) for k, (x, live) in want.items())
