@@ -700,13 +700,13 @@ def m2_aligned_returns(v, spark, d):
 @query()
 def m3_block_bootstrap(v, spark, d):
     h = M.aligned_returns(_curves(v))
-    return M.metrics(M.simulate(h, 200, 52, 5), 10_000.0)
+    return M.metrics(M.simulate(h), 10_000.0)
 
 
 @query()
 def m3_gaussian(v, spark, d):
     h = M.aligned_returns(_curves(v))
-    return M.metrics(M.simulate_gaussian(h, 200, 52), 10_000.0)
+    return M.metrics(M.simulate_gaussian(h), 10_000.0)
 
 
 @query("select l_returnflag || l_linestatus as strategy, round(quantile_cont(l_extendedprice, 0.05), 6) as p5, round(quantile_cont(l_extendedprice, 0.5), 6) as p50, round(quantile_cont(l_extendedprice, 0.95), 6) as p95 from lineitem group by 1")
@@ -756,7 +756,7 @@ def l8_comparison_metrics(v, spark, d):
 
 @query()
 def m6_sensitivity(v, spark, d):
-    return M.sensitivity(M.aligned_returns(_curves(v)), 100, 26, 10_000.0, (1, 5))
+    return M.sensitivity(M.aligned_returns(_curves(v)), 1000, M.YEAR, 10_000.0)
 
 
 @query(sql("select ticker as strategy, round(least(1, arg_min(close, session) / 50000), 6) as multiplier from panel group by 1", "panel"))

@@ -5,8 +5,10 @@ from datetime import date, timedelta
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.operators import activation as A
+from quantloom.operators import montecarlo as M
 from quantloom.operators import volatility as V
 from quantloom.plans.catalog import QUERIES, sql
 
@@ -89,3 +91,14 @@ def test_warm_up_of_every_ticker(spark):
     got = {(r.ticker, r.session): (r["index"], r.live) for r in QUERIES["t11_warm_up_all"](spark, D).collect()}
     assert len(has_live) > 1 and set(got) == set(want)
     assert all(got[k] == (pytest.approx(x, abs=2e-6), live) for k, (x, live) in want.items())
+
+
+def test_scenarios_run_at_the_defaults(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(M, "metrics", lambda paths, capital: paths.agg(F.max("path").alias("p"), F.countDistinct("path").alias("paths"), F.max("day").alias("days")))
+    monkeypatch.setattr(M, "sensitivity", lambda history, paths, days, capital, blocks=(1, 5, 10): seen.update(x=(paths, days, blocks)) or history)
+    for q in ("m3_block_bootstrap", "m3_gaussian"):
+        r = QUERIES[q](spark, D).first()
+        assert (r.paths, r.days) == (1000, 252), q
+    QUERIES["m6_sensitivity"](spark, D)
+    assert seen["x"] == (1000, 252, (1, 5, 10))
