@@ -19,7 +19,7 @@ from quantloom.llm.common import gapless, id_range, n_bytes, stored, text_id
 BITS, CELL_BITS = 62, 14
 #: A median is fine enough if its cell weighs less than this part of its node.
 FINE = 0.0005
-DIMENSIONS = ("length", "source", "language", "content")
+DIMENSIONS = ("length", "source", "language")
 
 
 def _place(x: Column) -> Column:
@@ -50,7 +50,6 @@ def _rows(docs: DataFrame, n_shards: int) -> DataFrame:
         "length": F.least(F.floor(F.log2(F.col("size").cast("double")) * (1 << 24)), F.lit((1 << 30) - 1)).cast("long"),
         "source": _place(F.col("g_source")),
         "language": _place(F.col("g_lang")),
-        "content": F.xxhash64(F.lit(1), F.col("content"), piece).bitwiseAND(F.lit((1 << 30) - 1)),
     }
     return rows.select("doc_id", "size", "text_crc32", *((F.shiftleft(high[d], 32) + low).alias(d) for d in DIMENSIONS))
 

@@ -186,3 +186,10 @@ def test_short_and_unspaced_texts_keep_anchors(spark, tmp_path):
     long = "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(1000))
     pair = spark.createDataFrame([(long, long[:500] + "x" + long[501:])], "a string, b string")
     assert pair.select(fingerprints.likeness(fingerprints.syncmers(F.col("a")), fingerprints.syncmers(F.col("b"))).alias("x")).first().x > 0.9
+
+
+def test_shards_are_cut_by_metadata(spark):
+    """Texts of one length and source, half of them of each language: the cut is by language, not by a hash of the text."""
+    docs = spark.range(80).select(F.col("id").alias("doc_id"), F.format_string("text %05d", "id").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"), F.lit("web").alias("source"))
+    rows = sharding.shard(docs, 2).join(docs, "doc_id").groupBy("shard").agg(F.collect_set("lang").alias("langs"), F.count(F.lit(1)).alias("n")).collect()
+    assert sorted((*r.langs, r.n) for r in rows) == [("de", 40), ("en", 40)]
