@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,13 +11,15 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 19  # bytes of text handled at once; one longer text is handled alone
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
 
-_rng = np.random.default_rng(20240607)
-#: A random odd value for each byte; hashing through a table folds case without another pass.
-BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-BYTE_FOLDED = BYTE.copy()
-BYTE_FOLDED[ord("A") : ord("Z") + 1] = BYTE[ord("a") : ord("z") + 1]
+#: Byte values with A-Z folded to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Masks of the first 0 to 8 bytes of a word.
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: True for bytes of a word: all but ASCII white space.
@@ -25,31 +29,6 @@ ALNUM_BYTES = np.zeros(256, bool)
 ALNUM_BYTES[0x30:0x3A] = ALNUM_BYTES[0x41:0x5B] = ALNUM_BYTES[0x61:0x7B] = ALNUM_BYTES[0x80:] = True
 
 
-class _Tables(dict):
-    """Tables that each process makes for itself: they do not travel with functions that use them."""
-
-    def __reduce__(self):
-        return (_Tables, ())
-
-
-_tables = _Tables()
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i <= n; kept between calls up to the piece size."""
-    if len(_tables.get("pow", ())) <= n:
-        size = max(n, PIECE) + 1
-        both = []
-        for x in (BASE, pow(BASE, -1, 2**64)):
-            t = np.full(size, x, U64)
-            t[0] = 1
-            both.append(np.cumprod(t, out=t))
-        if n > 4 * PIECE:
-            return both[0], both[1]
-        _tables["pow"], _tables["inv"] = both
-    return _tables["pow"], _tables["inv"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit over the word."""
     h = h ^ (h >> U64(32))
@@ -109,20 +88,39 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    """Prefix sums of table[byte] * BASE**i, for the hash of any range."""
-    c = np.zeros(len(data) + 1, U64)
-    np.cumsum(table[data] * powers(len(data))[0][: len(data)], out=c[1:])
-    return c
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
+    """64 bits for each range of bytes, eight bytes a step through a finaliser: no power series in the
+    bytes, so regular texts meet no more often than random ones. Another seed gives independent values."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if fold else data
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    size = ends - starts
+    h = mix(size.astype(U64) * U64(BASE) + U64(seed * 0x632BE59BD9B4E019 + 1 & 2**64 - 1))
+    long = np.flatnonzero(size > LONG_WORD)
+    which = np.flatnonzero((size > 0) & (size <= LONG_WORD)) if len(long) else np.flatnonzero(size > 0)
+    at, left = starts[which], size[which]
+    while len(which):
+        w = np.ascontiguousarray(eight[at]).view("<u8").ravel() & _HEAD[np.minimum(left, 8)]
+        h[which] = mix((h[which] ^ w) * U64(0xD1342543DE82EF95) + U64(BASE))
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    for i in long.tolist():
+        h[i] = int.from_bytes(blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
-def range_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges [start, end) from their prefix sums."""
-    return mix((c[end] - c[start]) * powers(len(c))[1][start])
+def chained(h: np.ndarray, k: int) -> np.ndarray:
+    """64 bits for every k values in a row of h, each step through the finaliser."""
+    m = max(len(h) - k + 1, 0)
+    s = np.full(m, k, U64)
+    for i in range(k):
+        s = mix((s ^ h[i : i + m]) * U64(0xD1342543DE82EF95) + U64(BASE))
+    return s
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    return range_hash(prefix_hash(data, BYTE_FOLDED if fold else BYTE), starts, ends)
+def digest(raw) -> bytes:
+    """16 bytes that stand for a byte string."""
+    return blake2b(raw, digest_size=16).digest()
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -3,10 +3,10 @@
 A document's set is hashed once by each of 64 functions; both the least and the greatest value are
 kept, which makes 128 signature values out of 64 evaluations. 32 bands of four values (both ends under
 two functions) name candidates: a pair of similarity 0.8 shares none with probability 5e-8. Documents
-of equal sets are one node from the start, so groups of copies make no pairs.
+of equal sets (128 bits of each) are one node from the start, so groups of copies make no pairs.
 
 Candidates are tested without listing all pairs of a bucket: first every node against the least node
-of its bucket, and links that full sets confirm join components; then, in buckets that still hold
+of its bucket, and links that full sets of words confirm join components; then, in buckets that still hold
 several components, members outside the largest one are compared with all by full sets, in parts,
 and only links that join components are given out.
 """
@@ -29,30 +29,29 @@ ADDENDS = _rng.integers(0, 2**63, FUNCTIONS, dtype=np.int64).astype(K.U64)
 
 
 def sets(data: np.ndarray, offs: np.ndarray, k: int):
-    """For each row the sorted hashes of its distinct k-word shingles, letters A-Z folded."""
+    """For each row the sorted hashes of its distinct k-word shingles, letters A-Z folded, and 128 bits of the
+    whole set: of its hashes and of those by a second, independent function."""
     starts, ends, at = K.words(data, offs, K.WORD_BYTES)
-    h = K.word_hashes(data, starts, ends, fold=True)
-    m = max(len(h) - k + 1, 0)
-    s = np.zeros(m, K.U64)
-    for i in range(k):
-        s = s * K.U64(K.BASE) + h[i : i + m]
-    s = K.mix(s)
+    both = [K.word_hashes(data, starts, ends, fold=True, seed=seed) for seed in (0, 1)]
+    first, second = (K.chained(h, k) for h in both)
     for d in range(len(offs) - 1):
         a, e = at[d], at[d + 1]
         if e - a >= k:
-            yield np.unique(s[a : e - k + 1])
-        elif e > a:  # fewer words than a shingle has: all of them are one, told apart by their number
-            x = K.U64(e - a)
-            for w in h[a:e]:
-                x = x * K.U64(K.BASE) + w
-            yield K.mix(np.array([x ^ K.U64(0x5555)]))
-        else:
-            yield h[:0]
+            u, once = np.unique(first[a : e - k + 1], return_index=True)
+            v = second[a : e - k + 1][once]
+        else:  # fewer words than a shingle has: all of them are one, told apart by their number
+            u, v = (K.chained(h[a:e], int(e - a)) if e > a else h[:0] for h in both)
+        yield u, (_total(u), _total(v))
 
 
-def node_of(u: np.ndarray) -> int:
-    """64 bits that stand for a set."""
-    return int((K.mix(u + K.U64(0x632BE59BD9B4E019)).sum() ^ K.U64(len(u))).view(np.int64))
+def _total(u: np.ndarray) -> int:
+    return int(K.mix(K.mix(u + K.U64(0x632BE59BD9B4E019)).sum(keepdims=True) ^ K.U64(len(u))).view(np.int64)[0])
+
+
+def shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
+    """The set itself, in words."""
+    w = text.encode().lower().split()  # of bytes: ASCII letters and white space only
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
 
 
 def band_keys(u: np.ndarray) -> np.ndarray:
@@ -78,60 +77,57 @@ def _list(values: list[np.ndarray]) -> pa.Array:
 def _signatures(k: int):
     def run(batches):
         for b in batches:
-            n, node, bands = [], [], []
+            n, one, two, bands = [], [], [], []
             for _, data, offs in K.pieces(b.column("text")):
-                for u in sets(data, offs, k):
+                for u, (x, y) in sets(data, offs, k):
                     n.append(len(u))
-                    node.append(node_of(u))
+                    one.append(x)
+                    two.append(y)
                     bands.append(band_keys(u) if len(u) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _list(bands)], names=["doc_id", "tid", "n", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), *(pa.array(c, pa.int64()) for c in (n, one, two)), _list(bands)], names=["doc_id", "tid", "n", "s1", "s2", "bands"])
 
     return run
 
 
-def _full_sets(k: int):
-    def run(batches):
-        for b in batches:
-            node, full = [], []
-            for _, data, offs in K.pieces(b.column("text")):
-                for u in sets(data, offs, k):
-                    node.append(node_of(u))
-                    full.append(K.signed(u))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _list(full)], names=["node", "full"])
-
-    return run
+def whole_texts(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, text): the whole text of one document of each of some nodes."""
+    ids = nodes.distinct().join(reps.select("node", "rep", "tid"), "node").select("node", F.col("rep").alias("k_id"), F.col("tid").alias("k_tid"))
+    texts = docs.join(ids, (docs["tid"] == F.col("k_tid")) & docs["doc_id"].eqNullSafe(F.col("k_id")))
+    return texts.select("node", "text").dropDuplicates(["node"])
 
 
-def full_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(node, full): the whole sets of some nodes, from the text of one document of each."""
-    ids = nodes.distinct().join(reps.select("node", "rep", "tid"), "node").select(F.col("rep").alias("k_id"), F.col("tid").alias("k_tid"))
-    texts = docs.join(ids, (docs["tid"] == F.col("k_tid")) & docs["doc_id"].eqNullSafe(F.col("k_id"))).select("text")
-    return texts.mapInArrow(_full_sets(k), "node long, full array<long>").dropDuplicates(["node"])
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose shingles have 100 * |intersection| >= percent * |union|, word for word."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
+    def run(batches):
+        last, own = None, set()
+        for batch in batches:
+            keep = []
+            for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True)):
+                if a != last:  # pairs of one text mostly come together
+                    last, own = a, shingles(x.as_py(), k)
+                other = shingles(y.as_py(), k)
+                shared = len(own & other)
+                if shared * 100 >= (len(own) + len(other) - shared) * percent:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets have 100 * |intersection| >= percent * |union|."""
-    left = sets.select(F.col("node").alias("a"), F.col("full").alias("fa"))
-    right = sets.select(F.col("node").alias("b"), F.col("full").alias("fb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("fa", "fb"))
-    both = both.select("a", "b", shared.alias("i"), (F.size("fa") + F.size("fb") - shared).alias("u"))
-    return both.where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _spanning(percent: int):
+def _spanning(k: int, percent: int):
     """Links between members of different components in one part of a bucket, as many as join them."""
 
     def run(table: pa.Table) -> pa.Table:
         node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
-        minor = table.column("minor").to_pylist()
-        full = table.column("full").combine_chunks()
-        if isinstance(full, pa.ChunkedArray):
-            full = pa.concat_arrays(full.chunks)
-        off = full.offsets.to_numpy().astype(np.int64)
-        vocabulary, word = np.unique(full.flatten().to_numpy(), return_inverse=True)
-        off = off - off[0]
-        size = np.diff(off)
+        minor, texts = table.column("minor").to_pylist(), table.column("text").combine_chunks()
+        full = [u for _, data, offs in K.pieces(texts) for u, _ in sets(data, offs, k)]
+        size = np.array([len(u) for u in full])
+        off = np.cumsum(size) - size
+        vocabulary, word = np.unique(np.concatenate(full), return_inverse=True)
         root: dict[int, int] = {c: c for c in comp}
 
         def find(x):
@@ -144,16 +140,18 @@ def _spanning(percent: int):
         for x in range(len(node)):
             if not minor[x]:
                 continue
-            own = word[off[x] : off[x + 1]]
+            own = word[off[x] : off[x] + size[x]]
             mark[own] = 1
-            shared = np.add.reduceat(mark[word], off[:-1])
+            shared = np.add.reduceat(mark[word], off)
             mark[own] = 0
             for y in np.flatnonzero(shared * 100 >= (size + size[x] - shared) * percent).tolist():
                 r, t = find(comp[x]), find(comp[y])
                 if r != t:
-                    root[t] = r
-                    a.append(node[x])
-                    b.append(node[y])
+                    p, q = shingles(texts[x].as_py(), k), shingles(texts[y].as_py(), k)
+                    if 100 * len(p & q) >= percent * len(p | q):
+                        root[t] = r
+                        a.append(node[x])
+                        b.append(node[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -187,19 +185,22 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     are linked like any equal texts. Other columns of `docs` are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    rows = stored(docs.mapInArrow(_signatures(k), "doc_id long, tid long, n long, node long, bands array<long>"), "near-rows")
-    reps = rows.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("doc_id", "tid", "bands")).alias("r"))
-    reps = stored(reps.select("node", "n", F.col("r.doc_id").alias("rep"), F.col("r.tid").alias("tid"), F.col("r.bands").alias("bands")), "near-reps")
+    rows = stored(docs.mapInArrow(_signatures(k), "doc_id long, tid long, n long, s1 long, s2 long, bands array<long>"), "near-rows")
+    reps = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "tid", "bands")).alias("r"), F.min("doc_id").alias("least"))
+    # a node is a number of its own from here on, fixed where the table is written
+    reps = reps.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", F.col("r.doc_id").alias("rep"), F.col("r.tid").alias("tid"), F.col("r.bands").alias("bands"), "least")
+    reps = stored(reps, "near-reps")
     spread = reps.select("node", "n", F.explode("bands").alias("key"))
-    # (center's set size rides along with its name)
+    # (center's set size rides along with its name; stored, so that a hot bucket's members are split among tasks)
     stars = spread.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = stored(spread.join(stars.select("key", F.col("c.node").alias("center"), F.col("c.n").alias("nc"), "m"), "key"), "near-members")
+    stars = stored(stars.select("key", F.col("c.node").alias("center"), F.col("c.n").alias("nc"), "m"), "near-stars")
+    members = stored(spread.join(stars, "key"), "near-members")
     pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb")).distinct()
     pairs = stored(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "near-pairs")
     # every member of a bucket of three or more may be needed again below
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.where("m > 2").select("node"))
-    full = stored(full_sets(wanted, docs, reps, k), "near-sets")
-    edges = stored(confirmed(pairs, full, percent), "near-edges")
+    full = stored(whole_texts(wanted, docs, reps), "near-texts")
+    edges = stored(confirmed(pairs, full, k, percent), "near-edges")
     names = components(edges)
     # what the stars can have missed: links between components that share a bucket of three or more
     known = members.where("m > 2").join(names, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
@@ -216,11 +217,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         many = parts.where("pi > 1 or pj > 1")
         both = one.union(many.where("minor").select("key", own("pi").alias("i"), any_of("pj").alias("j"), "node", "comp", "minor"))
         both = both.union(many.select("key", any_of("pi").alias("i"), own("pj").alias("j"), "node", "comp", F.lit(False).alias("minor")))
-        more = both.join(full, "node").groupBy("key", "i", "j").applyInArrow(_spanning(percent), "a long, b long")
+        more = both.join(full, "node").groupBy("key", "i", "j").applyInArrow(_spanning(k, percent), "a long, b long")
         names = components(edges.union(stored(more, "near-more")))
-    own = rows.select("doc_id", "tid", "n", "node").join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    own = own.join(least, "comp", "left")
+    comps = stored(reps.select("node", "s1", "s2", "n", "least").join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-comps")
+    least = stored(comps.groupBy("comp").agg(F.min("least").alias("least")), "near-least")
+    comps = stored(comps.select("s1", "s2", "n", "comp").join(least, "comp").select("s1", "s2", "n", "least"), "near-ids")
+    own = rows.select("doc_id", "tid", "s1", "s2", "n").join(comps, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return own.select("doc_id", "tid", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -231,8 +233,8 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Documents without a set stay. Of repeated rows of the kept id, one stays.
     """
     found = groups(docs, k, percent)
-    (key,) = fresh(docs, "near_key")
-    row = lambda i, t: F.xxhash64(i, i.isNull(), t)
-    kept = found.where("kept").select(row(F.col("doc_id"), F.col("tid")).alias(key)).distinct()
-    mine = docs.withColumn(key, row(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    return mine.join(kept, key).dropDuplicates([key]).drop(key)
+    one, two = fresh(docs, "near_key", "near_key2")
+    row = lambda i, t: (F.xxhash64(i, i.isNull(), t).alias(one), F.xxhash64(F.lit("second"), t, i, i.isNull()).alias(two))
+    kept = found.where("kept").select(*row(F.col("doc_id"), F.col("tid"))).distinct()
+    mine = docs.select("*", *row(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
+    return mine.join(kept, [one, two]).dropDuplicates([one, two]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,7 @@ side. Names are hashes of what they stand for, so they are global without a tabl
 parsed into the same symbols, apart from their edges. Each symbol keeps the range of words that its
 parse depended on. A window's anchor is the symbol of the highest round whose range lies wholly in the
 window (of several, the one of least name), so equal windows have equal anchors at equal places; the
-name of its range reveals candidates, and names of whole windows verify them.
+anchors reveal candidates, and the words of whole windows verify them.
 """
 
 from __future__ import annotations
@@ -23,16 +23,11 @@ from quantloom.llm.repeats import Repeats, covered, prepared
 WINDOW, ROUNDS = 35, 3
 
 
-def _sums(h: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(h) + 1, K.U64)
-    np.cumsum(h * K.powers(len(h))[0][: len(h)], out=c[1:])
-    return c
-
-
 def _sequence(data: np.ndarray, offs: np.ndarray):
     s, e, at = K.words(data, offs, K.WORD_BYTES)
-    h = K.word_hashes(data, s, e)
-    return _sums(h), at, h
+    names = np.stack([K.word_hashes(data, s, e), K.word_hashes(data, s, e, seed=1)], axis=1)
+    raw = data.tobytes()
+    return at, lambda i, j: names[i:j].tobytes(), lambda i, j: b" ".join([raw[x:y] for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)])
 
 
 def parse(h: np.ndarray, at: np.ndarray, rounds: int = ROUNDS):
@@ -60,7 +55,7 @@ def parse(h: np.ndarray, at: np.ndarray, rounds: int = ROUNDS):
         count = z - b + 1
         before = np.where(first[b], ca[b] - 1, ca[np.maximum(b - 1, 0)])
         after = np.where(last[z], cb[z] + 1, cb[np.minimum(z + 1, len(name) - 1)])
-        runs = K.mix(name[b] * K.U64(K.BASE) + count.astype(K.U64) + K.U64(r << 32))
+        runs = K.mix(K.mix(name[b] + K.U64(2 * r + 1)) ^ count.astype(K.U64))
         name = np.where(count > 1, runs, name[b])
         ca, cb = np.minimum(ca[b], before), np.maximum(cb[z], after)
         first, last, row_start = first[b], last[z], row_start[b]
@@ -77,7 +72,7 @@ def parse(h: np.ndarray, at: np.ndarray, rounds: int = ROUNDS):
         k = np.flatnonzero(~second)
         both = joined[k]
         nxt = np.minimum(k + 1, len(name) - 1)
-        merged = K.mix(K.mix(name[k] + K.U64(r)) * K.U64(K.BASE) + name[nxt])
+        merged = K.mix(K.mix(name[k] + K.U64(2 * r + 2)) ^ name[nxt])
         name, ca, cb = np.where(both, merged, name[k]), np.where(both, np.minimum(la[k], ca[nxt]), la[k]), np.where(both, np.maximum(cb[k], cb[nxt]), lb[k])
         row_start = row_start[k]
         levels.append((name, ca, cb))
@@ -110,7 +105,7 @@ def anchors_of(h: np.ndarray, at: np.ndarray, window: int = WINDOW, rounds: int
         return none.view(K.U64), none, none, none
     p = np.concatenate(starts)
     where, begin = np.full(len(p), -1), np.zeros(len(p), np.int64)
-    end = np.zeros(len(p), np.int64)
+    end, symbol = np.zeros(len(p), np.int64), np.zeros(len(p), K.U64)
     for r, (name, ca, cb) in reversed(list(enumerate(parse(h, at, rounds)))):
         todo = np.flatnonzero(where < 0)
         if not len(todo):
@@ -120,39 +115,46 @@ def anchors_of(h: np.ndarray, at: np.ndarray, window: int = WINDOW, rounds: int
         ok = lo <= hi
         todo, lo, hi = todo[ok], lo[ok], hi[ok]
         best = _range_argmin(K.mix(name + K.U64(99)), lo, hi)
-        where[todo], begin[todo], end[todo] = r, ca[best], cb[best]
+        where[todo], begin[todo], end[todo], symbol[todo] = r, ca[best], cb[best], name[best]
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1] + 1) | (where[1:] != where[:-1]) | (begin[1:] != begin[:-1]) | (end[1:] != end[:-1])
     i = np.flatnonzero(new)
     j = np.append(i[1:], len(p)) - 1
-    key = K.mix(K.range_hash(_sums(h), begin[i], end[i]) + where[i].astype(K.U64))
-    return key, begin[i], p[i], p[j] + 1
+    return K.mix(symbol[i] + where[i].astype(K.U64)), begin[i], p[i], p[j] + 1
 
 
 def _anchors(data: np.ndarray, offs: np.ndarray):
-    _, at, h = _sequence(data, offs)
-    return anchors_of(h, at)
+    s, e, at = K.words(data, offs, K.WORD_BYTES)
+    return anchors_of(K.word_hashes(data, s, e), at)
 
 
 def verified(fragments: list[tuple[int, bytes, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """For each (place, word names, copies): which of its windows have a name that occurs again."""
-    symbols = [np.frombuffer(b, K.U64) for _, b, _ in fragments]
+    """For each (place, words, copies): which of its windows occur again, word for word, in it or in another."""
+    known: dict[bytes, int] = {}
+    symbols = [np.array([known.setdefault(w, len(known)) for w in raw.split(b" ")], np.int32) for _, raw, _ in fragments]
     n = [max(len(s) - window + 1, 0) for s in symbols]
-    names = []
-    for s in symbols:
-        c = _sums(s)
-        i = np.arange(max(len(s) - window + 1, 0))
-        two = _sums(K.mix(s))
-        names.append(np.stack([K.range_hash(c, i, i + window), K.range_hash(two, i, i + window)], axis=1))
-    flat = np.concatenate(names)
-    copies = np.repeat([k for _, _, k in fragments], n)
-    order = np.lexsort((flat[:, 1], flat[:, 0]))
-    srt = flat[order]
-    head = np.ones(len(srt), bool)
-    head[1:] = (srt[1:] != srt[:-1]).any(axis=1)
+    flat = np.concatenate(symbols)
+    base = np.cumsum([0, *(len(s) for s in symbols[:-1])])
+    start = np.concatenate([b + np.arange(k) for b, k in zip(base.tolist(), n, strict=True)])
+    copies = np.repeat([k for *_, k in fragments], n)
+    name = K.chained(K.mix(flat.astype(K.U64) + K.U64(1)), window)[start] if len(start) else np.zeros(0, K.U64)
+    order = np.argsort(name, kind="stable")
+    srt, head = name[order], np.ones(len(order), bool)
+    alike = np.flatnonzero(srt[1:] == srt[:-1]) + 1
+    differ = False
+    for i in range(0, len(alike), 20_000):  # the words themselves decide
+        own = alike[i : i + 20_000]
+        x, y = (flat[start[order[at]][:, None] + np.arange(window)] for at in (own, own - 1))
+        equal = (x == y).all(axis=1)
+        head[own[equal]] = False
+        differ = differ or not equal.all()
+    if differ:  # different windows of one name lie between equal ones
+        order = np.lexsort(flat[start[:, None] + np.arange(window)].T[::-1])
+        rows = flat[start[order][:, None] + np.arange(window)]
+        head = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
     group = np.cumsum(head) - 1
-    total = np.bincount(group, weights=copies[order]) if len(srt) else np.zeros(0)
-    out = np.zeros(len(srt), bool)
+    total = np.bincount(group, weights=copies[order]) if len(order) else np.zeros(0)
+    out = np.zeros(len(order), bool)
     out[order] = total[group] > 1
     return np.split(out, np.cumsum(n)[:-1])
 

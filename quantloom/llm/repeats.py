@@ -23,17 +23,27 @@ from quantloom.llm.common import stored
 GROUP = 20_000
 #: Bytes of fragments that are compared at once (more only where one group has more).
 BATCH = 8_000_000
-RECORD = "uid long, key long, frag long, a int, p0 int, p1 int"
+#: Texts and fragments are told apart by two independent 64-bit hashes each, or 128 bits of one digest.
+UID, FRAG = ["u1", "u2"], ["f1", "f2"]
+NAMES = [*UID, "key", *FRAG, "a", "p0", "p1"]
+RECORD = "u1 long, u2 long, key long, f1 long, f2 long, a int, p0 int, p1 int"
 _INT, _LONG = pa.int32(), pa.int64()
 
 
+def _batch(uids, cols) -> pa.RecordBatch:
+    """uids: u1 and u2 of the records, as lists of arrays; cols: key, f1, f2, a, p0, p1 likewise."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (*uids, *cols)]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64 if i < 5 else np.int32, copy=False)) for i, x in enumerate(flat)], names=NAMES)
+
+
 @dataclass
 class Repeats:
-    """length: symbols in a window. sequence(data, offs): symbol hashes' prefix sums, rows' first symbols and,
-    for fragments' payloads, symbols as an array. anchors(data, offs): key, anchor, first and end start of
-    every fragment in flat symbol positions. compare(fragments): for each (anchor-relative start, payload,
-    copies) the flags of its windows. sizes: numbers of starts in the parts that a group is split into; first:
-    that of the parts made at once (0: none). reach: how far before its anchor a window can start."""
+    """length: symbols in a window. sequence(data, offs): rows' first symbols, and two functions of a range of
+    symbols: bytes that tell it apart, and its content for `compare`. anchors(data, offs): key, anchor, first
+    and end start of every fragment in flat symbol positions. compare(fragments): for each (anchor-relative
+    start, content, copies) the flags of its windows. sizes: numbers of starts in the parts that a group is
+    split into; first: that of the parts made at once (0: none). reach: how far before its anchor a window
+    can start."""
 
     length: int
     sequence: Callable
@@ -43,7 +53,7 @@ class Repeats:
     first: int
     reach: int
 
-    def parts(self, c, a, p0, p1, size):
+    def parts(self, ident, a, p0, p1, size):
         """Records cut to ranges of `size` starts, counted from the anchor: key, index of the record, p0, p1."""
         length, reach = self.length, self.reach
         lo, hi = (p0 - a + reach) // size, (p1 - 1 - a + reach) // size
@@ -53,27 +63,31 @@ class Repeats:
         edge = sub * size - reach + a[at]  # first start that the range may have
         q0, q1 = np.maximum(p0[at], edge), np.minimum(p1[at], edge + size)
         start, end = edge + size - 1, edge + length  # symbols that every window of the range has
-        return K.mix(K.range_hash(c, start, end) + sub.astype(K.U64) * K.U64(K.BASE) + K.U64(size)), at, q0, q1
+        key = [K.digest(ident(i, j) + b"%d,%d" % (k, size))[:8] for i, j, k in zip(start.tolist(), end.tolist(), sub.tolist(), strict=True)]
+        return np.frombuffer(b"".join(key), np.int64), at, q0, q1
 
-    def frag(self, c, a, p0, p1):
-        return K.signed(K.mix(K.range_hash(c, p0, p1 + self.length - 1) + (p0 - a + self.length).astype(K.U64) * K.U64(0xD1342543DE82EF95)))
+    def frag(self, ident, a, p0, p1):
+        """128 bits for each fragment's symbols and its place about the anchor, as two arrays."""
+        tail = self.length - 1
+        raw = [K.digest(ident(i, j + tail) + b"%d" % (i - x)) for i, j, x in zip(p0.tolist(), p1.tolist(), a.tolist(), strict=True)]
+        both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
     def records(self):
         def run(batches):
             for b in batches:
-                uid = b.column("uid").to_numpy()
-                cols = [[] for _ in range(6)]
+                uid = [b.column(u).to_numpy() for u in UID]
+                uids, cols = [[], []], [[] for _ in range(6)]
                 for row, data, offs in K.pieces(b.column("text")):
-                    c, at, _ = self.sequence(data, offs)
+                    at, ident, _ = self.sequence(data, offs)
                     key, a, p0, p1 = self.anchors(data, offs)
                     if self.first and len(a):
-                        key, i, p0, p1 = self.parts(c, a, p0, p1, self.first)
+                        key, i, p0, p1 = self.parts(ident, a, p0, p1, self.first)
                         a = a[i]
                     d = np.searchsorted(at, p0, "right") - 1
-                    for col, v in zip(cols, (uid[row + d], K.signed(key), self.frag(c, a, p0, p1), a - at[d], p0 - at[d], p1 - at[d]), strict=True):
+                    for col, v in zip((*uids, *cols), (*(u[row + d] for u in uid), K.signed(key), *self.frag(ident, a, p0, p1), a - at[d], p0 - at[d], p1 - at[d]), strict=True):
                         col.append(v)
-                out = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64 if i < 3 else np.int32, copy=False)) for i, x in enumerate(out)], names=["uid", "key", "frag", "a", "p0", "p1"])
+                yield _batch(uids, cols)
 
         return run
 
@@ -82,63 +96,61 @@ class Repeats:
 
         def run(batches):
             for b in batches:
-                uid, lists = b.column("uid").to_numpy(), b.column("list").to_pylist()
-                cols = [[] for _ in range(6)]
+                uid, lists = [b.column(u).to_numpy() for u in UID], b.column("list").to_pylist()
+                uids, cols = [[], []], [[] for _ in range(6)]
                 for row, data, offs in K.pieces(b.column("text")):
-                    c, at, _ = self.sequence(data, offs)
+                    at, ident, _ = self.sequence(data, offs)
                     for d in range(len(offs) - 1):
                         own = lists[row + d]
                         a, p0, p1 = (np.array([x[k] for x in own], np.int64) + at[d] for k in ("a", "p0", "p1"))
-                        key, i, q0, q1 = self.parts(c, a, p0, p1, size)
+                        key, i, q0, q1 = self.parts(ident, a, p0, p1, size)
                         old = np.array([x["key"] for x in own], np.int64).view(K.U64)[i]
-                        key = K.mix(key * K.U64(3) + old)
-                        for col, v in zip(cols, (np.full(len(i), uid[row + d]), K.signed(key), self.frag(c, a[i], q0, q1), a[i] - at[d], q0 - at[d], q1 - at[d]), strict=True):
+                        key = K.mix(key.view(K.U64) * K.U64(3) + old)
+                        for col, v in zip((*uids, *cols), (*(np.full(len(i), u[row + d]) for u in uid), K.signed(key), *self.frag(ident, a[i], q0, q1), a[i] - at[d], q0 - at[d], q1 - at[d]), strict=True):
                             col.append(v)
-                out = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64 if i < 3 else np.int32, copy=False)) for i, x in enumerate(out)], names=["uid", "key", "frag", "a", "p0", "p1"])
+                yield _batch(uids, cols)
 
         return run
 
     def payloads(self):
-        """From texts with `list`: (key, frag, n, x0, data) for every fragment to compare."""
+        """From texts with `list`: (key, f1, f2, n, x0, data) for every fragment to compare."""
 
         def run(batches):
             for b in batches:
                 lists = b.column("list").to_pylist()
-                key, frag, n, x0, raw = [], [], [], [], []
+                key, f1, f2, n, x0, raw = [], [], [], [], [], []
                 for row, data, offs in K.pieces(b.column("text")):
-                    _, at, symbols = self.sequence(data, offs)
+                    at, _, content = self.sequence(data, offs)
                     for d in range(len(offs) - 1):
                         for x in lists[row + d]:
-                            key.append(x["key"])
-                            frag.append(x["frag"])
-                            n.append(x["n"])
+                            for col, v in zip((key, f1, f2, n), (x["key"], x["f1"], x["f2"], x["n"]), strict=True):
+                                col.append(v)
                             x0.append(x["p0"] - x["a"])
-                            raw.append(symbols[at[d] + x["p0"] : at[d] + x["p1"] + self.length - 1].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(key, _LONG), pa.array(frag, _LONG), pa.array(n, _LONG), pa.array(x0, _INT), pa.array(raw, pa.binary())], names=["key", "frag", "n", "x0", "data"])
+                            raw.append(content(at[d] + x["p0"], at[d] + x["p1"] + self.length - 1))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, _LONG) for c in (key, f1, f2, n)), pa.array(x0, _INT), pa.array(raw, pa.binary())], names=["key", *FRAG, "n", "x0", "data"])
 
         return run
 
     def compared(self):
-        """From fragments sorted by key: (key, frag, s0, s1), ranges of repeated starts counted from the fragment's."""
+        """From fragments sorted by key: (key, f1, f2, s0, s1), ranges of repeated starts counted from the fragment's."""
 
         def flush(rows):
-            out = [[], [], [], []]
-            for (key, frag, *_), flags in zip(rows, self.compare([r[2:] for r in rows]), strict=True):
+            out = [[], [], [], [], []]
+            for (key, f1, f2, *_), flags in zip(rows, self.compare([r[3:] for r in rows]), strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                 for s0, s1 in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    for col, v in zip(out, (key, frag, s0, s1), strict=True):
+                    for col, v in zip(out, (key, f1, f2, s0, s1), strict=True):
                         col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], _LONG), pa.array(out[1], _LONG), pa.array(out[2], _INT), pa.array(out[3], _INT)], names=["key", "frag", "s0", "s1"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, _LONG) for c in out[:3]), pa.array(out[3], _INT), pa.array(out[4], _INT)], names=["key", *FRAG, "s0", "s1"])
 
         def run(batches):
             rows, size = [], 0
             for b in batches:
-                for key, frag, n, x0, raw in zip(*(b.column(k).to_pylist() for k in ("key", "frag", "n", "x0", "data")), strict=True):
+                for key, f1, f2, n, x0, raw in zip(*(b.column(k).to_pylist() for k in ("key", *FRAG, "n", "x0", "data")), strict=True):
                     if size >= BATCH and key != rows[-1][0]:
                         yield flush(rows)
                         rows, size = [], 0
-                    rows.append((key, frag, x0, raw, n))
+                    rows.append((key, f1, f2, x0, raw, n))
                     size += len(raw)
             if rows:
                 yield flush(rows)
@@ -146,48 +158,54 @@ class Repeats:
         return run
 
     def starts(self, docs: DataFrame) -> DataFrame:
-        """(uid, p0, p1): ranges of repeated window starts, in symbols, of texts of `docs` (doc_id, uid, text)."""
-        texts = docs.select("uid", "text")
+        """(u1, u2, p0, p1): ranges of repeated window starts, in symbols, of texts of `docs` (doc_id, u1, u2, text)."""
+        texts = docs.select(*UID, "text")
         records = texts.mapInArrow(self.records(), RECORD)
-        reps = docs.groupBy("uid").agg(F.min("doc_id").alias("rep"))
+        reps = docs.groupBy(*UID).agg(F.min("doc_id").alias("rep"))
 
         def with_text(lists: DataFrame) -> DataFrame:
             """Each text once beside its list (copies of one id may come along; they change nothing)."""
-            own = lists.join(reps, "uid").select(F.col("uid").alias("l_uid"), "rep", "list")
-            return docs.join(own.hint("shuffle_hash"), (docs["uid"] == F.col("l_uid")) & docs["doc_id"].eqNullSafe(F.col("rep"))).select("uid", "text", "list")
+            own = lists.join(reps, UID).select(F.col("u1").alias("l_u1"), F.col("u2").alias("l_u2"), "rep", "list")
+            same = (docs["u1"] == F.col("l_u1")) & (docs["u2"] == F.col("l_u2")) & docs["doc_id"].eqNullSafe(F.col("rep"))
+            return docs.join(own.hint("shuffle_hash"), same).select(*UID, "text", "list")
 
         found, sizes = None, list(self.sizes)
         while True:
-            groups = records.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("frag").alias("lo"), F.max("frag").alias("hi")).where("m > 1")
-            hits = stored(records.join(groups, "key").select(*records.columns, (F.col("lo") == F.col("hi")).alias("same")), "repeat-hits")
+            sums = [F.count(F.lit(1)).alias("m"), *(f(c).alias(f"{n}_{c}") for c in FRAG for f, n in ((F.min, "lo"), (F.max, "hi")))]
+            groups = records.groupBy("key").agg(*sums).where("m > 1").select("key", F.expr("lo_f1 = hi_f1 and lo_f2 = hi_f2").alias("same"))
+            # stored, so that the join reads plain shuffles on both sides and one hot key's records are split among tasks
+            groups = stored(groups, "repeat-groups")
+            hits = stored(records.join(groups, "key").select(*NAMES, "same"), "repeat-hits")
             mixed = hits.where("not same")
-            frags = mixed.groupBy("key", "frag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "a", "p0", "p1")).alias("at"))
-            frags = stored(frags.select("key", "frag", "n", "at.*"), "repeat-frags")
+            frags = mixed.groupBy("key", *FRAG).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*UID, "a", "p0", "p1")).alias("at"))
+            frags = stored(frags.select("key", *FRAG, "n", "at.*"), "repeat-frags")
             large = frags.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > GROUP).select("key")
             hot = bool(sizes) and bool(large.limit(1).count())
             if hot:
                 large = stored(large, "repeat-large")
                 frags = frags.join(large, "key", "left_anti")
-            lists = frags.groupBy("uid").agg(F.collect_list(F.struct("key", "frag", "n", "a", "p0", "p1")).alias("list"))
-            payload = with_text(lists).mapInArrow(self.payloads(), "key long, frag long, n long, x0 int, data binary")
-            runs = payload.repartition("key").sortWithinPartitions("key").mapInArrow(self.compared(), "key long, frag long, s0 int, s1 int")
-            some = mixed.join(runs, ["key", "frag"]).select("uid", (F.col("p0") + F.col("s0")).alias("p0"), (F.col("p0") + F.col("s1")).alias("p1"))
-            some = hits.where("same").select("uid", "p0", "p1").union(some)
+            lists = frags.groupBy(*UID).agg(F.collect_list(F.struct("key", *FRAG, "n", "a", "p0", "p1")).alias("list"))
+            payload = with_text(lists).mapInArrow(self.payloads(), "key long, f1 long, f2 long, n long, x0 int, data binary")
+            runs = payload.repartition("key").sortWithinPartitions("key").mapInArrow(self.compared(), "key long, f1 long, f2 long, s0 int, s1 int")
+            runs = stored(runs, "repeat-runs")
+            some = mixed.join(runs, ["key", *FRAG]).select(*UID, (F.col("p0") + F.col("s0")).alias("p0"), (F.col("p0") + F.col("s1")).alias("p1"))
+            some = hits.where("same").select(*UID, "p0", "p1").union(some)
             found = some if found is None else found.union(some)
             if not hot:
                 return found
             found = stored(found, "repeat-found")
             # copies of a text repeat all their records: one text stands for them, and each record comes as often
-            again = mixed.join(large, "key").groupBy("uid").agg(F.collect_set(F.struct("key", "a", "p0", "p1")).alias("list"))
-            times = docs.groupBy("uid").agg(F.count(F.lit(1)).alias("times"))
-            finer = with_text(again).mapInArrow(self.finer(sizes.pop(0)), RECORD).join(times, "uid")
-            records = finer.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.least("times", F.lit(2)).cast("int")))).drop("times")
+            again = mixed.join(large, "key").groupBy(*UID).agg(F.collect_set(F.struct("key", "a", "p0", "p1")).alias("list"))
+            times = docs.groupBy(*UID).agg(F.count(F.lit(1)).alias("times"))
+            finer = with_text(again).mapInArrow(self.finer(sizes.pop(0)), RECORD).join(times, UID)
+            records = finer.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.least("times", F.lit(2)).cast("int")))).drop("times").select(*NAMES)
 
     def marked(self, docs: DataFrame) -> DataFrame:
-        """`docs` (doc_id, uid, text) with `marks`: packed ranges p0 * 2**32 + p1 of repeated starts, or null."""
+        """`docs` (doc_id, u1, u2, text) with `marks`: packed ranges p0 * 2**32 + p1 of repeated starts, or null."""
         pack = F.shiftleft(F.col("p0").cast("long"), 32) + F.col("p1")
-        marks = self.starts(docs).select("uid", pack.alias("mark")).groupBy("uid").agg(F.collect_set("mark").alias("marks"))
-        return docs.join(marks.withColumnRenamed("uid", "m_uid").hint("shuffle_hash"), docs["uid"] == F.col("m_uid"), "left").drop("m_uid")
+        marks = self.starts(docs).select(*UID, pack.alias("mark")).groupBy(*UID).agg(F.collect_set("mark").alias("marks"))
+        marks = marks.select(F.col("u1").alias("m_u1"), F.col("u2").alias("m_u2"), "marks")
+        return docs.join(marks.hint("shuffle_hash"), (docs["u1"] == F.col("m_u1")) & (docs["u2"] == F.col("m_u2")), "left").drop("m_u1", "m_u2")
 
 
 def covered(marks: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +215,6 @@ def covered(marks: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, uid and text (null: empty): what the operators read."""
+    """doc_id, u1, u2 and text (null: empty): what the operators read."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("uid"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("u1"), F.xxhash64(F.lit("second"), text).alias("u2"), text.alias("text"))

@@ -27,7 +27,8 @@ WINDOW, GRAM = 400, 32
 
 
 def _sequence(data: np.ndarray, offs: np.ndarray):
-    return K.prefix_hash(data), offs, data
+    cut = lambda i, j: data[i:j].tobytes()
+    return offs, cut, cut
 
 
 def _anchors(data: np.ndarray, offs: np.ndarray):
@@ -35,8 +36,9 @@ def _anchors(data: np.ndarray, offs: np.ndarray):
     n = len(data)
     if n < WINDOW:
         return none.view(K.U64), none, none, none
-    c = K.prefix_hash(data)
-    g = K.mix((c[GRAM:] - c[:-GRAM]) * K.powers(n)[1][: n - GRAM + 1])
+    eight = K.mix(np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel())
+    m = n - GRAM + 1
+    g = K.mix(sum(eight[8 * i : 8 * i + m] * K.U64(2 * i + 1) for i in range(GRAM // 8)))  # equal anchors only propose
     bits = K.U64(n.bit_length())
     v = (g >> bits << bits) | np.arange(len(g), dtype=K.U64)  # ties go to the left
     best = (K.sliding_min(v, WINDOW - GRAM + 1) & ((K.U64(1) << bits) - K.U64(1))).astype(np.int64)
@@ -144,7 +146,7 @@ def deduplicated(docs: DataFrame, repeats: Repeats = REPEATS) -> DataFrame:
 
     Every byte that a string of 400 bytes covers which also starts elsewhere, in any row, is removed;
     strings are judged on the input. Null texts count as empty; texts under 400 bytes stay; repeated
-    rows of 400 bytes or more lose all. Texts are told apart by 64-bit hashes. Other columns are not read.
+    rows of 400 bytes or more lose all. Other columns are not read.
     """
     length = repeats.length
 

@@ -152,10 +152,43 @@ def test_targets_share_the_excess():
     assert got[0] == 30 and got[3] == 0 and sum(got) == pytest.approx(1110) and got[1] == 300
 
 
-def test_large_items_are_refused(spark):
-    items = spark.createDataFrame([("a", "x" * 100)], "item_id string, text string")
-    with pytest.raises(ValueError, match="over 50"):
-        decontamination.screen(items, max_bytes=50)
+def test_large_items_are_screened_in_parts(spark):
+    """Several automata and several passes give the rows of one."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(300)}"
+    items = [(str(i), " ".join(word() for _ in range(rng.choice([1, 3, 14, 40])))) for i in range(40)]
+    texts = [" ".join([*(word() for _ in range(30)), *items[rng.randrange(40)][1].split(), *items[rng.randrange(40)][1].split()[3:], *(word() for _ in range(30))]) for _ in range(30)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, None), (1, texts[1])], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id string, text string")
+    one = decontamination.contamination(docs, table, spans=True)
+    many = decontamination.contamination(docs, table, spans=True, part_bytes=300, held_bytes=9000)
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and one.where("n_hit > 0").count() > 20
+    assert len(list(decontamination.screens(table, part_bytes=300))) > 5
+
+
+def _thue_morse():
+    """Two different words of 1,024 letters that any power series modulo 2**64 takes for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_regular_words_are_told_apart(spark):
+    x, y = _thue_morse()
+    plain = [f"p{i}" for i in range(34)]
+    rows = [(1, " ".join([*plain[:17], x, *plain[17:]])), (2, " ".join([*plain[:17], y, *plain[17:]])), (3, x), (4, y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.groups(docs, 2, 95).collect()} == {i: i for i in range(1, 5)}
+    assert {r.n_removed for r in recompression.deduplicated(docs).collect()} == {0}
+    items = spark.createDataFrame([("a", x)], "item_id string, text string")
+    assert {r.doc_id for r in decontamination.contamination(docs, items).where("n_hit > 0").collect()} == {1, 3}
+    whole = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicated(docs).collect()}
+    seen = Counter(t.encode()[i : i + 400] for _, t in rows for i in range(len(t) - 399))
+    for i, t in rows:
+        raw, gone = t.encode(), set()
+        for j in range(len(raw) - 399):
+            if seen[raw[j : j + 400]] > 1:
+                gone.update(range(j, j + 400))
+        assert whole[i] == len(gone)
 
 
 def test_shard_counts_other_than_powers_of_two(spark):
