@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql import Window as W
 
@@ -14,13 +15,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
+_marked: set[str] = set()
+
+
 def _folder(spark: SparkSession) -> str:
+    """This application's folder, which goes when the application ends."""
+    path = _folder_of(spark)
+    if path not in _marked:
+        _marked.add(path)
+        named = spark._jvm.org.apache.hadoop.fs.Path(path)
+        named.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(named)
+    return path
+
+
+def _folder_of(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quantloom-{spark.sparkContext.applicationId}"
 
 
 def cleanup(spark: SparkSession) -> None:
     """Deletes all tables that this application stored. For when its results are written: they read those tables."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder_of(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -69,11 +83,23 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def id_range(df: DataFrame, doc_id: str, parts: int) -> Column:
-    """Which of `parts` equal ranges between the least and greatest id a row's id is in (null: -1)."""
-    span = df.agg(F.min(doc_id).alias("lo"), F.max(doc_id).alias("hi")).first()  # one row
-    lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
-    return F.coalesce(F.floor((F.col(doc_id) - F.lit(lo)) / F.lit((hi - lo) // parts + 1)), F.lit(-1)).cast("int")
+def id_range(df: DataFrame, doc_id: str, parts: int, tie: str | None = None) -> Column:
+    """Which of about `parts` ranges of like counts a row's id is in, rising with the id; nulls below all others.
+
+    The bounds are approximate quantiles of the ids, so neither their size nor a few outlying ones matter. tie:
+    a column of evenly spread 64-bit numbers, by which rows without an id are dealt to ranges, rising too.
+    """
+    at = [i / parts for i in range(1, parts)]
+    got = df.agg(F.percentile_approx(doc_id, at, min(10 * parts, 200_000)).alias("q")).first()["q"] if at else None  # `parts` numbers
+    bounds = sorted(set(got or []))
+    low = F.lit(-1) if tie is None else F.floor(F.col(tie) / F.lit(2.0**64 / parts)).cast("int") - F.lit(parts)
+    if not bounds:
+        return F.when(F.col(doc_id).isNull(), low).otherwise(F.lit(0)).cast("int")
+    table = F.lit(np.array(bounds, np.int64))
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    # bisection: how many bounds are below the id
+    below = F.aggregate(F.lit(np.array(steps, np.int32)), F.lit(0), lambda n, step: F.when(F.coalesce(F.get(table, n + step - 1) < F.col(doc_id), F.lit(False)), n + step).otherwise(n))
+    return F.when(F.col(doc_id).isNull(), low).otherwise(below).cast("int")
 
 
 def gapless(df: DataFrame, keys: list[str], cells: list[str], order: list, into: str) -> DataFrame:

@@ -98,22 +98,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, anchors, next_text, next_anchors: each document beside the next by falling id.
 
     Null texts count as empty, null ids come last, rows of one id go by a hash of their text, and after
-    the last document comes the first. Ids are cut into equal ranges, each sorted by itself; the head
+    the last document comes the first. Ids are cut into ranges of like counts (rows without id by their texts' hashes), each sorted by itself; the head
     of the range below follows a range's last document.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = rows.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    rows = rows.withColumn("range", id_range(rows, "doc_id", ranges)).withColumn("tid", F.xxhash64("text"))
-    key = rows.select("range", F.struct("doc_id", F.bitwise_not("tid").alias("not_tid")).alias("first"))
+    rows = rows.withColumn("tid", F.xxhash64("text"))
+    rows = rows.withColumn("range", id_range(rows, "doc_id", ranges, "tid"))
+    key = rows.select("range", F.struct("doc_id", "tid").alias("first"))
     heads = key.groupBy("range").agg(F.max("first").alias("first"))
-    down = W.partitionBy(F.lit(0)).orderBy(F.col("range").desc())  # MOST_RANGES rows at most
+    down = W.partitionBy(F.lit(0)).orderBy(F.col("range").desc())  # 2 * MOST_RANGES rows at most
     below = F.coalesce(F.lead("first").over(down), F.first("first").over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     heads = heads.select(F.col("range").alias("above"), below.alias("first"))
-    # MOST_RANGES rows at most are broadcast, so that texts need no second shuffle
-    heads = heads.select("above", F.col("first.doc_id").alias("h_id"), F.bitwise_not("first.not_tid").alias("h_tid"))
+    # 2 * MOST_RANGES rows at most are broadcast, so that texts need no second shuffle
+    heads = heads.select("above", F.col("first.doc_id").alias("h_id"), F.col("first.tid").alias("h_tid"))
     head = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tid") == F.col("h_tid"))).select("above", F.col("text").alias("h_text")).dropDuplicates(["above"])
-    by = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "tid")
+    by = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tid").desc())
     rows = rows.withColumn("anchors", syncmers(F.col("text")))
     rows = rows.withColumn("next_text", F.lead("text").over(by)).withColumn("next_anchors", F.lead("anchors").over(by))
     both = rows.join(head, (F.col("range") == F.col("above")) & F.col("next_text").isNull(), "left")

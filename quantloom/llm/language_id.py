@@ -3,7 +3,7 @@
 First the family, by one linear support vector machine per family; then one-versus-one linear support
 vector machines among that family's languages. All machines read hashed byte n-grams of the whole text
 (ASCII letters folded) and are trained here by stochastic subgradient descent on the hinge loss, over a
-bounded sample: at most `rows_per_lang` rows of each language. Families come from a table of language
+bounded sample: at most `rows_per_lang` rows of each language, `max_rows` in all. Families come from a table of language
 codes; a code it lacks is a family of its own.
 """
 
@@ -21,8 +21,10 @@ from quantloom.llm import kernels as K
 from quantloom.llm.common import extended, fresh
 
 BITS = 16
+SALTS = 64
 ORDERS = (2, 3, 4)
 
+# Families by language codes.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi".split(),
     "romance": "fr es it pt ro ca gl oc la".split(),
@@ -64,7 +66,7 @@ def _counted(batches):
             for d in range(len(offs) - 1):
                 u, c = np.unique(np.concatenate([x[a[d] : e[d]] for x, a, e in parts]), return_counts=True)
                 ids.append(u.astype(np.int32).tobytes())
-                counts.append(np.minimum(c, 65535).astype(np.uint16).tobytes())
+                counts.append(c.astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
 
@@ -125,6 +127,7 @@ class LanguageModel:
     def predict(self, docs: DataFrame) -> DataFrame:
         """Adds `lang_pred` and `score`. Texts that are null or have no letter are `und` with score 0.
 
+        Texts of any length are read whole; repeated rows get equal answers; an empty table gives no rows.
         Columns of `docs` by those names are replaced. A model without languages answers `und`.
         """
         docs = docs.drop("lang_pred", "score")
@@ -158,19 +161,25 @@ class LanguageModel:
         return docs.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 1200, epochs: int = 6, rate: float = 60.0) -> LanguageModel:
+def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 1000, max_rows: int = 64_000, epochs: int = 6, rate: float = 60.0) -> LanguageModel:
     """Learns `lang` from `text` on rows that satisfy `learn` and have both.
 
-    The sample holds at most `rows_per_lang` rows of a language, those with the lowest hashes of their
-    ids. Empty tables give a model without languages.
+    The sample holds at most `rows_per_lang` ids of a language and about `max_rows` in all, those with the lowest
+    hashes; of repeated rows of an id the least text counts. Very long texts count whole. Empty tables give a
+    model without languages. What the driver and the model hold is bounded by `max_rows`.
     """
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn).select("doc_id", "lang")
-    picked = picked.withColumn("at", F.row_number().over(by)).where(F.col("at") <= rows_per_lang).select("doc_id", "lang").distinct()
-    # rows_per_lang rows of each language: a size bounded by parameters
-    texts = docs.where(F.col("text").isNotNull() & learn).select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learn).select("doc_id", "lang")
+    langs = known.select("lang").distinct().count()
+    each = max(1, min(rows_per_lang, max_rows // max(langs, 1)))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    # first in SALTS parts of a language, so that no task sorts more than SALTS * rows_per_lang ids of one
+    picked = known.distinct().withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        picked = picked.withColumn("at", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= each).drop("at")
+    chosen = F.broadcast(picked.select("doc_id", "lang").orderBy(*order).limit(max_rows))  # max_rows rows at most
+    texts = docs.where(F.col("text").isNotNull() & learn).select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     got = texts.mapInArrow(_counted, "lang string, ids binary, counts binary").toArrow().combine_chunks()
-    rows = [r for r in zip(got.column("lang").to_pylist(), K.views(got.column("ids"), np.int32), K.views(got.column("counts"), np.uint16), strict=True) if len(r[1])]
+    rows = [r for r in zip(got.column("lang").to_pylist(), K.views(got.column("ids"), np.int32), K.views(got.column("counts"), np.uint32), strict=True) if len(r[1])]
     rows.sort(key=lambda r: (r[0], len(r[1]), crc32(r[1]), crc32(r[2])))  # not as tasks happened to end
     return train(rows, epochs, rate)
 

@@ -54,7 +54,7 @@ def _counted(batches):
                 own = np.concatenate([x[a[d] : e[d]] + (k << BITS) for k, (x, a, e) in enumerate(parts)])
                 u, c = np.unique(own, return_counts=True)
                 ids.append(u.astype(np.int32).tobytes())
-                counts.append(np.minimum(c, 65535).astype(np.uint16).tobytes())
+                counts.append(c.astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["label", "ids", "counts"])
 
 
@@ -127,16 +127,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_label: int =
     """Learns `labels.quality` (0 or 1; other values and nulls are left out) from the texts of `docs`.
 
     learn: a condition on `doc_id` for rows that may be learnt from. At most `rows_per_label` rows of
-    each label are used. Ids that have several labels count with the least; repeated documents of a
-    chosen id all count. Empty tables give the prior model.
+    each label are used. Ids that have several labels count with the least; of repeated documents
+    of a chosen id the least text counts. Very long texts count whole. Empty tables give the prior model.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     order = F.xxhash64(F.col("doc_id"))
     picked = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(rows_per_label) for y in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows_per_label rows at most
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text")
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     got = texts.mapInArrow(_counted, "label int, ids binary, counts binary").toArrow().combine_chunks()
-    rows = list(zip(got.column("label").to_pylist(), K.views(got.column("ids"), np.int32), K.views(got.column("counts"), np.uint16), strict=True))
+    rows = list(zip(got.column("label").to_pylist(), K.views(got.column("ids"), np.int32), K.views(got.column("counts"), np.uint32), strict=True))
     rows.sort(key=lambda r: (r[0], len(r[1]), crc32(r[1]), crc32(r[2])))  # not as tasks happened to end
     return train(rows, **how)
 
@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_label: int =
 def classify(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
     """Adds `score` and `predicted` (1 if score >= threshold). Null and empty texts get the model's prior.
 
-    Columns of `docs` by those names are replaced. Repeated rows get equal answers.
+    Texts of any length are read whole. Columns of `docs` by those names are replaced. Repeated rows get equal
+    answers, and an empty table gives no rows.
     """
     plain = docs.drop("score", "predicted")
     return model.score(plain).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -37,7 +37,7 @@ def op5_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(base, lambda s: s["kind"])
     n = [F.size(F.array_remove(kinds, k)) for k in range(3)]  # spans of other kinds
     n = [(F.size(base) - x).cast("long").alias(f"n_{name}") for x, name in zip(n, secrets.KINDS, strict=False)]
-    return rows.select("doc_id", *n, F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"), secrets.as_text(F.concat("base", "added")).alias("spans"))
+    return rows.select("doc_id", *n, F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"), secrets.as_text(F.concat("base", "added")).alias("spans"), "n_tested", "n_random")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Secrets by fixed patterns and a battery of randomness tests.
 
-Base spans follow three patterns: assignments, access keys and hexadecimal runs. The method adds long
-tokens that have both letters and digits and look random in the encoding that their characters suggest
-(hexadecimal, base 32 or base 64): a chi-squared statistic of alphabet uniformity, a runs test about
+Base spans follow three patterns: assignments, access keys and hexadecimal runs. The method tests every run
+of 16 or more characters of an encoding, those inside base spans too, and adds those that look random in the
+encoding that their characters suggest (hexadecimal, base 32, letters and digits of one case, or base 64): a chi-squared statistic of alphabet uniformity, a runs test about
 the middle of the alphabet, and serial correlations of lags 1 and 2 are standardised, and the sum of
 their squares has nearly a chi-squared law with 4 degrees of freedom if the token is random, with tail
 exp(-s/2) (1 + s/2). p-values of random tokens are even, those of words pile up at 0. In each class of
@@ -15,17 +15,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quantloom.llm.common import stored
+from quantloom.llm.common import fresh, stored
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 _T = "A-Za-z0-9+/_=-"
-#: A token of 20 characters or more with a digit and a letter.
-TOKEN = rf"(?<![{_T}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{_T}]{{20,}}"
-ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Every candidate: a maximal run of 16 characters or more.
+TOKEN = rf"[{_T}]{{16,}}"
+ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 KINDS = ("assign", "access", "hex", "random")
 BINS = 100
+#: Codes of the shortest token whose statistics have their laws.
+LEAST = 16
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -59,7 +61,7 @@ def found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
 
 
 def _codes(token: Column, k: int) -> Column:
-    plain = F.translate(F.translate(token, "=", ""), "-_", "+/") if k == 64 else F.translate(F.lower(token) if k == 16 else token, "=", "")
+    plain = F.translate(F.translate(token, "=", ""), "-_", "+/") if k == 64 else F.translate(F.lower(token) if k in (16, 36) else token, "=", "")
     return F.transform(F.split(plain, ""), lambda c: (F.instr(F.lit(ALPHABETS[k]), c) - 1).cast("double"))
 
 
@@ -91,9 +93,11 @@ def statistic(v: Column, k: int) -> Column:
 
 def p_value(token: Column) -> Column:
     """How well a token agrees with random codes of its inferred encoding (0 to 1)."""
-    one = lambda k: _let(_codes(token, k), lambda v: statistic(v, k))
-    s = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), one(16)).when(token.rlike("^[A-Z2-7]+=*$"), one(32)).otherwise(one(64))
-    return _let(s, lambda x: F.exp(-x / 2) * (1 + x / 2))
+    one = lambda k: _let(_codes(token, k), lambda v: F.when(F.size(v) >= LEAST, statistic(v, k)))
+    letters = token.rlike("[a-zA-Z]")
+    s = F.when(letters & token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), one(16)).when(letters & token.rlike("^[A-Z2-7]+=*$") & token.rlike("[2-7]"), one(32))
+    s = s.when(token.rlike("^([a-z0-9]+|[A-Z0-9]+)$") & letters & token.rlike("[0-9]"), one(36)).otherwise(one(64))
+    return _let(F.coalesce(s, F.lit(float("inf"))), lambda x: F.when(x == float("inf"), 0.0).otherwise(F.exp(-x / 2) * (1 + x / 2)))
 
 
 def thresholds(tests: DataFrame, false_discoveries: float) -> dict[int, int]:
@@ -117,15 +121,15 @@ def thresholds(tests: DataFrame, false_discoveries: float) -> dict[int, int]:
 def scan(docs: DataFrame, false_discoveries: float = 0.05) -> DataFrame:
     """Per row of `docs`: doc_id, base (spans of the fixed patterns) and added (spans of random tokens).
 
-    Spans are in code points, end exclusive, by start, then kind. Null texts count as empty. Tokens
-    inside a base span are not tested. Repeated rows get equal answers. Other columns are not read.
+    Also n_tested and n_random: candidates and those judged random, inside base spans or not. Spans are in code
+    points, end exclusive, by start, then kind; a random token that a base span holds is not added again. Null and
+    empty texts have none; whole texts of any length are read. Repeated rows get equal answers. Other columns are
+    not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     base = F.array_sort(F.concat(found(F.col("text"), ASSIGN, 0, 1, 12), found(F.col("text"), ACCESS, 1), found(F.col("text"), HEX, 2)))
     rows = rows.select("doc_id", base.alias("base"), "text", found(F.col("text"), TOKEN, 3).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
-    rows = rows.select("doc_id", "base", "text", free.alias("tokens"))
     token = lambda t: F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"])
     tested = F.transform("tokens", lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"),
@@ -136,8 +140,10 @@ def scan(docs: DataFrame, false_discoveries: float = 0.05) -> DataFrame:
     least = thresholds(rows.select(F.explode("tested").alias("t")).select("t.length_class", "t.bin"), false_discoveries)
     limit = F.create_map(*(F.lit(x) for kv in least.items() for x in kv)) if least else F.create_map(F.lit(0), F.lit(BINS))
     kept = F.filter("tested", lambda t: t["bin"] >= F.coalesce(F.try_element_at(limit, t["length_class"]), F.lit(BINS)))
-    added = F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return rows.select("doc_id", "base", added.alias("added"))
+    rows = rows.select("doc_id", "base", F.size("tested").cast("long").alias("n_tested"), kept.alias("kept"))
+    free = F.filter("kept", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
+    added = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return rows.select("doc_id", "base", added.alias("added"), "n_tested", F.size("kept").cast("long").alias("n_random"))
 
 
 def as_text(spans: Column) -> Column:
@@ -147,8 +153,10 @@ def as_text(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mask: str = "*") -> DataFrame:
-    """`docs` (unique ids) with every character of a found span replaced by `mask`."""
-    spans = scan(docs).select(F.col("doc_id").alias("k_id"), F.concat("base", "added").alias("k_spans"))
+    """`docs` with every character of a found span replaced by `mask`. Rows that agree in id and text have the
+    same spans, so ids need not be unique. Null texts stay null."""
+    key, other = fresh(docs, "red_key", "red_spans")
+    spans = scan(docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.concat("base", "added").alias(other)).dropDuplicates([key])
     hide = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.repeat(F.lit(mask), s["end"] - s["start"]), F.substring(t, s["end"] + 1, F.length(t)))
-    out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("k_id")), "left")
-    return out.withColumn("text", F.coalesce(F.aggregate("k_spans", F.col("text"), hide), F.col("text"))).select(*docs.columns)
+    out = docs.withColumn(key, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")).join(spans, key, "left")
+    return out.withColumn("text", F.coalesce(F.aggregate(other, F.col("text"), hide), F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns))

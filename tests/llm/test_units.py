@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontamination, fingerprints, kernels, language_id, mixing, near_dedup, quality, recompression, secrets, sharding, suffix_dedup
+from quantloom.llm import common, decontamination, fingerprints, kernels, language_id, mixing, near_dedup, quality, recompression, secrets, sharding, suffix_dedup
 from quantloom.llm.repeats import Repeats
 
 
@@ -226,3 +226,56 @@ def test_shards_are_cut_by_metadata(spark):
     docs = spark.range(80).select(F.col("id").alias("doc_id"), F.format_string("text %05d", "id").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"), F.lit("web").alias("source"))
     rows = sharding.shard(docs, 2).join(docs, "doc_id").groupBy("shard").agg(F.collect_set("lang").alias("langs"), F.count(F.lit(1)).alias("n")).collect()
     assert sorted((*r.langs, r.n) for r in rows) == [("de", 40), ("en", 40)]
+
+
+def test_ids_far_apart(spark):
+    """Ids of both ends, null ids, and one outlying id: results are whole and ranges stay even."""
+    ids = [-9 * 10**18, 9 * 10**18, None, None, *range(400), 8 * 10**18]
+    docs = spark.createDataFrame([(i, f"text number {n} of them all", "s", "en") for n, i in enumerate(ids)], "doc_id long, text string, source string, lang string")
+    rows = sharding.shard(docs, 4).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(ids)
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(4))
+    assert Counter(r.doc_id for r in mixing.plan(docs).collect()) == Counter(ids)
+    got = fingerprints.with_next(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids) and len({r.next_text for r in got}) == len(ids)
+    part = docs.select(common.id_range(docs, "doc_id", 8).alias("r")).where("r >= 0").groupBy("r").count().collect()
+    assert len(part) == 8 and max(p["count"] for p in part) < 70
+
+
+def test_equal_texts_share_a_shard(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('copied text ', if(id % 7 = 0, 0, id)) as text", "concat('s', id % 3) as source", "'en' as lang")
+    spread = sharding.shard(docs, 5).groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0]
+    assert spread == 1
+
+
+def test_planted_random_tokens_are_found(spark):
+    """Random tokens outside of fixed patterns and long ones that are not random, every one of them tested."""
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for i in range(600):
+        kind = i % 3
+        if kind == 0:
+            k = rng.choice([36, 64, 64])
+            token = "".join(rng.choice(secrets.ALPHABETS[k]) for _ in range(rng.randrange(24, 60)))
+        elif kind == 1:
+            token = "-".join(rng.choice(["alpha", "report", "final", "version", "2024", "draft", "internal"]) for _ in range(6))
+        else:
+            token = rng.choice(["internationalization", "counterrevolutionaries", "aaaaaaaaaaaaaaaaaaaaaaaa", "0123456789012345678901234567", "________________________", "abcdefghijklmnopqrstuvwxyz"])
+        rows.append((i, f"some words before {token} and after"))
+        planted[i] = kind == 0
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_tested == 1 for r in got.values())
+    found = {i for i, r in got.items() if r.added or r.n_random}
+    hits = sum(planted[i] for i in found)
+    assert hits / 200 >= 0.9 and hits / len(found) >= 0.93
+
+
+def test_unit_without_gathering_sources(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(mixing, "RATIOS", 4)
+    for n in (1, 2, 5, 60):
+        sizes = [rng.choice([0, 1, 7, 7, 300, 20_000]) for _ in range(n)]
+        table = spark.createDataFrame([(s, float(mixing.WEIGHTS[i % 3])) for i, s in enumerate(sizes)], "source_size long, weight double")
+        unit, want = mixing._unit(table, 3), mixing.targets(sizes)
+        got = [min(3.0 * s, unit * mixing.WEIGHTS[i % 3]) if s else 0.0 for i, s in enumerate(sizes)]
+        assert got == pytest.approx(want)
