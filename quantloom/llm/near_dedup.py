@@ -206,6 +206,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = members.where("m > 2").join(names, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     torn = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("c"), F.sum("c").alias("m")).where("m > c")
+    torn = stored(torn, "near-torn")
     rest = stored(known.join(torn, "key").select("key", "node", "comp", (F.col("comp") != F.col("major")).alias("minor"), "m", "c"), "near-rest")
     if rest.limit(1).count():
         # minor members are compared with all; both are dealt into parts, so that no task holds a whole large bucket
