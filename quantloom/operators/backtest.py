@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from quantloom.operators.construct import MODELS, optimise
+from quantloom.operators.factors import capm, multi_factor
+from quantloom.operators.screening import screen_point_in_time
 
 YEAR = 252
 
@@ -64,18 +66,116 @@ def window_moments(prices: DataFrame, numbered: DataFrame, plan: DataFrame, look
     return mu, cov
 
 
-def walk_forward_weights(prices: DataFrame, lookback: int, rebalance: int, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0) -> DataFrame:
-    """(strategy, t, until, ticker, w, status): weights decided on the rows before t, held from the close of t."""
+#: Strategies that take factor returns: expected returns and covariance by which each maximises the Sharpe ratio.
+FACTOR_MODELS = {
+    "CAPM Maximum Sharpe": ("capm", False),
+    "FF3 Maximum Sharpe": ("ff3", False),
+    "FF5 Maximum Sharpe": ("ff5", False),
+    "FF3 Factor Covariance": ("ff3", True),
+    "FF5 Factor Covariance": ("ff5", True),
+}
+ALL_MODELS = (*MODELS, *FACTOR_MODELS)
+FACTOR_NAMES = {"ff3": ("mkt_rf", "smb", "hml"), "ff5": ("mkt_rf", "smb", "hml", "rmw", "cma")}
+
+
+def _windows(prices: DataFrame, numbered: DataFrame, plan: DataFrame, lookback: int) -> DataFrame:
+    """(t, key, ticker, session, no, ret, own_prev) of the rows before each t that have a row before them in the window."""
+    w = W.partitionBy("ticker").orderBy("no")
+    r = prices.join(numbered, "session").select("ticker", "session", "no", (F.col("close") / F.lag("close").over(w) - 1).alias("ret"), F.lag("session").over(w).alias("own_prev"), F.lag("no").over(w).alias("from"))
+    inside = r.join(plan.select("t"), (F.col("no") < F.col("t")) & (F.col("from") >= F.col("t") - lookback))  # a row lies in lookback / rebalance windows
+    return inside.withColumn("key", F.concat_ws("|", F.col("t").cast("string"), "ticker"))
+
+
+def _unkeyed(df: DataFrame, *columns: str) -> DataFrame:
+    split = F.split("ticker", r"\|", 2)
+    return df.select(split[0].cast("int").alias("t"), split[1].alias("ticker"), *columns)
+
+
+def capm_moments(prices: DataFrame, market: DataFrame, numbered: DataFrame, plan: DataFrame, lookback: int, rf: float = 0.0) -> DataFrame:
+    """(t, ticker, mu): CAPM expected returns on each window's sessions."""
+    rows = _windows(prices, numbered, plan, lookback)
+    m = _windows(market.select(F.lit("market").alias("ticker"), "session", "close"), numbered, plan, lookback).select("t", "session", F.col("ret").alias("market_ret"))
+    both = rows.join(m, ["t", "session"]).select(F.col("key").alias("ticker"), "session", "ret", "market_ret")
+    fit = capm(both.select("ticker", "session", "ret"), both.select(F.col("ticker").alias("m"), "session", "market_ret"), rf, same=F.col("ticker") == F.col("m"))
+    return _unkeyed(fit, F.col("expected").alias("mu")).where("mu is not null")
+
+
+def factor_moments(prices: DataFrame, factors: DataFrame, numbered: DataFrame, plan: DataFrame, lookback: int, names: tuple[str, ...], months: int = 2, min_obs: int = 80, periods: int = YEAR) -> tuple[DataFrame, DataFrame]:
+    """Factor-model means (t, ticker, mu) and covariances (t, ticker_i, ticker_j, value) at each t, on returns over
+    neighbouring sessions of both calendars up to `months` months before the last row known."""
+    days = prices.select("session").union(factors.select("session")).distinct()
+    before = days.withColumn("prev", F.lag("session").over(W.partitionBy(F.lit(0)).orderBy("session")))  # one row a session
+    signal = plan.select("t").join(numbered, F.col("no") == F.col("t") - 1).select("t", F.add_months("session", -months).alias("cutoff"))
+    rows = _windows(prices, numbered, plan, lookback).join(signal, "t").join(before, "session").where("own_prev = prev and session <= cutoff")
+    sample = rows.select("t", F.col("key").alias("ticker"), "session", "ret").join(factors, "session")
+    fit = multi_factor(sample, names, min_obs).where("status = 'ok'")
+    betas = [f"beta_{n}" for n in names]
+    fit = _unkeyed(fit, *betas, "resid_var", F.col("expected").alias("mu"))
+    once = sample.select("t", "session", *names).distinct()
+    cov = once.groupBy("t").agg(*(F.covar_samp(a, b).alias(f"v_{a}_{b}") for a in names for b in names))
+    i = fit.select("t", F.col("ticker").alias("ticker_i"), *(F.col(f"beta_{n}").alias(f"i_{n}") for n in names), "resid_var")
+    j = fit.select("t", F.col("ticker").alias("ticker_j"), *(F.col(f"beta_{n}").alias(f"j_{n}") for n in names))
+    value = sum((F.col(f"i_{a}") * F.col(f"v_{a}_{b}") * F.col(f"j_{b}") for a in names for b in names), F.lit(0.0))
+    own = F.when(F.col("ticker_i") == F.col("ticker_j"), F.col("resid_var")).otherwise(0.0)
+    return fit.select("t", "ticker", "mu"), i.join(j, "t").join(cov, "t").select("t", "ticker_i", "ticker_j", ((value + own) * periods).alias("value"))
+
+
+def selection(prices: DataFrame, numbered: DataFrame, plan: DataFrame, policy: str = "dynamic", top_n: int = 10, min_obs: int = 252, screen=None) -> DataFrame:
+    """(t, ticker): assets that a screen chooses of the rows before each rebalance: `dynamic` anew at each, `fixed`
+    once at the first. screen(prices, dates): decision_date, ticker, selected; the price-only screen if None."""
+    if policy not in ("fixed", "dynamic"):
+        raise ValueError(f"unknown selection policy {policy}")
+    at = plan.select("t").join(numbered, F.col("no") == F.col("t")).select("t", F.col("session").alias("decision_date"))
+    first = at.agg(F.min("t").alias("t"))
+    when = at.join(first, "t") if policy == "fixed" else at
+    chosen = (screen or (lambda p, d: screen_point_in_time(p, d, min_obs, top_n)))(prices, when.select("decision_date")).where("selected")
+    chosen = chosen.select("decision_date", "ticker").join(when, "decision_date").select("t", "ticker")
+    return plan.select("t").crossJoin(chosen.select("ticker")) if policy == "fixed" else chosen
+
+
+def walk_forward_weights(
+    prices: DataFrame, lookback: int, rebalance: int, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0,
+    market: DataFrame | None = None, factors: DataFrame | None = None, chosen: DataFrame | None = None, months: int = 2, min_obs: int = 80,
+) -> DataFrame:
+    """(strategy, t, until, ticker, w, status): weights decided on the rows before t, held from the close of t.
+
+    FACTOR_MODELS need `market` (CAPM) or `factors` (lagged by `months` months). chosen (t, ticker), as `selection`
+    gives: only these assets take part.
+    """
+    unknown = set(models) - set(ALL_MODELS)
+    if unknown:
+        raise ValueError(f"unknown strategies: {', '.join(sorted(unknown))}")
     numbered = sessions(prices)
     plan = schedule(numbered, lookback, rebalance)
     mu, cov = window_moments(prices, numbered, plan, lookback)
-    if tuple(models) == ("Equal Weight",):
-        w = mu.select(F.lit("Equal Weight").alias("strategy"), "t", "ticker", (F.lit(1.0) / F.count(F.lit(1)).over(W.partitionBy("t"))).alias("w"), F.lit("ok").alias("status"))
-    else:
-        w = optimise(mu, cov, ["t"], models, rf, cap)
+    keep = lambda df: df if chosen is None else df.join(chosen, ["t", "ticker"], "left_semi")
+    mu = keep(mu)
+    if chosen is not None:
+        side = lambda c: chosen.select("t", F.col("ticker").alias(c))
+        cov = cov.join(side("ticker_i"), ["t", "ticker_i"], "left_semi").join(side("ticker_j"), ["t", "ticker_j"], "left_semi")
+    plain, parts = tuple(m for m in models if m in MODELS), []
+    if plain == ("Equal Weight",):
+        parts.append(mu.select(F.lit("Equal Weight").alias("strategy"), "t", "ticker", (F.lit(1.0) / F.count(F.lit(1)).over(W.partitionBy("t"))).alias("w"), F.lit("ok").alias("status")))
+    elif plain:
+        parts.append(optimise(mu, cov, ["t"], plain, rf, cap))
+    moments: dict[str, tuple] = {}
+    for name in (m for m in models if m in FACTOR_MODELS):
+        kind, factor_cov = FACTOR_MODELS[name]
+        if (market if kind == "capm" else factors) is None:
+            raise ValueError(f"{name} needs {'market prices' if kind == 'capm' else 'factor returns'}")
+        if kind not in moments:
+            moments[kind] = (capm_moments(prices, market, numbered, plan, lookback, rf), None) if kind == "capm" else factor_moments(prices, factors, numbered, plan, lookback, FACTOR_NAMES[kind], months, min_obs)
+        own_mu, own_cov = moments[kind]
+        own_mu = own_mu.join(mu.select("t", "ticker"), ["t", "ticker"], "left_semi")
+        inside = mu.select("t", F.col("ticker").alias("ticker_i"))
+        risk = own_cov.join(inside, ["t", "ticker_i"], "left_semi").join(inside.withColumnRenamed("ticker_i", "ticker_j"), ["t", "ticker_j"], "left_semi") if factor_cov else cov
+        parts.append(optimise(own_mu, risk, ["t"], ("Maximum Sharpe",), rf, cap).withColumn("strategy", F.lit(name)))
+    w = parts[0]
+    for p in parts[1:]:
+        w = w.unionByName(p)
     w = w.withColumn("w", F.when(F.abs("w") < 1e-10, 0.0).otherwise(F.col("w")))
     w = w.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("strategy", "t")))
-    return w.join(F.broadcast(plan), "t")
+    return w.join(plan, "t")
 
 
 def holding_growth(weights: DataFrame, prices: DataFrame) -> DataFrame:
@@ -212,6 +312,21 @@ def order_costs(orders: DataFrame, costs: Costs) -> DataFrame:
     return orders.where(n > 1e-8).groupBy("portfolio").agg(F.sum(one).alias("cost"), F.count(F.lit(1)).alias("orders"), F.sum(n).alias("traded"))
 
 
+def order_log(weights: DataFrame, prices: DataFrame, nav: DataFrame, costs: Costs = PRESETS["Base"]) -> DataFrame:
+    """Every rebalance's orders with their cost parts: (strategy, t, ticker, notional, commission, spread, slippage, tax,
+    cost). nav (strategy, session, nav): what is invested after each rebalance; drifted holdings are sold to it."""
+    at = nav.join(sessions(prices), "session").select("strategy", F.col("no").alias("t"), "nav")
+    held = holding_growth(weights, prices).where("no = until").join(at, ["strategy", "t"])
+    held = held.select("strategy", F.col("until").alias("t"), "ticker", (F.col("nav") * F.col("w") * F.col("growth")).alias("held"))
+    target = weights.where("w > 0").join(at, ["strategy", "t"]).select("strategy", "t", "ticker", (F.col("nav") * F.col("w")).alias("target"))
+    held = held.join(target.select("strategy", "t").distinct(), ["strategy", "t"], "left_semi")  # the end of the last period is no rebalance
+    zero = F.lit(0.0)
+    o = target.join(held, ["strategy", "t", "ticker"], "full").withColumn("notional", F.coalesce("target", zero) - F.coalesce("held", zero)).where(F.abs("notional") > 1e-8)
+    n = F.abs("notional")
+    o = o.withColumns({"commission": F.greatest(F.lit(costs.minimum), costs.rate * n), "spread": n * costs.spread_bps / 1e4, "slippage": n * costs.slippage_bps / 1e4, "tax": F.when(F.col("notional") > 0, costs.buy_tax * n).otherwise(zero)})
+    return o.select("strategy", "t", "ticker", "notional", "commission", "spread", "slippage", "tax", (F.col("commission") + F.col("spread") + F.col("slippage") + F.col("tax")).alias("cost"))
+
+
 def drift_turnover(weights: DataFrame, prices: DataFrame) -> DataFrame:
     """(strategy, t, turnover): half the sum of |target - drifted weight| at each rebalance after the first."""
     end = holding_growth(weights, prices).where("no = until").withColumn("v", F.col("w") * F.col("growth"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 YEAR = 252
 
 
-def capm(returns: DataFrame, market: DataFrame, rf: float = 0.0, periods: int = YEAR) -> DataFrame:
+def capm(returns: DataFrame, market: DataFrame, rf: float = 0.0, periods: int = YEAR, same: Column | None = None) -> DataFrame:
     """Per ticker on sessions shared with the market (session, market_ret): beta, alpha, correlation, R2,
-    historical and expected annual return. A market without variance gives nulls."""
+    historical and expected annual return. A market without variance gives nulls. same: a further condition of the join."""
     day = rf / periods
-    both = returns.join(market, "session").where("ret is not null and market_ret is not null")
+    on = returns["session"] == market["session"]
+    both = returns.join(market, on if same is None else on & same).where("ret is not null and market_ret is not null")
     g = both.groupBy("ticker").agg(
         F.covar_samp("ret", "market_ret").alias("cov"), F.var_samp("market_ret").alias("var"), F.corr("ret", "market_ret").alias("rho"),
         F.avg("ret").alias("ra"), F.avg("market_ret").alias("rm"), F.count(F.lit(1)).alias("n"),
@@ -43,7 +44,7 @@ def capital_market_line(portfolios: DataFrame, rf: float = 0.0) -> DataFrame:
 
 def publication_lag(factors: DataFrame, signals: DataFrame, months: int = 2) -> DataFrame:
     """Factor rows known at each signal date: sessions up to `months` calendar months before."""
-    return factors.join(F.broadcast(signals), F.col("session") <= F.add_months("signal", -months))  # signals: a small, fixed calendar
+    return factors.join(signals, F.col("session") <= F.add_months("signal", -months))  # each row once a later signal, as the answer is
 
 
 def factor_sample(prices: DataFrame, factors: DataFrame) -> DataFrame:
@@ -135,6 +136,24 @@ def factors_to_eur(factors: DataFrame, fx: DataFrame, rates: DataFrame, toleranc
     return out.where("mkt_rf is not null")
 
 
+def factors_for(market: str, factors: DataFrame, fx: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """Factors in a market's own currency: USA as they are, Borsa Italiana converted to euro; other markets are an error."""
+    if market == "USA":
+        return factors
+    if market != "Borsa Italiana":
+        raise ValueError(f"no factor model for market {market}")
+    if fx is None or rates is None:
+        raise ValueError("euro factors need currency and overnight rates")
+    return factors_to_eur(factors, fx, rates)
+
+
+def strategy_attribution(nav: DataFrame, factors: DataFrame, weights: DataFrame, betas: DataFrame, capital: float, names: tuple[str, ...] = ("mkt_rf", "smb", "hml")) -> DataFrame:
+    """attribution of several strategies at once, with the exposures of their own weights (strategy, session, ticker, w)
+    under per-ticker betas (ticker, beta_*)."""
+    load = weights.join(betas, "ticker").groupBy("strategy", "session").agg(*(F.sum(F.col("w") * F.col(f"beta_{n}")).alias(n) for n in names))
+    return attribution(nav, factors, load, capital, names)
+
+
 def attribution(nav: DataFrame, factors: DataFrame, exposures: DataFrame, capital: float, names: tuple[str, ...] = ("mkt_rf", "smb", "hml")) -> DataFrame:
     """(strategy, session, component, contribution, cumulative): what each factor gave to the total return.
 

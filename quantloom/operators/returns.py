@@ -142,3 +142,17 @@ def shrunk_covariance(returns: DataFrame, periods: int = YEAR) -> DataFrame:
 def complete_returns(returns: DataFrame) -> DataFrame:
     """Returns of the sessions on which every ticker has one."""
     return complete_sessions(returns)
+
+
+def live_risk_contributions(positions: DataFrame, returns: DataFrame, rows: int = 63) -> DataFrame:
+    """(ticker, weight, contribution): shares of variance of positions (ticker, value) by market-value weights, over the
+    last `rows` sessions on which all have a return. Variance not above 0 gives null."""
+    total = F.sum("value").over(W.partitionBy(F.lit(0)))  # one row a position
+    held = positions.where("value is not null").select("ticker", (F.col("value") / F.nullif(total, F.lit(0.0))).alias("weight"))
+    n = held.agg(F.count(F.lit(1)).alias("n"))
+    own = returns.join(held, "ticker", "left_semi")
+    days = own.groupBy("session").agg(F.count("ret").alias("c")).join(n, F.col("c") == F.col("n")).orderBy(F.desc("session")).limit(rows).select("session")
+    own = own.join(days, "session")
+    day = own.join(held, "ticker").groupBy("session").agg(F.sum(F.col("weight") * F.col("ret")).alias("p"))
+    g = own.join(day, "session").groupBy("ticker").agg(F.covar_samp("ret", "p").alias("c"), F.var_samp("p").alias("v"))
+    return held.join(g, "ticker").select("ticker", "weight", F.when(F.col("v") > 0, F.col("weight") * F.col("c") / F.col("v")).alias("contribution"))

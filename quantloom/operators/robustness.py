@@ -8,9 +8,9 @@ from quantloom.operators import backtest as B
 from quantloom.operators.construct import MODELS, optimise
 
 
-def calendar(prices: DataFrame, first: str, last: str, estimation_years: int = 1, horizon_months: int = 12, step_months: int = 6) -> DataFrame:
+def calendar(prices: DataFrame, first: str, last: str, estimation_years: int = 1, horizon_months: int = 12, step_months: int = 6, year_rows: int = 180, month_rows: int = 15) -> DataFrame:
     """(anchor, est_start, oos_end, est_rows, oos_rows, status): anchors every step; why a window is skipped:
-    history that starts over 14 days late or has fewer than 180 rows a year, fewer than max(20, 15 a month)
+    history that starts over 14 days late or has fewer than `year_rows` rows a year, fewer than max(20, `month_rows` a month)
     out-of-sample rows, or nothing after the horizon."""
     spark = prices.sparkSession
     a = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr(f"interval {step_months} month"))).alias("anchor"))
@@ -20,11 +20,11 @@ def calendar(prices: DataFrame, first: str, last: str, estimation_years: int = 1
     s, early = F.col("session"), F.col("session") < F.col("anchor")
     oos = (s >= F.col("anchor")) & (s < F.col("oos_end"))
     g = j.groupBy("anchor", "est_start", "oos_end").agg(F.min(F.when(early, s)).alias("first"), F.count_if(early).alias("est_rows"), F.count_if(oos).alias("oos_rows"), F.max(s).alias("last"))
-    need = 180 * estimation_years
+    need = year_rows * estimation_years
     status = (
         F.when(F.col("first").isNull() | (F.datediff("first", "est_start") > 14), "history starts late")
         .when(F.col("est_rows") < need, "too few estimation rows")
-        .when(F.col("oos_rows") < max(20, 15 * horizon_months), "too few out-of-sample rows")
+        .when(F.col("oos_rows") < max(20, month_rows * horizon_months), "too few out-of-sample rows")
         .when(F.col("last") < F.col("oos_end"), "no row after the horizon")
         .otherwise("ok")
     )

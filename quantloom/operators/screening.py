@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 FACTORS = ("Momentum", "Risk", "Value", "Quality")
@@ -128,23 +131,81 @@ def coverage(screened: DataFrame) -> DataFrame:
     return screened.agg(F.count_if("selected").alias("selected"), F.count_if(F.col("rank").isNotNull()).alias("eligible"), F.count_if(F.col("rank").isNull()).alias("excluded"))
 
 
+def at_dates(rows: DataFrame, dates: DataFrame, first: Column, until: Column) -> DataFrame:
+    """`rows`, each once for every decision date d with first <= d < until (null: no end), as `decision_date`.
+
+    What is read is one row a state and what is written is the answer: nothing is copied to a date and dropped
+    again. Distinct dates come to the driver; there are as many as days at most.
+    """
+    days = sorted((r[0] - date(1970, 1, 1)).days for r in dates.where("decision_date is not null").select("decision_date").distinct().collect())
+    table, steps = F.lit(np.array(days, np.int32)), [1 << k for k in reversed(range(len(days).bit_length()))]
+
+    def before(x: Column) -> Column:  # how many dates are below x, by bisection
+        step = lambda n, k: F.when(F.coalesce(F.get(table, n + k - 1) < F.unix_date(x), F.lit(False)), n + k).otherwise(n)
+        return F.aggregate(F.lit(np.array(steps, np.int32)), F.lit(0), step)
+
+    if not days:
+        return rows.limit(0).withColumn("decision_date", F.lit(None).cast("date"))
+    span = rows.withColumns({"_lo": before(first), "_hi": F.when(until.isNull(), F.lit(len(days))).otherwise(before(until))}).where("_hi > _lo")
+    span = span.withColumn("_at", F.explode(F.sequence("_lo", F.col("_hi") - 1)))
+    return span.withColumn("decision_date", F.date_from_unix_date(F.get(table, F.col("_at")))).drop("_lo", "_hi", "_at")
+
+
+def running_signals(prices: DataFrame) -> DataFrame:
+    """price_signals of each ticker's rows up to and with every session: one window pass, whatever the decision dates."""
+    by = W.partitionBy("ticker").orderBy("session")
+    run = by.rowsBetween(W.unboundedPreceding, 0)
+    c = F.col("close")
+    rows = prices.select(
+        "ticker", "session", "close", F.row_number().over(by).alias("n"), (c / F.lag(c).over(by) - 1).alias("_r"), (c / F.max(c).over(run) - 1).alias("_dd"),
+        *(F.lag(c, k - 1).over(by).alias(f"_p{k}") for k in (22, 127, 252, 253)), F.first(c).over(run).alias("_p0"), F.lead("session").over(by).alias("next_session"),
+    )
+    n = F.col("n")
+    mom = F.when(n >= 253, F.col("_p22") / F.col("_p253") - 1).when(n == 252, F.col("_p22") / F.col("_p252") - 1).when(n >= 127, F.col("_p22") / F.col("_p127") - 1).otherwise(c / F.col("_p0") - 1)
+    name = F.when(n >= 253, "12-1").when(n == 252, "12-1 (252 obs)").when(n >= 127, "6-1").otherwise("available")
+    return rows.select(
+        "ticker", "session", "next_session", "close", mom.alias("momentum"), name.alias("momentum_window"),
+        (F.stddev_samp("_r").over(run) * F.sqrt(F.lit(252.0))).alias("volatility"), F.min("_dd").over(run).alias("max_drawdown"), n.cast("long").alias("n"),
+    )
+
+
+def signals_at(prices: DataFrame, dates: DataFrame, min_obs: int = 252) -> DataFrame:
+    """(decision_date, ticker, close, signals, n) of the rows before each decision date, with `min_obs` of them or more."""
+    sig = running_signals(prices).where(F.col("n") >= min_obs)
+    return at_dates(sig, dates, F.date_add("session", 1), F.date_add("next_session", 1)).drop("session", "next_session")
+
+
 def prices_as_of(prices: DataFrame, dates: DataFrame) -> DataFrame:
-    """Prices known before each decision date: (decision_date, ticker, session, close), sessions < the date."""
-    return prices.join(F.broadcast(dates), F.col("session") < F.col("decision_date"))  # decision dates: a small, fixed calendar
+    """Rows known before each decision date: (decision_date, ticker, session, close). Every row once a later date, as
+    the answer is; counts and signals as of a date come from running windows instead."""
+    return at_dates(prices, dates, F.date_add("session", 1), F.lit(None).cast("date")).select("decision_date", "ticker", "session", "close")
 
 
 def screen_point_in_time(prices: DataFrame, dates: DataFrame, min_obs: int = 252, top_n: int = 10, active=("Momentum", "Risk"), min_components: int = 2) -> DataFrame:
     """Price-only screens at decision dates: tickers with 252 prices or more before the date, 12-1 windows only."""
-    past = prices_as_of(prices, dates).withColumn("key", F.concat_ws("|", F.col("decision_date").cast("string"), "ticker"))
-    sig = price_signals(past.select(F.col("key").alias("ticker"), "session", "close")).where(F.col("n") >= max(252, min_obs))
-    split = F.split("ticker", r"\|", 2)
-    sig = sig.withColumns({"decision_date": F.to_date(split[0]), "ticker": split[1]})
-    return score(sig, active, min_components, top_n, by=["decision_date"])
+    return score(signals_at(prices, dates, max(252, min_obs)).drop("close"), active, min_components, top_n, by=["decision_date"])
+
+
+def screen_four_factors(prices: DataFrame, dates: DataFrame, snapshots: DataFrame, min_obs: int = 252, top_n: int = 10, active=FACTORS, min_components: int | None = None) -> DataFrame:
+    """Point-in-time screens by four families: tickers with enough prices before the date, a positive quote on it, and a
+    snapshot (as fundamentals_at gives) published strictly before it. Ratios use the last price before the date; a
+    missing fact leaves its ratio null."""
+    quoted = prices.where("close > 0").select("ticker", F.col("session").alias("decision_date"))
+    rows = signals_at(prices, dates, max(80, min_obs)).join(quoted, ["decision_date", "ticker"], "left_semi")
+    known = snapshots.where("published_at < decision_date").select("decision_date", F.col("entity").alias("ticker"), "published_at", "income", "equity", "shares", "debt")
+    rows = rows.join(known, ["decision_date", "ticker"])
+    cap = F.when(F.col("shares") > 0, F.col("shares") * F.col("close"))
+    cap = F.when(cap > 0, cap)
+    rows = rows.withColumns({
+        "earnings_yield": F.col("income") / cap, "book_to_market": F.col("equity") / cap,
+        "roe": F.col("income") / F.nullif(F.col("equity"), F.lit(0.0)), "debt_to_equity": F.col("debt") / F.nullif(F.col("equity"), F.lit(0.0)),
+    })
+    return score(rows, active, min_components, top_n, by=["decision_date"])
 
 
 def tradable_diagnostics(prices: DataFrame, dates: DataFrame, min_obs: int = 80) -> DataFrame:
     """Per decision date: tickers with enough history and a quote on the date, and figures of their histories."""
-    past = prices_as_of(prices, dates).groupBy("decision_date", "ticker").agg(F.count(F.lit(1)).alias("n"))
+    past = signals_at(prices, dates, 1).select("decision_date", "ticker", "n")
     quote = prices.where("close > 0").select("ticker", F.col("session").alias("decision_date"), F.lit(True).alias("quoted"))
     rows = past.join(quote, ["decision_date", "ticker"], "left")
     ok = (F.col("n") >= max(80, min_obs)) & F.coalesce("quoted", F.lit(False))
@@ -168,10 +229,35 @@ def fundamental_ratios(facts: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(n == 4, "OK").when(n == 0, "No fundamentals").otherwise(F.concat(F.lit("Partial "), n.cast("string"), F.lit("/4"))))
 
 
-def facts_as_of(facts: DataFrame, dates: DataFrame) -> DataFrame:
-    """The latest fact of each entity at each decision date: of those filed before it with an end not after it,
-    the greatest end, then the latest filing."""
-    on = (F.col("filed") < F.col("decision_date")) & (F.col("end") <= F.col("decision_date"))
-    known = facts.join(F.broadcast(dates), on)  # decision dates: a small, fixed calendar
-    best = F.max_by(F.struct("val", "filed", "end", "accn"), F.struct("end", "filed", "accn"))
-    return known.groupBy("entity", "decision_date").agg(best.alias("f")).select("entity", "decision_date", "f.val", "f.filed", "f.end", "f.accn")
+def facts_as_of(facts: DataFrame, dates: DataFrame, keys: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """The latest fact of each entity (or other `keys`) at each decision date: of those filed before it with an end
+    not after it, the greatest end, then the latest filing.
+
+    A fact counts from the later of the day after its filing and its end, so the answer is a running maximum over
+    those days, one row a day an entity, and each state is given to the decision dates it holds on.
+    """
+    known = facts.where(F.col("filed").isNotNull() & F.col("end").isNotNull()).withColumn("_from", F.greatest(F.date_add("filed", 1), F.col("end")))
+    day = known.groupBy(*keys, "_from").agg(F.max(F.struct("end", "filed", "accn", "val")).alias("_f"))
+    by = W.partitionBy(*keys).orderBy("_from")
+    state = day.select(*keys, "_from", F.max("_f").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("f"), F.lead("_from").over(by).alias("_until"))
+    return at_dates(state, dates, F.col("_from"), F.col("_until")).select(*keys, "decision_date", "f.val", "f.filed", "f.end", "f.accn")
+
+
+#: Kinds of facts that a snapshot holds.
+FACT_KINDS = ("income", "equity", "shares", "debt")
+
+
+def fundamentals_at(facts: DataFrame, dates: DataFrame) -> DataFrame:
+    """A snapshot for every entity and decision date: each kind's latest fact and its filing date, and published_at,
+    the latest of those dates (null without facts). facts: entity, kind, val, filed, end, accn."""
+    got = facts_as_of(facts.where(F.col("kind").isin(*FACT_KINDS)), dates, ("entity", "kind"))
+    one = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    wide = got.groupBy("entity", "decision_date").agg(F.max("filed").alias("published_at"), *(one(k, "val").alias(k) for k in FACT_KINDS), *(one(k, "filed").alias(f"{k}_filed_at") for k in FACT_KINDS))
+    every = facts.select("entity").distinct().crossJoin(dates.select("decision_date").distinct())  # the answer has them all
+    return every.join(wide, ["entity", "decision_date"], "left")
+
+
+def first_quotes(raw: DataFrame, order: str = "ingest_ord") -> DataFrame:
+    """(ticker, session, close): the first row of each ticker and session; tickers without any price go."""
+    first = raw.groupBy("ticker", "session").agg(F.min_by("close", order).alias("close"))
+    return first.withColumn("_any", F.max(F.col("close").isNotNull()).over(W.partitionBy("ticker"))).where("_any").drop("_any")

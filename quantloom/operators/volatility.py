@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 YEAR = 252
 
@@ -348,9 +348,19 @@ def conditional_forecast(returns: DataFrame, min_rows: int = 126) -> DataFrame:
     return returns.select("ticker", "session", "ret").groupBy("ticker").applyInPandas(fit, "ticker string, mean double, sigma double, nu double, status string")
 
 
-def value_at_risk(forecasts: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Adds normal var and es of mean and sigma."""
+def value_at_risk(forecasts: DataFrame, confidence: float = 0.95, law: str = "t") -> DataFrame:
+    """Adds var and es of mean and sigma: under a Student t of the fitted nu, scaled to sigma (law "t"; the normal law
+    where nu is null), or under the normal law ("normal")."""
     from quantloom.functions.stats import var_es
 
     v, e = var_es(0.0, 1.0, confidence)
-    return forecasts.withColumns({"var": F.col("sigma") * v - F.col("mean"), "es": F.col("sigma") * e - F.col("mean")})
+    if law == "normal":
+        return forecasts.withColumns({"var": F.col("sigma") * v - F.col("mean"), "es": F.col("sigma") * e - F.col("mean")})
+
+    def run(frames):
+        for f in frames:
+            rows = [var_es(0.0, 1.0, confidence, float(n)) if n == n and n is not None else (v, e) for n in f.nu]
+            f["var"], f["es"] = ([r[i] * s - m for r, s, m in zip(rows, f.sigma, f["mean"], strict=True)] for i in (0, 1))
+            yield f
+
+    return forecasts.mapInPandas(run, T.StructType([*forecasts.schema.fields, T.StructField("var", T.DoubleType()), T.StructField("es", T.DoubleType())]))

@@ -20,6 +20,7 @@ from quantloom.operators import robustness as RB
 from quantloom.operators import screening as S
 from quantloom.operators import signals as SG
 from quantloom.operators import volatility as V
+from quantloom.plans import oracles
 from quantloom.sources import sinks, tables as X
 from quantloom.streaming.journal import as_journal
 
@@ -106,7 +107,8 @@ def _curve(v):
     return p.groupBy("strategy", "session").agg((F.sum(F.col("w") * F.col("g")) * 10000).alias("nav"))
 
 
-R6 = "round({}, 6) as {}"
+#: Least rows a year and a month of a window of weekly prices.
+WEEKLY = (40, 3)
 
 
 # --- scans and cleaning ---------------------------------------------------------------------------
@@ -137,10 +139,13 @@ def s5_history_gate(v, spark, d):
     return S.history_status(p, S.clean_prices(p)).select("ticker", F.col("valid_rows").alias("valid_prices"), "status")
 
 
-@query("select session, ticker, round(close, 6) as close from (select cast(date_trunc('week', l_shipdate) as date) as session, l_returnflag || l_linestatus as ticker, avg(l_extendedprice) as close from lineitem where l_returnflag || l_linestatus in ('AF', 'NO', 'RF') group by 1, 2)")
+@query(sql("select session, ticker, round(close, 6) as close from panel", "panel"))
 def s6_unpivot_quotes(v, spark, d):
-    wide = v("panel").groupBy("session").pivot("ticker", ["AF", "NO", "RF"]).agg(F.first("close"))
-    return S.unpivot_quotes(wide.select("session", F.col("AF").alias("Close|AF"), F.col("NO").alias("NO|Close"), F.col("RF").alias("Close|RF")))
+    p = v("panel")
+    tickers = sorted(r[0] for r in p.select("ticker").distinct().collect())  # flag and status pairs: the columns of a wide file
+    wide = p.groupBy("session").pivot("ticker", tickers).agg(F.first("close"))
+    names = [f"Close|{t}" if i % 2 else f"{t}|Close" for i, t in enumerate(tickers)]
+    return S.unpivot_quotes(wide.select("session", *(F.col(t).alias(n) for t, n in zip(tickers, names, strict=True))))
 
 
 @query("select ticker, session, round(close, 6) as close from (select l_partkey::varchar as ticker, cast(l_shipdate as date) as session, l_extendedprice as close, row_number() over (partition by l_partkey, cast(l_shipdate as date) order by l_orderkey * 10 + l_linenumber desc) as rn from lineitem where l_extendedprice > 0) where rn = 1")
@@ -156,16 +161,8 @@ def s8_history_status(v, spark, d):
     return S.history_status(p, S.clean_prices(p))
 
 
-@query("with d as (select distinct cast(date_trunc('month', o_orderdate) as date) as decision_date from orders), f as (select o_custkey as entity, cast(o_orderdate as date) as filed, cast(date_trunc('month', o_orderdate) - interval 1 day as date) as \"end\", o_totalprice as val, o_orderkey as accn from orders) select entity, decision_date, round(val, 6) as val, filed, \"end\", accn from (select *, row_number() over (partition by entity, decision_date order by \"end\" desc, filed desc, accn desc) as rn from d join f on filed < decision_date and \"end\" <= decision_date where decision_date >= (select max(decision_date) from d) - interval 6 month) where rn = 1")
+@query(oracles.S19)
 def s19_facts_as_of(v, spark, d):
-    dates = X.table(spark, d, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("decision_date")).distinct()
-    top = dates.agg(F.add_months(F.max("decision_date"), -6).alias("lo"))
-    return S.facts_as_of(v("filings"), dates.crossJoin(F.broadcast(top)).where("decision_date >= lo").select("decision_date"))
-
-
-@query()
-def s19_facts_as_of_all(v, spark, d):
-    """Every decision date; s19_facts_as_of answers the last six months, as its SQL does."""
     dates = X.table(spark, d, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("decision_date")).distinct()
     return S.facts_as_of(v("filings"), dates)
 
@@ -186,7 +183,9 @@ def s21_journal_summary(v, spark, d):
 def k1_journal_new(v, spark, d):
     rows = as_journal(X.table(spark, d, "events")).drop("ts")
     have = rows.where(F.col("record").cast("long") % 2 == 0)
-    return sinks.journal_new(have, rows.union(rows))
+    # each key twice, with other payloads: the one that arrived first is taken
+    twice = rows.withColumn("seq", F.lit(1)).union(rows.select("owner", "portfolio", "kind", "record", F.lit("late").alias("payload"), F.lit(2)))
+    return sinks.journal_new(have, twice, "seq")
 
 
 # --- returns and moments --------------------------------------------------------------------------
@@ -501,8 +500,7 @@ def b26_cost_overlay(v, spark, d):
 @query()
 def b28_robustness(v, spark, d):
     p, m = v("panel"), v("market")
-    win = RB.calendar(p, "1993-01-04", "1998-01-04", 1, 12, 6)
-    win = win.withColumn("status", F.when((F.col("est_rows") >= 40) & (F.col("oos_rows") >= 40), "ok").otherwise(F.col("status")))  # weekly rows
+    win = RB.calendar(p, "1993-01-04", "1998-01-04", 1, 12, 6, *WEEKLY)
     return RB.roll_up(RB.run(p, win, RB.window_weights(p, win, cap=0.5), m))
 
 
@@ -538,7 +536,7 @@ def v3_volatility_summary(v, spark, d):
 @query(sql("", "logr").rstrip() + ", k as (select *, row_number() over (partition by ticker order by session) - 1 as k, count(*) over (partition by ticker) as n from logr), x as (select ticker, k as origin, n, var_samp(ret) over (partition by ticker order by k rows between 63 preceding and 1 preceding) as f, avg(ret * ret) over (partition by ticker order by k rows between current row and 12 following) as rv from k) select ticker, round(avg(ln(greatest(f, 1e-12)) + rv / greatest(f, 1e-12)), 6) as qlike, round(avg(pow(f - rv, 2)), 6) as mse, count(*) as n from x where origin >= 104 and origin <= n - 13 and (origin - 104) % 13 = 0 group by 1")
 def v4_rolling_validation(v, spark, d):
     val = V.validation(V.log_returns(v("panel")), 104, 13, 13)
-    return V.loss(val).where("model = 'Rolling'").select("ticker", "qlike", "mse", "n")
+    return V.loss(val)
 
 
 @query()
@@ -547,11 +545,11 @@ def v5_model_comparison(v, spark, d):
     return V.loss(V.validation(V.log_returns(v("panel")), 156, 13, 13, families=V.FAMILIES))
 
 
-@query(sql("select ticker, session, round(vol * 100, 6) as vol_pct, case when vol * 100 >= 30 then 'CRITICAL' when vol * 100 >= 25 then 'HIGH' when vol * 100 >= 20 then 'ELEVATED' else 'NORMAL' end as level, round(least(100, 100 * 15.0 / (vol * 100)), 6) as suggested_pct from (select ticker, session, case when count(ret) over w = 63 then stddev_samp(ret) over w * sqrt(52) end as vol from logr window w as (partition by ticker order by session rows between 62 preceding and current row)) where vol is not null", "logr"))
+@query(sql("select ticker, session, round(vol * 100, 6) as vol_pct, case when vol * 100 >= 30 then 'CRITICAL' when vol * 100 >= 25 then 'HIGH' when vol * 100 >= 20 then 'ELEVATED' else 'NORMAL' end as level, round(least(100, 100 * 15.0 / (vol * 100)), 6) as suggested_pct, round(100 - least(100, 100 * 15.0 / (vol * 100)), 6) as gap_pp, case when 100 - least(100, 100 * 15.0 / (vol * 100)) >= 10 then 'REBALANCE REVIEW' when 100 - least(100, 100 * 15.0 / (vol * 100)) >= 5 then 'MONITOR / REVIEW' else 'NO CHANGE INDICATED' end as action from (select ticker, session, case when count(ret) over w = 63 then stddev_samp(ret) over w * sqrt(52) end as vol from logr window w as (partition by ticker order by session rows between 62 preceding and current row)) where vol is not null", "logr"))
 def v9_risk_alerts(v, spark, d):
     vol = V.rolling_volatility(V.log_returns(v("panel")), 63, 52).where("vol is not null").withColumn("vol_pct", F.col("vol") * 100)
     a = V.alert(F.col("vol_pct"), F.lit(15.0), F.lit(100.0))
-    return vol.select("ticker", "session", "vol_pct", a["level"].alias("level"), a["suggested_pct"].alias("suggested_pct"))
+    return vol.select("ticker", "session", "vol_pct", *(c.alias(n) for n, c in a.items()))
 
 
 def _overlay(v):
@@ -573,7 +571,7 @@ def v11_overlay_deltas(v, spark, d):
 
 @query(sql("", "logr").rstrip() + ", r as (select ticker, var_samp(ret) as v from (select *, row_number() over (partition by ticker order by session desc) as k from logr) where k <= 63 group by 1) select ticker, 'Rolling' as model, round(sqrt(v * 252) * 100, 6) as vol_pct from r")
 def v8_forecast_summary(v, spark, d):
-    return V.forecast_summary(V.forecast_path(V.log_returns(v("panel")))).where("model = 'Rolling'")
+    return V.forecast_summary(V.forecast_path(V.log_returns(v("panel"))))
 
 
 @query()
@@ -641,10 +639,10 @@ def t8_coverage_tests(v, spark, d):
     return SG.coverage_tests(h, 0.9)
 
 
-@query(sql("select origin, session, round(0.1::double, 6) as var, round(ret, 6) as ret, -ret > 0.1 as breach from (select d.decision_date as origin, m.session, m.market_ret as ret, row_number() over (partition by d.decision_date order by m.session) as rn from dates d join mret m on m.session > d.decision_date) where rn = 1", "dates", "mret"))
+@query(sql("select origin, session, round(0.1::double, 6) as var, 0.15::double as es, round(ret, 6) as ret, -ret > 0.1 as breach, round(case when -ret > 0.1 then -ret - 0.15 end, 6) as es_gap from (select d.decision_date as origin, m.session, m.market_ret as ret, row_number() over (partition by d.decision_date order by m.session) as rn from dates d join mret m on m.session > d.decision_date) where rn = 1", "dates", "mret"))
 def t9_breach_matching(v, spark, d):
     f = _dates(v).select(F.col("decision_date").alias("origin"), F.lit(0.1).alias("var"), F.lit(0.15).alias("es"))
-    return SG.breach_matching(f, _mret(v).withColumnRenamed("market_ret", "ret")).select("origin", "session", "var", "ret", "breach")
+    return SG.breach_matching(f, _mret(v).withColumnRenamed("market_ret", "ret"))
 
 
 @query(sql("select ticker, session, island::int as island, round(100 * product(1 + ret) over (partition by ticker, island order by session), 6) as index from (select *, sum(g) over (partition by ticker order by session) as island from (select *, coalesce((session - lag(session) over (partition by ticker order by session) > 7)::int, 1) as g from rets))", "rets"))
@@ -652,12 +650,12 @@ def t10_synthetic_index(v, spark, d):
     return SG.synthetic_index(_rets(v), 7).withColumn("island", F.col("island").cast("int"))
 
 
-@query("select l_returnflag || l_linestatus as ticker, round(sum(l_quantity), 6) as quantity, round(sum(l_quantity * l_extendedprice / l_quantity + 1), 6) as cost_basis from lineitem group by 1")
+@query(oracles.T12)
 def t12_positions(v, spark, d):
     li = X.table(spark, d, "lineitem")
     o = li.select(F.concat("l_returnflag", "l_linestatus").alias("ticker"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.lit(1.0).alias("fee"))
     last = v("panel").groupBy("ticker").agg(F.max_by("close", "session").alias("price"))
-    return SG.positions(o, last).select("ticker", "quantity", "cost_basis")
+    return SG.positions(o, last)
 
 
 def _quotes(v):
@@ -840,8 +838,7 @@ def b23_recent_tail(v, spark, d):
 @query()
 def b29_paired_differences(v, spark, d):
     p, m = v("panel"), v("market")
-    win = RB.calendar(p, "1993-01-04", "1998-01-04", 1, 12, 6)
-    win = win.withColumn("status", F.when((F.col("est_rows") >= 40) & (F.col("oos_rows") >= 40), "ok").otherwise(F.col("status")))
+    win = RB.calendar(p, "1993-01-04", "1998-01-04", 1, 12, 6, *WEEKLY)
     return RB.paired(RB.run(p, win, RB.window_weights(p, win, cap=0.5), m))
 
 
@@ -850,16 +847,8 @@ def b28_calendar(v, spark, d):
     return RB.calendar(v("panel"), "1993-01-04", "1998-01-04", 1, 12, 6)
 
 
-@query(sql("select ticker, session, round(close / 100, 6) as index, session >= date '1995-01-02' as live from panel where ticker = 'NO'", "panel"))
+@query(sql("select ticker, session, round(close / 100, 6) as index, session >= date '1995-01-02' as live from panel", "panel"))
 def t11_warm_up(v, spark, d):
-    p = v("panel").where("ticker = 'NO'")
-    live = p.where("session >= date '1995-01-02'").select("ticker", "session", (F.col("close") / 100).alias("index"))
-    return SG.warm_up(p, live)
-
-
-@query()
-def t11_warm_up_all(v, spark, d):
-    """Every ticker of the panel with live rows; t11_warm_up answers one, as its SQL does."""
     p = v("panel")
     live = p.where("session >= date '1995-01-02'").select("ticker", "session", (F.col("close") / 100).alias("index"))
     return SG.warm_up(p, live)
@@ -869,3 +858,8 @@ def t11_warm_up_all(v, spark, d):
 def l7_hybrid(v, spark, d):
     r = _rets(v)
     return L.hybrid(R.annual_moments(r), r.groupBy("ticker").agg((F.expr("percentile(ret, 0.5)") * 252).alias("mu")), 0.3)
+
+
+ORACLES.update(oracles.ORACLES)
+
+from quantloom.plans import catalog_more  # noqa: E402, F401  (registers its queries here)

@@ -10,7 +10,7 @@ FACTS = "facts map<string, map<string, struct<units: map<string, array<struct<fi
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """Instruments of a CSV with a header; header rows in between go."""
-    return spark.read.schema(CATALOG).option("header", True).csv(path).where("market <> 'market'")
+    return spark.read.schema(CATALOG).option("header", True).option("escape", '"').csv(path).where("market <> 'market'")
 
 
 def factor_archive(spark: SparkSession, path: str, names: tuple[str, ...] = ("mkt_rf", "smb", "hml", "rf")) -> DataFrame:

@@ -27,7 +27,7 @@ def test_facts_as_of_every_decision_date(spark):
                 key = (first, filed, accn)
                 if (entity, m) not in want or key > want[entity, m][0]:
                     want[entity, m] = (key, val)
-    got = {(r.entity, r.decision_date): r for r in QUERIES["s19_facts_as_of_all"](spark, D).collect()}
+    got = {(r.entity, r.decision_date): r for r in QUERIES["s19_facts_as_of"](spark, D).collect()}
     assert set(got) == set(want)
     assert all((got[k].filed, got[k].accn, got[k].val) == (x[1], x[2], pytest.approx(val, abs=1e-6)) for k, (x, val) in want.items())
     assert len({m for _, m in got}) > 12
@@ -88,7 +88,7 @@ def test_warm_up_of_every_ticker(spark):
     rows = con.execute(sql("select ticker, session, close from panel", "panel")).fetchall()
     has_live = {t for t, s, _ in rows if s >= date(1995, 1, 2)}
     want = {(t, s): (c / 100, s >= date(1995, 1, 2)) for t, s, c in rows if t in has_live}
-    got = {(r.ticker, r.session): (r["index"], r.live) for r in QUERIES["t11_warm_up_all"](spark, D).collect()}
+    got = {(r.ticker, r.session): (r["index"], r.live) for r in QUERIES["t11_warm_up"](spark, D).collect()}
     assert len(has_live) > 1 and set(got) == set(want)
     assert all(got[k] == (pytest.approx(x, abs=2e-6), live) for k, (x, live) in want.items())
 
