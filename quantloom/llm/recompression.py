@@ -1,26 +1,41 @@
 """Substring deduplication by recompression.
 
-Texts are rows of word names. A round names maximal runs of one symbol, then pairs whose left symbol
-is on the left side of the round's two-part split of all symbols and whose right symbol is on the right
-side. Names are hashes of what they stand for, so they are global without a table: equal passages are
-parsed into the same symbols, apart from their edges. Each symbol keeps the range of words that its
-parse depended on. A window's anchor is the symbol of the highest round whose range lies wholly in the
-window (of several, the one of least name), so equal windows have equal anchors at equal places; the
-anchors reveal candidates, and the words of whole windows verify them.
+Words are named first: a Spark round counts every word of the collection, and each that occurs more than once gets a
+number, its name. Every further round takes maximal runs of one symbol together, splits all symbols in two sides, and
+names the pairs of a left symbol and a right one that follow each other: a Spark round counts all different pairs of
+the collection, and each that occurs more than once gets a new name from the table that this round writes. Names are
+numbers given to what they stand for, never hashes of it, so one name has one meaning, and equal passages get equal
+symbols apart from their edges. A word or pair that occurs once gets no name, and no window that holds it is repeated.
+
+Each symbol keeps the range of words that its parse depended on. A window's anchor is the symbol of the highest round
+whose range lies wholly in the window (of several, the one of least hashed name), so equal windows have equal anchors at
+equal places: shared high symbols reveal candidates. Where all stretches about a symbol are equal they are repeats;
+where they differ, the words of whole windows decide.
+
+Rounds work on the parts of texts in which repeats can be: windows whose least 12-word gram occurs more than once, which
+holds for every repeated window. They are dealt to blocks of many parts, and the state of a block is bucketed by its
+number, so that a round shuffles candidates and names only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quantloom.llm import kernels as K
-from quantloom.llm.repeats import Repeats, covered, prepared
+from quantloom.llm.common import shared_dir, stored
+from quantloom.llm.repeats import NAMES, RECORD, UID, Repeats, covered, prepared
 
-WINDOW, ROUNDS = 35, 3
+WINDOW, GRAM = 35, 12
+#: Rounds of pairs. A round leaves about 3/4 of the symbols; after these most windows hold a few. More would shorten
+#: comparisons and change no result.
+ROUNDS = 5
+#: Words of a block, and bytes of state for a bucket.
+BLOCK, BUCKET = 1 << 16, 1 << 26
 
 
 def _sequence(data: np.ndarray, offs: np.ndarray):
@@ -30,53 +45,162 @@ def _sequence(data: np.ndarray, offs: np.ndarray):
     return at, lambda i, j: names[i:j].tobytes(), lambda i, j: b" ".join([raw[x:y] for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)])
 
 
-def parse(h: np.ndarray, at: np.ndarray, rounds: int = ROUNDS):
-    """Symbols of every round, the words themselves first: (name, ca, cb) with the words [ca, cb) that each
-    depends on. The edge of a row stands for an unknown neighbour outside of it."""
-    n = len(h)
-    name, ca, cb = h.copy(), np.arange(n), np.arange(1, n + 1)
-    head = np.zeros(n, bool)
-    head[at[:-1][at[:-1] < n]] = True
-    row_start = np.maximum.accumulate(np.where(head, np.arange(n), 0)) if n else ca
-    levels = [(name, ca, cb)]
-    for r in range(rounds):
-        if not len(name):
-            levels.append((name, ca, cb))
-            continue
-        # where the neighbour is another row, the parse depends on a word beyond the edge
-        first = np.ones(len(name), bool)
-        first[1:] = row_start[1:] != row_start[:-1]
-        last = np.append(first[1:], True)
-        # runs
-        begin = np.ones(len(name), bool)
-        begin[1:] = first[1:] | (name[1:] != name[:-1])
+# --- where repeats can be -------------------------------------------------------------------------
+
+
+def _grams(batches):
+    """From (u1, u2, text): the least gram of every window, once for neighbouring windows that share it."""
+    for b in batches:
+        uid, cols = [b.column(u).to_numpy() for u in UID], [[], [], [], [], []]
+        for row, data, offs in K.pieces(b.column("text")):
+            s, e, at = K.words(data, offs, K.WORD_BYTES)
+            if len(s) < WINDOW:
+                continue
+            gram = K.chained(K.word_hashes(data, s, e), GRAM)
+            # place and all: windows that share a gram at one place are neighbours, at two places they are repeats
+            least = K.sliding_min((gram >> K.U64(32) << K.U64(32)) | np.arange(len(gram), dtype=K.U64), WINDOW - GRAM + 1)
+            valid = np.zeros(len(least) + 1, bool)
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if y - x >= WINDOW:
+                    valid[x : y - WINDOW + 1] = True
+            change = least[1:] != least[:-1]
+            first, last = valid[:-1].copy(), valid[:-1].copy()
+            first[1:] &= ~valid[:-2] | change
+            last[:-1] &= ~valid[1:-1] | change
+            p0, p1 = np.flatnonzero(first), np.flatnonzero(last) + 1
+            d = np.searchsorted(at, p0, "right") - 1
+            for c, v in zip(cols, (uid[0][row + d], uid[1][row + d], K.signed(gram[(least[p0] & K.U64(0xFFFFFFFF)).astype(np.int64)]), p0 - at[d], p1 - at[d]), strict=True):
+                c.append(v)
+        out = [np.concatenate(c).astype(np.int64 if i < 3 else np.int32) if c else np.zeros(0, np.int64 if i < 3 else np.int32) for i, c in enumerate(cols)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[*UID, "key", "p0", "p1"])
+
+
+def _blocks(batches):
+    """From (u1, u2, text, marks, times): blocks of the parts that marks cover, their words joined by one space."""
+    own, size = [], 0
+
+    def flush():
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        cols = [pa.array([[p[i] for p in own]], longs if i < 2 else ints) for i in range(5)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([b" ".join([p[5] for p in own])], pa.binary())], names=[*UID, "w0", "n", "times", "words"])
+
+    for b in batches:
+        u1, u2, times, marks = (b.column(c).to_pylist() for c in (*UID, "times", "marks"))
+        for row, data, offs in K.pieces(b.column("text")):
+            s, e, at = K.words(data, offs, K.WORD_BYTES)
+            raw = data.tobytes()
+            for d in range(len(offs) - 1):
+                i = row + d
+                for x, y in zip(*(v.tolist() for v in covered(marks[i], WINDOW)), strict=True):
+                    part = slice(at[d] + x, at[d] + y)
+                    own.append((u1[i], u2[i], x, y - x, min(times[i], 2), b" ".join([raw[p:q] for p, q in zip(s[part].tolist(), e[part].tolist(), strict=True)])))
+                    size += y - x
+                    if size >= BLOCK:
+                        yield flush()
+                        own, size = [], 0
+    if own:
+        yield flush()
+
+
+# --- rounds ---------------------------------------------------------------------------------------
+
+_STATE = ("n", "times", "part", "name", "count", "ca", "cb", "akey", "abeg")
+_KINDS = {"n": np.int32, "times": np.int32, "part": np.int32, "name": np.int64, "count": np.int32, "ca": np.int32, "cb": np.int32, "akey": np.int64, "abeg": np.int32}
+
+
+class Block:
+    """Symbols of one block: names (0: none), run lengths, the words [ca, cb) that each depends on; for every word the
+    key and place of the anchor of the window that starts there (key 0: no window that can be repeated)."""
+
+    def __init__(self, **arrays: np.ndarray):
+        self.__dict__.update(arrays)
+
+    @classmethod
+    def of_words(cls, n: np.ndarray, times: np.ndarray, name: np.ndarray) -> Block:
+        size, ends = int(n.sum()), np.cumsum(n)
+        at = np.arange(size)
+        akey = (np.repeat(ends, n) - at >= WINDOW).astype(np.int64)
+        own = cls(n=n, times=times, part=np.repeat(np.arange(len(n)), n), name=name, count=np.ones(size, np.int32), ca=at, cb=at + 1, akey=akey, abeg=np.zeros(size, np.int32))
+        own.anchor(0)
+        return own
+
+    @classmethod
+    def read(cls, row: dict) -> Block:
+        return cls(**{c: np.frombuffer(row[c], _KINDS[c]) for c in _STATE})
+
+    def row(self) -> list[bytes]:
+        return [np.ascontiguousarray(getattr(self, c), _KINDS[c]).tobytes() for c in _STATE]
+
+    def _side(self, salt: int) -> np.ndarray:
+        return K.mix(self.name.view(K.U64) * K.U64(2 * salt + 3) + self.count.astype(K.U64))
+
+    def anchor(self, level: int) -> None:
+        """Gives every window the best symbol whose range lies in it, and ends windows that hold one without a name."""
+        p = np.flatnonzero(self.akey)
+        lo = np.searchsorted(self.ca, p)
+        hi = np.searchsorted(self.cb, p + WINDOW, "right") - 1
+        some = lo <= hi
+        p, lo, hi = p[some], lo[some], hi[some]
+        if not len(p):
+            return
+        dead = np.cumsum(np.append(0, self.name == 0))
+        lost = dead[hi + 1] > dead[lo]
+        akey, abeg = self.akey.copy(), self.abeg.copy()
+        akey[p[lost]] = 0
+        p, lo, hi = p[~lost], lo[~lost], hi[~lost]
+        if len(p):
+            v = self._side(101)
+            best = _range_argmin(v, lo, hi)
+            akey[p] = K.signed(K.mix(v + K.U64(level)) | K.U64(1))[best]
+            abeg[p] = self.ca[best]
+        self.akey, self.abeg = akey, abeg
+
+    def collapse(self) -> None:
+        """Takes runs of one name together."""
+        part, name, ca, cb = self.part, self.name, self.ca, self.cb
+        edge = np.ones(len(name), bool)
+        edge[1:] = part[1:] != part[:-1]
+        begin = edge.copy()
+        begin[1:] |= (name[1:] != name[:-1]) | (name[1:] == 0)
         b = np.flatnonzero(begin)
         z = np.append(b[1:], len(name)) - 1
-        count = z - b + 1
-        before = np.where(first[b], ca[b] - 1, ca[np.maximum(b - 1, 0)])
-        after = np.where(last[z], cb[z] + 1, cb[np.minimum(z + 1, len(name) - 1)])
-        runs = K.mix(K.mix(name[b] + K.U64(2 * r + 1)) ^ count.astype(K.U64))
-        name = np.where(count > 1, runs, name[b])
-        ca, cb = np.minimum(ca[b], before), np.maximum(cb[z], after)
-        first, last, row_start = first[b], last[z], row_start[b]
-        # pairs: the side of a symbol is a bit of its name, another one each round
-        right = (K.mix(name + K.U64(r + 1)) >> K.U64(17) & K.U64(1)).astype(bool)
-        joined = np.zeros(len(name), bool)  # with the next
-        joined[:-1] = ~right[:-1] & right[1:] & ~last[:-1]
-        second = np.zeros(len(name), bool)
+        first, last = edge[b], np.append(edge[b[1:]], True)
+        before = np.where(first, ca[b] - 1, ca[np.maximum(b - 1, 0)])
+        after = np.where(last, cb[z] + 1, cb[np.minimum(z + 1, len(name) - 1)])
+        self.ca, self.cb = np.minimum(ca[b], before), np.maximum(cb[z], after)
+        self.count = np.add.reduceat(self.count, b) if len(b) else self.count[:0]
+        self.name, self.part = name[b], part[b]
+
+    def pairs(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where a left symbol is followed by a right one (flags), the sides of all symbols, and the different pairs
+        (names and run lengths) with the number of each joined one's."""
+        part = self.part
+        right = (self._side(level) >> K.U64(17) & K.U64(1)).astype(bool)
+        joined = np.zeros(len(self.name), bool)
+        if len(joined) > 1:
+            joined[:-1] = ~right[:-1] & right[1:] & (part[1:] == part[:-1]) & (self.name[:-1] > 0) & (self.name[1:] > 0)
+        k = np.flatnonzero(joined)
+        rows = np.stack([self.name[k], self.count[k], self.name[k + 1], self.count[k + 1]], axis=1).astype(np.int64) if len(k) else np.zeros((0, 4), np.int64)
+        unique, which = np.unique(rows, axis=0, return_inverse=True)
+        return joined, right, unique, which.ravel()
+
+    def merge(self, joined: np.ndarray, right: np.ndarray, names: np.ndarray) -> None:
+        """Replaces joined pairs by symbols of the given names."""
+        part, second = self.part, np.zeros(len(joined), bool)
         second[1:] = joined[:-1]
-        prev_ca = np.where(first, ca - 1, np.append(0, ca[:-1]))
-        next_cb = np.where(last, cb + 1, np.append(cb[1:], 0))
+        first, last = np.ones(len(part), bool), np.ones(len(part), bool)
+        first[1:] = part[1:] != part[:-1]
+        last[:-1] = first[1:]
+        prev_ca = np.where(first, self.ca - 1, np.append(0, self.ca[:-1]))
+        next_cb = np.where(last, self.cb + 1, np.append(self.cb[1:], 0))
         # a left symbol depends on what follows it, a right one on what comes before
-        la, lb = np.where(right, np.minimum(ca, prev_ca), ca), np.where(right, cb, np.maximum(cb, next_cb))
+        la, lb = np.where(right, np.minimum(self.ca, prev_ca), self.ca), np.where(right, self.cb, np.maximum(self.cb, next_cb))
         k = np.flatnonzero(~second)
-        both = joined[k]
-        nxt = np.minimum(k + 1, len(name) - 1)
-        merged = K.mix(K.mix(name[k] + K.U64(2 * r + 2)) ^ name[nxt])
-        name, ca, cb = np.where(both, merged, name[k]), np.where(both, np.minimum(la[k], ca[nxt]), la[k]), np.where(both, np.maximum(cb[k], cb[nxt]), lb[k])
-        row_start = row_start[k]
-        levels.append((name, ca, cb))
-    return levels
+        both, nxt = joined[k], np.minimum(k + 1, len(joined) - 1)
+        name = self.name[k].copy()
+        name[both] = names
+        ca, cb = np.where(both, np.minimum(la[k], self.ca[nxt]), la[k]), np.where(both, np.maximum(self.cb[k], self.cb[nxt]), lb[k])
+        self.name, self.count, self.ca, self.cb, self.part = name, np.where(both, 1, self.count[k]), ca, cb, part[k]
 
 
 def _range_argmin(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -95,37 +219,176 @@ def _range_argmin(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors_of(h: np.ndarray, at: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS):
-    """Fragments: name and first word of their anchor's range, first and end start of their windows."""
-    none = np.zeros(0, np.int64)
-    if not len(h):
-        return none.view(K.U64), none, none, none
-    starts = [np.arange(s, e - window + 1) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if e - s >= window]
-    if not starts:
-        return none.view(K.U64), none, none, none
-    p = np.concatenate(starts)
-    where, begin = np.full(len(p), -1), np.zeros(len(p), np.int64)
-    end, symbol = np.zeros(len(p), np.int64), np.zeros(len(p), K.U64)
-    for r, (name, ca, cb) in reversed(list(enumerate(parse(h, at, rounds)))):
-        todo = np.flatnonzero(where < 0)
-        if not len(todo):
-            break
-        lo = np.searchsorted(ca, p[todo])
-        hi = np.searchsorted(cb, p[todo] + window, "right") - 1
-        ok = lo <= hi
-        todo, lo, hi = todo[ok], lo[ok], hi[ok]
-        best = _range_argmin(K.mix(name + K.U64(99)), lo, hi)
-        where[todo], begin[todo], end[todo], symbol[todo] = r, ca[best], cb[best], name[best]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1] + 1) | (where[1:] != where[:-1]) | (begin[1:] != begin[:-1]) | (end[1:] != end[:-1])
-    i = np.flatnonzero(new)
-    j = np.append(i[1:], len(p)) - 1
-    return K.mix(symbol[i] + where[i].astype(K.U64)), begin[i], p[i], p[j] + 1
-
-
-def _anchors(data: np.ndarray, offs: np.ndarray):
-    s, e, at = K.words(data, offs, K.WORD_BYTES)
-    return anchors_of(K.word_hashes(data, s, e), at)
+def _distinct_words(row) -> tuple[list[bytes], np.ndarray]:
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(w, len(known)) for w in row["words"].split(b" ")], np.int64)
+    return list(known), which
+
+
+def _word_candidates(batches):
+    """From blocks: their different words, and how often each occurs."""
+    for b in batches:
+        for row in b.to_pylist():
+            words, which = _distinct_words(row)
+            often = np.bincount(which, weights=np.repeat(row["times"], row["n"]), minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(words), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.binary()), pa.array(often)], names=["block", "i", "word", "often"])
+
+
+def _names(row, size: int) -> np.ndarray:
+    """Names by number of candidate (0: none), from packed lists of both."""
+    out = np.zeros(size, np.int64)
+    if row["got"]:
+        out[[g["i"] for g in row["got"]]] = [g["id"] for g in row["got"]]
+    return out
+
+
+def _state_batch(numbers: list[int], blocks: list[Block]) -> pa.RecordBatch:
+    cols = list(zip(*(x.row() for x in blocks), strict=True)) if blocks else [[] for _ in _STATE]
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *(pa.array(list(c), pa.binary()) for c in cols)], names=["block", *_STATE])
+
+
+def _first_state(batches):
+    """From blocks with the names of their words (got): the state before the first round."""
+    for b in batches:
+        for row in b.to_pylist():
+            words, which = _distinct_words(row)
+            own = Block.of_words(np.array(row["n"], np.int32), np.array(row["times"], np.int32), _names(row, len(words))[which])
+            yield _state_batch([row["block"]], [own])
+
+
+def _pair_candidates(level: int):
+    def run(batches):
+        """From the state: each block's different pairs, and how often each occurs."""
+        for b in batches:
+            for row in b.to_pylist():
+                own = Block.read(row)
+                own.collapse()
+                joined, _, unique, which = own.pairs(level)
+                often = np.bincount(which, weights=own.times[own.part[joined]], minlength=len(unique)).astype(np.int64)
+                cols = [np.full(len(unique), row["block"], np.int64), np.arange(len(unique), dtype=np.int32), *unique.T, often]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["block", "i", *_PAIR, "often"])
+
+    return run
+
+
+_PAIR = ["ln", "lc", "rn", "rc"]
+
+
+def _next_state(level: int):
+    def run(batches):
+        """From the state with the names of its pairs (got): the state after the round."""
+        for b in batches:
+            for row in b.to_pylist():
+                own = Block.read(row)
+                own.collapse()
+                joined, right, unique, which = own.pairs(level)
+                own.merge(joined, right, _names(row, len(unique))[which])
+                own.anchor(level)
+                yield _state_batch([row["block"]], [own])
+
+    return run
+
+
+def _parts(batches):
+    """From blocks: their parts as texts of their own."""
+    for b in batches:
+        for row in b.to_pylist():
+            words, at = row["words"].split(b" "), 0
+            texts = []
+            for n in row["n"]:
+                texts.append(b" ".join(words[at : at + n]).decode())
+                at += n
+            rid = row["block"] * (1 << 20) + np.arange(len(texts))
+            cols = [pa.array(rid, pa.int64()), pa.array(rid, pa.int64()), pa.array(np.zeros(len(texts), np.int64)), pa.array(texts, pa.string()), pa.array(row["times"], pa.int32())]
+            cols += [pa.array(row["u1"], pa.int64()), pa.array(row["u2"], pa.int64()), pa.array(row["w0"], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "u1", "u2", "text", "times", "d1", "d2", "w0"])
+
+
+def _records(batches):
+    """From blocks with their final anchors: fragments, in words of their part, once for each occurrence of the part."""
+    for b in batches:
+        for row in b.to_pylist():
+            words, n = row["words"], np.array(row["n"], np.int64)
+            akey, abeg = np.frombuffer(row["akey"], np.int64), np.frombuffer(row["abeg"], np.int32)
+            data = np.frombuffer(words, np.uint8)
+            s, e, _ = K.words(data, np.array([0, len(data)]), K.WORD_BYTES)
+            first = np.cumsum(n) - n
+            part = np.repeat(np.arange(len(n)), n)
+            new = akey != 0
+            new[1:] &= (akey[1:] != akey[:-1]) | (abeg[1:] != abeg[:-1]) | (part[1:] != part[:-1])
+            last = akey != 0
+            last[:-1] &= (akey[1:] != akey[:-1]) | (abeg[1:] != abeg[:-1]) | (part[1:] != part[:-1])
+            p0, p1 = np.flatnonzero(new), np.flatnonzero(last) + 1
+            a, d = abeg[p0].astype(np.int64), part[p0]
+            raw = [K.digest(words[x:y] + b"|%d" % z) for x, y, z in zip(s[p0].tolist(), e[p1 + WINDOW - 2].tolist(), (p0 - a).tolist(), strict=True)]
+            both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+            copies = np.repeat(np.arange(len(p0)), np.array(row["times"], np.int64)[d])
+            cols = [row["block"] * (1 << 20) + d, np.zeros(len(d), np.int64), akey[p0], both[:, 0], both[:, 1], a - first[d], p0 - first[d], p1 - first[d]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[copies].astype(np.int64 if i < 5 else np.int32)) for i, c in enumerate(cols)], names=NAMES)
+
+
+class _Buckets:
+    """Tables of blocks, bucketed by block number in the shared folder, so that joins by it move only the other side."""
+
+    def __init__(self, spark, count: int):
+        self.spark, self.count, self.names = spark, count, []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        name = f"recompression_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/quantloom-{self.spark.sparkContext.applicationId}/{name}"
+        df.write.bucketBy(self.count, "block").option("path", path).format("parquet").saveAsTable(name)
+        self.names.append((name, path))
+        return self.spark.table(name)
+
+    def drop(self, keep: int = 0) -> None:
+        """Drops all tables but the last `keep`, with their files: the next round reads none of them."""
+        for name, path in self.names[: len(self.names) - keep]:
+            self.spark.sql(f"drop table if exists {name}")
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.names = self.names[len(self.names) - keep :]
+
+
+_STATE_SCHEMA = "block long, " + ", ".join(f"{c} binary" for c in _STATE)
+
+
+def _named(candidates: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """(block, got): the names of each block's candidates. A key that occurs more than once in the collection gets a
+    number of its own, fixed where the table of names is written."""
+    names = candidates.groupBy(*keys).agg(F.sum("often").alias("often")).where("often > 1")
+    names = stored(names.select(*keys, (F.monotonically_increasing_id() + F.lit((level << 56) + 1)).alias("id")), f"names-{level}")
+    return candidates.select("block", "i", *keys).join(names, keys).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("got"))
+
+
+def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Parts of texts as a table of texts of their own (doc_id, u1, u2, text, times; d1, d2, w0: where they come
+    from), and the records of their fragments by anchors. docs: doc_id, u1, u2, text."""
+    spark = docs.sparkSession
+    # copies of a text are one text here, with their number
+    grams = docs.select(*UID, "text").mapInArrow(_grams, "u1 long, u2 long, key long, p0 int, p1 int")
+    shared = stored(grams.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "grams")
+    pack = F.shiftleft(F.col("p0").cast("long"), 32) + F.col("p1")
+    marks = grams.join(shared, "key").groupBy(*UID).agg(F.collect_set(pack).alias("marks"))
+    reps = docs.groupBy(*UID).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).cast("int").alias("times"))
+    own = marks.join(reps, UID).select(F.col("u1").alias("m1"), F.col("u2").alias("m2"), "rep", "times", "marks")
+    same = (docs["u1"] == F.col("m1")) & (docs["u2"] == F.col("m2")) & docs["doc_id"].eqNullSafe(F.col("rep"))
+    texts = docs.join(own.hint("shuffle_hash"), same)
+    blocks = texts.select(*UID, "text", "marks", "times").mapInArrow(_blocks, "u1 array<long>, u2 array<long>, w0 array<int>, n array<int>, times array<int>, words binary")
+    blocks = stored(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+    size = blocks.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0  # one row
+    buckets = _Buckets(spark, max(spark.sparkContext.defaultParallelism, min(20_000, size * 6 // BUCKET + 1)))
+    words = _named(blocks.mapInArrow(_word_candidates, "block long, i int, word binary, often long"), ["word"], 0)
+    state = blocks.join(words.hint("shuffle_hash"), "block", "left").select("block", "n", "times", "words", "got")
+    state = buckets.stored(state.mapInArrow(_first_state, _STATE_SCHEMA).repartition(buckets.count, "block"))
+    for level in range(1, rounds + 1):
+        got = _named(state.mapInArrow(_pair_candidates(level), "block long, i int, ln long, lc long, rn long, rc long, often long"), _PAIR, level)
+        joined = state.join(got.hint("shuffle_hash"), "block", "left")
+        state = buckets.stored(joined.mapInArrow(_next_state(level), _STATE_SCHEMA))
+        buckets.drop(keep=1)
+    final = state.select("block", "akey", "abeg").join(blocks.select("block", "n", "times", "words"), "block")
+    records = stored(final.mapInArrow(_records, RECORD), "records")
+    buckets.drop()
+    return stored(blocks.mapInArrow(_parts, "doc_id long, u1 long, u2 long, text string, times int, d1 long, d2 long, w0 int"), "parts"), records
 
 
 def verified(fragments: list[tuple[int, bytes, int]], window: int = WINDOW) -> list[np.ndarray]:
@@ -159,17 +422,19 @@ def verified(fragments: list[tuple[int, bytes, int]], window: int = WINDOW) -> l
     return np.split(out, np.cumsum(n)[:-1])
 
 
-REPEATS = Repeats(WINDOW, _sequence, _anchors, verified, (12, 4, 1), 0, WINDOW)
+#: Fragments come from the rounds above, so there is no function of one text that finds anchors.
+REPEATS = Repeats(WINDOW, _sequence, None, verified, (12, 4, 1), 0, WINDOW)
 
 
-def deduplicated(docs: DataFrame, repeats: Repeats = REPEATS) -> DataFrame:
+def deduplicated(docs: DataFrame, repeats: Repeats = REPEATS, rounds: int = ROUNDS) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_removed, kept_sha256, kept (the remaining words, one space between).
 
     Every word that a window of 35 words covers whose words also start elsewhere, in any row, is
     removed; windows are judged on the input. Null and blank texts have no words; texts under 35 words
-    keep theirs; repeated rows of 35 words or more lose all. Other columns are not read.
+    keep theirs; repeated rows of 35 words or more lose all; very long texts count whole, and an empty table gives
+    no rows. Other columns are not read.
     """
-    length = repeats.length
+    length, docs = repeats.length, prepared(docs)
 
     def run(batches):
         for b in batches:
@@ -189,5 +454,9 @@ def deduplicated(docs: DataFrame, repeats: Repeats = REPEATS) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
+    parts, records = fragments(docs, rounds)
+    found = repeats.starts(parts.select("doc_id", *UID, "text", "times"), records)
+    at = parts.select("u1", "u2", "d1", "d2", "w0")
+    starts = found.join(at, UID).select(F.col("d1").alias("u1"), F.col("d2").alias("u2"), (F.col("p0") + F.col("w0")).alias("p0"), (F.col("p1") + F.col("w0")).alias("p1"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return repeats.marked(prepared(docs)).select("doc_id", "text", "marks").mapInArrow(run, schema)
+    return repeats.marked(docs, starts).select("doc_id", "text", "marks").mapInArrow(run, schema)

@@ -157,10 +157,12 @@ class Repeats:
 
         return run
 
-    def starts(self, docs: DataFrame) -> DataFrame:
-        """(u1, u2, p0, p1): ranges of repeated window starts, in symbols, of texts of `docs` (doc_id, u1, u2, text)."""
-        texts = docs.select(*UID, "text")
-        records = texts.mapInArrow(self.records(), RECORD)
+    def starts(self, docs: DataFrame, records: DataFrame | None = None) -> DataFrame:
+        """(u1, u2, p0, p1): ranges of repeated window starts, in symbols, of texts of `docs` (doc_id, u1, u2, text).
+
+        records: fragments found elsewhere; `docs` then has a column `times`, how often each text occurs."""
+        if records is None:
+            records = docs.select(*UID, "text").mapInArrow(self.records(), RECORD)
         reps = docs.groupBy(*UID).agg(F.min("doc_id").alias("rep"))
 
         def with_text(lists: DataFrame) -> DataFrame:
@@ -196,14 +198,14 @@ class Repeats:
             found = stored(found, "repeat-found")
             # copies of a text repeat all their records: one text stands for them, and each record comes as often
             again = mixed.join(large, "key").groupBy(*UID).agg(F.collect_set(F.struct("key", "a", "p0", "p1")).alias("list"))
-            times = docs.groupBy(*UID).agg(F.count(F.lit(1)).alias("times"))
+            times = docs.groupBy(*UID).agg((F.sum("times") if "times" in docs.columns else F.count(F.lit(1))).alias("times"))
             finer = with_text(again).mapInArrow(self.finer(sizes.pop(0)), RECORD).join(times, UID)
             records = finer.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.least("times", F.lit(2)).cast("int")))).drop("times").select(*NAMES)
 
-    def marked(self, docs: DataFrame) -> DataFrame:
+    def marked(self, docs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         """`docs` (doc_id, u1, u2, text) with `marks`: packed ranges p0 * 2**32 + p1 of repeated starts, or null."""
         pack = F.shiftleft(F.col("p0").cast("long"), 32) + F.col("p1")
-        marks = self.starts(docs).select(*UID, pack.alias("mark")).groupBy(*UID).agg(F.collect_set("mark").alias("marks"))
+        marks = (self.starts(docs) if starts is None else starts).select(*UID, pack.alias("mark")).groupBy(*UID).agg(F.collect_set("mark").alias("marks"))
         marks = marks.select(F.col("u1").alias("m_u1"), F.col("u2").alias("m_u2"), "marks")
         return docs.join(marks.hint("shuffle_hash"), (docs["u1"] == F.col("m_u1")) & (docs["u2"] == F.col("m_u2")), "left").drop("m_u1", "m_u2")
 

@@ -39,9 +39,8 @@ def _anchors(data: np.ndarray, offs: np.ndarray):
     eight = K.mix(np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel())
     m = n - GRAM + 1
     g = K.mix(sum(eight[8 * i : 8 * i + m] * K.U64(2 * i + 1) for i in range(GRAM // 8)))  # equal anchors only propose
-    bits = K.U64(n.bit_length())
-    v = (g >> bits << bits) | np.arange(len(g), dtype=K.U64)  # ties go to the left
-    best = (K.sliding_min(v, WINDOW - GRAM + 1) & ((K.U64(1) << bits) - K.U64(1))).astype(np.int64)
+    v = (g >> K.U64(32) << K.U64(32)) | np.arange(len(g), dtype=K.U64)  # ties go to the left, alike in every window
+    best = (K.sliding_min(v, WINDOW - GRAM + 1) & K.U64(0xFFFFFFFF)).astype(np.int64)
     valid = np.zeros(len(best) + 1, bool)
     for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         if e - s >= WINDOW:

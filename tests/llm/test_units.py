@@ -48,15 +48,43 @@ def test_columns_mark_repeated_windows(seed):
         assert flags.tolist() == [seen[x + i, b[i : i + 8]] > 1 for i in range(len(b) - 7)]
 
 
-@pytest.mark.parametrize("seed", range(4))
+def _named_in_rounds(words: list[list[int]], rounds: int):
+    """The rounds of recompression on one block, with names by a plain count of all that occurs more than once."""
+    flat = np.concatenate([np.array(w, np.int64) for w in words])
+    n = np.array([len(w) for w in words], np.int32)
+    count = Counter(flat.tolist())
+    known = {w: i + 1 for i, w in enumerate(sorted(w for w in count if count[w] > 1))}
+    own = recompression.Block.of_words(n, np.ones(len(n), np.int32), np.array([known.get(w, 0) for w in flat.tolist()], np.int64))
+    for level in range(1, rounds + 1):
+        own = recompression.Block.read(dict(zip(recompression._STATE, own.row(), strict=True)))
+        own.collapse()
+        joined, right, unique, which = own.pairs(level)
+        often = np.bincount(which, minlength=len(unique))
+        names = np.where(often > 1, np.arange(len(unique)) + (level << 56) + 1, 0)
+        own.merge(joined, right, names[which])
+        own.anchor(level)
+    return own, np.cumsum(n) - n
+
+
+@pytest.mark.parametrize("seed", range(6))
 def test_anchors_depend_on_the_window_only(seed):
+    """Equal windows have one key and equally distant anchors, in whatever text they are; unique words end windows."""
     rng = np.random.default_rng(seed)
-    h = kernels.mix(rng.integers(0, 9, 400).astype(np.uint64))
-    copy = np.concatenate([h[:50], h[100:300], h[7:60], h[100:300]])
-    key, a, p0, p1 = recompression.anchors_of(copy, np.array([0, len(copy)]))
-    at = {p: (int(k), x - p) for k, x, s, e in zip(key, a.tolist(), p0.tolist(), p1.tolist(), strict=True) for p in range(s, e)}
-    for p in range(50, 250 - 35):
-        assert at[p] == at[p + 253]
+    passage = rng.integers(0, 9 if seed % 2 else 400, 200).tolist()
+    texts = [[*rng.integers(0, 9, 50).tolist(), *passage, 777_000, *rng.integers(0, 9, 60).tolist()], [*rng.integers(0, 400, 7).tolist(), *passage, 5, 5, 5], [3] * 90]
+    own, first = _named_in_rounds(texts, 5)
+    flat, w = [x for t in texts for x in t], recompression.WINDOW
+    seen: dict = {}
+    for t, f in zip(texts, first.tolist(), strict=True):
+        for p in range(f, f + len(t) - w + 1):
+            seen.setdefault(tuple(flat[p : p + w]), []).append(p)
+    assert sum(len(x) > 1 for x in seen.values()) > 150
+    for words, places in seen.items():
+        if len(places) > 1:
+            assert len({(own.akey[p], own.abeg[p] - p) for p in places}) == 1 and own.akey[places[0]] != 0
+        elif 777_000 in words:
+            assert own.akey[places[0]] == 0
+    assert len(own.name) < 0.75 * len(flat)
 
 
 def test_large_groups_are_split(spark, monkeypatch):
