@@ -33,9 +33,9 @@ from quantloom.llm.repeats import NAMES, RECORD, UID, Repeats, covered, prepared
 WINDOW, GRAM = 35, 12
 #: Rounds of pairs. A round leaves about 3/4 of the symbols; after these most windows hold a few. More would shorten
 #: comparisons and change no result.
-ROUNDS = 5
+ROUNDS = 4
 #: Words of a block, and bytes of state for a bucket.
-BLOCK, BUCKET = 1 << 16, 1 << 26
+BLOCK, BUCKET = 1 << 17, 1 << 26
 
 
 def _sequence(data: np.ndarray, offs: np.ndarray):
@@ -104,13 +104,17 @@ def _blocks(batches):
 
 # --- rounds ---------------------------------------------------------------------------------------
 
-_STATE = ("n", "times", "part", "name", "count", "ca", "cb", "akey", "abeg")
-_KINDS = {"n": np.int32, "times": np.int32, "part": np.int32, "name": np.int64, "count": np.int32, "ca": np.int32, "cb": np.int32, "akey": np.int64, "abeg": np.int32}
+#: Arrays of a block. n and times: words and copies of each part; left: its symbols; the next four for each symbol, the
+#: last two for each word.
+_KINDS = {"n": np.int32, "times": np.int32, "left": np.int32, "name": np.int64, "count": np.int32, "ca": np.int32, "cb": np.int32, "akey": np.int64, "reach": np.uint8}
+_STATE = tuple(_KINDS)
+#: What candidates are made of.
+_SLIM = ("n", "times", "left", "name", "count")
 
 
 class Block:
     """Symbols of one block: names (0: none), run lengths, the words [ca, cb) that each depends on; for every word the
-    key and place of the anchor of the window that starts there (key 0: no window that can be repeated)."""
+    key and distance of the anchor of the window that starts there (key 0: no window that can be repeated)."""
 
     def __init__(self, **arrays: np.ndarray):
         self.__dict__.update(arrays)
@@ -120,15 +124,21 @@ class Block:
         size, ends = int(n.sum()), np.cumsum(n)
         at = np.arange(size)
         akey = (np.repeat(ends, n) - at >= WINDOW).astype(np.int64)
-        own = cls(n=n, times=times, part=np.repeat(np.arange(len(n)), n), name=name, count=np.ones(size, np.int32), ca=at, cb=at + 1, akey=akey, abeg=np.zeros(size, np.int32))
+        own = cls(n=n, times=times, left=n, name=name, count=np.ones(size, np.int32), ca=at, cb=at + 1, akey=akey, reach=np.zeros(size, np.uint8))
+        own.part = np.repeat(np.arange(len(n)), n)
         own.anchor(0)
         return own
 
     @classmethod
-    def read(cls, row: dict) -> Block:
-        return cls(**{c: np.frombuffer(row[c], _KINDS[c]) for c in _STATE})
+    def read(cls, batch: pa.RecordBatch, i: int, columns=_STATE) -> Block:
+        own = cls(**{c: np.frombuffer(batch.column(c)[i].as_buffer(), _KINDS[c]) for c in columns})
+        own.part = np.repeat(np.arange(len(own.n)), own.left)
+        if "ca" not in columns:  # nothing reads them
+            own.ca = own.cb = np.zeros(len(own.name), np.int32)
+        return own
 
     def row(self) -> list[bytes]:
+        self.left = np.bincount(self.part, minlength=len(self.n))
         return [np.ascontiguousarray(getattr(self, c), _KINDS[c]).tobytes() for c in _STATE]
 
     def _side(self, salt: int) -> np.ndarray:
@@ -145,15 +155,15 @@ class Block:
             return
         dead = np.cumsum(np.append(0, self.name == 0))
         lost = dead[hi + 1] > dead[lo]
-        akey, abeg = self.akey.copy(), self.abeg.copy()
+        akey, reach = self.akey.copy(), self.reach.copy()
         akey[p[lost]] = 0
         p, lo, hi = p[~lost], lo[~lost], hi[~lost]
         if len(p):
             v = self._side(101)
             best = _range_argmin(v, lo, hi)
             akey[p] = K.signed(K.mix(v + K.U64(level)) | K.U64(1))[best]
-            abeg[p] = self.ca[best]
-        self.akey, self.abeg = akey, abeg
+            reach[p] = self.ca[best] - p
+        self.akey, self.reach = akey, reach
 
     def collapse(self) -> None:
         """Takes runs of one name together."""
@@ -180,9 +190,13 @@ class Block:
         if len(joined) > 1:
             joined[:-1] = ~right[:-1] & right[1:] & (part[1:] == part[:-1]) & (self.name[:-1] > 0) & (self.name[1:] > 0)
         k = np.flatnonzero(joined)
-        rows = np.stack([self.name[k], self.count[k], self.name[k + 1], self.count[k + 1]], axis=1).astype(np.int64) if len(k) else np.zeros((0, 4), np.int64)
-        unique, which = np.unique(rows, axis=0, return_inverse=True)
-        return joined, right, unique, which.ravel()
+        kinds, code = np.unique(self.name, return_inverse=True)
+        lengths, size = np.unique(self.count, return_inverse=True)
+        both = code * len(lengths) + size  # symbols of one name and run length
+        pairs, which = np.unique(both[k] * (len(kinds) * len(lengths)) + both[k + 1], return_inverse=True)
+        l, r = np.divmod(pairs, max(len(kinds) * len(lengths), 1))
+        parts = [x for v in (l, r) for x in np.divmod(v, max(len(lengths), 1))]
+        return joined, right, np.stack([kinds[parts[0]], lengths[parts[1]], kinds[parts[2]], lengths[parts[3]]], axis=1).astype(np.int64), which
 
     def merge(self, joined: np.ndarray, right: np.ndarray, names: np.ndarray) -> None:
         """Replaces joined pairs by symbols of the given names."""
@@ -219,53 +233,56 @@ def _range_argmin(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct_words(row) -> tuple[list[bytes], np.ndarray]:
+def _ints(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+    return batch.column(column)[i].values.to_numpy(zero_copy_only=False)
+
+
+def _distinct_words(raw: bytes) -> tuple[list[bytes], np.ndarray]:
     known: dict[bytes, int] = {}
-    which = np.array([known.setdefault(w, len(known)) for w in row["words"].split(b" ")], np.int64)
+    words = raw.split(b" ")
+    which = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
     return list(known), which
 
 
 def _word_candidates(batches):
     """From blocks: their different words, and how often each occurs."""
     for b in batches:
-        for row in b.to_pylist():
-            words, which = _distinct_words(row)
-            often = np.bincount(which, weights=np.repeat(row["times"], row["n"]), minlength=len(words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(words), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.binary()), pa.array(often)], names=["block", "i", "word", "often"])
+        for r, block in enumerate(b.column("block").to_pylist()):
+            words, which = _distinct_words(b.column("words")[r].as_py())
+            often = np.bincount(which, weights=np.repeat(_ints(b, "times", r), _ints(b, "n", r)), minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.binary()), pa.array(often)], names=["block", "i", "word", "often"])
 
 
-def _names(row, size: int) -> np.ndarray:
-    """Names by number of candidate (0: none), from packed lists of both."""
-    out = np.zeros(size, np.int64)
-    if row["got"]:
-        out[[g["i"] for g in row["got"]]] = [g["id"] for g in row["got"]]
+def _names(batch: pa.RecordBatch, r: int, size: int) -> np.ndarray:
+    """Names by number of candidate (0: none)."""
+    out, got = np.zeros(size, np.int64), batch.column("got")[r].values
+    if got is not None and len(got):
+        out[got.field("i").to_numpy()] = got.field("id").to_numpy()
     return out
 
 
-def _state_batch(numbers: list[int], blocks: list[Block]) -> pa.RecordBatch:
-    cols = list(zip(*(x.row() for x in blocks), strict=True)) if blocks else [[] for _ in _STATE]
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *(pa.array(list(c), pa.binary()) for c in cols)], names=["block", *_STATE])
+def _state_batch(block: int, own: Block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([c], pa.binary()) for c in own.row())], names=["block", *_STATE])
 
 
 def _first_state(batches):
     """From blocks with the names of their words (got): the state before the first round."""
     for b in batches:
-        for row in b.to_pylist():
-            words, which = _distinct_words(row)
-            own = Block.of_words(np.array(row["n"], np.int32), np.array(row["times"], np.int32), _names(row, len(words))[which])
-            yield _state_batch([row["block"]], [own])
+        for r, block in enumerate(b.column("block").to_pylist()):
+            words, which = _distinct_words(b.column("words")[r].as_py())
+            yield _state_batch(block, Block.of_words(_ints(b, "n", r), _ints(b, "times", r), _names(b, r, len(words))[which]))
 
 
 def _pair_candidates(level: int):
     def run(batches):
         """From the state: each block's different pairs, and how often each occurs."""
         for b in batches:
-            for row in b.to_pylist():
-                own = Block.read(row)
+            for r, block in enumerate(b.column("block").to_pylist()):
+                own = Block.read(b, r, _SLIM)
                 own.collapse()
                 joined, _, unique, which = own.pairs(level)
                 often = np.bincount(which, weights=own.times[own.part[joined]], minlength=len(unique)).astype(np.int64)
-                cols = [np.full(len(unique), row["block"], np.int64), np.arange(len(unique), dtype=np.int32), *unique.T, often]
+                cols = [np.full(len(unique), block), np.arange(len(unique), dtype=np.int32), *unique.T, often]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["block", "i", *_PAIR, "often"])
 
     return run
@@ -278,13 +295,13 @@ def _next_state(level: int):
     def run(batches):
         """From the state with the names of its pairs (got): the state after the round."""
         for b in batches:
-            for row in b.to_pylist():
-                own = Block.read(row)
+            for r, block in enumerate(b.column("block").to_pylist()):
+                own = Block.read(b, r)
                 own.collapse()
                 joined, right, unique, which = own.pairs(level)
-                own.merge(joined, right, _names(row, len(unique))[which])
+                own.merge(joined, right, _names(b, r, len(unique))[which])
                 own.anchor(level)
-                yield _state_batch([row["block"]], [own])
+                yield _state_batch(block, own)
 
     return run
 
@@ -292,38 +309,36 @@ def _next_state(level: int):
 def _parts(batches):
     """From blocks: their parts as texts of their own."""
     for b in batches:
-        for row in b.to_pylist():
-            words, at = row["words"].split(b" "), 0
-            texts = []
-            for n in row["n"]:
-                texts.append(b" ".join(words[at : at + n]).decode())
-                at += n
-            rid = row["block"] * (1 << 20) + np.arange(len(texts))
-            cols = [pa.array(rid, pa.int64()), pa.array(rid, pa.int64()), pa.array(np.zeros(len(texts), np.int64)), pa.array(texts, pa.string()), pa.array(row["times"], pa.int32())]
-            cols += [pa.array(row["u1"], pa.int64()), pa.array(row["u2"], pa.int64()), pa.array(row["w0"], pa.int32())]
+        for r, block in enumerate(b.column("block").to_pylist()):
+            raw, n = b.column("words")[r].as_py(), _ints(b, "n", r)
+            s, e, _ = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), K.WORD_BYTES)
+            z = np.cumsum(n)
+            texts = [raw[x:y].decode() for x, y in zip(s[z - n].tolist(), e[z - 1].tolist(), strict=True)]
+            rid = block * (1 << 20) + np.arange(len(texts))
+            cols = [pa.array(rid), pa.array(rid), pa.array(np.zeros(len(texts), np.int64)), pa.array(texts, pa.string()), *(pa.array(_ints(b, c, r)) for c in ("times", *UID, "w0"))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "u1", "u2", "text", "times", "d1", "d2", "w0"])
 
 
 def _records(batches):
     """From blocks with their final anchors: fragments, in words of their part, once for each occurrence of the part."""
     for b in batches:
-        for row in b.to_pylist():
-            words, n = row["words"], np.array(row["n"], np.int64)
-            akey, abeg = np.frombuffer(row["akey"], np.int64), np.frombuffer(row["abeg"], np.int32)
+        for r, block in enumerate(b.column("block").to_pylist()):
+            words, n = b.column("words")[r].as_py(), _ints(b, "n", r).astype(np.int64)
+            akey, reach = (np.frombuffer(b.column(c)[r].as_buffer(), _KINDS[c]) for c in ("akey", "reach"))
             data = np.frombuffer(words, np.uint8)
             s, e, _ = K.words(data, np.array([0, len(data)]), K.WORD_BYTES)
             first = np.cumsum(n) - n
-            part = np.repeat(np.arange(len(n)), n)
-            new = akey != 0
-            new[1:] &= (akey[1:] != akey[:-1]) | (abeg[1:] != abeg[:-1]) | (part[1:] != part[:-1])
-            last = akey != 0
-            last[:-1] &= (akey[1:] != akey[:-1]) | (abeg[1:] != abeg[:-1]) | (part[1:] != part[:-1])
+            part, abeg = np.repeat(np.arange(len(n)), n), np.arange(len(akey)) + reach
+            new, last = akey != 0, akey != 0
+            edge = (akey[1:] != akey[:-1]) | (abeg[1:] != abeg[:-1]) | (part[1:] != part[:-1])
+            new[1:] &= edge
+            last[:-1] &= edge
             p0, p1 = np.flatnonzero(new), np.flatnonzero(last) + 1
-            a, d = abeg[p0].astype(np.int64), part[p0]
+            a, d = abeg[p0], part[p0]
             raw = [K.digest(words[x:y] + b"|%d" % z) for x, y, z in zip(s[p0].tolist(), e[p1 + WINDOW - 2].tolist(), (p0 - a).tolist(), strict=True)]
             both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            copies = np.repeat(np.arange(len(p0)), np.array(row["times"], np.int64)[d])
-            cols = [row["block"] * (1 << 20) + d, np.zeros(len(d), np.int64), akey[p0], both[:, 0], both[:, 1], a - first[d], p0 - first[d], p1 - first[d]]
+            copies = np.repeat(np.arange(len(p0)), _ints(b, "times", r)[d])
+            cols = [block * (1 << 20) + d, np.zeros(len(d), np.int64), akey[p0], both[:, 0], both[:, 1], a - first[d], p0 - first[d], p1 - first[d]]
             yield pa.RecordBatch.from_arrays([pa.array(c[copies].astype(np.int64 if i < 5 else np.int32)) for i, c in enumerate(cols)], names=NAMES)
 
 
@@ -371,6 +386,7 @@ def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     marks = grams.join(shared, "key").groupBy(*UID).agg(F.collect_set(pack).alias("marks"))
     reps = docs.groupBy(*UID).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).cast("int").alias("times"))
     own = marks.join(reps, UID).select(F.col("u1").alias("m1"), F.col("u2").alias("m2"), "rep", "times", "marks")
+    own = stored(own, "gram-marks")  # so that a hot text's rows are split among tasks in the join below
     same = (docs["u1"] == F.col("m1")) & (docs["u2"] == F.col("m2")) & docs["doc_id"].eqNullSafe(F.col("rep"))
     texts = docs.join(own.hint("shuffle_hash"), same)
     blocks = texts.select(*UID, "text", "marks", "times").mapInArrow(_blocks, "u1 array<long>, u2 array<long>, w0 array<int>, n array<int>, times array<int>, words binary")
@@ -381,11 +397,11 @@ def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     state = blocks.join(words.hint("shuffle_hash"), "block", "left").select("block", "n", "times", "words", "got")
     state = buckets.stored(state.mapInArrow(_first_state, _STATE_SCHEMA).repartition(buckets.count, "block"))
     for level in range(1, rounds + 1):
-        got = _named(state.mapInArrow(_pair_candidates(level), "block long, i int, ln long, lc long, rn long, rc long, often long"), _PAIR, level)
+        got = _named(state.select("block", *_SLIM).mapInArrow(_pair_candidates(level), "block long, i int, ln long, lc long, rn long, rc long, often long"), _PAIR, level)
         joined = state.join(got.hint("shuffle_hash"), "block", "left")
         state = buckets.stored(joined.mapInArrow(_next_state(level), _STATE_SCHEMA))
         buckets.drop(keep=1)
-    final = state.select("block", "akey", "abeg").join(blocks.select("block", "n", "times", "words"), "block")
+    final = state.select("block", "akey", "reach").join(blocks.select("block", "n", "times", "words"), "block")
     records = stored(final.mapInArrow(_records, RECORD), "records")
     buckets.drop()
     return stored(blocks.mapInArrow(_parts, "doc_id long, u1 long, u2 long, text string, times int, d1 long, d2 long, w0 int"), "parts"), records

@@ -207,6 +207,7 @@ class Repeats:
         pack = F.shiftleft(F.col("p0").cast("long"), 32) + F.col("p1")
         marks = (self.starts(docs) if starts is None else starts).select(*UID, pack.alias("mark")).groupBy(*UID).agg(F.collect_set("mark").alias("marks"))
         marks = marks.select(F.col("u1").alias("m_u1"), F.col("u2").alias("m_u2"), "marks")
+        marks = stored(marks, "repeat-marks")  # so that a hot text's rows are split among tasks
         return docs.join(marks.hint("shuffle_hash"), (docs["u1"] == F.col("m_u1")) & (docs["u2"] == F.col("m_u2")), "left").drop("m_u1", "m_u2")
 
 

@@ -56,7 +56,7 @@ def _named_in_rounds(words: list[list[int]], rounds: int):
     known = {w: i + 1 for i, w in enumerate(sorted(w for w in count if count[w] > 1))}
     own = recompression.Block.of_words(n, np.ones(len(n), np.int32), np.array([known.get(w, 0) for w in flat.tolist()], np.int64))
     for level in range(1, rounds + 1):
-        own = recompression.Block.read(dict(zip(recompression._STATE, own.row(), strict=True)))
+        own = recompression.Block.read(recompression._state_batch(0, own), 0)
         own.collapse()
         joined, right, unique, which = own.pairs(level)
         often = np.bincount(which, minlength=len(unique))
@@ -81,7 +81,7 @@ def test_anchors_depend_on_the_window_only(seed):
     assert sum(len(x) > 1 for x in seen.values()) > 150
     for words, places in seen.items():
         if len(places) > 1:
-            assert len({(own.akey[p], own.abeg[p] - p) for p in places}) == 1 and own.akey[places[0]] != 0
+            assert len({(own.akey[p], own.reach[p]) for p in places}) == 1 and own.akey[places[0]] != 0
         elif 777_000 in words:
             assert own.akey[places[0]] == 0
     assert len(own.name) < 0.75 * len(flat)
