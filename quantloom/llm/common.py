@@ -38,6 +38,13 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that `stored` wrote and nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table written in the shared folder: cuts lineage, survives lost executors, is computed once."""
     path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

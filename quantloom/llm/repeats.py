@@ -43,7 +43,8 @@ class Repeats:
     and end start of every fragment in flat symbol positions. compare(fragments): for each (anchor-relative
     start, content, copies) the flags of its windows. sizes: numbers of starts in the parts that a group is
     split into; first: that of the parts made at once (0: none). reach: how far before its anchor a window
-    can start."""
+    can start. tables: a form of `compare` that works on the table of all fragments, sorted by key. every: compare
+    fragments that occur in one form only, too."""
 
     length: int
     sequence: Callable
@@ -52,6 +53,8 @@ class Repeats:
     sizes: tuple[int, ...]
     first: int
     reach: int
+    tables: Callable | None = None
+    every: bool = False
 
     def parts(self, ident, a, p0, p1, size):
         """Records cut to ranges of `size` starts, counted from the anchor: key, index of the record, p0, p1."""
@@ -178,7 +181,7 @@ class Repeats:
             # stored, so that the join reads plain shuffles on both sides and one hot key's records are split among tasks
             groups = stored(groups, "repeat-groups")
             hits = stored(records.join(groups, "key").select(*NAMES, "same"), "repeat-hits")
-            mixed = hits.where("not same")
+            mixed = hits if self.every else hits.where("not same")
             frags = mixed.groupBy("key", *FRAG).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*UID, "a", "p0", "p1")).alias("at"))
             frags = stored(frags.select("key", *FRAG, "n", "at.*"), "repeat-frags")
             large = frags.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > GROUP).select("key")
@@ -188,10 +191,12 @@ class Repeats:
                 frags = frags.join(large, "key", "left_anti")
             lists = frags.groupBy(*UID).agg(F.collect_list(F.struct("key", *FRAG, "n", "a", "p0", "p1")).alias("list"))
             payload = with_text(lists).mapInArrow(self.payloads(), "key long, f1 long, f2 long, n long, x0 int, data binary")
-            runs = payload.repartition("key").sortWithinPartitions("key").mapInArrow(self.compared(), "key long, f1 long, f2 long, s0 int, s1 int")
+            payload = payload.repartition("key").sortWithinPartitions("key")
+            runs = self.tables(payload) if self.tables else payload.mapInArrow(self.compared(), "key long, f1 long, f2 long, s0 int, s1 int")
             runs = stored(runs, "repeat-runs")
             some = mixed.join(runs, ["key", *FRAG]).select(*UID, (F.col("p0") + F.col("s0")).alias("p0"), (F.col("p0") + F.col("s1")).alias("p1"))
-            some = hits.where("same").select(*UID, "p0", "p1").union(some)
+            if not self.every:
+                some = hits.where("same").select(*UID, "p0", "p1").union(some)
             found = some if found is None else found.union(some)
             if not hot:
                 return found
