@@ -31,7 +31,8 @@ def _let(value: Column, body) -> Column:
 
 
 def _kept(h: Column, k: int, s: int) -> Column:
-    """Hashes of the closed syncmers of tokens with hashes h, in order; none if there are fewer than k tokens."""
+    """The closed syncmers of tokens with hashes h, in order: hash * 2**32 + place of the first token, from 1; none if
+    there are fewer than k tokens."""
     inner = k - s + 1
 
     def of_hashes(h: Column) -> Column:
@@ -41,9 +42,9 @@ def _kept(h: Column, k: int, s: int) -> Column:
 
         def closed(m: Column):
             edge = lambda i: F.array_contains(F.array(F.get(m, i - 1), F.get(m, i + inner - 2)), F.array_min(F.slice(m, i, F.lit(inner))))
-            return F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), edge), lambda i: F.hash(F.slice(h, i, F.lit(k))))
+            return F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), edge), lambda i: F.shiftleft(F.hash(F.slice(h, i, F.lit(k))).cast("long"), 32) + i)
 
-        return F.when(F.size(h) < k, F.array().cast("array<int>")).otherwise(_let(small, closed))
+        return F.when(F.size(h) < k, F.array().cast("array<long>")).otherwise(_let(small, closed))
 
     return _let(h, of_hashes)
 
@@ -68,25 +69,42 @@ def _words(text: Column) -> Column:
 
 
 def syncmers(text: Column) -> Column:
-    """Hashes (int) of the closed syncmers of a text on its scales, in order. Null texts count as empty."""
+    """The closed syncmers of a text on its scales, in order: hash * 2**32 + place (in tokens of the scale, from 1).
+    Null texts count as empty; very long ones are read whole."""
 
     def of(t: Column) -> Column:
-        n, none = F.char_length(t), F.array().cast("array<int>")
+        n, none = F.char_length(t), F.array().cast("array<long>")
         scales = [F.when((n > low) & (n <= 2 * high), _kept(_points(t), k, s)).otherwise(none) for k, s, low, high in SHORT_SCALES]
         scales.append(F.when(n > SHORT_SCALES[-1][-1], _kept(_words(t), K_MER, S_MER)).otherwise(none))
-        return _let(F.concat(*scales), lambda x: F.when(F.size(x) == 0, F.array(F.hash(t))).otherwise(x))
+        return _let(F.concat(*scales), lambda x: F.when(F.size(x) == 0, F.array(F.shiftleft(F.hash(t).cast("long"), 32) + 1)).otherwise(x))
 
     return _let(F.coalesce(text, F.lit("")), of)
 
 
 def as_text(anchors: Column) -> Column:
-    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+    """The hashes, 8 hexadecimal digits each."""
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(F.shiftrightunsigned(x, 32)), 8, "0")), "")
+
+
+def hashes(anchors: Column) -> Column:
+    return F.transform(anchors, lambda x: F.shiftright(x, 32).cast("int"))
+
+
+def placed_likeness(a: Column, b: Column) -> Column:
+    """Part of the anchors of both texts that agree in hash and place (Dice's coefficient): what is unchanged and has
+    not moved."""
+    return (2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).cast("double")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice's coefficient of two sets of anchors: 1 for equal texts, 0 for texts that share none."""
-    shared, all_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return (2 * shared / (shared + all_)).cast("double")
+    """Dice's coefficient of the hashes of two texts' anchors, wherever they stand: 1 for equal texts, 0 for texts that
+    share none."""
+
+    def dice(x: Column, y: Column) -> Column:
+        shared, all_ = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+        return (2 * shared / (shared + all_)).cast("double")
+
+    return _let(hashes(a), lambda x: _let(hashes(b), lambda y: dice(x, y)))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
@@ -130,11 +148,13 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def edit_study(docs: DataFrame) -> DataFrame:
-    """Per document its fingerprint, that of its edited text, and likenesses to the edited and the next text."""
+    """Per document its fingerprint, that of its edited text, and likenesses to the edited and the next text: of anchors
+    wherever they stand (near_*), and of anchors at their places (placed_*). Null and empty texts are one anchor."""
     rows = with_next(docs).withColumn("edit", edited(F.col("text"), F.col("next_text")))
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), "anchors", syncmers(F.col("edit")).alias("edit_anchors"), "next_anchors")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edit_anchors")).alias("edited_fingerprint"),
         likeness(F.col("anchors"), F.col("edit_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        placed_likeness(F.col("anchors"), F.col("edit_anchors")).alias("placed_edited"), placed_likeness(F.col("anchors"), F.col("next_anchors")).alias("placed_next"),
     )

@@ -106,3 +106,32 @@ def test_shards_hold_the_mix(stages):
     for r in stages["sharding"]:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_near_copies_are_caught(stages):
+    """Of pairs of texts that share 0.8 or more of their five-word shingles, at most one of each group is left."""
+    sets = {}
+    for r in stages["near_dedup"]:
+        w = words(fold(r["text"]))
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    kept = sorted(k for k, s in sets.items() if s)
+    missed = sum(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for i, a in enumerate(kept) for b in kept[i + 1 :])
+    gone = len(stages["quality"]) - len(stages["near_dedup"])
+    assert gone > 0 and missed <= 0.1 * gone
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """No rows, then nulls in every column, repeated rows, and texts without words, through all stages."""
+    import pyarrow as pa
+
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+    rows = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (None, None, None, None, None), (-9 * 10**18, "", None, "a", 0), (9 * 10**18, " \n ", "de", None, 3)]
+    rows += [(i, f"text {i} of several words that differ {i * 7} and more {i * 13}", "en", "b", 10) for i in range(2, 12)]
+    for name, own in (("none", []), ("odd", rows)):
+        d = tmp_path / name
+        d.mkdir()
+        pq.write_table(pa.table([list(c) for c in zip(*own, strict=True)], schema=schema) if own else schema.empty_table(), d / "documents.parquet")
+        pq.write_table(pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())]).empty_table() if not own else pa.table({"doc_id": [1, 2, None, 3], "quality": [1, 1, None, 1], "toxic": [0, None, 0, 0]}), d / "labels.parquet")
+        pq.write_table(pa.schema([("item_id", pa.int64()), ("text", pa.string())]).empty_table(), d / "benchmark.parquet")
+        got = P.run(spark, str(d)).collect()
+        assert bool(got) == bool(own) and max(Counter(r.doc_id for r in got).values(), default=0) <= 3
