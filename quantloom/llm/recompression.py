@@ -33,7 +33,7 @@ from quantloom.llm.repeats import NAMES, RECORD, UID, Repeats, covered, prepared
 WINDOW, GRAM = 35, 12
 #: Rounds of pairs. A round leaves about 3/4 of the symbols; after these most windows hold a few. More would shorten
 #: comparisons and change no result.
-ROUNDS = 4
+ROUNDS = 3
 #: Words of a block, and bytes of state for a bucket.
 BLOCK, BUCKET = 1 << 17, 1 << 26
 
@@ -108,8 +108,6 @@ def _blocks(batches):
 #: last two for each word.
 _KINDS = {"n": np.int32, "times": np.int32, "left": np.int32, "name": np.int64, "count": np.int32, "ca": np.int32, "cb": np.int32, "akey": np.int64, "reach": np.uint8}
 _STATE = tuple(_KINDS)
-#: What candidates are made of.
-_SLIM = ("n", "times", "left", "name", "count")
 
 
 class Block:
@@ -130,11 +128,9 @@ class Block:
         return own
 
     @classmethod
-    def read(cls, batch: pa.RecordBatch, i: int, columns=_STATE) -> Block:
-        own = cls(**{c: np.frombuffer(batch.column(c)[i].as_buffer(), _KINDS[c]) for c in columns})
+    def read(cls, batch: pa.RecordBatch, i: int) -> Block:
+        own = cls(**{c: np.frombuffer(batch.column(c)[i].as_buffer(), _KINDS[c]) for c in _STATE})
         own.part = np.repeat(np.arange(len(own.n)), own.left)
-        if "ca" not in columns:  # nothing reads them
-            own.ca = own.cb = np.zeros(len(own.name), np.int32)
         return own
 
     def row(self) -> list[bytes]:
@@ -189,6 +185,11 @@ class Block:
         joined = np.zeros(len(self.name), bool)
         if len(joined) > 1:
             joined[:-1] = ~right[:-1] & right[1:] & (part[1:] == part[:-1]) & (self.name[:-1] > 0) & (self.name[1:] > 0)
+            # only pairs whose range lies in a window that can still be repeated: no other is an anchor or ends a window
+            k = np.flatnonzero(joined)
+            ca, cb = np.minimum(self.ca[k], self.ca[k + 1]), np.maximum(self.cb[k], self.cb[k + 1])
+            alive, size = np.cumsum(np.append(0, self.akey != 0)), len(self.akey)
+            joined[k] = (ca >= 0) & (alive[np.clip(ca + 1, 0, size)] > alive[np.clip(cb - WINDOW, 0, size)])
         k = np.flatnonzero(joined)
         kinds, code = np.unique(self.name, return_inverse=True)
         lengths, size = np.unique(self.count, return_inverse=True)
@@ -278,11 +279,12 @@ def _pair_candidates(level: int):
         """From the state: each block's different pairs, and how often each occurs."""
         for b in batches:
             for r, block in enumerate(b.column("block").to_pylist()):
-                own = Block.read(b, r, _SLIM)
+                own = Block.read(b, r)
                 own.collapse()
                 joined, _, unique, which = own.pairs(level)
-                often = np.bincount(which, weights=own.times[own.part[joined]], minlength=len(unique)).astype(np.int64)
-                cols = [np.full(len(unique), block), np.arange(len(unique), dtype=np.int32), *unique.T, often]
+                often = np.bincount(which, weights=own.times[own.part[joined]], minlength=len(unique)).astype(np.int32)
+                pair = (c.astype(np.int32) if i % 2 else c for i, c in enumerate(unique.T))
+                cols = [np.full(len(unique), block), np.arange(len(unique), dtype=np.int32), *pair, often]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["block", "i", *_PAIR, "often"])
 
     return run
@@ -397,7 +399,7 @@ def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     state = blocks.join(words.hint("shuffle_hash"), "block", "left").select("block", "n", "times", "words", "got")
     state = buckets.stored(state.mapInArrow(_first_state, _STATE_SCHEMA).repartition(buckets.count, "block"))
     for level in range(1, rounds + 1):
-        got = _named(state.select("block", *_SLIM).mapInArrow(_pair_candidates(level), "block long, i int, ln long, lc long, rn long, rc long, often long"), _PAIR, level)
+        got = _named(state.mapInArrow(_pair_candidates(level), "block long, i int, ln long, lc int, rn long, rc int, often int"), _PAIR, level)
         joined = state.join(got.hint("shuffle_hash"), "block", "left")
         state = buckets.stored(joined.mapInArrow(_next_state(level), _STATE_SCHEMA))
         buckets.drop(keep=1)
