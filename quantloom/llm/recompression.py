@@ -39,10 +39,21 @@ BLOCK, BUCKET = 1 << 17, 1 << 26
 
 
 def _sequence(data: np.ndarray, offs: np.ndarray):
+    """For parts of texts, whose words stand one space apart: a range of words is a range of bytes."""
     s, e, at = K.words(data, offs, K.WORD_BYTES)
-    names = np.stack([K.word_hashes(data, s, e), K.word_hashes(data, s, e, seed=1)], axis=1)
-    raw = data.tobytes()
-    return at, lambda i, j: names[i:j].tobytes(), lambda i, j: b" ".join([raw[x:y] for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)])
+    raw, s, e = data.tobytes(), s.tolist(), e.tolist()
+    cut = lambda i, j: raw[s[i] : e[j - 1]]
+    return at, cut, cut
+
+
+def _gram_hashes(h: np.ndarray) -> np.ndarray:
+    """64 bits for every GRAM words in a row, from those of two, four and eight; they only propose."""
+    two = lambda x, k: K.mix(x[: max(len(x) - k, 0)] * K.U64(2 * k + 1) + x[k:])
+    g2 = two(h, 1)
+    g4 = two(g2, 2)
+    g8 = two(g4, 4)
+    m = max(len(h) - GRAM + 1, 0)
+    return K.mix(g8[:m] * K.U64(3) + g4[8 : 8 + m])
 
 
 # --- where repeats can be -------------------------------------------------------------------------
@@ -56,7 +67,7 @@ def _grams(batches):
             s, e, at = K.words(data, offs, K.WORD_BYTES)
             if len(s) < WINDOW:
                 continue
-            gram = K.chained(K.word_hashes(data, s, e), GRAM)
+            gram = _gram_hashes(K.word_hashes(data, s, e))
             # place and all: windows that share a gram at one place are neighbours, at two places they are repeats
             least = K.sliding_min((gram >> K.U64(32) << K.U64(32)) | np.arange(len(gram), dtype=K.U64), WINDOW - GRAM + 1)
             valid = np.zeros(len(least) + 1, bool)
@@ -459,15 +470,14 @@ def deduplicated(docs: DataFrame, repeats: Repeats = REPEATS, rounds: int = ROUN
             out = [[], [], [], []]
             marks = b.column("marks").to_pylist()
             for row, data, offs in K.pieces(b.column("text")):
-                s, e, at = K.words(data, offs, K.WORD_BYTES)
                 raw = data.tobytes()
                 for d in range(len(offs) - 1):
-                    keep = np.ones(at[d + 1] - at[d], bool)
-                    for i, j in zip(*(x.tolist() for x in covered(marks[row + d], length)), strict=True):
-                        keep[i:j] = False
-                    which = np.flatnonzero(keep) + at[d]
-                    kept = b" ".join([raw[i:j] for i, j in zip(s[which].tolist(), e[which].tolist(), strict=True)])
-                    for col, v in zip(out, (len(keep), len(keep) - len(which), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+                    words = raw[offs[d] : offs[d + 1]].split()  # of bytes: at ASCII white space only
+                    n = len(words)
+                    for i, j in reversed(list(zip(*(x.tolist() for x in covered(marks[row + d], length)), strict=True))):
+                        del words[i:j]
+                    kept = b" ".join(words)
+                    for col, v in zip(out, (n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
                         col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
