@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, anchors, next_text, next_anchors: each document beside the next by falling id.
+    """doc_id, text, next_text: each document beside the next by falling id.
 
     Null texts count as empty, null ids come last, rows of one id go by a hash of their text, and after
     the last document comes the first. Ids are cut into ranges of like counts (rows without id by their texts' hashes), each sorted by itself; the head
@@ -133,11 +133,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = heads.select("above", F.col("first.doc_id").alias("h_id"), F.col("first.tid").alias("h_tid"))
     head = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tid") == F.col("h_tid"))).select("above", F.col("text").alias("h_text")).dropDuplicates(["above"])
     by = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tid").desc())
-    rows = rows.withColumn("anchors", syncmers(F.col("text")))
-    rows = rows.withColumn("next_text", F.lead("text").over(by)).withColumn("next_anchors", F.lead("anchors").over(by))
+    rows = rows.withColumn("next_text", F.lead("text").over(by))
     both = rows.join(head, (F.col("range") == F.col("above")) & F.col("next_text").isNull(), "left")
-    follows = F.coalesce("next_anchors", F.when(F.col("next_text").isNull(), syncmers(F.col("h_text"))))
-    return both.select("doc_id", "text", "anchors", F.coalesce("next_text", "h_text").alias("next_text"), follows.alias("next_anchors"))
+    return both.select("doc_id", "text", F.coalesce("next_text", "h_text").alias("next_text"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -151,7 +149,9 @@ def edit_study(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and likenesses to the edited and the next text: of anchors
     wherever they stand (near_*), and of anchors at their places (placed_*). Null and empty texts are one anchor."""
     rows = with_next(docs).withColumn("edit", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), "anchors", syncmers(F.col("edit")).alias("edit_anchors"), "next_anchors")
+    # anchors are found after the shuffle, which moves texts only
+    found = [syncmers(F.col(c)).alias(n) for c, n in (("text", "anchors"), ("edit", "edit_anchors"), ("next_text", "next_anchors"))]
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), *found)
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edit_anchors")).alias("edited_fingerprint"),
