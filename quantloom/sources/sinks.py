@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from datetime import date, datetime
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,8 @@ KEY = ["owner", "portfolio", "kind", "record"]
 
 
 def plain(value):
-    """A value as JSON can hold it: numbers that are not finite become null; frames, series and arrays are tagged."""
+    """A value as JSON can hold it: numbers that are not finite become null; dates become
+    ISO text; frames, series and arrays are tagged."""
     if isinstance(value, float) and not math.isfinite(value):
         return None
     if isinstance(value, dict):
@@ -31,7 +32,7 @@ def plain(value):
     if isinstance(value, np.generic):
         return plain(value.item())
     if hasattr(value, "isoformat"):
-        return {TAG: "time", "value": value.isoformat()}
+        return value.isoformat()
     return value
 
 
@@ -39,14 +40,12 @@ TAG = "__kind__"
 
 
 def restored(value):
-    """The inverse of `plain`; numbers that were not finite stay null."""
+    """The inverse of `plain` for tagged values; dates stay text, and numbers that were not finite stay null."""
     if isinstance(value, list):
         return [restored(v) for v in value]
     if not isinstance(value, dict):
         return value
     kind = value.get(TAG)
-    if kind == "time":
-        return datetime.fromisoformat(value["value"]) if "T" in value["value"] else date.fromisoformat(value["value"])
     v = {k: restored(x) for k, x in value.items() if k != TAG}
     if kind == "frame":
         out = pd.DataFrame(v["rows"], columns=v["columns"], index=v["index"])

