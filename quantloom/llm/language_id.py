@@ -21,7 +21,7 @@ from quantloom.llm import kernels as K
 from quantloom.llm.common import extended, fresh
 
 BITS = 16
-SALTS = 64
+SALTS = 16
 ORDERS = (2, 3, 4)
 
 # Families by language codes.
