@@ -655,7 +655,8 @@ def t12_positions(v, spark, d):
     li = X.table(spark, d, "lineitem")
     o = li.select(F.concat("l_returnflag", "l_linestatus").alias("ticker"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.lit(1.0).alias("fee"))
     last = v("panel").groupBy("ticker").agg(F.max_by("close", "session").alias("price"))
-    return SG.positions(o, last)
+    out = SG.positions(o, last)
+    return out.withColumns({c: F.round(c, 2) for c in ("value", "cost_basis", "profit")})  # sums of 11 digits before the point
 
 
 def _quotes(v):

@@ -525,8 +525,8 @@ union all select ticker, 'EWMA', round(sqrt(arg_max(variance * 0.94 + ret * ret
 T12 = f"""with {PANEL},
 last as (select ticker, arg_max(close, session) as price from panel group by 1),
 o as (select l_returnflag || l_linestatus as ticker, sum(l_quantity) as quantity, sum(l_quantity * (l_extendedprice / l_quantity) + 1) as cost_basis from lineitem group by 1)
-select ticker, round(quantity, 6) as quantity, round(quantity * price, 6) as value, round(cost_basis, 6) as cost_basis,
-  round(quantity * price - cost_basis, 6) as profit, round(quantity * price / sum(quantity * price) over (), 6) as weight
+select ticker, round(quantity, 6) as quantity, round(quantity * price, 2) as value, round(cost_basis, 2) as cost_basis,
+  round(quantity * price - cost_basis, 2) as profit, round(quantity * price / sum(quantity * price) over (), 6) as weight
 from o join last using (ticker)"""
 
 ORACLES = {
