@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quantloom.llm import kernels as K
-from quantloom.llm.common import shared_dir, stored
+from quantloom.llm.common import discard, shared_dir, stored
 from quantloom.llm.repeats import NAMES, RECORD, UID, Repeats, covered, prepared
 
 WINDOW, GRAM = 35, 12
@@ -35,7 +35,7 @@ WINDOW, GRAM = 35, 12
 #: comparisons and change no result.
 ROUNDS = 3
 #: Words of a block, and bytes of state for a bucket.
-BLOCK, BUCKET = 1 << 17, 1 << 26
+BLOCK, BUCKET = 1 << 17, 1 << 24
 
 
 def _sequence(data: np.ndarray, offs: np.ndarray):
@@ -381,8 +381,8 @@ _STATE_SCHEMA = "block long, " + ", ".join(f"{c} binary" for c in _STATE)
 
 
 def _named(candidates: DataFrame, keys: list[str], level: int) -> DataFrame:
-    """(block, got): the names of each block's candidates. A key that occurs more than once in the collection gets a
-    number of its own, fixed where the table of names is written."""
+    """(block, got): the names of each block's candidates (stored). A key that occurs more than once in the collection
+    gets a number of its own, fixed where the table of names is written."""
     names = candidates.groupBy(*keys).agg(F.sum("often").alias("often")).where("often > 1")
     names = stored(names.select(*keys, (F.monotonically_increasing_id() + F.lit((level << 56) + 1)).alias("id")), f"names-{level}")
     return candidates.select("block", "i", *keys).join(names, keys).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("got"))
@@ -406,14 +406,19 @@ def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     blocks = stored(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
     size = blocks.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0  # one row
     buckets = _Buckets(spark, max(spark.sparkContext.defaultParallelism, min(20_000, size * 6 // BUCKET + 1)))
-    words = _named(blocks.mapInArrow(_word_candidates, "block long, i int, word binary, often long"), ["word"], 0)
+    candidates = stored(blocks.mapInArrow(_word_candidates, "block long, i int, word binary, often long"), "candidates-0")
+    words = _named(candidates, ["word"], 0)
     state = blocks.join(words.hint("shuffle_hash"), "block", "left").select("block", "n", "times", "words", "got")
     state = buckets.stored(state.mapInArrow(_first_state, _STATE_SCHEMA).repartition(buckets.count, "block"))
+    discard(candidates)
     for level in range(1, rounds + 1):
-        got = _named(state.mapInArrow(_pair_candidates(level), "block long, i int, ln long, lc int, rn long, rc int, often int"), _PAIR, level)
+        # stored, as they are read twice: to be counted and to be named
+        candidates = stored(state.mapInArrow(_pair_candidates(level), "block long, i int, ln long, lc int, rn long, rc int, often int"), f"candidates-{level}")
+        got = _named(candidates, _PAIR, level)
         joined = state.join(got.hint("shuffle_hash"), "block", "left")
         state = buckets.stored(joined.mapInArrow(_next_state(level), _STATE_SCHEMA))
         buckets.drop(keep=1)
+        discard(candidates)
     final = state.select("block", "akey", "reach").join(blocks.select("block", "n", "times", "words"), "block")
     records = stored(final.mapInArrow(_records, RECORD), "records")
     buckets.drop()
