@@ -305,6 +305,17 @@ def concentration(weights: DataFrame) -> DataFrame:
     return rows.groupBy("strategy", "t").agg(F.count(F.lit(1)).alias("active"), F.max("w").alias("max_weight"), F.sum(F.when(F.col("rk") <= 3, F.col("w"))).alias("top3"), F.sum(F.col("w") * F.col("w")).alias("hhi"))
 
 
+def inception_diagnostics(weights: DataFrame) -> DataFrame:
+    """(strategy, active, max_weight, top3, hhi, turnover): concentration at the first rebalance, names above 1e-10
+    only, and the summed turnover of targets without the first. No row for a strategy that starts with no name."""
+    w = weights.select("strategy", "t", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
+    first = w.withColumn("_t", F.min("t").over(W.partitionBy("strategy"))).where("t = _t and w > 1e-10")
+    first = first.withColumn("rk", F.row_number().over(W.partitionBy("strategy").orderBy(F.desc("w"), "ticker")))
+    held = first.groupBy("strategy").agg(F.count(F.lit(1)).alias("active"), F.max("w").alias("max_weight"), F.sum(F.when(F.col("rk") <= 3, F.col("w"))).alias("top3"), F.sum(F.col("w") * F.col("w")).alias("hhi"))
+    all_of_it = turnover(w).groupBy("strategy").agg((F.sum("turnover") - F.min_by("turnover", "t")).alias("turnover"))
+    return held.join(all_of_it, "strategy")
+
+
 def order_costs(orders: DataFrame, costs: Costs) -> DataFrame:
     """Total cost per portfolio of orders (portfolio, notional; positive buys): commissions with a minimum, spread and slippage, tax on buys."""
     n = F.abs("notional")

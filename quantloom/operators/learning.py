@@ -80,6 +80,35 @@ def accuracy(forecasts: DataFrame) -> DataFrame:
     return g.crossJoin(ic)
 
 
+def daily_estimators(prices: DataFrame, market: DataFrame, ff3: DataFrame, ff5: DataFrame, fx: DataFrame, rf: float = 0.0, lookback: int = 756) -> DataFrame:
+    """(estimator, ticker, mu): expected simple return of one session, from the last `lookback` returns of complete
+    sessions: the mean, CAPM against the market carried forward on those sessions, and the three- and five-factor
+    estimates in euro. Factors and rates count up to the last session, without a publication lag; a model without an
+    estimate has null."""
+    from quantloom.operators import factors as FA
+
+    one = W.partitionBy(F.lit(0))  # one row a session
+    days = prices.select("session").distinct().withColumn("_back", F.row_number().over(one.orderBy(F.desc("session"))))
+    days = days.where(F.col("_back") <= lookback + 1).select("session")
+    p = prices.join(days, "session").select("ticker", "session", "close")
+    last = days.agg(F.max("session").alias("_last"))
+    known = lambda df: df.join(last, F.col("session") <= F.col("_last")).drop("_last")
+    r = p.select("ticker", "session", (F.col("close") / F.lag("close").over(W.partitionBy("ticker").orderBy("session")) - 1).alias("ret")).where("ret is not null")
+    m = days.join(market.select("session", F.col("close").alias("_m")), "session", "left").withColumn("_m", F.last("_m", ignorenulls=True).over(one.orderBy("session")))
+    m = m.select("session", (F.col("_m") / F.lag("_m").over(one.orderBy("session")) - 1).alias("market_ret"))
+    found = {
+        "Historical Mean": r.groupBy("ticker").agg(F.avg("ret").alias("mu")),
+        "CAPM": FA.capm(r, m, rf).select("ticker", (F.col("expected") / 252).alias("mu")),
+        "FF3": FA.estimate_in_eur(p, known(fx), known(ff3)).select("ticker", (F.col("mu") / 252).alias("mu")),
+        "FF5": FA.estimate_in_eur(p, known(fx), known(ff5), ("mkt_rf", "smb", "hml", "rmw", "cma")).select("ticker", (F.col("mu") / 252).alias("mu")),
+    }
+    out, names = None, p.select("ticker").distinct()
+    for estimator, mu in found.items():
+        rows = names.join(mu, "ticker", "left").select(F.lit(estimator).alias("estimator"), "ticker", "mu")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def hybrid(base: DataFrame, learned: DataFrame, a: float) -> DataFrame:
     """(ticker, mu): (1 - a) of one estimate and a of the other."""
     return base.select("ticker", F.col("mu").alias("x")).join(learned.select("ticker", F.col("mu").alias("y")), "ticker").select("ticker", ((1 - a) * F.col("x") + a * F.col("y")).alias("mu"))

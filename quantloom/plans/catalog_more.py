@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quantloom.operators import activation as A
 from quantloom.operators import backtest as B
 from quantloom.operators import factors as FA
+from quantloom.operators import learning as L
 from quantloom.operators import returns as R
 from quantloom.operators import robustness as RB
 from quantloom.operators import screening as S
@@ -315,3 +316,17 @@ def b28_robustness_equal_weight(v, spark, d):
 @query(O.B29)
 def b29_paired_equal_weight(v, spark, d):
     return RB.paired(_robust(v))
+
+
+@query(O.B16_INCEPTION)
+def b16_inception(v, spark, d):
+    from pyspark.sql import Window as W
+
+    share = (F.col("close") / F.sum("close").over(W.partitionBy("session"))).alias("w")
+    return B.inception_diagnostics(v("panel").select(F.lit("x").alias("strategy"), F.col("session").alias("t"), "ticker", share))
+
+
+@query(O.L6)
+def l6_daily_estimators(v, spark, d):
+    """Over the last 200 returns."""
+    return L.daily_estimators(R.complete_sessions(v("panel")), v("market"), v("factors"), _five(v), v("fx"), 0.02, 200)

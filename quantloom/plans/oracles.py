@@ -529,6 +529,43 @@ select ticker, round(quantity, 6) as quantity, round(quantity * price, 2) as val
   round(quantity * price - cost_basis, 2) as profit, round(quantity * price / sum(quantity * price) over (), 6) as weight
 from o join last using (ticker)"""
 
+
+def _in_euro(names: tuple[str, ...], factors: str) -> str:
+    """A subquery: (ticker, mu) of the names in `usd`, by regressions on the given factors."""
+    return f"""(with {sample("usd", factors)}, {fits(names)},
+  change as (select avg(r) as m from (select fx / lag(fx) over (order by session) - 1 as r from fx where session <= (select max(session) from lately)))
+  select ticker, ((1 + expected / {YEAR}) / (1 + m) - 1) as mu from fits, change)"""
+
+
+L6 = f"""with {PANEL},
+{COMPLETE},
+{MARKET},
+{FX},
+{FACTORS},
+{FACTORS5},
+lately as (select * from complete where session in (select session from (select distinct session from complete) order by session desc limit 201)),
+{USD.replace("from panel p", "from lately p")},
+names as (select distinct ticker from lately),
+r as (select * from (select ticker, session, close / lag(close) over (partition by ticker order by session) - 1 as ret from lately) where ret is not null),
+carried as (
+  select d.session, last_value(k.close ignore nulls) over (order by d.session) as close
+  from (select distinct session from lately) d left join market k on k.session = d.session),
+m as (select session, close / lag(close) over (order by session) - 1 as mr from carried)
+select 'Historical Mean' as estimator, ticker, round(avg(ret), 6) as mu from r group by 2
+union all select 'CAPM', ticker, round((0.02 + regr_slope(ret, mr) * (avg(mr) * {YEAR} - 0.02)) / {YEAR}, 6) from r join m using (session) where mr is not null group by 2
+union all select 'FF3', ticker, round(mu, 6) from names left join {_in_euro(NAMES3, "factors")} using (ticker)
+union all select 'FF5', ticker, round(mu, 6) from names left join {_in_euro(NAMES5, "factors5")} using (ticker)"""
+
+B16_INCEPTION = f"""with {PANEL},
+w as (
+  select a.session as t, b.ticker, coalesce(p.close / sum(p.close) over (partition by a.session), 0) as w
+  from (select distinct session from panel) a cross join (select distinct ticker from panel) b left join panel p on p.session = a.session and p.ticker = b.ticker),
+moves as (select abs(w - lag(w) over (partition by ticker order by t)) as move from w),
+ranked as (select w, row_number() over (order by w desc, ticker) as rk from w where t = (select min(t) from w) and w > 1e-10)
+select 'x' as strategy, count(*) as active, round(max(w), 6) as max_weight, round(sum(w) filter (rk <= 3), 6) as top3, round(sum(w * w), 6) as hhi,
+  round((select sum(move) / 2 from moves), 6) as turnover
+from ranked having count(*) > 0"""
+
 ORACLES = {
     "f6_three_factor_fit": _fit_query(NAMES3, THREE),
     "f7_five_factor_fit": _fit_query(NAMES5, FIVE),
