@@ -44,3 +44,27 @@ kept as (select doc_id, string_agg(word, ' ' order by j) as t, count(*) as n fro
 select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from w left join kept using (doc_id)
 """
+
+#: Words w of rows j, with the repeated tails; runs are maximal stretches of words equal to the word p later.
+HARMONIC_RUNS = f"""
+with recursive crc(k, v, step) as (
+    select k, k::bigint, 0 from range(256) as t(k)
+    union all select k, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, step + 1 from crc where step < 8),
+look as (select list(v order by k) as l from crc where step = 8),
+d as (select row_number() over () as j, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+hashed as (select d.*, xor(list_reduce([x::bigint for x in list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c))],
+                lambda v, c: xor(v >> 8, l[(xor(v, c) & 255) + 1]), 4294967295::bigint), 4294967295) as h from d, look),
+tail as (select *, len(ws) as n, case when h % 10 = 0 and len(ws) > 0 then (h // 10) % len(ws) end as a from hashed),
+per as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from tail),
+w as (select j, i, case when i < a or a is null then ws[i + 1] else ws[a + (i - a) % p + 1] end as word from (select *, unnest(range(n)) as i from per)),
+eq as (select x.j, x.i, y.i - x.i as p from w x join w y on x.j = y.j and x.word = y.word and y.i > x.i join tail t on t.j = x.j where 4 * (y.i - x.i) <= t.n),
+isle as (select j, p, i, i - row_number() over (partition by j, p order by i) as g from eq),
+stretch as (select j, p, min(i) as s, count(*) + p as l from isle group by j, p, g having count(*) + p >= greatest(6, 4 * p)),
+runs as (select j, s, l, min(p) as p from stretch group by 1, 2, 3),
+listed as (select j, count(*) as n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' order by s, p) as t, first(struct_pack(s := s, l := l, p := p) order by l desc, s, p) as b from runs group by 1),
+gone as (select distinct j, unnest(range(s + p, s + l)) as i from runs),
+kept as (select j, string_agg(word, ' ' order by i) as t from w anti join gone using (j, i) group by 1)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.s::bigint as start, b.l::bigint as length, b.p::bigint as period, (b.l * 1000 // b.p)::bigint as exponent_milli,
+       sha256(coalesce(listed.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256, n::bigint as n_words
+from tail left join listed using (j) left join kept using (j)
+"""

@@ -1,10 +1,10 @@
-"""The queries op1 to op10 with production parameters, each over the whole of its table."""
+"""The queries op1 to op13 with production parameters, each over the whole of its table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantloom.llm import decontamination, fingerprints, language_id, mixing, near_dedup, oracles, quality, recompression, secrets, sharding, suffix_dedup
+from quantloom.llm import decontamination, fingerprints, language_id, mixing, near_dedup, oracles, periodic_runs, quality, recompression, secrets, sharding, suffix_dedup
 from quantloom.llm.common import id_crc
 
 
@@ -61,6 +61,33 @@ def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where every tenth id's text goes on repeating a stretch of its words; rows without an id or words stay."""
+    h = id_crc(F.col("doc_id"))
+    ws = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when((h % 10 == 0) & F.col("doc_id").isNotNull(), ws).alias("ws"))
+    n = F.size("ws").cast("long")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n))
+    left = n - F.col("a")
+    rows = rows.withColumn("p", 1 + F.floor(left / (3 + F.col("g") % 8)))
+    whole = F.flatten(F.array_repeat(F.slice("ws", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.ceil(left / F.col("p")).cast("int")))
+    edited = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a").cast("int")), F.slice(whole, F.lit(1), left.cast("int"))), " ")
+    return rows.select("doc_id", F.when(F.col("p").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    rows = rows.withColumn("best", best)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,10 +101,12 @@ QUERIES = {
         op8_closed_syncmers,
         op9_minmax_near_dedup,
         op10_recompression_dedup,
+        op12_harmonic_runs,
     )
 }
 ORACLES: dict[str, str] = {
     "op7_benchmark_decontamination": oracles.DECONTAMINATION,
     "op9_minmax_near_dedup": oracles.NEAR_DEDUP,
     "op10_recompression_dedup": oracles.RECOMPRESSION,
+    "op12_harmonic_runs": oracles.HARMONIC_RUNS,
 }
