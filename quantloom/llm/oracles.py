@@ -68,3 +68,13 @@ select doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.s::bigint as start, b.l:
        sha256(coalesce(listed.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256, n::bigint as n_words
 from tail left join listed using (j) left join kept using (j)
 """
+
+HARD_NEGATIVES = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(x::double * 256)) as v
+           from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, b.label = a.label as same, list_dot_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
+pos as (select anchor_id, vec_id as positive_id, score as ps from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+neg as (select pos.*, vec_id as negative_id, score as ns, row_number() over (partition by pos.anchor_id, positive_id order by score desc, vec_id) as rank
+        from pos join s on s.anchor_id = pos.anchor_id and not same and 30 * ps <= 100 * score and 100 * score <= 90 * ps)
+select anchor_id, positive_id, rank::integer as rank, negative_id, ps as positive_score, ns as negative_score from neg where rank <= 10
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantloom.llm import decontamination, fingerprints, language_id, mixing, near_dedup, oracles, periodic_runs, quality, recompression, secrets, sharding, suffix_dedup
+from quantloom.llm import decontamination, fingerprints, hard_negatives, language_id, mixing, near_dedup, oracles, periodic_runs, prefix_forest, quality, recompression, secrets, sharding, suffix_dedup
 from quantloom.llm.common import id_crc
 
 
@@ -88,6 +88,21 @@ def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, label = table(spark, sf_dir, "embeddings"), F.col("label").cast("long")
+    fits = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    rows = rows.where(fits).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vec"),
+    )
+    out = hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", F.col("positive_score").cast("long").alias("positive_score"), F.col("negative_score").cast("long").alias("negative_score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,7 +116,9 @@ QUERIES = {
         op8_closed_syncmers,
         op9_minmax_near_dedup,
         op10_recompression_dedup,
+        op11_prefix_forest,
         op12_harmonic_runs,
+        op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {
@@ -109,4 +126,5 @@ ORACLES: dict[str, str] = {
     "op9_minmax_near_dedup": oracles.NEAR_DEDUP,
     "op10_recompression_dedup": oracles.RECOMPRESSION,
     "op12_harmonic_runs": oracles.HARMONIC_RUNS,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
