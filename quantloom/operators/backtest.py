@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from quantloom.operators.construct import MODELS, optimise
 from quantloom.operators.factors import capm, multi_factor
+from quantloom.operators.grams import covariance, gram
 from quantloom.operators.screening import screen_point_in_time
 
 YEAR = 252
@@ -60,9 +61,7 @@ def window_moments(prices: DataFrame, numbered: DataFrame, plan: DataFrame, look
     r = inside.withColumn("rows", F.count(F.lit(1)).over(by)).where(F.col("rows") == lookback)
     r = r.withColumn("ret", F.col("close") / F.lag("close").over(by.orderBy("no")) - 1).where("ret is not null")
     mu = r.groupBy("t", "ticker").agg((F.avg("ret") * periods).alias("mu"))
-    a = r.select("t", "no", F.col("ticker").alias("ticker_i"), F.col("ret").alias("ri"))
-    b = r.select("t", "no", F.col("ticker").alias("ticker_j"), F.col("ret").alias("rj"))
-    cov = a.join(b, ["t", "no"]).groupBy("t", "ticker_i", "ticker_j").agg((F.covar_samp("ri", "rj") * periods).alias("value"))
+    cov = gram(r.withColumn("session", F.date_from_unix_date("no")), ["t"]).select("t", "ticker_i", "ticker_j", (covariance() * periods).alias("value"))
     return mu, cov
 
 

@@ -72,7 +72,11 @@ def multi_factor(sample: DataFrame, names: tuple[str, ...] = ("mkt_rf", "smb", "
     aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
     aggs += [F.covar_pop(c, y).alias(f"y{i}") for i, c in enumerate(cols)]
     aggs += [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    sums = sample.where(F.col("ret").isNotNull()).groupBy("ticker").agg(*aggs)
+    return solved(sample.where(F.col("ret").isNotNull()).groupBy("ticker").agg(*aggs), names, min_obs, periods)
+
+
+def solved(sums: DataFrame, names: tuple[str, ...], min_obs: int, periods: int = YEAR) -> DataFrame:
+    """The regressions of multi_factor from a row of centred moments a ticker: n, my, yy, mrf, mret, m<i>, y<i>, c<i>_<j>."""
     k = len(names)
     schema = "ticker string, alpha double, " + ", ".join(f"beta_{n} double" for n in names) + ", r2 double, n long, expected double, historical double, resid_var double, status string"
 

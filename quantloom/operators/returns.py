@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F, Window as W
+
+from quantloom.operators import grams as G
 
 YEAR = 252
 
@@ -29,20 +31,14 @@ def annual_moments(returns: DataFrame, periods: int = YEAR) -> DataFrame:
     return returns.groupBy("ticker").agg((F.avg("ret") * periods).alias("mu"), (F.stddev_samp("ret") * F.sqrt(F.lit(float(periods)))).alias("vol"), F.count("ret").alias("n"))
 
 
-def pairs(returns: DataFrame, value: Column, min_obs: int = 2) -> DataFrame:
-    """(ticker_i, ticker_j, value, n) of an aggregate over `ri` and `rj` on common sessions."""
-    a = returns.select(F.col("ticker").alias("ticker_i"), "session", F.col("ret").alias("ri"))
-    b = returns.select(F.col("ticker").alias("ticker_j"), "session", F.col("ret").alias("rj"))
-    out = a.join(b, "session").groupBy("ticker_i", "ticker_j").agg(value.alias("value"), F.count(F.lit(1)).alias("n"))
-    return out.withColumn("value", F.when(F.col("n") >= min_obs, F.col("value")))
-
-
 def covariance(returns: DataFrame, periods: int = YEAR) -> DataFrame:
-    return pairs(returns, F.covar_samp("ri", "rj") * periods)
+    """(ticker_i, ticker_j, value, n): annual sample covariance over the sessions that both tickers have; null below two."""
+    return G.gram(returns).select("ticker_i", "ticker_j", (G.covariance() * periods).alias("value"), "n")
 
 
 def correlation(returns: DataFrame, min_obs: int = 2) -> DataFrame:
-    return pairs(returns, F.corr("ri", "rj"), min_obs)
+    """(ticker_i, ticker_j, value, n): pairwise-complete correlation; null below `min_obs` sessions or without variance."""
+    return G.gram(returns).select("ticker_i", "ticker_j", F.when(F.col("n") >= min_obs, G.correlation()).alias("value"), "n")
 
 
 def correlation_summary(corr: DataFrame, high: float = 0.80) -> DataFrame:
@@ -117,26 +113,26 @@ def equal_weights(prices: DataFrame, strategy: str = "Equal Weight") -> DataFram
     return t.select(F.lit(strategy).alias("strategy"), "ticker", (F.lit(1.0) / F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))).alias("w"))
 
 
-def shrunk_covariance(returns: DataFrame, periods: int = YEAR) -> DataFrame:
-    """Ledoit-Wolf covariance towards a scaled identity, annualised: (ticker_i, ticker_j, value, shrinkage).
+def shrunk_covariance(returns: DataFrame, periods: int = YEAR, keys: list[str] = ()) -> DataFrame:
+    """Ledoit-Wolf covariance towards a scaled identity, annualised: (keys..., ticker_i, ticker_j, value, shrinkage).
 
     mu is the mean variance, delta the mean squared distance of the sample covariance S (divisor n) from
-    mu I, beta the mean variance of its entries; shrinkage = min(beta, delta) / delta. All from sums over sessions.
+    mu I, beta the mean variance of its entries; shrinkage = min(beta, delta) / delta. All from blocked sums over sessions.
+    keys: separate matrices, each of a complete table of its own; without keys incomplete sessions are left out.
     """
-    mean = F.avg("ret").over(W.partitionBy("ticker"))
-    x = complete_returns(returns).withColumn("x", F.col("ret") - mean)
-    a = x.select(F.col("ticker").alias("ticker_i"), "session", F.col("x").alias("xi"))
-    b = x.select(F.col("ticker").alias("ticker_j"), "session", F.col("x").alias("xj"))
-    prod = F.col("xi") * F.col("xj")
-    s = a.join(b, "session").groupBy("ticker_i", "ticker_j").agg(F.avg(prod).alias("s"), F.avg(prod * prod).alias("q"), F.count(F.lit(1)).alias("n"))
+    keys = list(keys)
+    mean = F.avg("ret").over(W.partitionBy(*keys, "ticker"))
+    x = (returns if keys else complete_returns(returns)).withColumn("x", F.col("ret") - mean)
+    s = G.gram(x, keys, "x").select(*keys, "ticker_i", "ticker_j", "n", (F.col("sij") / F.col("n")).alias("s"), (F.col("q4") / F.col("n")).alias("q"))
     diag = F.when(F.col("ticker_i") == F.col("ticker_j"), F.col("s"))
-    tot = s.agg(F.avg(diag).alias("mu"), F.count(diag).alias("p"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("q") - F.col("s") * F.col("s")).alias("bb"), F.max("n").alias("n"))
+    tot = s.groupBy(*keys).agg(F.avg(diag).alias("mu"), F.count(diag).alias("p"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("q") - F.col("s") * F.col("s")).alias("bb"), F.max("n").alias("n_all"))
     delta = (F.col("ss") - F.col("p") * F.col("mu") * F.col("mu")) / F.col("p")
-    beta = F.least(F.col("bb") / (F.col("p") * F.col("n")), delta)
-    tot = tot.select("mu", F.when(delta > 0, beta / delta).otherwise(F.lit(0.0)).alias("shrinkage"))
+    beta = F.least(F.col("bb") / (F.col("p") * F.col("n_all")), delta)
+    tot = tot.select(*keys, "mu", F.when(delta > 0, beta / delta).otherwise(F.lit(0.0)).alias("shrinkage"))
     target = F.when(F.col("ticker_i") == F.col("ticker_j"), F.col("mu")).otherwise(F.lit(0.0))
     value = ((1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * target) * periods
-    return s.crossJoin(F.broadcast(tot)).select("ticker_i", "ticker_j", value.alias("value"), "shrinkage")
+    both = s.join(tot, keys) if keys else s.crossJoin(tot)
+    return both.select(*keys, "ticker_i", "ticker_j", value.alias("value"), "shrinkage")
 
 
 def complete_returns(returns: DataFrame) -> DataFrame:

@@ -745,7 +745,7 @@ def l4_accuracy(v, spark, d):
 
 @query()
 def l5_ml_walk_forward(v, spark, d):
-    return L.walk_forward(R.complete_sessions(v("panel")), v("market"), 4, 26, 51)
+    return L.walk_forward(R.complete_sessions(v("panel")), v("market"), 4, 26, 51, 200)
 
 
 @query(sql("select strategy, round(last / 10000 - 1, 6) as total_return, round(pow(last / 10000, 252.0 / n) - 1, 6) as cagr, round(s * sqrt(252), 6) as volatility, round(m * 252 / (s * sqrt(252)), 6) as sharpe, round(dd, 6) as max_drawdown from (select ticker as strategy, arg_max(close, session) as last, count(r) as n, avg(r) as m, stddev_samp(r) as s, min(dd) as dd from (select ticker, session, close, close / lag(close) over (partition by ticker order by session) - 1 as r, close / max(close) over (partition by ticker order by session) - 1 as dd from panel) group by 1)", "panel"))
@@ -863,4 +863,4 @@ def l7_hybrid(v, spark, d):
 
 ORACLES.update(oracles.ORACLES)
 
-from quantloom.plans import catalog_more  # noqa: E402, F401  (registers its queries here)
+from quantloom.plans import catalog_more, catalog_mechanisms  # noqa: E402, F401, I001  (they register their queries here)

@@ -3,8 +3,6 @@ for which plans/oracles.py has SQL. Registered in catalog."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quantloom.operators import activation as A
@@ -17,16 +15,11 @@ from quantloom.operators import screening as S
 from quantloom.plans import oracles as O
 from quantloom.plans.catalog import WEEKLY, _curves, _dates, _rets, query, sql
 from quantloom.sources import files, sinks, tables as X
+from quantloom.sources.scratch import folder as scratch
 
 EQUAL = ("Equal Weight",)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names (a warehouse folder where it is unset)."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{home.rstrip('/')}/quantloom-files/{name}-{uuid.uuid4().hex}"
-
-
 def _lines(df: DataFrame, path: str) -> str:
     df.write.text(path)
     return path
