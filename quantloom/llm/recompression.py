@@ -24,7 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quantloom.llm import kernels as K
 from quantloom.llm.common import discard, shared_dir, stored
@@ -34,6 +34,8 @@ WINDOW, GRAM = 35, 12
 #: Rounds of pairs. A round leaves about 3/4 of the symbols; after these most windows hold a few. More would shorten
 #: comparisons and change no result.
 ROUNDS = 3
+#: Parts of a block at most: it has 131,072 words, a part 35 or more.
+PARTS = 1 << 12
 #: Words of a block, and bytes of state for a bucket.
 BLOCK, BUCKET = 1 << 17, 1 << 24
 
@@ -327,7 +329,7 @@ def _parts(batches):
             s, e, _ = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), K.WORD_BYTES)
             z = np.cumsum(n)
             texts = [raw[x:y].decode() for x, y in zip(s[z - n].tolist(), e[z - 1].tolist(), strict=True)]
-            rid = block * (1 << 20) + np.arange(len(texts))
+            rid = block * PARTS + np.arange(len(texts))
             cols = [pa.array(rid), pa.array(rid), pa.array(np.zeros(len(texts), np.int64)), pa.array(texts, pa.string()), *(pa.array(_ints(b, c, r)) for c in ("times", *UID, "w0"))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "u1", "u2", "text", "times", "d1", "d2", "w0"])
 
@@ -351,7 +353,7 @@ def _records(batches):
             raw = [K.digest(words[x:y] + b"|%d" % z) for x, y, z in zip(s[p0].tolist(), e[p1 + WINDOW - 2].tolist(), (p0 - a).tolist(), strict=True)]
             both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
             copies = np.repeat(np.arange(len(p0)), _ints(b, "times", r)[d])
-            cols = [block * (1 << 20) + d, np.zeros(len(d), np.int64), akey[p0], both[:, 0], both[:, 1], a - first[d], p0 - first[d], p1 - first[d]]
+            cols = [block * PARTS + d, np.zeros(len(d), np.int64), akey[p0], both[:, 0], both[:, 1], a - first[d], p0 - first[d], p1 - first[d]]
             yield pa.RecordBatch.from_arrays([pa.array(c[copies].astype(np.int64 if i < 5 else np.int32)) for i, c in enumerate(cols)], names=NAMES)
 
 
@@ -388,6 +390,12 @@ def _named(candidates: DataFrame, keys: list[str], level: int) -> DataFrame:
     return candidates.select("block", "i", *keys).join(names, keys).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("got"))
 
 
+def block_number(row: Column) -> Column:
+    """A smaller number for a row number that has the partition above its lowest 33 bits: a partition has at most 2^17 blocks, and a
+    block at most PARTS parts (a part has WINDOW words or more), so that with the part's number it has 60 bits."""
+    return F.shiftright(row, 33) * (1 << 17) + row.bitwiseAND((1 << 33) - 1)
+
+
 def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Parts of texts as a table of texts of their own (doc_id, u1, u2, text, times; d1, d2, w0: where they come
     from), and the records of their fragments by anchors. docs: doc_id, u1, u2, text."""
@@ -403,7 +411,7 @@ def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     same = (docs["u1"] == F.col("m1")) & (docs["u2"] == F.col("m2")) & docs["doc_id"].eqNullSafe(F.col("rep"))
     texts = docs.join(own.hint("shuffle_hash"), same)
     blocks = texts.select(*UID, "text", "marks", "times").mapInArrow(_blocks, "u1 array<long>, u2 array<long>, w0 array<int>, n array<int>, times array<int>, words binary")
-    blocks = stored(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+    blocks = stored(blocks.select(block_number(F.monotonically_increasing_id()).alias("block"), "*"), "blocks")
     size = blocks.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0  # one row
     buckets = _Buckets(spark, max(spark.sparkContext.defaultParallelism, min(20_000, size * 6 // BUCKET + 1)))
     candidates = stored(blocks.mapInArrow(_word_candidates, "block long, i int, word binary, often long"), "candidates-0")

@@ -307,3 +307,20 @@ def test_unit_without_gathering_sources(spark, monkeypatch):
         unit, want = mixing._unit(table, 3), mixing.targets(sizes)
         got = [min(3.0 * s, unit * mixing.WEIGHTS[i % 3]) if s else 0.0 for i, s in enumerate(sizes)]
         assert got == pytest.approx(want)
+
+
+def test_block_numbers_of_many_partitions(spark):
+    """Numbers of blocks and parts stay different and within 64 bits far beyond 1,024 partitions."""
+    from quantloom.llm import recompression as RC
+
+    partitions = [0, 1, 1023, 1024, 5000, 2**21, 2**29]
+    rows = spark.createDataFrame([((p << 33) + i,) for p in partitions for i in (0, 1, 2**17 - 1)], "m long")
+    got = [r[0] for r in rows.select(RC.block_number(F.col("m"))).collect()]
+    assert len(set(got)) == len(got) and min(got) >= 0 and max(got) * RC.PARTS + RC.PARTS < 2**63
+    block = (5000 << 17) + 7
+    words = [f"w{i}" for i in range(80)]
+    row = {"block": block, "u1": [1, 1], "u2": [2, 2], "w0": [0, 40], "n": [40, 40], "times": [1, 2], "words": " ".join(words).encode()}
+    kinds = pa.schema([("block", pa.int64()), ("u1", pa.list_(pa.int64())), ("u2", pa.list_(pa.int64())), ("w0", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("words", pa.binary())])
+    (out,) = RC._parts([pa.RecordBatch.from_pylist([row], schema=kinds)])
+    assert out.column("doc_id").to_pylist() == [block * RC.PARTS, block * RC.PARTS + 1]
+    assert out.column("text").to_pylist() == [" ".join(words[:40]), " ".join(words[40:])]
