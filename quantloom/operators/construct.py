@@ -93,3 +93,45 @@ def allocation(weights: DataFrame, prices: DataFrame, capital: float, fractional
 def feasible(universe: DataFrame, cap: float) -> DataFrame:
     n = F.count(F.lit(1))
     return universe.agg(n.alias("n"), F.when(n < 2, "fewer than 2 assets").when(cap * n < 1 - 1e-12, "cap is below 1 / N").otherwise("ok").alias("status"))
+
+
+def certificates(weights: DataFrame, mu: DataFrame, cov: DataFrame, keys: list[str] = (), rf: float = 0.0, cap: float = 1.0, small: float = 1e-9) -> DataFrame:
+    """(keys..., strategy, n, budget, bounds, residual): how far weights are from what makes them a model's answer.
+
+    budget: distance of their sum from 1; bounds: greatest step beyond 0 or the cap. residual: at a maximum no weight can
+    move to another with a gain, so the greatest slope among weights below the cap is no greater than the least one among
+    those above 0; it is by how much that fails. Slopes, without dimension: minus the variance's (Minimum Volatility), the log
+    Sharpe ratio's (Maximum Sharpe, where its mean is positive), minus that of the squared distances of risk shares from
+    1 / n (Risk Parity under a cap that binds; without one, the greatest n * distance itself), 0 for Equal Weight if all are
+    equal. HRP maximises nothing: null. All from joins over long tables.
+    """
+    keys = list(keys)
+    own = [*keys, "strategy"]
+    w = weights.where("w is not null").select(*own, "ticker", "w")
+    edges = cov.select(*keys, "ticker_i", "ticker_j", "value")
+
+    def times_cov(rows: DataFrame, value: str, into: str) -> DataFrame:
+        right = rows.select(*own, F.col("ticker").alias("ticker_j"), F.col(value).alias("_x"))
+        part = right.join(edges, [*keys, "ticker_j"])
+        return part.groupBy(*own, F.col("ticker_i").alias("ticker")).agg(F.sum(F.col("value") * F.col("_x")).alias(into))
+
+    by = W.partitionBy(*own)  # one portfolio
+    rows = w.join(times_cov(w, "w", "cw"), [*own, "ticker"]).join(mu.select(*keys, "ticker", (F.col("mu") - rf).alias("x")), [*keys, "ticker"])
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(by), "var": F.sum(F.col("w") * F.col("cw")).over(by), "mean": F.sum(F.col("w") * F.col("x")).over(by), "top": F.max("w").over(by)})
+    rows = rows.withColumn("d", F.col("w") * F.col("cw") / F.nullif(F.col("var"), F.lit(0.0)) - 1 / F.col("n"))
+    rows = rows.withColumns({"dw": F.col("d") * F.col("w"), "dd": F.sum(F.col("d") * F.col("w") * F.col("cw")).over(by)})
+    rows = rows.join(times_cov(rows, "dw", "cdw"), [*own, "ticker"])
+    var, name = F.nullif(F.col("var"), F.lit(0.0)), F.col("strategy")
+    parity = -2 * ((F.col("d") * F.col("cw") + F.col("cdw")) / var - 2 * F.col("cw") * F.col("dd") / (var * var))
+    slope = F.when(name.contains("Minimum Volatility"), -F.col("cw") / var).when(name.contains("Risk Parity"), parity)
+    slope = slope.when(name.contains("Maximum Sharpe") & (F.col("mean") > 0), F.col("x") / F.col("mean") - F.col("cw") / var)
+    rows = rows.withColumn("slope", slope)
+    g = rows.groupBy(*own).agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.sum("w") - 1).alias("budget"), F.greatest(-F.min("w"), F.max("w") - cap, F.lit(0.0)).alias("bounds"),
+        F.max(F.when(F.col("w") < cap - small, F.col("slope"))).alias("up"), F.min(F.when(F.col("w") > small, F.col("slope"))).alias("down"),
+        F.max(F.abs(F.col("d")) * F.col("n")).alias("uneven"), (F.max("w") - F.min("w")).alias("spread"), F.max("top").alias("top"),
+    )
+    gain = F.greatest(F.coalesce(F.col("up") - F.col("down"), F.when(F.col("down").isNotNull(), F.lit(0.0))), F.lit(0.0))
+    gain = F.when(F.col("down").isNotNull(), gain)
+    residual = F.when(name == "Equal Weight", F.col("spread")).when(name.contains("Risk Parity") & (F.col("top") < cap - small), F.col("uneven")).otherwise(gain)
+    return g.select(*own, "n", "budget", "bounds", residual.alias("residual"))

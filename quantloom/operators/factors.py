@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from quantloom.operators.scans import as_of
+
 YEAR = 252
 
 
@@ -116,24 +118,14 @@ def factor_covariance(fits: DataFrame, factors: DataFrame, names: tuple[str, ...
     return i.join(j, F.lit(True)).crossJoin(F.broadcast(cov)).select("ticker_i", "ticker_j", ((value + own) * periods).alias("value"))
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str, value: str, tolerance: int | None = None, strict: bool = False) -> DataFrame:
-    """Adds the last `value` of `right` on or before (strict: before) each row's `on` date, none older than `tolerance` days."""
-    a = left.select(*left.columns, F.lit(None).cast("date").alias("_at"), F.lit(None).cast("double").alias("_v"), F.lit(0 if strict else 1).alias("_side"))
-    b = right.select(*(F.col(on) if c == on else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.col(on).alias("_at"), F.col(value).cast("double").alias("_v"), F.lit(1 if strict else 0).alias("_side"))
-    w = W.partitionBy(F.lit(0)).orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)  # one row a session
-    last = F.last(F.when(F.col("_v").isNotNull(), F.struct("_at", "_v")), ignorenulls=True).over(w)
-    both = a.withColumn("_left", F.lit(True)).union(b.withColumn("_left", F.lit(False))).withColumn("_last", last).where("_left")
-    fresh = F.lit(True) if tolerance is None else F.datediff(on, F.col("_last._at")) <= tolerance
-    return both.select(*left.columns, F.when(fresh, F.col("_last._v")).alias(value))
-
-
 def factors_to_eur(factors: DataFrame, fx: DataFrame, rates: DataFrame, tolerance: int = 7) -> DataFrame:
     """Dollar factors in euro. q = fx[t-1] / fx[t]; the euro rate is the last one before, at most 7 days old, in
     percent a year over the days since the session before; market = (1 + mkt + rf) q - 1 - rf_eur, others times q."""
     f = as_of(factors, fx, "session", "fx")
     f = as_of(f, rates, "session", "rate", tolerance, strict=True)
-    w = W.partitionBy(F.lit(0)).orderBy("session")
-    f = f.withColumns({"q": F.lag("fx").over(w) / F.nullif(F.col("fx"), F.lit(0.0)), "days": F.datediff("session", F.lag("session").over(w))})
+    f = as_of(f, f.select("session", F.col("fx").alias("fx_before")), "session", "fx_before", strict=True)
+    f = as_of(f, f.select("session", F.unix_date("session").alias("day_before")), "session", "day_before", strict=True)
+    f = f.withColumns({"q": F.col("fx_before") / F.nullif(F.col("fx"), F.lit(0.0)), "days": F.unix_date("session") - F.col("day_before")})
     rf = F.col("rate") / 100 * F.col("days") / 360
     others = [c for c in ("smb", "hml", "rmw", "cma") if c in factors.columns]
     out = f.select("session", ((1 + F.col("mkt_rf") + F.col("rf")) * F.col("q") - 1 - rf).alias("mkt_rf"), *((F.col(c) * F.col("q")).alias(c) for c in others), rf.alias("rf"))

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from quantloom.operators import grams as G
+from quantloom.operators.scans import order_statistics
+from quantloom.sources.scratch import stored
+
 YEAR = 252
 
 
@@ -30,9 +34,21 @@ def _draw(seed: int, *what) -> Column:
     return F.xxhash64(F.lit(seed), *what)
 
 
-def draws(history: DataFrame, paths: int, days: int, block: int, seed: int = 42) -> DataFrame:
+def _congruential(seed: int, path: Column, block: Column) -> Column:
+    """Two steps of the minimal standard generator from a seed, a path and a block; the high bits, which are the better ones."""
+    x = (path * 1_000_003 + block * 7_919 + seed) % 2_147_483_647
+    for _ in range(2):
+        x = (x * 48_271) % 2_147_483_647
+    return F.shiftright(x.cast("long"), 8)
+
+
+def draws(history: DataFrame, paths: int, days: int, block: int, seed: int = 42, generator: str = "hash") -> DataFrame:
     """(path, day, k): which history row each simulated day repeats. block 1: independent days. Blocks start only
-    where all their rows are consecutive; the last block of a path is cut."""
+    where all their rows are consecutive; the last block of a path is cut. generator: 'hash', or 'congruential', whose numbers
+    any engine can make again."""
+    if generator not in ("hash", "congruential"):
+        raise ValueError(f"unknown generator {generator}")
+    draw = _draw if generator == "hash" else _congruential
     ks = history.select("k").distinct()
     w = W.partitionBy(F.lit(0)).orderBy("k")  # one row a session
     starts = ks.withColumn("end", F.lead("k", block - 1).over(w) if block > 1 else F.col("k")).where(F.col("end") == F.col("k") + block - 1)
@@ -41,16 +57,16 @@ def draws(history: DataFrame, paths: int, days: int, block: int, seed: int = 42)
     spark = history.sparkSession
     blocks = (days + block - 1) // block
     grid = spark.range(paths).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    grid = grid.crossJoin(F.broadcast(n)).select("path", "b", F.pmod(_draw(seed, F.col("path"), F.col("b")), F.col("n")).alias("i"))
+    grid = grid.crossJoin(F.broadcast(n)).select("path", "b", F.pmod(draw(seed, F.col("path"), F.col("b")), F.col("n")).alias("i"))
     grid = grid.join(F.broadcast(starts), "i")  # the history's sessions: a fixed, small calendar
     out = grid.select("path", (F.col("b") * block).alias("d0"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
     return out.select("path", (F.col("d0") + F.col("j") + 1).alias("day"), (F.col("start") + F.col("j")).alias("k")).where(F.col("day") <= days)
 
 
-def simulate(history: DataFrame, paths: int = 1000, days: int = YEAR, block: int = 5, capital: float = 10_000.0, drift: float = 0.0, seed: int = 42, entry: DataFrame | None = None) -> DataFrame:
+def simulate(history: DataFrame, paths: int = 1000, days: int = YEAR, block: int = 5, capital: float = 10_000.0, drift: float = 0.0, seed: int = 42, entry: DataFrame | None = None, generator: str = "hash") -> DataFrame:
     """(path, day, strategy, ret, value): running products of drawn returns plus drift / 252 a day; `entry` (strategy,
     multiplier) applies once, from the first day."""
-    rows = draws(history, paths, days, block, seed).join(F.broadcast(history.select("k", "strategy", "ret")), "k")  # history: one row a session and strategy
+    rows = draws(history, paths, days, block, seed, generator).join(F.broadcast(history.select("k", "strategy", "ret")), "k")  # history: one row a session and strategy
     by = W.partitionBy("path", "strategy").orderBy("day")
     value = F.product(1 + F.col("ret") + drift / YEAR).over(by.rowsBetween(W.unboundedPreceding, 0)) * capital
     out = rows.select("path", "day", "strategy", (F.col("ret") + drift / YEAR).alias("ret"), value.alias("value"))
@@ -63,10 +79,13 @@ def simulate_gaussian(history: DataFrame, paths: int = 1000, days: int = YEAR, c
     """The same with joint normal days: the history's mean and covariance (negative eigenvalues cut off), one task a range of paths."""
     import numpy as np
 
-    h = history.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("k", "ret"))).alias("h")).orderBy("strategy").collect()  # one row a strategy
-    names = [r["strategy"] for r in h]
-    x = np.array([[e["ret"] for e in r["h"]] for r in h])
-    mean, cov = x.mean(axis=1), np.atleast_2d(np.cov(x))
+    rows = history.select(F.col("strategy").alias("ticker"), "session", "ret")
+    means = {r["ticker"]: r["m"] for r in rows.groupBy("ticker").agg(F.avg("ret").alias("m")).collect()}  # one row a strategy
+    names = sorted(means)
+    at, cov = {n: i for i, n in enumerate(names)}, np.zeros((len(names), len(names)))
+    for r in G.gram(rows).select("ticker_i", "ticker_j", G.covariance().alias("c")).collect():  # one row a pair of strategies
+        cov[at[r["ticker_i"]], at[r["ticker_j"]]] = r["c"]
+    mean = np.array([means[n] for n in names])
     val, vec = np.linalg.eigh(cov)
     root = vec * np.sqrt(np.clip(val, 0, None))
 
@@ -113,9 +132,10 @@ def metrics(paths: DataFrame, capital: float, tail: float = 0.05) -> DataFrame:
     return g.join(es, "strategy").join(day, "strategy").select(*g.columns, "es", (zero("q") * capital).alias("daily_var"), (zero("t") * capital).alias("daily_es"))
 
 
-def fan(paths: DataFrame) -> DataFrame:
-    """(strategy, day, p5, p25, p50, p75, p95)."""
-    return paths.groupBy("strategy", "day").agg(*(F.expr(f"percentile(value, {p / 100})").alias(f"p{p}") for p in (5, 25, 50, 75, 95)))
+def fan(paths: DataFrame, shares: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
+    """(strategy, day, p5, p25, p50, p75, p95): exact percentiles; no strategy's day is held whole."""
+    q = order_statistics(stored(paths.select("strategy", "day", "value"), "paths"), ["strategy", "day"], "value", tuple(p / 100 for p in shares))
+    return q.groupBy("strategy", "day").agg(*(F.max(F.when(F.col("share") == p / 100, F.col("quantile"))).alias(f"p{p}") for p in shares))
 
 
 def entry_multipliers(curves: DataFrame, capital: float) -> DataFrame:
@@ -123,14 +143,26 @@ def entry_multipliers(curves: DataFrame, capital: float) -> DataFrame:
     return curves.groupBy("strategy").agg(F.least(F.lit(1.0), F.min_by("nav", "session") / capital).alias("multiplier"))
 
 
-def sensitivity(history: DataFrame, paths: int, days: int, capital: float, blocks: tuple[int, ...] = (1, 5, 10), seed: int = 42) -> DataFrame:
-    """(sample, block, strategy, median, p5): medians over the whole history and its halves, for several block lengths."""
+def sensitivity(history: DataFrame, paths: int, days: int, capital: float, blocks: tuple[int, ...] = (5, 10), seed: int = 42, methods: tuple[str, ...] = ("Moving block", "IID", "Gaussian"), generator: str = "hash") -> DataFrame:
+    """(sample, method, block, strategy, median, p5): final values over the whole history and its halves, by method: moving
+    blocks of each length, independent days (block 1), joint normal days (block 0). A sample's history is cut by its middle row."""
+    unknown = set(methods) - {"Moving block", "IID", "Gaussian"}
+    if unknown:
+        raise ValueError(f"unknown methods: {', '.join(sorted(unknown))}")
     mid = history.agg(F.expr("percentile(k, 0.5)").alias("mid")).first()["mid"]  # one row
     out = None
     for sample, part in (("all", history), ("first half", history.where(F.col("k") <= mid)), ("second half", history.where(F.col("k") > mid))):
-        for b in blocks:
-            end = simulate(part, paths, days, b, capital, seed=seed).where(F.col("day") == days)
-            rows = end.groupBy("strategy").agg(F.expr("percentile(value, 0.5)").alias("median"), F.expr("percentile(value, 0.05)").alias("p5"))
-            rows = rows.select(F.lit(sample).alias("sample"), F.lit(b).alias("block"), "strategy", "median", "p5")
-            out = rows if out is None else out.unionByName(rows)
-    return out
+        for method in methods:
+            for b in {"Moving block": blocks, "IID": (1,), "Gaussian": (0,)}[method]:
+                made = simulate_gaussian(part, paths, days, capital, seed=seed) if method == "Gaussian" else simulate(part, paths, days, b, capital, seed=seed, generator=generator)
+                rows = made.where(F.col("day") == days).select(F.lit(sample).alias("sample"), F.lit(method).alias("method"), F.lit(b).alias("block"), "strategy", "value")
+                out = rows if out is None else out.unionByName(rows)
+    keys = ["sample", "method", "block", "strategy"]
+    q = order_statistics(stored(out, "finals"), keys, "value", (0.05, 0.5))
+    return q.groupBy(*keys).agg(F.max(F.when(F.col("share") == 0.5, F.col("quantile"))).alias("median"), F.max(F.when(F.col("share") == 0.05, F.col("quantile"))).alias("p5"))
+
+
+def pivoted(table: DataFrame, value: str = "median") -> DataFrame:
+    """The sensitivity grid with a row a sample and strategy and a column a method and block length, such as `moving_block_5`."""
+    name = F.concat_ws("_", F.replace(F.lower("method"), F.lit(" "), F.lit("_")), F.when(F.col("block") > 1, F.col("block").cast("string")))
+    return table.withColumn("_m", name).groupBy("sample", "strategy").pivot("_m").agg(F.max(value))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from quantloom.operators import backtest as B
 from quantloom.operators.construct import MODELS, optimise
+from quantloom.operators.grams import SUMS, covariance, gram
 
 
 def calendar(prices: DataFrame, first: str, last: str, estimation_years: int = 1, horizon_months: int = 12, step_months: int = 6, year_rows: int = 180, month_rows: int = 15) -> DataFrame:
@@ -31,17 +32,50 @@ def calendar(prices: DataFrame, first: str, last: str, estimation_years: int = 1
     return g.select("anchor", "est_start", "oos_end", "est_rows", "oos_rows", status.alias("status"))
 
 
+def pieces(windows: DataFrame) -> DataFrame:
+    """(anchor, piece, head): the pieces of the calendar that make up each good window's estimation rows. Cuts at all starts and
+    anchors make the smallest pieces that do not overlap; a window's first session (head) is apart, as its return reaches
+    out of the window. Bounded by windows and what they span, not by rows."""
+    ok = windows.where("status = 'ok'").select("anchor", "est_start")
+    cuts = ok.agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("est_start"), F.collect_set("anchor")))).alias("cuts"))  # a row a window
+    at = ok.crossJoin(cuts)
+    place = lambda d: F.size(F.filter("cuts", lambda c: c <= d))
+    at = at.select("anchor", place(F.col("est_start")).alias("first"), F.explode(F.sequence(place(F.col("est_start")), place(F.col("anchor")) - 1)).alias("piece"))
+    return at.select("anchor", "piece", F.explode(F.when(F.col("piece") == F.col("first"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("head"))
+
+
+def in_pieces(prices: DataFrame, windows: DataFrame) -> DataFrame:
+    """(ticker, session, ret, piece, head): every row once, with the return since its ticker's row before and the piece it is in;
+    head: its session is the piece's first. Rows outside all windows are in piece 0 or the last."""
+    cuts = windows.where("status = 'ok'").agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("est_start"), F.collect_set("anchor")))).alias("cuts"))
+    by = W.partitionBy("ticker").orderBy("session")
+    r = prices.select("ticker", "session", (F.col("close") / F.lag("close").over(by) - 1).alias("ret")).crossJoin(cuts)
+    r = r.withColumn("piece", F.size(F.filter("cuts", lambda c: c <= F.col("session")))).drop("cuts")
+    heads = r.groupBy("piece").agg(F.min("session").alias("_first"))
+    return r.join(heads, "piece").withColumn("head", F.col("session") == F.col("_first")).drop("_first")
+
+
+def window_moments(prices: DataFrame, windows: DataFrame, periods: int = 252) -> tuple[DataFrame, DataFrame]:
+    """Annual means (anchor, ticker, mu) and covariances (anchor, ticker_i, ticker_j, value) of each good window's estimation
+    rows, of tickers that have all of them. Sums of pieces are made once and added for the windows that a piece is in."""
+    rows, union = in_pieces(prices, windows), pieces(windows)
+    need = windows.where("status = 'ok'").select("anchor", "est_rows")
+    part = ["piece", "head"]
+    held = rows.groupBy(*part, "ticker").agg(F.count(F.lit(1)).alias("rows"), F.count("ret").alias("c"), F.sum("ret").alias("s"))
+    # rows of a window are those of its pieces and of its first session; returns leave that one out
+    first = union.groupBy("anchor").agg(F.min("piece").alias("piece")).withColumn("head", F.lit(True))
+    total = held.join(union.unionByName(first), part).groupBy("anchor", "ticker").agg(F.sum("rows").alias("est_rows"))
+    whole = total.join(need, ["anchor", "est_rows"]).select("anchor", "ticker")
+    mu = held.join(union, part).groupBy("anchor", "ticker").agg((F.sum("s") / F.sum("c") * periods).alias("mu")).join(whole, ["anchor", "ticker"], "left_semi")
+    sums = gram(rows, part).join(union, part).groupBy("anchor", "ticker_i", "ticker_j").agg(*(F.sum(c).alias(c) for c in SUMS))
+    side = lambda c: whole.withColumnRenamed("ticker", c)
+    cov = sums.join(side("ticker_i"), ["anchor", "ticker_i"], "left_semi").join(side("ticker_j"), ["anchor", "ticker_j"], "left_semi")
+    return mu, cov.select("anchor", "ticker_i", "ticker_j", (covariance() * periods).alias("value"))
+
+
 def window_weights(prices: DataFrame, windows: DataFrame, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0, periods: int = 252) -> DataFrame:
     """(anchor, strategy, ticker, w, status) from each good window's complete estimation rows."""
-    ok = windows.where("status = 'ok'").select("anchor", "est_start", "est_rows")
-    p = prices.join(F.broadcast(ok), (F.col("session") >= F.col("est_start")) & (F.col("session") < F.col("anchor")))
-    by = W.partitionBy("anchor", "ticker")
-    r = p.withColumn("n", F.count(F.lit(1)).over(by)).where("n = est_rows")
-    r = r.withColumn("ret", F.col("close") / F.lag("close").over(by.orderBy("session")) - 1).where("ret is not null")
-    mu = r.groupBy("anchor", "ticker").agg((F.avg("ret") * periods).alias("mu"))
-    a = r.select("anchor", "session", F.col("ticker").alias("ticker_i"), F.col("ret").alias("ri"))
-    b = r.select("anchor", "session", F.col("ticker").alias("ticker_j"), F.col("ret").alias("rj"))
-    cov = a.join(b, ["anchor", "session"]).groupBy("anchor", "ticker_i", "ticker_j").agg((F.covar_samp("ri", "rj") * periods).alias("value"))
+    mu, cov = window_moments(prices, windows, periods)
     return optimise(mu, cov, ["anchor"], models, rf, cap)
 
 

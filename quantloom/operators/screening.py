@@ -7,6 +7,9 @@ from datetime import date
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from quantloom.operators.scans import average_ranks, placed
+from quantloom.sources.scratch import stored
+
 FACTORS = ("Momentum", "Risk", "Value", "Quality")
 
 
@@ -86,6 +89,17 @@ def percentile_score(value: Column, by: list[str] = (), lower_is_better: bool =
     return F.when(value.isNotNull(), 100 - pct if lower_is_better else pct)
 
 
+def percentile_scores(rows: DataFrame, wanted: dict[str, tuple[str, bool]], key: str = "ticker") -> DataFrame:
+    """`rows` with a percentile_score for each name of wanted (column, lower is better) over the whole table, which no task
+    holds: average ranks come from ranges of values. key: different in every row."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    long = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([key], columns, "metric", "value").where("value is not null")
+    ranks = long.join(average_ranks(long), ["metric", "value"]).withColumn("pct", F.col("rank") / F.col("n") * 100)
+    ranks = ranks.groupBy(key).agg(*(F.max(F.when(F.col("metric") == c, F.col("pct"))).alias(f"_pct_{c}") for c in columns))
+    out = rows.join(ranks, key, "left")
+    return out.select(*rows.columns, *((100 - F.col(f"_pct_{c}") if low else F.col(f"_pct_{c}")).alias(n) for n, (c, low) in wanted.items()))
+
+
 def _mean(*cols: Column) -> Column:
     """Mean of those that are not null."""
     n = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
@@ -97,20 +111,30 @@ def score(signals: DataFrame, active: tuple[str, ...] = FACTORS, min_components:
 
     Needs momentum, volatility, max_drawdown and, for Value and Quality, earnings_yield, book_to_market,
     roe and debt_to_equity. Rows with fewer than `min_components` scores (all active ones if None) are
-    Excluded. Order: quant, momentum and risk scores falling, nulls last, then ticker.
+    Excluded. Order: quant, momentum and risk scores falling, nulls last, then ticker. by: columns of separate
+    cross-sections, one a task each; without them the whole table is one, in which tickers differ and which no task holds.
     """
     have = set(signals.columns)
     c = lambda n: F.col(n) if n in have else F.lit(None).cast("double")
     need = len(active) if min_components is None else min_components
-    s = lambda n, low=False: percentile_score(c(n), list(by), low)
-    raw = signals.select("*", s("momentum").alias("momentum_score"), s("volatility", True).alias("_v"), s("max_drawdown").alias("_d"), s("earnings_yield").alias("_e"), s("book_to_market").alias("_b"), s("roe").alias("_r"), s("debt_to_equity", True).alias("_l"))
+    wanted = {"momentum_score": ("momentum", False), "_v": ("volatility", True), "_d": ("max_drawdown", False), "_e": ("earnings_yield", False), "_b": ("book_to_market", False), "_r": ("roe", False), "_l": ("debt_to_equity", True)}
+    if by:
+        raw = signals.select("*", *(percentile_score(c(n), list(by), low).alias(into) for into, (n, low) in wanted.items()))
+    else:
+        signals = stored(signals, "signals")
+        raw = percentile_scores(signals, {into: x for into, x in wanted.items() if x[0] in have})
+        raw = raw.withColumns({into: F.lit(None).cast("double") for into, x in wanted.items() if x[0] not in have})
     out = raw.withColumns({"risk_score": _mean(F.col("_v"), F.col("_d")), "value_score": _mean(F.col("_e"), F.col("_b")), "quality_score": _mean(F.col("_r"), F.col("_l"))}).drop("_v", "_d", "_e", "_b", "_r", "_l")
     used = [F.col(f"{f.lower()}_score") for f in active]
     n = sum((x.isNotNull().cast("int") for x in used), F.lit(0))
     out = out.withColumn("components", n).withColumn("quant_score", F.when(n >= need, _mean(*used)))
     ok = F.col("quant_score").isNotNull()
-    order = W.partitionBy(*by, ok).orderBy(F.round("quant_score", 9).desc_nulls_last(), F.round("momentum_score", 9).desc_nulls_last(), F.round("risk_score", 9).desc_nulls_last(), "ticker")
-    out = out.withColumn("rank", F.when(ok, F.row_number().over(order)))
+    order = [F.round("quant_score", 9).desc_nulls_last(), F.round("momentum_score", 9).desc_nulls_last(), F.round("risk_score", 9).desc_nulls_last(), F.col("ticker")]
+    if by:
+        out = out.withColumn("rank", F.row_number().over(W.partitionBy(*by, ok).orderBy(*order)))
+    else:
+        out = placed(stored(out.withColumn("_q", F.round("quant_score", 9)), "scores"), "_q", order, "rank").drop("_q")
+    out = out.withColumn("rank", F.when(ok, F.col("rank")))
     return out.withColumns({"selected": F.coalesce(F.col("rank") <= top_n, F.lit(False)), "status": F.when(ok & (F.col("rank") <= top_n), "Selected").when(ok, "Candidate").otherwise("Excluded"), "reason": F.when(~ok, "Insufficient scoring data")})
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from quantloom.operators.scans import scan
+
 
 def _roll(n: int):
     return W.partitionBy("ticker").orderBy("session").rowsBetween(1 - n, 0)
@@ -13,19 +15,29 @@ def _full(n: int, value: Column, of: str = "close") -> Column:
     return F.when(F.count(of).over(_roll(n)) == n, value)
 
 
-def ema(values: DataFrame, column: str, alpha: float, into: str, min_rows: int = 1, first: int = 0) -> DataFrame:
-    """Adds the recursion e <- e + alpha (x - e), seeded with the value at row `first`; null before `min_rows` values."""
-    rows = values.withColumn("_k", F.row_number().over(W.partitionBy("ticker").orderBy("session")) - 1)
-    g = rows.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("_k", F.col(column).alias("x")))).alias("h"))  # one ticker's sessions
-    state = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
+def emas(values: DataFrame, wanted: dict[str, tuple[str, float, int, int]]) -> DataFrame:
+    """Adds for each name of wanted (column, alpha, min_rows, first) the recursion e <- e + alpha (x - e), seeded with the first
+    value at row `first` or later; nulls leave e as it is; null before `min_rows` rows. One scan for all of them."""
+    names = list(wanted)
+    rows = values.withColumn("k", F.row_number().over(W.partitionBy("ticker").orderBy("session")) - 1)
+    x = {n: F.when(F.col("k") >= first, F.col(c)) for n, (c, _, _, first) in wanted.items()}
+    seeds = rows.groupBy("ticker").agg(*(F.min_by(F.struct("k", x[n].alias("v")), F.when(x[n].isNotNull(), F.col("k"))).alias(f"_{n}_seed") for n in names))
+    rows = rows.join(seeds, "ticker")
+    maps = {}
+    for n, (_, alpha, _, _) in wanted.items():
+        live = x[n].isNotNull() & (F.col("k") > F.col(f"_{n}_seed.k"))
+        maps[n] = (F.when(live, 1 - alpha).otherwise(1.0), F.when(live, alpha * x[n]).otherwise(0.0))
+    rows, out = scan(rows, "ticker", maps), {}
+    for n, (_, _, least, first) in wanted.items():
+        a, b = maps[n]
+        now = a * (F.col(f"{n}_a") * F.col(f"_{n}_seed.v") + F.col(f"{n}_b")) + b
+        out[n] = F.when((F.col("k") >= F.col(f"_{n}_seed.k")) & (F.col("k") - first + 1 >= least), now)
+    return rows.withColumns(out).drop("k", *(f"_{n}_seed" for n in names), *(f"{n}_{p}" for n in names for p in "ab"))
 
-    def step(a, x):
-        e = F.when(x["_k"] < first, F.lit(None).cast("double")).otherwise(F.coalesce(a["e"] + alpha * (x["x"] - a["e"]), x["x"], a["e"]))
-        return F.struct(e.alias("e"), F.array_append(a["out"], e).alias("out"))
 
-    g = g.select("ticker", F.posexplode(F.aggregate("h", state, step, lambda a: a["out"])).alias("_k", "_e"))
-    out = rows.join(g, ["ticker", "_k"])
-    return out.withColumn(into, F.when(F.col("_k") - first + 1 >= min_rows, F.col("_e"))).drop("_k", "_e")
+def ema(values: DataFrame, column: str, alpha: float, into: str, min_rows: int = 1, first: int = 0) -> DataFrame:
+    """emas() of one column."""
+    return emas(values, {into: (column, alpha, min_rows, first)})
 
 
 def indicators(prices: DataFrame) -> DataFrame:
@@ -41,8 +53,7 @@ def indicators(prices: DataFrame) -> DataFrame:
     d = p - F.lag("close").over(by)
     out = out.withColumns({"_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0))})
     out = out.withColumns({"_up": F.when(F.lag("close").over(by).isNotNull(), F.col("_up")), "_down": F.when(F.lag("close").over(by).isNotNull(), F.col("_down"))})
-    out = ema(out, "close", 2 / 21, "ema20", 20)
-    out = ema(ema(out, "_up", 1 / 14, "_au", 14, 1), "_down", 1 / 14, "_ad", 14, 1)
+    out = emas(out, {"ema20": ("close", 2 / 21, 20, 0), "_au": ("_up", 1 / 14, 14, 1), "_ad": ("_down", 1 / 14, 14, 1)})
     both = F.col("_au") + F.col("_ad")
     rsi = F.when(both == 0, 50.0).otherwise(100 * F.col("_au") / F.nullif(both, F.lit(0.0)))
     return out.withColumn("rsi14", rsi).drop("_up", "_down", "_au", "_ad")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
+from quantloom.operators.scans import scan
+
 YEAR = 252
 
 
@@ -18,15 +20,11 @@ def _numbered(returns: DataFrame) -> DataFrame:
 
 def ewma_variance(returns: DataFrame, lam: float = 0.94, seed_rows: int = 21) -> DataFrame:
     """(ticker, session, ret, k, variance): v0 is the sample variance of the first rows; v is given out before
-    v <- lam v + (1 - lam) r^2. Histories fold in one pass over a sorted array, which no long sum can overflow."""
+    v <- lam v + (1 - lam) r^2. A scan over chunks of a ticker's rows, linear in their number."""
     r = _numbered(returns)
-    by = W.partitionBy("ticker")
-    r = r.withColumn("v0", F.var_samp(F.when(F.col("k") < seed_rows, F.col("ret"))).over(by))
-    rows = r.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("k", "session", "ret", "v0"))).alias("h"))  # one ticker's sessions
-    state = F.struct(F.col("h")[0]["v0"].alias("v"), F.array().cast("array<double>").alias("out"))
-    step = lambda a, x: F.struct((a["v"] * lam + x["ret"] * x["ret"] * (1 - lam)).alias("v"), F.array_append(a["out"], a["v"]).alias("out"))
-    rows = rows.select("ticker", "h", F.aggregate("h", state, step, lambda a: a["out"]).alias("v"))
-    return rows.select("ticker", F.explode(F.arrays_zip("h", "v")).alias("z")).select("ticker", "z.h.session", "z.h.ret", "z.h.k", F.col("z.v").alias("variance"))
+    seeds = r.where(F.col("k") < seed_rows).groupBy("ticker").agg(F.var_samp("ret").alias("v0"))
+    rows = scan(r.select("ticker", "session", "ret", "k"), "ticker", {"v": (F.lit(lam), F.col("ret") * F.col("ret") * (1 - lam))})
+    return rows.join(seeds, "ticker").select("ticker", "session", "ret", "k", (F.col("v_a") * F.col("v0") + F.col("v_b")).alias("variance"))
 
 
 def rolling_volatility(returns: DataFrame, window: int = 63, periods: int = YEAR) -> DataFrame:

@@ -271,8 +271,8 @@ def q1_price_signals(v, spark, d):
 
 @query(_screen_sql("brand") + " select ticker, round(ms::double, 6) as momentum_score, round(vs::double, 6) as volatility_score from sc")
 def q2_percentile_scores(v, spark, d):
-    s = S.price_signals(v("panel_brand"))
-    return s.select("ticker", S.percentile_score(F.col("momentum")).alias("momentum_score"), S.percentile_score(F.col("volatility"), lower_is_better=True).alias("volatility_score"))
+    s = S.percentile_scores(S.price_signals(v("panel_brand")), {"momentum_score": ("momentum", False), "volatility_score": ("volatility", True)})
+    return s.select("ticker", "momentum_score", "volatility_score")
 
 
 @query(_screen_sql("brand") + " select ticker, round(ms::double, 6) as momentum_score, round(((vs + ds) / 2)::double, 6) as risk_score, 2 as components, round(((ms + (vs + ds) / 2) / 2)::double, 6) as quant_score, case when row_number() over (order by round(((ms + (vs + ds) / 2) / 2)::double, 9) desc, round(ms::double, 9) desc, round(((vs + ds) / 2)::double, 9) desc, ticker) <= 10 then 'Selected' else 'Candidate' end as status from sc")

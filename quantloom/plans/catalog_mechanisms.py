@@ -6,13 +6,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.operators import backtest as B
+from quantloom.operators import construct as C
 from quantloom.operators import grams as G
 from quantloom.operators import learning as L
+from quantloom.operators import montecarlo as M
 from quantloom.operators import returns as R
 from quantloom.plans import oracles_mechanisms as O
-from quantloom.plans.catalog import query
+from quantloom.plans.catalog import _curves, query
 from quantloom.plans.catalog_more import _five
-from quantloom.sources.scratch import stored
+from quantloom.sources import tables as X
+from quantloom.sources.journal_log import Log
+from quantloom.sources.scratch import folder, stored
+from quantloom.streaming.journal import as_journal
 
 # --- learning: all decisions in one job -----------------------------------------------------------
 
@@ -74,3 +79,77 @@ def l8_comparison(v, spark, d):
     p = R.complete_sessions(v("panel"))
     equity, _ = L.comparison_walk_forward(p, v("market"), v("factors"), _five(v), v("fx"), TRAIN, TEST, EVERY, 0.02, benchmark=v("market"))
     return L.comparison_metrics(equity, 0.02)
+
+
+# --- scenarios on numbers that SQL can make again -------------------------------------------------
+
+
+def _drawn(v, days: int = 26):
+    h = M.aligned_returns(_curves(v))
+    return M.simulate(h, 300, days, 4, 10_000.0, generator="congruential")
+
+
+@query(O.M3_METRICS)
+def m3_drawn_metrics(v, spark, d):
+    return M.metrics(stored(_drawn(v), "drawn"), 10_000.0)
+
+
+@query(O.M4_FAN)
+def m4_fan_of_paths(v, spark, d):
+    return M.fan(_drawn(v))
+
+
+@query(O.M6_GRID)
+def m6_drawn_grid(v, spark, d):
+    """Medians of final values by sample and method, a column a method."""
+    h = stored(M.aligned_returns(_curves(v)), "history")
+    return M.pivoted(M.sensitivity(h, 200, 13, 10_000.0, (4, 10), 7, ("Moving block", "IID"), "congruential"))
+
+
+# --- certificates of weights ----------------------------------------------------------------------
+
+
+def _holds(certified, *keys):
+    """Feasible within 1e-9; optimal within 1e-5, as the ratio is flat at its top (HRP optimises nothing: null)."""
+    return certified.select(*keys, "strategy", F.col("n").cast("int").alias("n"), ((F.col("budget") <= 1e-9) & (F.col("bounds") <= 1e-9)).alias("feasible"), (F.col("residual") <= 1e-5).alias("optimal"))
+
+
+@query(O.O1_CERTIFICATES)
+def o1_o8_certificates(v, spark, d):
+    """Optimality of the weights of five models under three caps."""
+    r = stored(R.simple_returns(v("panel")), "returns")
+    mu, cov, out = R.annual_moments(r), stored(R.covariance(r), "covariance"), None
+    for cap in (1.0, 0.5, 0.25):
+        w = stored(C.optimise(mu, cov, cap=cap), "weights")
+        rows = _holds(C.certificates(w, mu, cov, cap=cap)).withColumn("cap", F.lit(cap))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(O.B1_CERTIFICATES)
+def b1_weight_certificates(v, spark, d):
+    """The same of every rebalance of a walk-forward."""
+    p = stored(v("panel"), "prices")
+    numbered = stored(B.sessions(p), "sessions")
+    plan = B.schedule(numbered, 104, 52)
+    mu, cov = (stored(x, "moments") for x in B.window_moments(p, numbered, plan, 104))
+    w = stored(C.optimise(mu, cov, ["t"], cap=0.5), "weights")
+    return _holds(C.certificates(w, mu, cov, ["t"], cap=0.5), F.col("t").cast("int").alias("t"))
+
+
+# --- journal --------------------------------------------------------------------------------------
+
+
+@query(O.K1_COMMITS)
+def k1_committed_journal(v, spark, d):
+    """Events in two batches that share every third key, the second one's commit losing its first number."""
+    rows = as_journal(X.table(spark, d, "events")).drop("ts")
+    log, n = Log(spark, folder(spark, "journal")), F.col("record").cast("long")
+    first, second = rows.where(n % 3 < 2), rows.where(n % 3 > 0).withColumn("payload", F.lit("second"))
+
+    def race(version):
+        if version == 1:
+            log.commit(first)
+
+    log.commit(second, before_put=race)
+    return log.read()

@@ -85,3 +85,58 @@ weights as (select strategy, t, ticker, case when total > 0 then greatest(mu, 0)
 levels as (select no, session, last_value(close ignore nulls) over (order by no) as level from numbered left join market using (session))
 select strategy, session, round(nav, 6) as nav from equity
 union all select 'Benchmark', a.session, round(a.level / b.level, 6) from levels a join levels b on b.no = (select min(t) from clock) where a.no > b.no"""
+
+#: history (strategy, k, ret): steps between neighbouring sessions of all curves' calendar that every curve has.
+HISTORY = """calendar as (select session, row_number() over (order by session) as k from (select distinct session from panel)),
+moves as (select p.ticker as strategy, d.k, case when lag(d.k) over (o) = d.k - 1 then close / lag(close) over (o) - 1 end as ret from panel p join calendar d using (session) window o as (partition by p.ticker order by d.k)),
+history as (select * from moves where ret is not null qualify count(*) over (partition by k) = (select count(distinct ticker) from panel))"""
+
+
+def drawn(name: str, source: str, paths: int, days: int, block: int, seed: int) -> str:
+    """<name> (path, day, strategy, ret, value): blocks of history rows by the minimal standard generator."""
+    blocks, m = -(-days // block), 2147483647
+    return f"""{name}_ks as (select distinct k from {source}),
+{name}_starts as (select a.k as start, row_number() over (order by a.k) - 1 as i from {name}_ks a where (select count(*) from {name}_ks b where b.k between a.k and a.k + {block - 1}) = {block}),
+{name}_grid as (select p as path, b, ((((((p * 1000003 + b * 7919 + {seed}) % {m}) * 48271) % {m}) * 48271) % {m}) >> 8 as x from range({paths}) t(p), range({blocks}) u(b)),
+{name}_days as (select path, b * {block} + j + 1 as day, start + j as k from {name}_grid join {name}_starts on i = x % (select count(*) from {name}_starts), range({block}) v(j) where b * {block} + j < {days}),
+{name} as (select path, day, strategy, ret, product(1 + ret) over (partition by path, strategy order by day) * 10000 as value from {name}_days join {source} using (k))"""
+
+
+M4_FAN = f"""with {O.PANEL}, {HISTORY}, {drawn("paths", "history", 300, 26, 4, 42)}
+select strategy, day::int as day, {", ".join(f"round(quantile_cont(value, {p / 100}), 6) as p{p}" for p in (5, 25, 50, 75, 95))} from paths group by 1, 2"""
+
+M3_METRICS = f"""with {O.PANEL}, {HISTORY}, {drawn("paths", "history", 300, 26, 4, 42)},
+falls as (select *, value / greatest(max(value) over (partition by path, strategy order by day), 10000) - 1 as dd from paths),
+ends as (select path, strategy, arg_max(value, day) as final, min(dd) as mdd from falls group by 1, 2),
+tails as (select strategy, sum((final - 10000) * w) / sum(w) as t from (
+  select *, greatest(0, least(1, count(*) over (partition by strategy) * 0.05::double - (row_number() over (partition by strategy order by final) - 1))) as w from ends) group by 1),
+daily as (select strategy, sum(ret * w) / sum(w) as t from (
+  select *, greatest(0, least(1, count(*) over (partition by strategy) * 0.05::double - (row_number() over (partition by strategy order by ret) - 1))) as w from paths) group by 1),
+q as (select strategy, quantile_cont(ret, 0.05) as q from paths group by 1)
+select strategy, round(avg(final), 6) as mean, round(median(final), 6) as median, round(quantile_cont(final, 0.05), 6) as p5, round(quantile_cont(final, 0.95), 6) as p95,
+  round(avg((final < 10000)::int) * 100, 6) as p_loss, round(avg((mdd <= -0.2::double)::int) * 100, 6) as p_drawdown20, round(greatest(0, 10000 - quantile_cont(final, 0.05)), 6) as var,
+  round(greatest(0, -any_value(tails.t)), 6) as es, round(greatest(0, -any_value(q.q)) * 10000, 6) as daily_var, round(greatest(0, -any_value(daily.t)) * 10000, 6) as daily_es
+from ends join tails using (strategy) join daily using (strategy) join q using (strategy) group by 1"""
+
+_SAMPLES = {"all": "history", "first half": "early", "second half": "late"}
+_METHODS = {"moving_block_4": 4, "moving_block_10": 10, "iid": 1}
+M6_GRID = f"""with {O.PANEL}, {HISTORY},
+early as (select * from history where k <= (select quantile_cont(k, 0.5) from history)),
+late as (select * from history where k > (select quantile_cont(k, 0.5) from history)),
+{", ".join(drawn(f"{source}_{name}", source, 200, 13, block, 7) for source in _SAMPLES.values() for name, block in _METHODS.items())}
+""" + " union all ".join(f"select '{sample}' as sample, strategy, " + ", ".join(f"round(any_value({name}), 6) as {name}" for name in _METHODS) + " from (" + " union all by name ".join(f"select strategy, median(value) as {name} from {source}_{name} where day = 13 group by 1" for name in _METHODS) + ") group by strategy" for sample, source in _SAMPLES.items())
+
+_MODELS = "unnest(['Minimum Volatility', 'Maximum Sharpe', 'Risk Parity', 'HRP', 'Equal Weight']) as strategy"
+O1_CERTIFICATES = f"""with {O.PANEL}, {O.COMPLETE}, caps as (select unnest([1.0, 0.5, 0.25])::double as cap),
+names as (select count(distinct ticker)::int as n from complete)
+select strategy, cap, n, true as feasible, case when strategy <> 'HRP' then true end as optimal from (select cap, n, {_MODELS} from caps, names)"""
+
+#: Tickers with a price on each of the 104 sessions before t.
+B1_CERTIFICATES = f"""with {O.PANEL}, num as (select session, (row_number() over (order by session) - 1)::int as no from (select distinct session from panel)),
+clock as (select unnest(range(104, (select count(*) from num) - 1, 52))::int as t),
+whole as (select t, ticker from panel join num using (session) join clock on no < t and no >= t - 104 group by 1, 2 having count(*) = 104),
+names as (select t, count(*)::int as n from whole group by 1)
+select t, strategy, n, true as feasible, case when strategy <> 'HRP' then true end as optimal from (select t, n, {_MODELS} from names)"""
+
+K1_COMMITS = """select user_id::varchar as owner, 'events' as portfolio, event_type as kind, event_id::varchar as record,
+  case when event_id % 3 < 2 then props else 'second' end as payload from events"""
