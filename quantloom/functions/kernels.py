@@ -362,3 +362,36 @@ def self_financing_budget(capital: float, cost) -> float:
     if abs(lo + cost(lo) - capital) > 1e-8 * max(capital, 1.0):
         raise Infeasible("no self-financing budget")
     return lo
+
+
+def self_financing_root(value: float, weights: np.ndarray, held: np.ndarray, rate: float, minimum: float, spread: float, tax: float, least: float = 1e-8) -> float:
+    """b with b + cost(b) = value, in closed form. An order of b w - h costs max(minimum, rate n) + spread n, and tax n if it buys,
+    n its size above `least`. So b + cost(b) is linear between the b at which an order is nothing or passes the least
+    commission; the root is on the piece whose ends are on both sides of the value. Raises if there is none."""
+    w, h = np.asarray(weights, float), np.asarray(held, float)
+    on = w > 0
+    edge = np.array([0.0, -least, least] + ([-minimum / rate, minimum / rate] if rate > 0 else []))
+    cuts = ((h[on][:, None] + edge) / w[on][:, None]).ravel()
+    cuts = np.unique(np.concatenate([[0.0, value], cuts[(cuts > 0) & (cuts < value)]]))
+
+    def total(b: np.ndarray) -> np.ndarray:
+        order = b[:, None] * w - h
+        n = np.abs(order)
+        cost = np.where(n > least, np.maximum(minimum, rate * n) + spread * n + np.where(order > 0, tax * n, 0.0), 0.0)
+        return b + cost.sum(axis=1)
+
+    if float(total(np.zeros(1))[0]) >= value:
+        raise Infeasible("costs exhaust the capital")
+    # two points inside each piece give its line
+    a, z = cuts[:-1], cuts[1:]
+    x0, x1 = a + (z - a) / 4, z - (z - a) / 4
+    y0, y1 = total(x0), total(x1)
+    step = np.where(x1 > x0, (y1 - y0) / np.where(x1 > x0, x1 - x0, 1.0), 0.0)
+    b = np.where(step > 0, x0 + (value - y0) / np.where(step > 0, step, 1.0), np.nan)
+    slack = 1e-12 * max(value, 1.0)
+    ok = np.flatnonzero((b >= a - slack) & (b <= z + slack))
+    for i in ok[::-1]:
+        root = float(min(max(b[i], a[i]), z[i]))
+        if abs(float(total(np.array([root]))[0]) - value) <= 1e-8 * max(value, 1.0):
+            return root
+    raise Infeasible("no self-financing budget")

@@ -14,6 +14,7 @@ from quantloom.operators.construct import MODELS, optimise
 from quantloom.operators.factors import capm, multi_factor
 from quantloom.operators.grams import covariance, gram
 from quantloom.operators.screening import screen_point_in_time
+from quantloom.sources.scratch import stored
 
 YEAR = 252
 
@@ -141,11 +142,18 @@ def walk_forward_weights(
     FACTOR_MODELS need `market` (CAPM) or `factors` (lagged by `months` months). chosen (t, ticker), as `selection`
     gives: only these assets take part.
     """
+    numbered = sessions(prices)
+    return decided_weights(prices, numbered, schedule(numbered, lookback, rebalance), lookback, models, rf, cap, market, factors, chosen, months, min_obs)
+
+
+def decided_weights(
+    prices: DataFrame, numbered: DataFrame, plan: DataFrame, lookback: int, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0,
+    market: DataFrame | None = None, factors: DataFrame | None = None, chosen: DataFrame | None = None, months: int = 2, min_obs: int = 80,
+) -> DataFrame:
+    """walk_forward_weights at the decisions of a plan (t, until)."""
     unknown = set(models) - set(ALL_MODELS)
     if unknown:
         raise ValueError(f"unknown strategies: {', '.join(sorted(unknown))}")
-    numbered = sessions(prices)
-    plan = schedule(numbered, lookback, rebalance)
     mu, cov = window_moments(prices, numbered, plan, lookback)
     keep = lambda df: df if chosen is None else df.join(chosen, ["t", "ticker"], "left_semi")
     mu = keep(mu)
@@ -204,7 +212,7 @@ def gross_nav(weights: DataFrame, prices: DataFrame, capital: float) -> DataFram
 def net_nav(weights: DataFrame, prices: DataFrame, capital: float, costs: Costs = PRESETS["Base"]) -> DataFrame:
     """(strategy, session, nav, cost): self-financing at each rebalance: what is invested plus the orders' costs is
     the value before. Costs stand on the rebalance session, whose nav is after them."""
-    from quantloom.functions.kernels import Infeasible, self_financing_budget
+    from quantloom.functions.kernels import Infeasible, self_financing_root
 
     growth = holding_growth(weights, prices)
     ends = growth.where("no = until").select("strategy", "t", "ticker", "w", "growth")
@@ -216,17 +224,9 @@ def net_nav(weights: DataFrame, prices: DataFrame, capital: float, costs: Costs
         for t, g in f.sort_values(["t", "ticker"]).groupby("t"):
             target = dict(zip(g.ticker, g.w, strict=True))
 
-            def cost(b, target=target, held=held):
-                total = 0.0
-                for k in target.keys() | held.keys():
-                    order = b * target.get(k, 0.0) - held.get(k, 0.0)
-                    n = abs(order)
-                    if n > 1e-8:
-                        total += max(costs.minimum, costs.rate * n) + n * (costs.spread_bps + costs.slippage_bps) / 1e4 + (costs.buy_tax * n if order > 0 else 0.0)
-                return total
-
+            names = sorted(target.keys() | held.keys())
             try:
-                b = self_financing_budget(value, cost)
+                b = self_financing_root(value, [target.get(k, 0.0) for k in names], [held.get(k, 0.0) for k in names], costs.rate, costs.minimum, (costs.spread_bps + costs.slippage_bps) / 1e4, costs.buy_tax)
             except Infeasible:
                 out.append((key[0], t, None, None))
                 break
@@ -244,18 +244,32 @@ def net_nav(weights: DataFrame, prices: DataFrame, capital: float, costs: Costs
     return at.unionByName(nav)
 
 
-def fixed_horizon(prices: DataFrame, estimation: int, test: int, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0) -> DataFrame:
+def fixed_horizon(prices: DataFrame, estimation: int, test: int, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0, market: DataFrame | None = None, factors: DataFrame | None = None, months: int = 2, min_obs: int = 80) -> DataFrame:
     """Weights of one decision: the last estimation + test + 2 sessions, the first estimation + 1 of them to learn
-    from, bought at the close of the last of those and held for the rest: columns as in walk_forward_weights."""
+    from, bought at the close of the last of those and held for the rest: columns as in walk_forward_weights. Factor
+    strategies count factors up to `months` months before the last session learnt from."""
     numbered = sessions(prices)
     n = numbered.agg(F.count(F.lit(1)).cast("int").alias("n"))
     start = F.greatest(F.col("n") - (estimation + test + 2), F.lit(0))
     plan = n.select((start + estimation + 1).alias("t"), (F.col("n") - 1).alias("until")).where("t < until")
-    mu, cov = window_moments(prices, numbered, plan, estimation + 1)
-    w = optimise(mu, cov, ["t"], models, rf, cap).join(F.broadcast(plan), "t")
+    w = decided_weights(prices, numbered, plan, estimation + 1, models, rf, cap, market, factors, None, months, min_obs)
     return w.withColumn("t", F.col("t") - 1)  # bought on the last session of the estimation
 
 
+def fixed_horizon_run(prices: DataFrame, estimation: int, test: int, capital: float, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0, market: DataFrame | None = None, factors: DataFrame | None = None, months: int = 2, min_obs: int = 80) -> DataFrame:
+    """Metrics of every strategy of fixed_horizon() and of the market on the same sessions, with what the weights promised:
+    ex_ante_return, ex_ante_volatility and ex_ante_sharpe under the historical moments of the estimation (null for the market)."""
+    prices = stored(prices.select("ticker", "session", "close"), "prices")
+    w = stored(fixed_horizon(prices, estimation, test, models, rf, cap, market, factors, months, min_obs), "weights")
+    numbered, plan = sessions(prices), w.select((F.col("t") + 1).alias("t")).distinct()
+    hope = ex_ante_kpis(w.where("status = 'ok'").withColumn("t", F.col("t") + 1), *window_moments(prices, numbered, plan, estimation + 1), rf)
+    curves = stored(gross_nav(w.where("status = 'ok'"), prices, capital), "curves")
+    if market is not None:
+        curves = curves.unionByName(benchmark_curve(market.join(curves.select("session").distinct(), "session", "left_semi"), capital))
+    hope = hope.select("strategy", F.col("ret").alias("ex_ante_return"), F.col("vol").alias("ex_ante_volatility"), F.col("sharpe").alias("ex_ante_sharpe"))
+    return performance(curves, capital, rf).join(hope, "strategy", "left")
+
+
 def performance(nav: DataFrame, capital: float, rf: float = 0.0, periods: int = YEAR, days: float = 365.25) -> DataFrame:
     """Per strategy: total return on the initial capital, CAGR by calendar days, volatility, Sharpe, Sortino, greatest
     drawdown from the running peak or the capital, observations. The first day's return counts."""
@@ -432,9 +446,59 @@ def synchronised(n: int, lookback: int, test: int) -> dict[str, int]:
     return {"start": start, "lookback": lookback, "estimation": lookback - 1, "test": test}
 
 
-def standard_engine(prices: DataFrame, market: DataFrame, capital: float, lookback: int, rebalance: int, rf: float = 0.0, cap: float = 1.0, costs: Costs = PRESETS["Base"], models: tuple[str, ...] = MODELS) -> DataFrame:
-    """Metrics of all models, net of costs, and of the benchmark on the same sessions, in one table."""
-    net = net_nav(walk_forward_weights(prices, lookback, rebalance, models, rf, cap), prices, capital, costs).select("strategy", "session", "nav")
+def synchronised_windows(prices: DataFrame, settings: DataFrame, rebalance: int) -> DataFrame:
+    """(lookback, test, status, t0, last, decisions): for each setting (lookback, test) the session on which a walk-forward and a
+    fixed-horizon run both start when they share the last lookback + test + 2 sessions and learn from lookback + 1 of them,
+    the last session, and the walk-forward's decision dates. Too few sessions: status says so, the rest is null."""
+    numbered = sessions(prices)
+    n = numbered.agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = settings.select("lookback", "test").crossJoin(n)
+    first = F.col("n") - (F.col("lookback") + F.col("test") + 2) + F.col("lookback") + 1
+    ok = F.col("n") >= F.col("lookback") + F.col("test") + 2
+    rows = rows.withColumns({"status": F.when(ok, "ok").otherwise("not enough sessions"), "first": F.when(ok, first)})
+    rows = rows.withColumn("at", F.when(ok, F.sequence(F.col("first"), F.col("n") - 2, F.lit(rebalance))))
+    each = rows.select("lookback", "test", F.explode("at").alias("no")).join(numbered, "no").groupBy("lookback", "test").agg(F.array_sort(F.collect_list("session")).alias("decisions"))
+    end = numbered.agg(F.max("session").alias("last"))
+    out = rows.join(each, ["lookback", "test"], "left").crossJoin(end)
+    return out.select("lookback", "test", "status", F.get("decisions", F.lit(0)).alias("t0"), F.when(ok, F.col("last")).alias("last"), "decisions")
+
+
+def standard_engine(
+    prices: DataFrame, market: DataFrame, capital: float, lookback: int, rebalance: int, rf: float = 0.0, cap: float = 1.0, costs: Costs = PRESETS["Base"], models: tuple[str, ...] = MODELS,
+    factors: DataFrame | None = None, chosen: DataFrame | None = None, months: int = 2, min_obs: int = 80,
+) -> DataFrame:
+    """Metrics of all strategies, net of costs, and of the benchmark on the same sessions, in one table, with a summary of
+    costs: orders' costs in all, the return before costs and what they took of it (null for the benchmark)."""
+    prices = stored(prices.select("ticker", "session", "close"), "prices")
+    weights = stored(walk_forward_weights(prices, lookback, rebalance, models, rf, cap, market, factors, chosen, months, min_obs), "weights")
+    net = stored(net_nav(weights, prices, capital, costs), "net")
+    gross = gross_nav(weights, prices, capital).groupBy("strategy").agg((F.max_by("nav", "session") / capital - 1).alias("gross_return"))
+    paid = net.groupBy("strategy").agg(F.sum("cost").alias("total_cost"), F.count_if(F.col("cost") > 0).alias("paid_rebalances"), (F.max_by("nav", "session") / capital - 1).alias("_net"))
+    summary = paid.join(gross, "strategy").select("strategy", "total_cost", "paid_rebalances", "gross_return", (F.col("gross_return") - F.col("_net")).alias("cost_drag"))
     days = net.select("session").distinct()
     bench = benchmark_curve(market.join(days, "session", "left_semi"), capital)
-    return performance(net.unionByName(bench), capital, rf)
+    out = performance(net.select("strategy", "session", "nav").unionByName(bench), capital, rf).join(summary, "strategy", "left")
+    return out.withColumn("paid_rebalances", F.coalesce("paid_rebalances", F.lit(0)))
+
+
+def cost_adjusted_performance(nav: DataFrame, capital: float, rf: float = 0.0) -> DataFrame:
+    """performance() against the capital before the first trade, whatever the curve starts with; the capital must be positive."""
+    if not (capital > 0 and capital < float("inf")):
+        raise ValueError("initial capital must be finite and positive")
+    return performance(nav, capital, rf)
+
+
+def same_initial(weights: DataFrame, prices: DataFrame, nav: DataFrame) -> DataFrame:
+    """(strategy, session, nav): the counterfactual of each curve that keeps its first weights: the same first value and sessions, no
+    trade and no cost. A strategy whose holdings lack a positive price on one of its sessions has none."""
+    first = weights.groupBy("strategy").agg(F.min("t").alias("t"))
+    w = weights.where("w > 1e-10").join(first, ["strategy", "t"]).select("strategy", "ticker", "w")
+    w = w.withColumns({"w": F.col("w") / F.sum("w").over(W.partitionBy("strategy")), "held": F.count(F.lit(1)).over(W.partitionBy("strategy"))})
+    days = nav.select("strategy", "session")
+    by = W.partitionBy("strategy")
+    rows = days.join(w, "strategy").join(prices.select("ticker", "session", "close").where("close > 0"), ["ticker", "session"], "left")
+    rows = rows.withColumn("p0", F.first("close").over(W.partitionBy("strategy", "ticker").orderBy("session")))
+    day = rows.groupBy("strategy", "session", "held").agg(F.sum(F.col("w") * F.col("close") / F.col("p0")).alias("g"), F.count("close").alias("priced"))
+    day = day.withColumn("whole", F.min(F.col("priced") == F.col("held")).over(by)).where("whole")
+    start = nav.groupBy("strategy").agg(F.min_by("nav", "session").alias("start"))
+    return day.join(start, "strategy").select("strategy", "session", (F.col("g") * F.col("start")).alias("nav"))

@@ -135,3 +135,19 @@ def certificates(weights: DataFrame, mu: DataFrame, cov: DataFrame, keys: list[s
     gain = F.when(F.col("down").isNotNull(), gain)
     residual = F.when(name == "Equal Weight", F.col("spread")).when(name.contains("Risk Parity") & (F.col("top") < cap - small), F.col("uneven")).otherwise(gain)
     return g.select(*own, "n", "budget", "bounds", residual.alias("residual"))
+
+
+def optimisation_run(mu: DataFrame, cov: DataFrame, rf: float = 0.0, cap: float = 1.0, points: int = 40, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """(kind, name, ret, vol, sharpe, efficient, n): every model's portfolio ('model') and the efficient frontier ('frontier', its
+    points numbered) in one table; n: holdings above 1e-6 of a model; efficient: whether a point is."""
+    from quantloom.operators.returns import portfolio_return, portfolio_volatility
+    from quantloom.sources.scratch import stored
+
+    w = stored(optimise(mu, cov, models=models, rf=rf, cap=cap).where("status = 'ok'"), "weights")
+    held = w.groupBy("strategy").agg(F.count_if(F.col("w") > 1e-6).alias("n"))
+    kpi = portfolio_return(w, mu).join(portfolio_volatility(w, cov), "strategy").join(held, "strategy")
+    none = F.lit(None)
+    ratio = (F.col("ret") - rf) / F.nullif(F.col("vol"), F.lit(0.0))
+    rows = kpi.select(F.lit("model").alias("kind"), F.col("strategy").alias("name"), "ret", "vol", ratio.alias("sharpe"), none.cast("boolean").alias("efficient"), "n")
+    line = efficient_frontier(mu, cov, points, cap).withColumnRenamed("target", "ret")
+    return rows.unionByName(line.select(F.lit("frontier").alias("kind"), F.col("point").cast("string").alias("name"), "ret", "vol", ratio.alias("sharpe"), "efficient", none.cast("long").alias("n")))

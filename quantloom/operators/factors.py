@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from quantloom.operators.scans import as_of
+from quantloom.sources.scratch import stored
 
 YEAR = 252
 
@@ -122,7 +123,7 @@ def factors_to_eur(factors: DataFrame, fx: DataFrame, rates: DataFrame, toleranc
     """Dollar factors in euro. q = fx[t-1] / fx[t]; the euro rate is the last one before, at most 7 days old, in
     percent a year over the days since the session before; market = (1 + mkt + rf) q - 1 - rf_eur, others times q."""
     f = as_of(factors, fx, "session", "fx")
-    f = as_of(f, rates, "session", "rate", tolerance, strict=True)
+    f = stored(as_of(f, rates, "session", "rate", tolerance, strict=True), "euro")
     f = as_of(f, f.select("session", F.col("fx").alias("fx_before")), "session", "fx_before", strict=True)
     f = as_of(f, f.select("session", F.unix_date("session").alias("day_before")), "session", "day_before", strict=True)
     f = f.withColumns({"q": F.col("fx_before") / F.nullif(F.col("fx"), F.lit(0.0)), "days": F.unix_date("session") - F.col("day_before")})

@@ -18,6 +18,30 @@ def complete_sessions(prices: DataFrame) -> DataFrame:
     return prices.join(full, "session", "left_semi")
 
 
+def aligned_prices(prices: DataFrame, wanted: list[str], aliases: dict[str, tuple[str, ...]] | None = None, preserve_missing: bool = False) -> DataFrame:
+    """(ticker, session, close) of the tickers wanted, under their own names: for each the first of its symbols (aliases; by
+    default itself) that has two valid prices, numbers above 0. Sessions on which all have one, or all with preserve_missing.
+    ValueError names what has no prices, or says that fewer than two sessions are left."""
+    if not wanted:
+        raise ValueError("no tickers")
+    aliases, spark = aliases or {}, prices.sparkSession
+    order = [(t, s, i) for t in dict.fromkeys(wanted) for i, s in enumerate(aliases.get(t, (t,)))]
+    names = spark.createDataFrame(order, "wanted string, ticker string, nth int")  # as many as symbols asked for
+    p = F.col("close").cast("double")
+    valid = prices.select("ticker", "session", p.alias("close")).where((p > 0) & (p < float("inf")))
+    enough = names.join(valid.join(names.select("ticker").distinct(), "ticker", "left_semi").groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), "ticker")
+    pick = enough.groupBy("wanted").agg(F.min_by("ticker", "nth").alias("ticker"))
+    found = {r["wanted"] for r in pick.select("wanted").collect()}  # as many as tickers asked for
+    missing = [t for t in dict.fromkeys(wanted) if t not in found]
+    if missing:
+        raise ValueError("no prices for " + "; ".join(f"{t} (tried {', '.join(aliases.get(t, (t,)))})" for t in missing))
+    rows = valid.join(pick, "ticker").select(F.col("wanted").alias("ticker"), "session", "close")
+    rows = rows if preserve_missing else complete_sessions(rows)
+    if rows.select("session").distinct().limit(2).count() < 2:
+        raise ValueError("fewer than two sessions after alignment")
+    return rows
+
+
 def simple_returns(prices: DataFrame, complete: bool = True) -> DataFrame:
     """(ticker, session, ret): price over the one before, less 1. complete: on complete sessions only."""
     p = complete_sessions(prices) if complete else prices

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from quantloom.operators import backtest as B
 from quantloom.operators.construct import MODELS, optimise
 from quantloom.operators.grams import SUMS, covariance, gram
+from quantloom.sources.scratch import stored
 
 
 def calendar(prices: DataFrame, first: str, last: str, estimation_years: int = 1, horizon_months: int = 12, step_months: int = 6, year_rows: int = 180, month_rows: int = 15) -> DataFrame:
@@ -58,14 +59,15 @@ def in_pieces(prices: DataFrame, windows: DataFrame) -> DataFrame:
 def window_moments(prices: DataFrame, windows: DataFrame, periods: int = 252) -> tuple[DataFrame, DataFrame]:
     """Annual means (anchor, ticker, mu) and covariances (anchor, ticker_i, ticker_j, value) of each good window's estimation
     rows, of tickers that have all of them. Sums of pieces are made once and added for the windows that a piece is in."""
-    rows, union = in_pieces(prices, windows), pieces(windows)
+    windows = stored(windows, "windows")
+    rows, union = stored(in_pieces(prices, windows), "pieces"), stored(pieces(windows), "unions")
     need = windows.where("status = 'ok'").select("anchor", "est_rows")
     part = ["piece", "head"]
     held = rows.groupBy(*part, "ticker").agg(F.count(F.lit(1)).alias("rows"), F.count("ret").alias("c"), F.sum("ret").alias("s"))
     # rows of a window are those of its pieces and of its first session; returns leave that one out
     first = union.groupBy("anchor").agg(F.min("piece").alias("piece")).withColumn("head", F.lit(True))
     total = held.join(union.unionByName(first), part).groupBy("anchor", "ticker").agg(F.sum("rows").alias("est_rows"))
-    whole = total.join(need, ["anchor", "est_rows"]).select("anchor", "ticker")
+    whole = stored(total.join(need, ["anchor", "est_rows"]).select("anchor", "ticker"), "whole")
     mu = held.join(union, part).groupBy("anchor", "ticker").agg((F.sum("s") / F.sum("c") * periods).alias("mu")).join(whole, ["anchor", "ticker"], "left_semi")
     sums = gram(rows, part).join(union, part).groupBy("anchor", "ticker_i", "ticker_j").agg(*(F.sum(c).alias(c) for c in SUMS))
     side = lambda c: whole.withColumnRenamed("ticker", c)
@@ -76,7 +78,7 @@ def window_moments(prices: DataFrame, windows: DataFrame, periods: int = 252) ->
 def window_weights(prices: DataFrame, windows: DataFrame, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0, periods: int = 252) -> DataFrame:
     """(anchor, strategy, ticker, w, status) from each good window's complete estimation rows."""
     mu, cov = window_moments(prices, windows, periods)
-    return optimise(mu, cov, ["anchor"], models, rf, cap)
+    return stored(optimise(mu, cov, ["anchor"], models, rf, cap), "weights")
 
 
 def run(prices: DataFrame, windows: DataFrame, weights: DataFrame, benchmark: DataFrame | None = None, capital: float = 10_000.0, costs: B.Costs = B.PRESETS["None"]) -> DataFrame:

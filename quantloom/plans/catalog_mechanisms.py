@@ -3,7 +3,7 @@ plans/oracles_mechanisms.py. Registered in catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, Window as W
 
 from quantloom.operators import backtest as B
 from quantloom.operators import construct as C
@@ -11,9 +11,10 @@ from quantloom.operators import grams as G
 from quantloom.operators import learning as L
 from quantloom.operators import montecarlo as M
 from quantloom.operators import returns as R
+from quantloom.operators import signals as SG
 from quantloom.plans import oracles_mechanisms as O
 from quantloom.plans.catalog import _curves, query
-from quantloom.plans.catalog_more import _five
+from quantloom.plans.catalog_more import _equal, _five
 from quantloom.sources import tables as X
 from quantloom.sources.journal_log import Log
 from quantloom.sources.scratch import folder, stored
@@ -153,3 +154,84 @@ def k1_committed_journal(v, spark, d):
 
     log.commit(second, before_put=race)
     return log.read()
+
+
+# --- backtests ------------------------------------------------------------------------------------
+
+
+@query(O.B5_NET)
+def b5_net_nav_equal_weight(v, spark, d):
+    p, w = _equal(v)
+    return B.net_nav(w, p, 10_000.0).select("strategy", "session", "nav", "cost")
+
+
+@query(O.B11_COSTS)
+def b11_engine_costs_equal_weight(v, spark, d):
+    p = R.complete_sessions(v("panel"))
+    return B.standard_engine(p, v("market"), 10_000.0, 52, 26, models=("Equal Weight",))
+
+
+@query()
+def b11_engine_ten_strategies(v, spark, d):
+    p = R.complete_sessions(v("panel"))
+    return B.standard_engine(p, v("market"), 10_000.0, 104, 52, cap=0.5, models=B.ALL_MODELS, factors=_five(v))
+
+
+@query()
+def b10_run_ten_strategies(v, spark, d):
+    p = R.complete_sessions(v("panel"))
+    return B.fixed_horizon_run(p, 104, 52, 10_000.0, B.ALL_MODELS, cap=0.5, market=v("market"), factors=_five(v))
+
+
+@query(O.B10_RUN)
+def b10_run_equal_weight(v, spark, d):
+    p = R.complete_sessions(v("panel"))
+    return B.fixed_horizon_run(p, 104, 52, 10_000.0, ("Equal Weight",), market=v("market"))
+
+
+def _entered(v):
+    """An equally weighted curve that begins below its capital of 10,000, as after costs of entry."""
+    p, w = _equal(v)
+    return p, w, B.gross_nav(w, p, 9_950.0)
+
+
+@query(O.B9)
+def b9_cost_adjusted_performance(v, spark, d):
+    return B.cost_adjusted_performance(_entered(v)[2], 10_000.0)
+
+
+@query(O.B17_SAME)
+def b17_same_initial_equal_weight(v, spark, d):
+    p, w, nav = _entered(v)
+    return B.same_initial(w, p, nav)
+
+
+@query(O.B22)
+def b22_synchronised_windows(v, spark, d):
+    settings = spark.createDataFrame([(26, 52), (52, 26), (104, 104), (300, 100)], "lookback int, test int")
+    out = B.synchronised_windows(R.complete_sessions(v("panel")), settings, 13)
+    return out.withColumn("decisions", F.array_join(F.transform("decisions", lambda x: x.cast("string")), ","))
+
+
+@query(O.O13)
+def o13_optimisation_run(v, spark, d):
+    """Models and frontier in one table: whether none is calmer than the least volatility, none of a better ratio than the best."""
+    r = stored(R.simple_returns(v("panel")), "returns")
+    run = stored(C.optimisation_run(R.annual_moments(r), R.covariance(r), points=20), "run")
+    best = run.agg(F.max(F.when(F.col("name") == "Minimum Volatility", F.col("vol"))).alias("calm"), F.max(F.when(F.col("name") == "Maximum Sharpe", F.col("sharpe"))).alias("top"))
+    return run.crossJoin(best).select("kind", "name", (F.col("vol") >= F.col("calm") - 1e-7).alias("no_calmer"), (F.col("sharpe") <= F.col("top") + 1e-7).alias("no_better"))
+
+
+@query(O.S4)
+def s4_aliased_prices(v, spark, d):
+    return R.aligned_prices(v("panel"), ["AF", "INDEX", "NO"], {"INDEX": ("MISSING", "RF")})
+
+
+@query(O.T5)
+def t5_monitor(v, spark, d):
+    """A portfolio bought on two sessions, with dividends each June and one split."""
+    q = v("panel").withColumn("k", F.row_number().over(W.partitionBy("ticker").orderBy("session")))
+    june = (F.month("session") == 6) & (F.dayofmonth("session") <= 7)
+    q = q.select("ticker", "session", "close", "k", F.when(june, F.col("close") * 0.005).otherwise(0.0).alias("dividend"), F.when((F.col("k") == 100) & F.col("ticker").isin("AF", "RF"), 2.0).otherwise(0.0).alias("split"))
+    orders = q.where("k in (30, 150)").select("ticker", F.when(F.col("k") == 30, 10.0).otherwise(5.0).alias("quantity"), F.col("close").alias("price"), F.lit(1.0).alias("fee"), F.col("session").alias("date"))
+    return SG.monitor(q.drop("k"), orders, 100.0)

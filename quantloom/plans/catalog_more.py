@@ -261,7 +261,8 @@ def b10_fixed_horizon_equal_weight(v, spark, d):
 
 @query(O.B11)
 def b11_engine_equal_weight(v, spark, d):
-    return B.standard_engine(R.complete_sessions(v("panel")), v("market"), 10_000.0, 52, 26, costs=B.PRESETS["None"], models=EQUAL)
+    out = B.standard_engine(R.complete_sessions(v("panel")), v("market"), 10_000.0, 52, 26, costs=B.PRESETS["None"], models=EQUAL)
+    return out.drop("total_cost", "paid_rebalances", "gross_return", "cost_drag")
 
 
 @query(O.B15)

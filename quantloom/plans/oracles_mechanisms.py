@@ -140,3 +140,67 @@ select t, strategy, n, true as feasible, case when strategy <> 'HRP' then true e
 
 K1_COMMITS = """select user_id::varchar as owner, 'events' as portfolio, event_type as kind, event_id::varchar as record,
   case when event_id % 3 < 2 then props else 'second' end as payload from events"""
+
+#: b with b + cost(b) = v by steps b <- v - cost(b): orders' costs rise far slower than b.
+_COST = "list_sum(list_transform(h, lambda x: case when abs(b / n - x) > 1e-8 then greatest(3.0::double, 0.0005::double * abs(b / n - x)) + abs(b / n - x) * 0.001::double else 0 end))"
+NET = f"""with recursive {O.held(52, 26)},
+steps as (select t, list(growth order by ticker) as g, row_number() over (order by t) as k, count(*)::int as held from hold where no = until group by 1),
+net as (
+  select 1::bigint as k, held as n, list_transform(g, lambda x: 0.0::double) as h, 10000.0::double as v from steps where k = 1
+  union all
+  select k + 1, n, list_transform(g, lambda x: b * x / n), list_sum(list_transform(g, lambda x: b * x / n))
+  from (select net.k, net.n, s.g, list_reduce(list_transform(range(30), lambda i: v), lambda b, z: v - {_COST}) as b from net join steps s on s.k = net.k)
+  where k < (select max(k) from steps)),
+budgets as (select t, v, list_reduce(list_transform(range(30), lambda i: v), lambda b, z: v - {_COST}) as b from net join steps using (k)),
+curve as (
+  select session, b as nav, v - b as cost from budgets join num on no = t
+  union all
+  select session, b * g, 0 from g join budgets using (t) where no < until or no = (select max(no) from num))"""
+B5_NET = f"{NET} select {O.EW}, session, round(nav, 6) as nav, round(cost, 6) as cost from curve"
+B11_COSTS = f"""{NET}, {O.MARKET},
+bench as (select 'Benchmark' as strategy, session, close / first_value(close) over (order by session) * 10000 as nav from market semi join curve using (session)),
+curves as (select {O.EW}, session, nav from curve union all by name select * from bench),
+summary as (select {O.EW}, round(sum(cost), 6) as total_cost, count(*) filter (cost > 0) as paid_rebalances, round((select arg_max(nav, session) from nav) / 10000 - 1, 6) as gross_return,
+  round((select arg_max(nav, session) from nav) / 10000 - arg_max(nav, session) / 10000, 6) as cost_drag from curve)
+select * replace (coalesce(paid_rebalances, 0) as paid_rebalances) from ({O.perf("curves")}) left join summary using (strategy)"""
+
+B10_RUN = f"""with {O.PANEL}, {O.COMPLETE}, {NUMBERED}, {O.MARKET},
+size as (select count(*)::int as n from numbered),
+first as (select greatest(n - 158, 0) + 104 as t from size),
+r as (select ticker, no, close / lag(close) over (partition by ticker order by no) - 1 as ret from complete join numbered using (session), first where no >= t - 104 and no <= t),
+k as (select count(distinct ticker) as k from complete),
+cov as (select covar_samp(a.ret, b.ret) * {O.YEAR} as v from r a join r b using (no) where a.ret is not null group by a.ticker, b.ticker),
+hope as (select {O.EW}, round(ret, 6) as ex_ante_return, round(vol, 6) as ex_ante_volatility, round(ret / vol, 6) as ex_ante_sharpe
+  from (select avg(ret) * {O.YEAR} as ret from r), (select sqrt(sum(v)) / any_value(k) as vol from cov, k)),
+nav as (select session, avg(close / p0) * 10000 as nav from (select session, ticker, no, close, first_value(close) over (partition by ticker order by no) as p0 from complete join numbered using (session), first where no >= t) group by 1),
+bench as (select 'Benchmark' as strategy, session, close / first_value(close) over (order by session) * 10000 as nav from market semi join nav using (session)),
+curves as (select {O.EW}, session, nav from nav union all by name select * from bench)
+select * from ({O.perf("curves")}) left join hope using (strategy)"""
+
+B9 = f"""with {O.held(52, 26)}, curves as (select {O.EW}, session, nav * 0.995::double as nav from nav)
+{O.perf("curves")}"""
+B17_SAME = f"""with {O.held(52, 26, True)}
+select {O.EW}, session, round(nav * 0.995::double, 6) as nav from nav"""
+B22 = f"""with {O.PANEL}, {O.COMPLETE}, {NUMBERED},
+settings as (select unnest([26, 52, 104, 300])::int as lookback, unnest([52, 26, 104, 100])::int as test),
+size as (select count(*)::int as n, max(session) as last from numbered),
+fits as (select *, n >= lookback + test + 2 as ok from settings, size),
+starts as (select lookback, test, unnest(range(n - test - 1, n - 1, 13)) as no from fits where ok),
+each as (select lookback, test, min(session) as t0, string_agg(session::varchar, ',' order by session) as decisions from starts join numbered using (no) group by 1, 2)
+select lookback, test, case when ok then 'ok' else 'not enough sessions' end as status, t0, case when ok then last end as last, decisions from fits left join each using (lookback, test)"""
+O13 = """select 'model' as kind, unnest(['Minimum Volatility', 'Maximum Sharpe', 'Risk Parity', 'HRP', 'Equal Weight']) as name, true as no_calmer, true as no_better
+union all select 'frontier', unnest(range(20))::varchar, true, true"""
+S4 = f"""with {O.PANEL}, three as (select case ticker when 'RF' then 'INDEX' else ticker end as ticker, session, close from panel where ticker in ('AF', 'RF', 'NO'))
+select ticker, session, round(close, 6) as close from three where session in (select session from three group by 1 having count(*) = 3)"""
+T5 = f"""with {O.PANEL},
+q as (select ticker, session, close, k, case when month(session) = 6 and day(session) <= 7 then close * 0.005::double else 0 end as dividend, case when k = 100 and ticker in ('AF', 'RF') then 2.0::double end as split
+  from (select *, row_number() over (partition by ticker order by session) as k from panel)),
+o as (select row_number() over () as id, ticker, session as date, case when k = 30 then 10.0::double else 5.0::double end as quantity, close as price from q where k in (30, 150)),
+units as (select o.id, coalesce(product(split), 1) * any_value(quantity) as units from o left join q on q.ticker = o.ticker and q.session > o.date group by 1),
+held as (select q.session, close * units as mark, case when q.session > date then dividend * units else 0 end as paid, case when q.session = date then quantity * price + 1 else 0 end as cost
+  from o join units using (id) join q using (ticker) where q.session >= date),
+day as (select session, sum(mark) as v, sum(paid) as paid, sum(cost) as flow, row_number() over (order by session) as k from held group by 1),
+nav as (select session, k, v + sum(paid) over (order by session) + 100 as nav, flow + case when k = 1 then 100 else 0 end as flow from day),
+ret as (select *, case when k = 1 then nav / flow - 1 else (nav - flow) / lag(nav) over (order by session) - 1 end as ret from nav),
+eq as (select *, product(1 + ret) over (order by session) as equity from ret)
+select session, round(nav, 6) as nav, round(ret, 6) as ret, round(equity, 6) as equity, round(equity / greatest(max(equity) over (order by session), 1) - 1, 6) as drawdown from eq"""
