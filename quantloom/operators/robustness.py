@@ -1,4 +1,4 @@
-"""Rolling robustness: calendar windows, every model of construct.MODELS in every window, and their roll-ups."""
+"""Rolling robustness: calendar windows, every strategy in every window, and their roll-ups."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from quantloom.operators import backtest as B
 from quantloom.operators.construct import MODELS, optimise
-from quantloom.operators.grams import SUMS, covariance, gram
+from quantloom.operators.factors import solved
+from quantloom.operators.grams import SUMS, between, covariance, gram, product_names, running
+from quantloom.operators.scans import as_of
 from quantloom.sources.scratch import stored
 
 
@@ -75,10 +77,87 @@ def window_moments(prices: DataFrame, windows: DataFrame, periods: int = 252) ->
     return mu, cov.select("anchor", "ticker_i", "ticker_j", (covariance() * periods).alias("value"))
 
 
-def window_weights(prices: DataFrame, windows: DataFrame, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0, periods: int = 252) -> DataFrame:
-    """(anchor, strategy, ticker, w, status) from each good window's complete estimation rows."""
-    mu, cov = window_moments(prices, windows, periods)
-    return stored(optimise(mu, cov, ["anchor"], models, rf, cap), "weights")
+def factor_window_moments(prices: DataFrame, market: DataFrame, factors: DataFrame, windows: DataFrame, kinds: tuple[str, ...] = ("capm", "ff3", "ff5"), rf: float = 0.0, months: int = 2, min_obs: int = 80, periods: int = 252) -> dict[str, tuple[DataFrame, DataFrame | None]]:
+    """By kind: means (anchor, ticker, mu) and, for factor models, covariances (anchor, ticker_i, ticker_j, value) of each good
+    window, from differences of running sums. Factors count up to `months` months before the last estimation session, on
+    sessions whose price before is that of the session before in both calendars."""
+    numbered = stored(B.sessions(prices), "sessions")
+    span = windows.where("status = 'ok'").select("anchor", "est_start")
+    number = numbered.select("session", F.col("no").cast("double").alias("n"))
+    place = lambda df, day, into, strict: as_of(df.withColumnRenamed(day, "session"), number, "session", "n", strict=strict).withColumnsRenamed({"session": day, "n": into})
+    span = place(place(span, "est_start", "low", True), "anchor", "high", True)
+    last = numbered.select(F.col("no").cast("double").alias("high"), F.add_months("session", -months).alias("cutoff"))
+    span = stored(place(span.join(last, "high"), "cutoff", "known", False), "spans")
+    first = (F.coalesce(F.col("low"), F.lit(-1.0)) + 2).cast("int").alias("lo")  # a window's first session has no return in it
+    whole, known = (span.select(F.col("anchor").alias("t"), first, F.col(c).cast("int").alias("hi")).where("lo <= hi") for c in ("high", "known"))
+    one, by = W.partitionBy(F.lit(0)).orderBy("session"), W.partitionBy("ticker").orderBy("session")  # one row a session
+    r = prices.select("ticker", "session", (F.col("close") / F.lag("close").over(by) - 1).alias("ret"), F.lag("session").over(by).alias("own_prev"))
+    m = numbered.join(market.select("session", F.col("close").alias("m")), "session", "left").select("session", (F.col("m") / F.lag("m").over(one) - 1).alias("market_ret"))
+    calendar_ = prices.select("session").union(factors.select("session")).distinct().withColumn("prev", F.lag("session").over(one))
+    names = B.FACTOR_NAMES["ff5" if "rmw" in factors.columns else "ff3"]
+    grid = prices.select("ticker").distinct().crossJoin(numbered)  # a row a ticker and session
+    rows = grid.join(r, ["ticker", "session"], "left").join(m, "session", "left").join(factors.select("session", "rf", *names), "session", "left").join(calendar_, "session", "left")
+    rows = stored(rows.withColumn("y", F.col("ret") - F.col("rf")).withColumn("next", F.col("own_prev") == F.col("prev")), "series")
+    groups, use, out = {"c": ("ret", "market_ret")}, {}, {}
+    for kind in (k for k in kinds if k != "capm"):
+        groups[kind], use[kind] = ("ret", "rf", "y", *B.FACTOR_NAMES[kind]), F.col("next")
+    sums = stored(running(rows, groups, ["ticker"], use), "running")
+    part = lambda k: sums.select("ticker", "no", *(n for n, _, _ in product_names(groups[k], k)))
+    mean = lambda k, c: F.col(f"{k}_1_{c}") / F.col(f"{k}_1_1")
+    both = lambda k, x, y: F.col(f"{k}_{x}_{y}") / F.col(f"{k}_1_1") - mean(k, x) * mean(k, y)
+    if "capm" in kinds:
+        c = between(part("c"), whole, ["ticker"]).where("c_1_1 > 1")
+        beta = both("c", "ret", "market_ret") / F.nullif(both("c", "market_ret", "market_ret"), F.lit(0.0))
+        out["capm"] = (c.select(F.col("t").alias("anchor"), "ticker", (rf + beta * (mean("c", "market_ret") * periods - rf)).alias("mu")).where("mu is not null"), None)
+    for kind in (k for k in kinds if k != "capm"):
+        own = B.FACTOR_NAMES[kind]
+        s = between(part(kind), known, ["ticker"]).where(F.col(f"{kind}_1_1") > 1)
+        cols = [F.col(f"{kind}_1_1").cast("long").alias("n"), mean(kind, "y").alias("my"), both(kind, "y", "y").alias("yy"), mean(kind, "rf").alias("mrf"), mean(kind, "ret").alias("mret")]
+        for i, x in enumerate(own):
+            cols += [mean(kind, x).alias(f"m{i}"), both(kind, "y", x).alias(f"y{i}"), *(both(kind, x, z).alias(f"c{i}_{j}") for j, z in enumerate(own) if i <= j)]
+        fit = solved(s.select(F.concat_ws("|", F.col("t").cast("string"), "ticker").alias("ticker"), *cols), own, min_obs, periods).where("status = 'ok'")
+        key = F.split("ticker", r"\|", 2)
+        fit = stored(fit.select(key[0].cast("date").alias("anchor"), key[1].alias("ticker"), *(f"beta_{n}" for n in own), "resid_var", F.col("expected").alias("mu")), "fits")
+        seen = rows.where(F.col("next") & F.col("y").isNotNull()).groupBy("no").agg(*(F.first(n).alias(n) for n in own))
+        pooled = between(running(numbered.select("no").join(seen, "no", "left"), {"f": own}), known).where("f_1_1 > 1")
+        shared = lambda x, y: both("f", x, y) * F.col("f_1_1") / (F.col("f_1_1") - 1)
+        pooled = pooled.select(F.col("t").alias("anchor"), *(shared(*sorted((x, y), key=own.index)).alias(f"v_{x}_{y}") for x in own for y in own))
+        i = fit.select("anchor", F.col("ticker").alias("ticker_i"), *(F.col(f"beta_{n}").alias(f"i_{n}") for n in own), "resid_var")
+        j = fit.select("anchor", F.col("ticker").alias("ticker_j"), *(F.col(f"beta_{n}").alias(f"j_{n}") for n in own))
+        value = sum((F.col(f"i_{x}") * F.col(f"v_{x}_{y}") * F.col(f"j_{y}") for x in own for y in own), F.lit(0.0))
+        alone = F.when(F.col("ticker_i") == F.col("ticker_j"), F.col("resid_var")).otherwise(0.0)
+        out[kind] = (fit.select("anchor", "ticker", "mu"), i.join(j, "anchor").join(pooled, "anchor").select("anchor", "ticker_i", "ticker_j", ((value + alone) * periods).alias("value")))
+    return out
+
+
+def window_weights(
+    prices: DataFrame, windows: DataFrame, models: tuple[str, ...] = MODELS, rf: float = 0.0, cap: float = 1.0, periods: int = 252,
+    market: DataFrame | None = None, factors: DataFrame | None = None, months: int = 2, min_obs: int = 80,
+) -> DataFrame:
+    """(anchor, strategy, ticker, w, status) from each good window's complete estimation rows. backtest.FACTOR_MODELS need
+    `market` and `factors`; assets are those that have all rows of the window."""
+    unknown = set(models) - set(B.ALL_MODELS)
+    if unknown:
+        raise ValueError(f"unknown strategies: {', '.join(sorted(unknown))}")
+    windows = stored(windows, "windows")
+    mu, cov = (stored(x, "moments") for x in window_moments(prices, windows, periods))
+    plain, named = tuple(m for m in models if m in MODELS), [m for m in models if m in B.FACTOR_MODELS]
+    parts = [optimise(mu, cov, ["anchor"], plain, rf, cap)] if plain else []
+    if named:
+        if market is None or factors is None:
+            raise ValueError("factor strategies need market prices and factor returns")
+        moments = factor_window_moments(prices, market, factors, windows, tuple(dict.fromkeys(B.FACTOR_MODELS[m][0] for m in named)), rf, months, min_obs, periods)
+        inside = mu.select("anchor", F.col("ticker").alias("ticker_i"))
+        for name in named:
+            kind, implied = B.FACTOR_MODELS[name]
+            own_mu, own_cov = moments[kind]
+            own_mu = own_mu.join(mu.select("anchor", "ticker"), ["anchor", "ticker"], "left_semi")
+            risk = own_cov.join(inside, ["anchor", "ticker_i"], "left_semi").join(inside.withColumnRenamed("ticker_i", "ticker_j"), ["anchor", "ticker_j"], "left_semi") if implied else cov
+            parts.append(optimise(own_mu, risk, ["anchor"], ("Maximum Sharpe",), rf, cap).withColumn("strategy", F.lit(name)))
+    w = parts[0]
+    for x in parts[1:]:
+        w = w.unionByName(x)
+    return stored(w, "weights")
 
 
 def run(prices: DataFrame, windows: DataFrame, weights: DataFrame, benchmark: DataFrame | None = None, capital: float = 10_000.0, costs: B.Costs = B.PRESETS["None"]) -> DataFrame:

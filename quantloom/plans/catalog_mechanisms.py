@@ -11,9 +11,10 @@ from quantloom.operators import grams as G
 from quantloom.operators import learning as L
 from quantloom.operators import montecarlo as M
 from quantloom.operators import returns as R
+from quantloom.operators import robustness as RB
 from quantloom.operators import signals as SG
 from quantloom.plans import oracles_mechanisms as O
-from quantloom.plans.catalog import _curves, query
+from quantloom.plans.catalog import WEEKLY, _curves, query
 from quantloom.plans.catalog_more import _equal, _five
 from quantloom.sources import tables as X
 from quantloom.sources.journal_log import Log
@@ -235,3 +236,27 @@ def t5_monitor(v, spark, d):
     q = q.select("ticker", "session", "close", "k", F.when(june, F.col("close") * 0.005).otherwise(0.0).alias("dividend"), F.when((F.col("k") == 100) & F.col("ticker").isin("AF", "RF"), 2.0).otherwise(0.0).alias("split"))
     orders = q.where("k in (30, 150)").select("ticker", F.when(F.col("k") == 30, 10.0).otherwise(5.0).alias("quantity"), F.col("close").alias("price"), F.lit(1.0).alias("fee"), F.col("session").alias("date"))
     return SG.monitor(q.drop("k"), orders, 100.0)
+
+
+# --- robustness over ten strategies ---------------------------------------------------------------
+
+
+def _calendar(v):
+    return RB.calendar(v("panel"), "1993-01-04", "1998-01-04", 2, 12, 6, *WEEKLY)
+
+
+@query(O.B28_MEANS)
+def b28_window_means(v, spark, d):
+    """Expected returns of each window by history, CAPM and both factor models."""
+    p, win = v("panel"), stored(_calendar(v), "windows")
+    out = RB.window_moments(p, win)[0].select(F.lit("history").alias("kind"), "anchor", "ticker", "mu")
+    for kind, (mu, _) in RB.factor_window_moments(p, v("market"), _five(v), win, rf=0.02, min_obs=40).items():
+        out = out.unionByName(mu.select(F.lit(kind).alias("kind"), "anchor", "ticker", "mu"))
+    return out
+
+
+@query()
+def b28_robustness_ten_strategies(v, spark, d):
+    p, win = v("panel"), _calendar(v)
+    w = RB.window_weights(p, win, B.ALL_MODELS, cap=0.5, market=v("market"), factors=_five(v), min_obs=40)
+    return RB.roll_up(RB.run(p, win, w, v("market")))

@@ -204,3 +204,32 @@ nav as (select session, k, v + sum(paid) over (order by session) + 100 as nav, f
 ret as (select *, case when k = 1 then nav / flow - 1 else (nav - flow) / lag(nav) over (order by session) - 1 end as ret from nav),
 eq as (select *, product(1 + ret) over (order by session) as equity from ret)
 select session, round(nav, 6) as nav, round(ret, 6) as ret, round(equity, 6) as equity, round(equity / greatest(max(equity) over (order by session), 1) - 1, 6) as drawdown from eq"""
+
+
+def _window_fit(names: tuple[str, ...], factors: str) -> str:
+    """(key, mu): factor-model expected returns of each window's sample, whose names begin with the window's anchor."""
+    sample = f"""sample as (
+  select key as ticker, f.*, ret, ret - f.rf as y from inside join {factors} f using (session) join nexts using (session)
+  where own_prev = prev and session <= cutoff)"""
+    return f"(with {sample}, {O.fits(names, 40)} select ticker as key, expected as mu from fits)"
+
+
+B28_MEANS = f"""with {O.PANEL},
+{O.MARKET},
+{O.FACTORS},
+{O.FACTORS5},
+days as (select distinct session from panel),
+anchors as (select unnest(generate_series(date '1993-01-04', date '1998-01-04', interval 6 month))::date as anchor),
+spans as (select anchor, (anchor - interval 24 month)::date as est_start, (anchor + interval 12 month)::date as oos_end from anchors),
+counted as (select anchor, est_start, oos_end, min(session) filter (session < anchor) as first, count(*) filter (session < anchor) as est_rows,
+  count(*) filter (session >= anchor and session < oos_end) as oos_rows, max(session) as last, max(session) filter (session < anchor) as known from spans join days on session >= est_start group by 1, 2, 3),
+good as (select *, (known - interval 2 month)::date as cutoff from counted where date_diff('day', est_start, first) <= 14 and est_rows >= 80 and oos_rows >= 36 and last >= oos_end),
+mr as (select session, close / lag(close) over (order by session) - 1 as mr from (select d.session, m.close from days d left join market m using (session))),
+nexts as (select session, lag(session) over (order by session) as prev from (select session from panel union select session from factors)),
+steps_in as (select ticker, session, close / lag(close) over o - 1 as ret, lag(session) over o as own_prev from panel window o as (partition by ticker order by session)),
+whole as (select anchor, ticker from panel join good on session >= est_start and session < anchor group by anchor, ticker, est_rows having count(*) = est_rows),
+inside as (select anchor, anchor || '|' || ticker as key, ticker, session, ret, own_prev, cutoff from steps_in join good on session > first and session < anchor where ret is not null)
+select 'history' as kind, anchor, ticker, round(avg(ret) * {O.YEAR}, 6) as mu from inside semi join whole using (anchor, ticker) group by 2, 3
+union all select 'capm', anchor, ticker, round(0.02 + regr_slope(ret, mr) * (avg(mr) * {O.YEAR} - 0.02), 6) from inside join mr using (session) where mr is not null group by 2, 3
+union all select 'ff3', split_part(key, '|', 1)::date, split_part(key, '|', 2), round(mu, 6) from {_window_fit(O.NAMES3, "factors5")}
+union all select 'ff5', split_part(key, '|', 1)::date, split_part(key, '|', 2), round(mu, 6) from {_window_fit(O.NAMES5, "factors5")}"""
