@@ -390,6 +390,17 @@ def _named(candidates: DataFrame, keys: list[str], level: int) -> DataFrame:
     return candidates.select("block", "i", *keys).join(names, keys).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("got"))
 
 
+def tidy(kernel):
+    """The kernel, with Arrow's free memory given back after each batch: workers live on between stages."""
+
+    def run(batches):
+        for out in kernel(batches):
+            yield out
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def block_number(row: Column) -> Column:
     """A smaller number for a row number that has the partition above its lowest 33 bits: a partition has at most 2^17 blocks, and a
     block at most PARTS parts (a part has WINDOW words or more), so that with the part's number it has 60 bits."""
@@ -401,7 +412,7 @@ def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     from), and the records of their fragments by anchors. docs: doc_id, u1, u2, text."""
     spark = docs.sparkSession
     # copies of a text are one text here, with their number
-    grams = docs.select(*UID, "text").mapInArrow(_grams, "u1 long, u2 long, key long, p0 int, p1 int")
+    grams = docs.select(*UID, "text").mapInArrow(tidy(_grams), "u1 long, u2 long, key long, p0 int, p1 int")
     shared = stored(grams.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "grams")
     pack = F.shiftleft(F.col("p0").cast("long"), 32) + F.col("p1")
     marks = grams.join(shared, "key").groupBy(*UID).agg(F.collect_set(pack).alias("marks"))
@@ -410,27 +421,27 @@ def fragments(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     own = stored(own, "gram-marks")  # so that a hot text's rows are split among tasks in the join below
     same = (docs["u1"] == F.col("m1")) & (docs["u2"] == F.col("m2")) & docs["doc_id"].eqNullSafe(F.col("rep"))
     texts = docs.join(own.hint("shuffle_hash"), same)
-    blocks = texts.select(*UID, "text", "marks", "times").mapInArrow(_blocks, "u1 array<long>, u2 array<long>, w0 array<int>, n array<int>, times array<int>, words binary")
+    blocks = texts.select(*UID, "text", "marks", "times").mapInArrow(tidy(_blocks), "u1 array<long>, u2 array<long>, w0 array<int>, n array<int>, times array<int>, words binary")
     blocks = stored(blocks.select(block_number(F.monotonically_increasing_id()).alias("block"), "*"), "blocks")
     size = blocks.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0  # one row
     buckets = _Buckets(spark, max(spark.sparkContext.defaultParallelism, min(20_000, size * 6 // BUCKET + 1)))
-    candidates = stored(blocks.mapInArrow(_word_candidates, "block long, i int, word binary, often long"), "candidates-0")
+    candidates = stored(blocks.mapInArrow(tidy(_word_candidates), "block long, i int, word binary, often long"), "candidates-0")
     words = _named(candidates, ["word"], 0)
     state = blocks.join(words.hint("shuffle_hash"), "block", "left").select("block", "n", "times", "words", "got")
-    state = buckets.stored(state.mapInArrow(_first_state, _STATE_SCHEMA).repartition(buckets.count, "block"))
+    state = buckets.stored(state.mapInArrow(tidy(_first_state), _STATE_SCHEMA).repartition(buckets.count, "block"))
     discard(candidates)
     for level in range(1, rounds + 1):
         # stored, as they are read twice: to be counted and to be named
-        candidates = stored(state.mapInArrow(_pair_candidates(level), "block long, i int, ln long, lc int, rn long, rc int, often int"), f"candidates-{level}")
+        candidates = stored(state.mapInArrow(tidy(_pair_candidates(level)), "block long, i int, ln long, lc int, rn long, rc int, often int"), f"candidates-{level}")
         got = _named(candidates, _PAIR, level)
         joined = state.join(got.hint("shuffle_hash"), "block", "left")
-        state = buckets.stored(joined.mapInArrow(_next_state(level), _STATE_SCHEMA))
+        state = buckets.stored(joined.mapInArrow(tidy(_next_state(level)), _STATE_SCHEMA))
         buckets.drop(keep=1)
         discard(candidates)
     final = state.select("block", "akey", "reach").join(blocks.select("block", "n", "times", "words"), "block")
-    records = stored(final.mapInArrow(_records, RECORD), "records")
+    records = stored(final.mapInArrow(tidy(_records), RECORD), "records")
     buckets.drop()
-    return stored(blocks.mapInArrow(_parts, "doc_id long, u1 long, u2 long, text string, times int, d1 long, d2 long, w0 int"), "parts"), records
+    return stored(blocks.mapInArrow(tidy(_parts), "doc_id long, u1 long, u2 long, text string, times int, d1 long, d2 long, w0 int"), "parts"), records
 
 
 def verified(fragments: list[tuple[int, bytes, int]], window: int = WINDOW) -> list[np.ndarray]:
