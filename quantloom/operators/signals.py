@@ -26,11 +26,12 @@ def emas(values: DataFrame, wanted: dict[str, tuple[str, float, int, int]]) -> D
     maps = {}
     for n, (_, alpha, _, _) in wanted.items():
         live = x[n].isNotNull() & (F.col("k") > F.col(f"_{n}_seed.k"))
-        maps[n] = (F.when(live, 1 - alpha).otherwise(1.0), F.when(live, alpha * x[n]).otherwise(0.0))
+        # of distances from the seed, so that a flat series stays exactly where it is
+        maps[n] = (F.when(live, 1 - alpha).otherwise(1.0), F.when(live, alpha * (x[n] - F.col(f"_{n}_seed.v"))).otherwise(0.0))
     rows, out = scan(rows, "ticker", maps), {}
     for n, (_, _, least, first) in wanted.items():
         a, b = maps[n]
-        now = a * (F.col(f"{n}_a") * F.col(f"_{n}_seed.v") + F.col(f"{n}_b")) + b
+        now = F.col(f"_{n}_seed.v") + a * F.col(f"{n}_b") + b
         out[n] = F.when((F.col("k") >= F.col(f"_{n}_seed.k")) & (F.col("k") - first + 1 >= least), now)
     return rows.withColumns(out).drop("k", *(f"_{n}_seed" for n in names), *(f"{n}_{p}" for n in names for p in "ab"))
 
