@@ -80,7 +80,7 @@ def as_of(left: DataFrame, right: DataFrame, on: str, value: str, tolerance: int
 
 def average_ranks(values: DataFrame, ranges: int = RANGES, sampled: int = SAMPLED) -> DataFrame:
     """(metric, value, rank, n): for each different value of a metric the mean place, from 1, of the rows that have it, and how
-    many rows have any. values: metric, value; nulls are left out.
+    many rows have any. values: metric, value, read a few times, so a stored table; nulls are left out.
 
     Equal values are counted first, so ties of any number are one row. Bounds of ranges are exact quantiles of a fixed
     sample of the different values; a range is ordered by itself, and counts of ranges give each its first place.

@@ -91,7 +91,9 @@ def percentile_score(value: Column, by: list[str] = (), lower_is_better: bool =
 
 def percentile_scores(rows: DataFrame, wanted: dict[str, tuple[str, bool]], key: str = "ticker") -> DataFrame:
     """`rows` with a percentile_score for each name of wanted (column, lower is better) over the whole table, which no task
-    holds: average ranks come from ranges of values. key: different in every row."""
+    holds: average ranks come from ranges of values. key: different in every row. `rows` are stored first: ranks are joined to
+    the doubles they were made of, and sums of doubles made again in another order differ in their last bits."""
+    rows = stored(rows, "scored")
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     long = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([key], columns, "metric", "value").where("value is not null")
     ranks = long.join(average_ranks(long), ["metric", "value"]).withColumn("pct", F.col("rank") / F.col("n") * 100)
@@ -121,7 +123,6 @@ def score(signals: DataFrame, active: tuple[str, ...] = FACTORS, min_components:
     if by:
         raw = signals.select("*", *(percentile_score(c(n), list(by), low).alias(into) for into, (n, low) in wanted.items()))
     else:
-        signals = stored(signals, "signals")
         raw = percentile_scores(signals, {into: x for into, x in wanted.items() if x[0] in have})
         raw = raw.withColumns({into: F.lit(None).cast("double") for into, x in wanted.items() if x[0] not in have})
     out = raw.withColumns({"risk_score": _mean(F.col("_v"), F.col("_d")), "value_score": _mean(F.col("_e"), F.col("_b")), "quality_score": _mean(F.col("_r"), F.col("_l"))}).drop("_v", "_d", "_e", "_b", "_r", "_l")
