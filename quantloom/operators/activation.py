@@ -11,6 +11,8 @@ from quantloom.operators import screening as S
 from quantloom.operators import signals as SG
 from quantloom.operators.construct import optimise
 
+#: Partitions of the fits at all origins.
+FITS = 256
 TICKER = r"^[A-Z0-9.^=/-]{1,30}$"
 
 
@@ -78,8 +80,8 @@ def forecast_origins(returns: DataFrame, calendar: DataFrame, until: str | date,
 
 def historical_forecasts(returns: DataFrame, origins: DataFrame, steps: int = 1500) -> DataFrame:
     """(ticker, origin, valid, mean, sigma, nu, status): each forecast from the returns up to its origin only, one fit an
-    origin, all in parallel. status is 'ok', 'not converged' (the best point of a search that `steps` ended) or 'no valid fit'."""
-    rows = returns.join(origins, "ticker").where(F.col("session") <= F.col("origin"))
+    origin, dealt to FITS partitions whatever their size. status is 'ok', 'not converged' (the best point of a search that `steps` ended) or 'no valid fit'."""
+    rows = returns.join(origins, "ticker").where(F.col("session") <= F.col("origin")).repartition(FITS, "ticker", "origin", "valid")
 
     def fit(key, f):
         import pandas as pd

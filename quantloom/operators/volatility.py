@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as
 from quantloom.operators.scans import scan
 
 YEAR = 252
+#: Partitions that fits are dealt to. A fit takes tenths of a second and its rows are few: dealt by size, all would come to one or two tasks.
+FITS = 64
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
@@ -90,30 +92,31 @@ def fit_garch(r, family: str = "GARCH(1,1)", steps: int = 1500):
     variances of every row and of the next one, the log likelihood, and whether the search converged within `steps`; None
     below 150 rows or without a proper optimum."""
     import numpy as np
-    from math import lgamma
+    from itertools import accumulate
+    from math import inf, lgamma
 
     r = np.asarray(r, float) * 100
     if len(r) < 150 or not np.isfinite(r).all() or r.var() <= 0:
         return None
-    v0 = float(r.var())
+    v0, n, falls, squares = float(r.var()), len(r) + 1, r < 0, r * r
 
     def unpack(x):
         if family == "EGARCH":
             return x[0], x[1], x[2], np.tanh(x[3]), 2.05 + np.exp(x[4])
-        e = np.exp(np.clip(x[:4], -30, 30))
+        e = np.exp(np.minimum(np.maximum(x[:4], -30), 30))
         return e[0], e[1], e[2] if family == "GJR-GARCH" else 0.0, e[3], 2.05 + np.exp(x[4])
 
     def path(p):
         o, a, g, b, _ = p
-        h = np.empty(len(r) + 1)
+        if family != "EGARCH":  # all but the recursion itself is done for the whole series at once
+            b, added = float(b), o + np.where(falls, a + g, a) * r * r
+            return np.fromiter(accumulate(added.tolist(), lambda h, x: x + b * h, initial=v0), float, n)
+        h = np.empty(n)
         h[0] = v0
         c = (2 / np.pi) ** 0.5
         for t, x in enumerate(r):
-            if family == "EGARCH":
-                z = x / h[t] ** 0.5
-                h[t + 1] = np.exp(min(max(o + a * (abs(z) - c) + g * z + b * np.log(h[t]), -50.0), 50.0))
-            else:
-                h[t + 1] = o + (a + (g if x < 0 else 0.0)) * x * x + b * h[t]
+            z = x / h[t] ** 0.5
+            h[t + 1] = np.exp(min(max(o + a * (abs(z) - c) + g * z + b * np.log(h[t]), -50.0), 50.0))
         return h
 
     def cost(x):
@@ -122,9 +125,9 @@ def fit_garch(r, family: str = "GARCH(1,1)", steps: int = 1500):
         if family != "EGARCH" and a + g / 2 + b >= 0.9999 or nu > 300:
             return 1e10
         h = path(p)[:-1]
-        if not (np.isfinite(h).all() and (h > 0).all()):
+        if not (h.min() > 0 and h.max() < inf):
             return 1e10
-        like = lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(np.pi * (nu - 2)) - 0.5 * np.log(h) - (nu + 1) / 2 * np.log1p(r * r / (h * (nu - 2)))
+        like = lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(np.pi * (nu - 2)) - 0.5 * np.log(h) - (nu + 1) / 2 * np.log1p(squares / (h * (nu - 2)))
         return -float(like.sum())
 
     start = np.array([0.1 * np.log(v0), 0.1, 0.0, np.arctanh(0.9), np.log(6.0)]) if family == "EGARCH" else np.array([np.log(0.05 * v0), np.log(0.08), np.log(0.05), np.log(0.85), np.log(6.0)])
@@ -195,8 +198,7 @@ def _garch_paths(returns: DataFrame, origins: DataFrame, families: tuple[str, ..
                 out.append((r["ticker"], r["origin"], r["model"], None if got is None else variance_path(got, r["model"], horizon)))
             yield pd.DataFrame(out, columns=["ticker", "origin", "model", "path"])
 
-    # a fit takes seconds, its row is small: one task a row would do
-    fits = origins.select("ticker", "origin").join(rows, "ticker").crossJoin(F.broadcast(names)).repartition(64, "ticker", "origin", "model")
+    fits = origins.select("ticker", "origin").join(rows, "ticker").crossJoin(F.broadcast(names)).repartition(FITS, "ticker", "origin", "model")
     return fits.mapInPandas(run, "ticker string, origin int, model string, path array<double>")
 
 
@@ -222,7 +224,7 @@ def garch_forecast(returns: DataFrame, horizon: int = 21, families: tuple[str, .
                 out.append((r["ticker"], r["model"], float((np.mean(variance_path(got, r["model"], horizon)) * periods) ** 0.5), "ok"))
             yield pd.DataFrame(out, columns=["ticker", "model", "vol", "status"])
 
-    return rows.crossJoin(F.broadcast(names)).repartition("ticker", "model").mapInPandas(run, "ticker string, model string, vol double, status string")
+    return rows.crossJoin(F.broadcast(names)).repartition(FITS, "ticker", "model").mapInPandas(run, "ticker string, model string, vol double, status string")
 
 
 def exposure_overlay(
@@ -328,7 +330,7 @@ def filtered_volatility(returns: DataFrame, family: str = "GARCH(1,1)", periods:
         v = [] if got is None else (got["variance"][:-1] * periods) ** 0.5
         return pd.DataFrame({"ticker": key[0], "session": f.session if len(v) else [], "vol": v})
 
-    return returns.select("ticker", "session", "ret").groupBy("ticker").applyInPandas(fit, "ticker string, session date, vol double")
+    return returns.select("ticker", "session", "ret").repartition(FITS, "ticker").groupBy("ticker").applyInPandas(fit, "ticker string, session date, vol double")
 
 
 def conditional_forecast(returns: DataFrame, min_rows: int = 126) -> DataFrame:
@@ -343,7 +345,7 @@ def conditional_forecast(returns: DataFrame, min_rows: int = 126) -> DataFrame:
         row = (key[0], None, None, None, "no fit") if got is None else (key[0], float(r.mean()), float(got["variance"][-1] ** 0.5), float(got["params"][4]), "ok")
         return pd.DataFrame([row], columns=["ticker", "mean", "sigma", "nu", "status"])
 
-    return returns.select("ticker", "session", "ret").groupBy("ticker").applyInPandas(fit, "ticker string, mean double, sigma double, nu double, status string")
+    return returns.select("ticker", "session", "ret").repartition(FITS, "ticker").groupBy("ticker").applyInPandas(fit, "ticker string, mean double, sigma double, nu double, status string")
 
 
 def value_at_risk(forecasts: DataFrame, confidence: float = 0.95, law: str = "t") -> DataFrame:

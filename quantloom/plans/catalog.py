@@ -22,6 +22,7 @@ from quantloom.operators import signals as SG
 from quantloom.operators import volatility as V
 from quantloom.plans import oracles
 from quantloom.sources import sinks, tables as X
+from quantloom.sources.scratch import stored
 from quantloom.streaming.journal import as_journal
 
 QUERIES: dict = {}
@@ -678,8 +679,8 @@ def t15_forecast_origins(v, spark, d):
 
 @query()
 def t15_historical_forecasts(v, spark, d):
-    r = _rets(v)
-    days = v("panel").select("session").distinct()
+    p = stored(v("panel"), "prices")  # lineitem is read once
+    r, days = R.simple_returns(p), p.select("session").distinct()
     last = days.agg(F.max("session").alias("last")).first()["last"]  # one row
     return A.historical_forecasts(r, A.forecast_origins(r, days, last, r.limit(0).select("ticker", F.col("session").alias("origin"))))
 
